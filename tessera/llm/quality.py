@@ -16,7 +16,7 @@ from .storage import settled
 SPACE = r"[\\x20\\x09-\\x0D]+"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Rates that are judged, in thousandths (word length in tenths of a character), and what is added to each fence.
-SLACK = {"symbol_rate": 100, "dup_line_rate": 300, "word_length": 50, "repeat_rate": 300}
+SLACK = {"symbol_rate": 50, "dup_line_rate": 400, "word_length": 50, "repeat_rate": 300}
 #: A fence is q90 + SPREAD * (q90 - q50) + slack: far outside what the group's own documents show.
 SPREAD = 3
 #: Smallest number of documents whose sketch decides alone; below it the language's sketch does, then that of all.
