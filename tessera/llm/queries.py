@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, merge_dropout, packing, pq_dedup, quality, sharding, simhash, token_files
+from . import chat, merge_dropout, packing, pq_dedup, quality, sharding, simhash, suffix_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_query(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup_query(table(spark, sf_dir, "documents"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_query(table(spark, sf_dir, "conversations"))
 
@@ -46,7 +50,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_sharding, op4_quality_rules, op6_chat, op7_simhash, op8_packing, op9_merge_dropout, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_token_files, op2_sharding, op4_quality_rules, op5_suffix_dedup, op6_chat, op7_simhash, op8_packing, op9_merge_dropout, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
