@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, merge_dropout, packing, pq_dedup, quality, sharding, simhash, suffix_dedup, token_files
+from . import chat, compact_windows, merge_dropout, packing, pq_dedup, quality, sharding, simhash, suffix_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding_query(table(spark, sf_dir, "documents"))
 
 
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passage_query(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_query(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_sharding, op4_quality_rules, op5_suffix_dedup, op6_chat, op7_simhash, op8_packing, op9_merge_dropout, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_token_files, op2_sharding, op3_compact_windows, op4_quality_rules, op5_suffix_dedup, op6_chat, op7_simhash, op8_packing, op9_merge_dropout, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
