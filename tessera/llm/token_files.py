@@ -166,6 +166,4 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 def token_files_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     uri = f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
-    if "://" not in uri:
-        uri = "file://" + uri
     return read_documents(write_token_files(docs, uri))
