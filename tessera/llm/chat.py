@@ -270,16 +270,21 @@ def _folded(nodes: list[tuple]) -> list[tuple]:
             if not cases:
                 continue
             if cases[0][0][0] == "const":
-                out += cases[0][1]
+                for inner in cases[0][1]:
+                    _append(out, inner)
                 continue
             n = ("if", cases)
-        if n[0] == "text" and out and out[-1][0] == "text":
-            out[-1] = ("text", out[-1][1] + n[1])
-        else:
-            out.append(n)
+        _append(out, n)
     return out
 
 
+def _append(nodes: list[tuple], n: tuple) -> None:
+    if n[0] == "text" and nodes and nodes[-1][0] == "text":
+        nodes[-1] = ("text", nodes[-1][1] + n[1])
+    else:
+        nodes.append(n)
+
+
 class _Output:
     def __init__(self) -> None:
         self.parts: list[str] = []
