@@ -156,9 +156,11 @@ def fold(e: tuple) -> tuple:
 
 
 def _field(value: object, key: object) -> object:
-    if not isinstance(value, (dict, list)):
-        raise TemplateError("only fields of messages can be read")
-    return value[key]  # type: ignore[index]
+    if isinstance(value, dict) and key in value:
+        return value[key]
+    if isinstance(value, list) and isinstance(key, int) and key < len(value):
+        return value[key]
+    raise TemplateError(f"no field {key!r}; only those of messages can be read")
 
 
 def _expression(e: tuple) -> Callable[[dict], object]:
