@@ -57,5 +57,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_files, op2_sharding, op3_compact_windows, op4_quality_rules, op5_suffix_dedup, op6_chat, op7_simhash, op8_packing, op9_merge_dropout, op10_embedding_dedup)}
 
 
+_RATES = "('symbol_rate', 1000 * n_symbols // greatest(word_chars, 1)), ('dup_line_rate', 1000 * n_dup_lines // greatest(n_lines, 1)), ('word_length', 10 * word_chars // greatest(n_words, 1)), ('repeat_rate', 1000 * n_repeat_words // greatest(n_words, 1))"
+_OP4 = f"""with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as t from documents),
+ w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) as ls from d),
+ grams as (select doc_id, i, ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] as gram from (select doc_id, ws, unnest(range(greatest(len(ws) - 2, 0))) as i from w)),
+ twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, gram) as c from grams) where c > 1),
+ covered as (select doc_id, count(distinct i + k) as n from twice, (select unnest(range(3)) as k) group by 1),
+ m as (select doc_id, lang, source, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, len(ls) as n_lines,
+ len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n, 0) as n_repeat_words from w left join covered using (doc_id)),
+ f as (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed from m),
+ r as (select doc_id, lang, source, base_failed, x.metric, x.v from f, lateral (values {_RATES}) as x(metric, v)),
+ b as (select lang, source, metric, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as bucket from r where not base_failed),
+ s as (select 2 as level, lang, source, metric, bucket, count(*) as n from b group by all union all select 1, lang, '', metric, bucket, count(*) from b group by all union all select 0, '', '', metric, bucket, count(*) from b group by all),
+ c as (select *, sum(n) over (partition by level, lang, source, metric order by bucket rows unbounded preceding) as below, sum(n) over (partition by level, lang, source, metric) as total from s),
+ q as (select level, lang, source, metric, max(total) as total, min(bucket) filter (100 * below >= 50 * total) as q50, min(bucket) filter (100 * below >= 90 * total) as q90 from c group by all),
+ z as (select level, lang, source, metric, total, q90 + {quality.SPREAD} * (q90 - q50) + case metric {' '.join(f"when '{k}' then {v}" for k, v in quality.SLACK.items())} end as fence from q),
+ fences as (select a.lang, a.source, a.metric, case when a.total >= {quality.MIN_GROUP} then a.fence when b.total >= {quality.MIN_GROUP} then b.fence else e.fence end as fence from z a join z b on b.level = 1 and b.lang = a.lang and b.metric = a.metric join z e on e.level = 0 and e.metric = a.metric where a.level = 2),
+ v as (select doc_id, bool_and(coalesce(v <= fence, false)) as fine from r left join fences using (lang, source, metric) group by 1)
+ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and fine as kept from f join v using (doc_id)"""
+
+_ESCAPED = r"(length({0}) + length(regexp_replace({0}, '[^\\<\[\]]+', '', 'g')))"
+_OP6 = f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ e as (select *, {_ESCAPED.format('text')} + case role when 'user' then 13 when 'assistant' then 4 when 'system' then 11 else 14 + {_ESCAPED.format('role')} end as chars from t)
+ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+ coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256, (3 + sum(chars))::bigint as formatted_chars from e group by 1"""
+
+_OP10 = f"""with recursive v as (select vec_id, embedding::double[] as e from embeddings), l as (select a.vec_id as x, b.vec_id as y from v a, v b where a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= {pq_dedup.COSINE}),
+ reach as (select vec_id as x, vec_id as y from v union select reach.x, l.y from reach join l on l.x = reach.y), c as (select x as vec_id, min(y) as component_id from reach group by 1), n as (select x as vec_id, count(*) as n from l group by 1)
+ select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from c left join n using (vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of what SQL can express. Token ids, XXH64, byte windows and min-hashes are beyond it: tests compare with brute force."""
+    return {"op4_quality_rules": _OP4, "op6_chat": _OP6, "op10_embedding_dedup": _OP10}
