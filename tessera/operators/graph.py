@@ -8,14 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df on reliable storage: the session's checkpoint folder, or one of our own where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir("/tmp/checkpoints/tessera")
-    return df.checkpoint()
+from ..sources.storage import settled
+from .ordering import numbered
 
 
 def node_order(node_id: str = "node_id") -> list[Column]:
@@ -32,10 +26,10 @@ def closure(edges: DataFrame, roots: DataFrame, relation: str = "AST", max_round
     front = seen
     for _ in range(max_rounds):
         found = front.join(step, ["sample_id", "node_id"]).select("sample_id", "root", F.col("next").alias("node_id")).distinct()
-        front = _kept(found.join(seen, ["sample_id", "root", "node_id"], "left_anti"))
+        front = settled(found.join(seen, ["sample_id", "root", "node_id"], "left_anti"))
         if front.isEmpty():
             return seen
-        seen = _kept(seen.unionByName(front))
+        seen = settled(seen.unionByName(front))
     raise RuntimeError(f"not closed after {max_rounds} rounds")
 
 
@@ -124,7 +118,7 @@ def risk_slice(nodes: DataFrame, edges: DataFrame, members: DataFrame, roots: Da
     """(sample_id, node_id) of the slice around the seeds: two data-flow hops, one control-dependence and one control-flow
     hop, AST children of what carries code, and AST ancestors; without seeds the root and its children."""
     inside = nodes.join(members.select("sample_id", "node_id"), ["sample_id", "node_id"], "left_semi")
-    seeds = _kept(slice_seeds(inside).select("sample_id", "node_id"))
+    seeds = settled(slice_seeds(inside).select("sample_id", "node_id"))
     tree = edges.where(F.col("label") == "AST")
     children = tree.select("sample_id", F.col("src").alias("node_id"), F.col("dst").alias("child"))
     parents = tree.groupBy("sample_id", F.col("dst").alias("node_id")).agg(F.max_by("src", "edge_pos").alias("parent"))  # the last edge wins
@@ -133,14 +127,14 @@ def risk_slice(nodes: DataFrame, edges: DataFrame, members: DataFrame, roots: Da
     shell = shell.unionByName(shell.join(children, ["sample_id", "node_id"]).select("sample_id", F.col("child").alias("node_id")))
     core = reduce(DataFrame.unionByName, [with_seeds, seeds, *[hops(edges, seeds, members, r, k) for r, k in (("REACHING_DEF", 2), ("CDG", 1), ("CFG", 1))]]).distinct()
     carriers = core.join(nodes.where(F.col("label").isin(fixed.AST_CHILD_LABELS)).select("sample_id", "node_id"), ["sample_id", "node_id"], "left_semi")
-    found = _kept(core.unionByName(carriers.join(children, ["sample_id", "node_id"]).select("sample_id", F.col("child").alias("node_id"))).distinct())
+    found = settled(core.unionByName(carriers.join(children, ["sample_id", "node_id"]).select("sample_id", F.col("child").alias("node_id"))).distinct())
     front = found
     for _ in range(max_depth):
         up = front.join(parents, ["sample_id", "node_id"]).select("sample_id", F.col("parent").alias("node_id")).distinct()
-        front = _kept(up.join(found, ["sample_id", "node_id"], "left_anti"))
+        front = settled(up.join(found, ["sample_id", "node_id"], "left_anti"))
         if front.isEmpty():
             break
-        found = _kept(found.unionByName(front))
+        found = settled(found.unionByName(front))
     return found.unionByName(shell).distinct().join(members.select("sample_id", "node_id"), ["sample_id", "node_id"], "left_semi")
 
 
@@ -157,18 +151,15 @@ def node_histogram(nodes: DataFrame) -> DataFrame:
 
 def dictionary(texts: DataFrame, order: list[str], col: str = "text", known: DataFrame | None = None) -> DataFrame:
     """(text_id, text): distinct texts numbered by where each is first seen; known ones keep their ids and new ones go on
-    after them. Numbers are given in ranges: each range partition counts by itself and starts where the one before ends."""
+    after them."""
     first = texts.groupBy(F.col(col).alias("text")).agg(F.min(F.struct(*order)).alias("at"))
     base = F.lit(0).cast("long")
     if known is not None:
         first = first.join(known.select("text"), "text", "left_anti")
         top = known.agg((F.coalesce(F.max("text_id"), F.lit(-1)) + 1).alias("base"))
         base = F.col("base")
-    d = _kept(first.repartitionByRange("at").withColumn("part", F.spark_partition_id()))
-    sizes = d.groupBy("part").agg(F.count("*").alias("n"))
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # one row a partition
-    d = d.join(F.broadcast(starts), "part")
+    d = numbered(first, "text_id", "at")
     if known is not None:
-        d = d.join(F.broadcast(top))
-    d = d.select((base + F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1).alias("text_id"), "text")
+        d = d.join(F.broadcast(top))  # one row
+    d = d.select((base + F.col("text_id")).alias("text_id"), "text")
     return d if known is None else known.select("text_id", "text").unionByName(d)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .ordering import numbered
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -50,7 +51,7 @@ def motif_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def scored_pairs(positives: DataFrame, negatives: DataFrame, min_score: float, blocks: int | None = None) -> DataFrame:
     """positive_id, negative_id, pair_score and its parts for every pair that scores at least min_score.
 
-    Both sides: id, motif, structure, scale (array<double>); negatives also fp (probability, null counts as 0). A score
+    Both sides: id, motif, structure, scale (array<double>); negatives also fp (probability, null counts as 0); ids are numbers. A score
     is asked for each pair, so the work is the product; it is dealt out by blocks: negatives by hash, each positive to
     every block, so neither side is broadcast and a task holds a block. blocks: shuffle partitions if not given."""
     blocks = blocks or int(positives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -86,14 +87,14 @@ def _spaced(positives: DataFrame, pool: DataFrame, k: int, seed: int) -> DataFra
     """k negatives for each positive without pairing all: the pool in a seeded order is a ring, and a positive takes
     every stride-th place from a seeded start. pool: negative_id, pair_score."""
     key = lambda c: F.sha2(F.concat(F.lit(f"{seed}|"), F.col(c).cast("string")), 256)
-    ring = pool.withColumn("place", F.row_number().over(Window.orderBy(key("negative_id"), "negative_id")) - 1)
+    ring = numbered(pool, "place", key("negative_id"), "negative_id")
     size = ring.agg(F.count("*").cast("int").alias("size"))
     p = positives.select(F.col("id").alias("positive_id")).join(F.broadcast(size)).where("size > 0")  # one row
     start = F.pmod(F.conv(F.substring(key("positive_id"), 1, 12), 16, 10).cast("long"), F.col("size"))
     stride = F.greatest(F.lit(1), (F.col("size") / F.lit(k)).cast("int"))
     draws = F.explode(F.expr(f"sequence(0, least({k}, size) - 1)"))
     p = p.withColumn("start", start).withColumn("stride", stride).withColumn("draw", draws)
-    p = p.withColumn("place", F.pmod(F.col("start") + F.col("draw") * F.col("stride"), F.col("size")).cast("int"))
+    p = p.withColumn("place", F.pmod(F.col("start") + F.col("draw") * F.col("stride"), F.col("size")).cast("long"))
     return p.join(ring, "place").select("positive_id", "negative_id", "pair_score", "draw")
 
 
@@ -103,10 +104,9 @@ def random_bank(positives: DataFrame, negatives: DataFrame, k: int, seed: int =
 
 def false_positive_bank(positives: DataFrame, negatives: DataFrame, k: int, share: float = fixed.FALSE_POSITIVE_SHARE, seed: int = 42) -> DataFrame:
     """Draws from the negatives with the highest false-positive probability: the top share, at least one."""
-    order = Window.orderBy(F.desc("fp"), F.desc("id"))
     n = negatives.select("id", F.coalesce("fp", F.lit(0.0)).alias("fp"))
-    ranked = n.withColumn("r", F.row_number().over(order)).join(F.broadcast(n.agg(F.count("*").alias("n"))))
-    pool = ranked.where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(share)).cast("int"))).select(F.col("id").alias("negative_id"), F.col("fp").alias("pair_score"))
+    ranked = numbered(n, "r", -F.col("fp"), -F.col("id")).join(F.broadcast(n.agg(F.count("*").alias("n"))))  # one row
+    pool = ranked.where(F.col("r") < F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(share)).cast("int"))).select(F.col("id").alias("negative_id"), F.col("fp").alias("pair_score"))
     return _spaced(positives, pool, k, seed)
 
 
