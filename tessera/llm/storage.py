@@ -1,39 +1,7 @@
-"""Shared storage: where intermediate tables go so that a lost executor cannot take them along."""
+"""Shared storage, as the rest of the package uses it."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from ..sources.storage import release, settled, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
-
-_WRITTEN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that all executors share (spark.checkpoint.dir); a folder of our own only where it is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not given:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        given = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
-        spark.sparkContext.setCheckpointDir(given)
-    return given if "://" in given else "file://" + os.path.abspath(given)
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept as a table in the shared folder; for narrow tables, not for texts.
-
-    A written table and not checkpoint(): its readers prune columns, and it starts a fresh plan, where a checkpoint hands
-    on the constraints of the plan before it, which grow with every round of an iteration."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that settled() wrote in this process. Results that still read them are lost."""
-    while _WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["release", "settled", "shared_dir"]
