@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,6 +180,18 @@ _GRID = lambda s: f"grid as (select lpad(a::varchar, 4, '0') || lpad(b::varchar,
 _WIDE = "wide as (select sample_id, any_value(label) as label, list(probability order by model) as p from predictions where part = 'val' group by sample_id)"
 _COUNTS = "count(*) as samples, count(*) filter (q >= 0.5 and label = 1) as tp, count(*) filter (q >= 0.5 and label <> 1) as fp, count(*) filter (q < 0.5 and label = 1) as fn, count(*) filter (q < 0.5 and label <> 1) as tn"
 
+def _subset_rows(models: int, steps: int, largest: int) -> str:
+    """(weight_id, weights) of all subsets of up to `largest` models with positive weights, as SQL values."""
+    rows = []
+    for n in range(1, largest + 1):
+        for members in combinations(range(models), n):
+            for cuts in combinations(range(1, steps), n - 1):
+                parts = [b - a for a, b in zip((0, *cuts), (*cuts, steps), strict=True)]
+                weights = [parts[members.index(m)] / steps if m in members else 0 for m in range(models)]
+                rows.append(f"('{'+'.join(map(str, members))}:{''.join(f'{p:04d}' for p in parts)}', {weights}::double[])")
+    return "(values " + ", ".join(rows) + ") as grid(weight_id, w)"
+
+
 ORACLES = {
     "source_hash_groups": f"select sha256({NORMALIZED}) as source_hash, count(*) as n from documents group by 1",
     "strict_split_summary": f"""with {SAMPLES_SQL}, grouped as (select source_hash as sample_id, min(label) as label from samples group by 1), {_SPLIT.replace('from samples', 'from grouped')}
@@ -209,6 +223,8 @@ ORACLES = {
     "simplex_grid": f"with {_GRID(10)} select weight_id, round(w[1], 6) as w0, round(w[2], 6) as w1, round(w[3], 6) as w2, round(w[4], 6) as w3 from grid",
     "ensemble_scan": f"""with {PREDICTIONS_SQL}, {_GRID(5)}, {_WIDE}, mixed as (select weight_id, label, round(p[1] * w[1] + p[2] * w[2] + p[3] * w[3] + p[4] * w[4], 9) as q from wide, grid),
  c as (select weight_id, {_COUNTS} from mixed group by 1), r as (select *, {rates_sql()} from c) select weight_id, samples, tp, fp, fn, tn, f1, mcc from r""",
+    "fixed05_combos": f"""with {PREDICTIONS_SQL}, {_WIDE}, mixed as (select weight_id, label, round(p[1] * w[1] + p[2] * w[2] + p[3] * w[3] + p[4] * w[4], 9) as q from wide, {_subset_rows(4, 5, 3)}),
+ c as (select weight_id, {_COUNTS} from mixed group by 1), r as (select *, {rates_sql()} from c) select weight_id, tp, fp, fn, tn, f1, mcc from r where recall <= 0.95 and positive_rate <= 0.9 order by f1 desc, mcc desc, weight_id limit 20""",
     "hard_negative_bank": f"with {_PAIRS} select positive_id, negative_id, rank::int as rank, round(pair_score, 4) as pair_score from ranked where rank >= floor(n * 0.05::double) and rank < least(greatest(floor(n * 0.05::double) + 1, floor(n * 0.3::double)), floor(n * 0.05::double) + 3)",
     "review_queue": f"with {_PAIRS} select positive_id, negative_id, rank::int as rank, round(pair_score, 4) as pair_score from ranked where rank < greatest(1, floor(n * 0.05::double))",
     "random_bank": f"with {_RANDOM} select * from bank",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
-from ..operators import batching, graph, mining, model, prep, report, windows
+from ..operators import batching, graph, mining, model, prep, report, scope, windows
 from . import bindings as B
 from .bindings import GRAPH_SQL, attention, graph_edges, graph_nodes, table
 
@@ -143,6 +143,27 @@ def offset_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.offset_evidence(e, lines, 2)
 
 
+def _scope_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as calls of one of seven functions, and as locals, at the line of their place in the order."""
+    items = B._items(spark, sf_dir)
+    sample = F.col("l_orderkey").cast("string").alias("sample_id")
+    attrs = lambda name: F.create_map(F.lit("NAME"), name, F.lit("LINE_NUMBER"), F.col("i").cast("string")).alias("attrs")
+    call = items.select(sample, (100 + F.col("i")).cast("string").alias("node_id"), F.lit("CALL").alias("label"), attrs(F.concat(F.lit("fn_"), (F.col("l_partkey") % 7).cast("string"))))
+    local = items.select(sample, (200 + F.col("i")).cast("string").alias("node_id"), F.lit("LOCAL").alias("label"), attrs(F.concat(F.lit("loc"), (F.col("l_suppkey") % 5).cast("string"))))
+    return call.unionByName(local)
+
+
+def scope_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.scope_symbols(_scope_nodes(spark, sf_dir), "full-anon")
+
+
+def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = B._items(spark, sf_dir)
+    code = F.concat(F.lit("if ("), F.lit("fn_"), (F.col("l_partkey") % 7).cast("string"), F.lit("(loc"), (F.col("l_suppkey") % 5).cast("string"), F.lit(", 0x1f, 12u)) return other; // done"))
+    codes = items.select(F.col("l_orderkey").cast("string").alias("sample_id"), F.col("i").alias("node_id"), code.alias("code"))
+    return scope.normalized_codes(codes, scope_symbols(spark, sf_dir), "full-anon")
+
+
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("tokens"))
 
@@ -269,8 +290,10 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.word_vectors(d, "tokens", 16).getVectors().select("word")
 
 
-QUERIES = [lexer_kinds, identifier_parts, identifier_tags, leak_audit, code_category, safe_filenames, text_registry, unknown_names, ast_closure, primary_method, view_edge_counts, view_node_counts, model_edge_types, khop_nodes, slice_seeds, slice_nodes, edge_histogram, motif_features, offset_evidence, token_windows, head_tail_chunks, framed_chunks, mean_max_pool, histogram_matrix, greedy_batches, early_stop, line_topk, context_lines, outcome_mix, score_histogram, normalized_confusion, relative_loss, dashboard_samples, split_summary, gcn_aggregate, rgcn_mean, bag_softmax, attention_pool, mil_topk_logit, weighted_loss, word_vectors]
+QUERIES = [lexer_kinds, identifier_parts, identifier_tags, leak_audit, code_category, safe_filenames, text_registry, unknown_names, ast_closure, primary_method, view_edge_counts, view_node_counts, model_edge_types, khop_nodes, slice_seeds, slice_nodes, edge_histogram, motif_features, offset_evidence, scope_symbols, normalized_texts, token_windows, head_tail_chunks, framed_chunks, mean_max_pool, histogram_matrix, greedy_batches, early_stop, line_topk, context_lines, outcome_mix, score_histogram, normalized_confusion, relative_loss, dashboard_samples, split_summary, gcn_aggregate, rgcn_mean, bag_softmax, attention_pool, mil_topk_logit, weighted_loss, word_vectors]
 
+_SYMBOLS = """symbols as (select l_orderkey::varchar as sample_id, name, prefix || '_' || row_number() over (partition by l_orderkey, prefix order by first_i) as replacement, priority from (
+ select l_orderkey, 'fn_' || (l_partkey % 7) as name, 'FUNC' as prefix, 6 as priority, min(i) as first_i from items group by 1, 2 union all select l_orderkey, 'loc' || (l_suppkey % 5), 'VAR', 2, min(i) from items group by 1, 2))"""
 _IDS = f"toks as (select unnest({tokens_sql('html')}) as t from pages), ids as (select t from toks where {KIND_SQL} = 'ID')"
 _PARTS = "parts as (select unnest(list_filter(list_transform(string_split(replace(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '-', '_'), '_'), lambda p: lower(p)), lambda p: p <> '')) as part, rid from (select t, row_number() over () as rid from ids))"
 _TAGS = "(values " + ", ".join(f"('{p}', '{tag}')" for tag, parts in fixed.SEMANTIC_TAGS.items() for p in parts.split()) + ") as tags(part, tag)"
@@ -319,11 +342,23 @@ ORACLES = {
  l as (select doc_id, max(pos) + 1 as last_line from lines group by 1),
  h as (select distinct conv_id, turn from e join k on doc_id = conv_id and abs(place - line) <= 2 and len(list_intersect(et, lt)) > 0)
  select e.conv_id::varchar as sample_id, count(*) as n_evidence, count(h.turn) as n_matched, bool_or(coalesce(line > last_line, true)) as out_of_range from e left join h on h.conv_id = e.conv_id and h.turn = e.turn left join l on l.doc_id = e.conv_id group by 1""",
+    "scope_symbols": f"with {GRAPH_SQL}, {_SYMBOLS} select sample_id, name, replacement, priority from symbols",
+    "normalized_texts": f"""with {GRAPH_SQL}, {_SYMBOLS} select l_orderkey::varchar as sample_id, i as node_id, 'if ( ' || f.replacement || ' ( ' || v.replacement || ' , HEX , NUM ) ) return UNKNOWN_ID_' || substr(sha256('other'), 1, 8) || ' ;' as text
+ from items join symbols f on f.sample_id = l_orderkey::varchar and f.name = 'fn_' || (l_partkey % 7) join symbols v on v.sample_id = l_orderkey::varchar and v.name = 'loc' || (l_suppkey % 5)""",
     "token_windows": f"with {_TOK}, w as (select doc_id, tokens, {_SEQ(128, 64)} as start from d) select doc_id, start::int as start, len(tokens[start + 1:start + 128])::int as n, md5(array_to_string(tokens[start + 1:start + 128], ' ')) as digest from w",
     "head_tail_chunks": f"with {_TOK}, w as (select doc_id, tokens, {_SEQ(64, 48)} as start from d), r as (select *, row_number() over (partition by doc_id order by start) as a, row_number() over (partition by doc_id order by start desc) as z from w) select doc_id, start::int as start, len(tokens[start + 1:start + 64])::int as n from r where a <= 2 or z <= 1",
     "framed_chunks": f"with {_TOK}, w as (select doc_id, ['<s>'] || tokens[1:62] || ['</s>'] as t from d) select doc_id, md5(array_to_string(t || list_transform(range(64 - len(t)), lambda i: '<pad>'), ' ')) as digest, len(t)::int as n from w",
     "mean_max_pool": "with x as (select label, unnest(range(64)) as dim, unnest(embedding)::double as v from embeddings) select label, dim::int as dim, round(avg(v), 5) as mean, round(max(v), 5) as max from x group by 1, 2",
     "histogram_matrix": f"with {GRAPH_SQL}, n as (select sample_id, count(*) as nodes, count(*) filter (label = 'CALL') as c, count(*) filter (label = 'IDENTIFIER') as i, count(*) filter (label = 'METHOD') as m from nodes group by 1), e as (select sample_id, count(*) as edges from edges group by 1) select sample_id, round(ln(1 + nodes), 6) as log_nodes, round(ln(1 + coalesce(edges, 0)), 6) as log_edges, round(c / nodes, 6) as \"CALL_fraction\", round(i / nodes, 6) as \"IDENTIFIER_fraction\", round(m / nodes, 6) as \"METHOD_fraction\" from n left join e using (sample_id)",
+    "greedy_batches": """with recursive g as (select l_orderkey, count(*) as nodes, sum(l_quantity)::bigint as edges from lineitem group by 1),
+ o as (select o_custkey, l_orderkey, nodes, edges, row_number() over (partition by o_custkey order by l_orderkey) as i from g join orders on o_orderkey = l_orderkey where nodes <= 12 and edges <= 300),
+ r as (select o_custkey, l_orderkey, nodes, edges, i, 0 as batch_id, nodes as n, edges as e from o where i = 1 union all
+ select o.o_custkey, o.l_orderkey, o.nodes, o.edges, o.i, r.batch_id + (r.n + o.nodes > 12 or r.e + o.edges > 300)::int, case when r.n + o.nodes > 12 or r.e + o.edges > 300 then 0 else r.n end + o.nodes, case when r.n + o.nodes > 12 or r.e + o.edges > 300 then 0 else r.e end + o.edges
+ from r join o on o.o_custkey = r.o_custkey and o.i = r.i + 1) select l_orderkey, nodes, edges, o_custkey, batch_id from r""",
+    "early_stop": """with recursive h as (select *, row_number() over (order by epoch) as i from (select date_diff('day', date '1992-01-01', o_orderdate::date) as epoch, round(max(o_totalprice), 2) as m from orders group by 1)),
+ r as (select i, m as best, epoch as best_epoch, 0 as wait, epoch as stop_epoch from h where i = 1 union all
+ select h.i, case when wait < 20 and m > best then m else best end, case when wait < 20 and m > best then epoch else best_epoch end, case when wait >= 20 then wait when m > best then 0 else wait + 1 end, case when wait >= 20 then stop_epoch else epoch end from r join h on h.i = r.i + 1)
+ select best_epoch, stop_epoch, round(best, 6) as best from r order by i desc limit 1""",
     "line_topk": f"with {_TOP(5)} select * from top",
     "context_lines": f"with {_TOP(3)}, c as (select distinct sample_id, unnest(range(greatest(1, line - 2), greatest(1, least(line + 2, 40)) + 1)) as line from top) select sample_id, line, coalesce((line - lag(line) over (partition by sample_id order by line) > 1)::int, 0) as new_block from c",
     "outcome_mix": f"with {B.PREDICTIONS_SQL}, o as (select model, case when label = 1 and probability >= 0.5 then 'TP' when label = 1 then 'FN' when probability >= 0.5 then 'FP' else 'TN' end as outcome, count(*) as n from predictions group by 1, 2) select *, round(n / sum(n) over (partition by model), 6) as share from o",
