@@ -63,6 +63,8 @@ AST_CHILD_LABELS = "CALL FIELD_IDENTIFIER IDENTIFIER LITERAL LOCAL METHOD_PARAME
 RISKY_CALLS = "alloc calloc free gets malloc memcpy memmove read realloc recv scanf sprintf strcat strcpy strlen".split()
 MEMORY_LABELS = "CALL FIELD_IDENTIFIER IDENTIFIER LOCAL".split()
 MEMORY_SYNTAX = "[ -> <operator>.fieldaccess <operator>.indirectfieldaccess <operator>.indirection <operator>.indexaccess".split()
+# fixed values: the shorter list that models are given seed types by
+SEED_MEMORY_SYNTAX = "[ -> * <operator>.indexaccess <operator>.fieldaccess".split()
 
 # fixed values: call families and operator names of the motif features
 MOTIF_APIS = {

@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def greedy_batches(rows: DataFrame, group: str, order: list[str], max_nodes: int, max_edges: int, skip_oversized: bool = True) -> DataFrame:
+def greedy_batches(rows: DataFrame, group: str, order: list[str], max_nodes: int, max_edges: int, skip_oversized: bool = True, max_rows: int | None = None) -> DataFrame:
     """rows with batch_id: rows join the open batch while both budgets hold, else a new one begins. A row beyond a
-    budget by itself is left out, or is a batch of its own. rows: group, nodes, edges. An ordered fold over each group."""
+    budget by itself is left out, or is a batch of its own. max_rows: also at most so many rows a batch (pairs, say). rows:
+    group, nodes, edges. An ordered fold over each group."""
     over = (F.col("nodes") > max_nodes) | (F.col("edges") > max_edges)
     d = rows.where(~over) if skip_oversized else rows
     item = F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], F.col("nodes").cast("long").alias("nodes"), F.col("edges").cast("long").alias("edges"), F.struct(*[F.col(c) for c in rows.columns]).alias("row"))
     lists = d.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("nodes"), F.lit(0).cast("long").alias("edges"), F.lit(True).alias("closed"), F.array().cast("array<bigint>").alias("ids"))
+    start = F.struct(F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("nodes"), F.lit(0).cast("long").alias("edges"), F.lit(True).alias("closed"), F.lit(0).cast("long").alias("rows"), F.array().cast("array<bigint>").alias("ids"))
 
     def step(a, x):  # noqa: ANN001, ANN202
         big = (x["nodes"] > max_nodes) | (x["edges"] > max_edges)
         fresh = a["closed"] | big | (a["nodes"] + x["nodes"] > max_nodes) | (a["edges"] + x["edges"] > max_edges)
+        fresh = fresh | (a["rows"] >= max_rows) if max_rows else fresh
         batch = a["batch"] + fresh.cast("long")
         keep = lambda c: F.when(fresh, F.lit(0).cast("long")).otherwise(a[c]) + x[c]
-        return F.struct(batch.alias("batch"), keep("nodes").alias("nodes"), keep("edges").alias("edges"), big.alias("closed"), F.concat(a["ids"], F.array(batch)).alias("ids"))
+        return F.struct(batch.alias("batch"), keep("nodes").alias("nodes"), keep("edges").alias("edges"), big.alias("closed"), (F.when(fresh, F.lit(0).cast("long")).otherwise(a["rows"]) + 1).alias("rows"), F.concat(a["ids"], F.array(batch)).alias("ids"))
 
     folded = lists.select("items", F.aggregate("items", start, step, lambda a: a["ids"]).alias("ids"))
     return folded.select(F.explode(F.arrays_zip("items", "ids")).alias("z")).select("z.items.row.*", F.col("z.ids").alias("batch_id"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import settled
 from .metrics import confusion, rates
 
 #: Most points of a grid; a grid is a parameter, not data, and is broadcast.
@@ -74,3 +75,27 @@ def best_points(scan: DataFrame, top: int, by: tuple[str, str] = ("f1", "mcc"),
     """The best `top` points by two metrics among those within the guards; ties by weight_id."""
     d = scan.where((F.col("recall") <= recall_max) & (F.col("positive_rate") <= positive_rate_max))
     return d.orderBy(F.desc(by[0]), F.desc(by[1]), "weight_id").limit(top)
+
+
+def logistic_stack(train: DataFrame, models: int, space: str = "both", folds: int = 5, c: float = 1.0, seed: int = 42) -> DataFrame:
+    """(sample_id, label, probability): out-of-fold probabilities of a logistic regression over the models'
+    probabilities, their logits or both. Folds are stratified by a seeded order; with fewer than two rows of a class in
+    every fold there is no stack and no row. train: sample_id, label, probabilities."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    clip = F.transform("probabilities", lambda p: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p)))
+    logits = F.transform(clip, lambda p: F.log(p / (1 - p)))
+    features = {"prob": F.col("probabilities"), "logit": logits, "both": F.concat("probabilities", logits)}[space]
+    sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}  # one row a class
+    k = min([folds, *sizes.values()])
+    if len(sizes) < 2 or k < 2:
+        return train.limit(0).select("sample_id", "label", F.lit(0.0).alias("probability"))
+    order = Window.partitionBy("label").orderBy(F.sha2(F.concat(F.lit(str(seed)), "sample_id"), 256), "sample_id")
+    d = settled(train.select("sample_id", "label", array_to_vector(features).alias("features"), ((F.row_number().over(order) - 1) % k).alias("fold")))
+    total, out = sum(sizes.values()), None
+    for fold in range(k):
+        fit = LogisticRegression(maxIter=100, regParam=1 / (c * total * (k - 1) / k), standardization=False).fit(d.where(F.col("fold") != fold))
+        part = fit.transform(d.where(F.col("fold") == fold)).select("sample_id", "label", F.round(vector_to_array("probability")[1], 6).alias("probability"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -163,3 +163,36 @@ def dictionary(texts: DataFrame, order: list[str], col: str = "text", known: Dat
         d = d.join(F.broadcast(top))  # one row
     d = d.select((base + F.col("text_id")).alias("text_id"), "text")
     return d if known is None else known.select("text_id", "text").unionByName(d)
+
+
+def seed_types(nodes: DataFrame) -> DataFrame:
+    """(sample_id, node_id, seed_type) that models are given: 1 risky call, 2 memory access where a sample has no risky
+    call, else 0. Name, last part of the full method name and code count, with a list of their own. nodes: also name,
+    method_full_name, code."""
+    part = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    text = F.concat_ws(" ", part(F.col("name")), part(F.element_at(F.split(F.coalesce("method_full_name", F.lit("")), r"\."), -1)), part(F.col("code")))
+    has = lambda words: reduce(lambda a, b: a | b, [F.col("__text").contains(w) for w in words])
+    d = nodes.withColumn("__text", text).withColumn("__risky", (F.col("label") == "CALL") & has(fixed.RISKY_CALLS))
+    d = d.withColumn("__any", F.max("__risky").over(Window.partitionBy("sample_id")))
+    memory = F.col("label").isin(fixed.MEMORY_LABELS) & has(fixed.SEED_MEMORY_SYNTAX)
+    return d.select("sample_id", "node_id", F.when(F.col("__risky"), 1).when(~F.col("__any") & memory, 2).otherwise(0).alias("seed_type"))
+
+
+def registry_digest(registry: DataFrame, span: int = 100_000) -> DataFrame:
+    """One row: an order-sensitive digest of a registry (text_id, text), in two levels: of the texts of each span of ids,
+    each closed by a zero character, and of those digests in order. No task holds more than a span."""
+    block = registry.groupBy(F.floor(F.col("text_id") / span).alias("b")).agg(F.array_sort(F.collect_list(F.struct("text_id", "text"))).alias("t"))
+    inner = block.select("b", F.sha2(F.concat_ws("", F.transform("t", lambda x: F.concat(x["text"], F.lit("\u0000")))), 256).alias("d"))
+    outer = inner.agg(F.array_sort(F.collect_list(F.struct("b", "d"))).alias("t"))  # one digest a span
+    return outer.select(F.sha2(F.array_join(F.transform("t", lambda x: x["d"]), ""), 256).alias("digest"))
+
+
+def incomplete_samples(samples: DataFrame, markers: DataFrame, index: DataFrame, payloads: DataFrame, views: int, registry_size: int) -> DataFrame:
+    """sample_id of what must be built again: no marker, not all views, differing commits, or ids beyond the registry.
+    markers: sample_id, commit_id, fingerprint; index: sample_id, view, commit_id; payloads: sample_id, view, commit_id,
+    max_text_id; samples: sample_id, fingerprint."""
+    i = index.select("sample_id", "view", F.col("commit_id").alias("i")).join(payloads.select("sample_id", "view", F.col("commit_id").alias("p"), "max_text_id"), ["sample_id", "view"], "full_outer")
+    i = i.join(markers.select("sample_id", F.col("commit_id").alias("m"), F.col("fingerprint").alias("f")), "sample_id", "left")
+    ok = F.coalesce((F.col("i") == F.col("p")) & (F.col("i") == F.col("m")) & (F.col("max_text_id") < registry_size), F.lit(False))
+    whole = i.groupBy("sample_id", "f").agg(F.min(ok).alias("ok"), F.count("*").alias("n")).where(F.col("ok") & (F.col("n") == views))
+    return samples.join(whole.select("sample_id", F.col("f").alias("fingerprint")), ["sample_id", "fingerprint"], "left_anti").select("sample_id")

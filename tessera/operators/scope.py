@@ -78,3 +78,17 @@ def normalized_codes(codes: DataFrame, symbols: DataFrame, mode: str, key: str =
     name = F.when(word.isin(fixed.C_KEYWORDS + fixed.BASIC_TYPES + ["NULL", "true", "false"]), word).otherwise(F.coalesce("replacement", other))
     piece = F.when(kind == "STRING", "STR").when(kind == "CHAR", "CHAR").when(kind == "HEX", "HEX").when(kind == "FLOAT", "FLOAT").when(kind == "INT", T.normalize_integer(word)).when(kind == "ID", name).otherwise(word)
     return t.groupBy("sample_id", key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("p")))), lambda x: x["p"]), " ").alias("text"))
+
+
+def normalized_nodes(nodes: DataFrame, symbols: DataFrame | None, mode: str) -> DataFrame:
+    """(sample_id, node_id, text): a node by its label. Raw mode takes the raw node text; the others need symbols."""
+    if mode == "raw":
+        return nodes.select("sample_id", "node_id", T.node_text(F.col("label"), F.col("attrs")).alias("text"))
+    if symbols is None:
+        raise ValueError(f"{mode} needs the symbols of a scope")
+    code = F.when(F.col("label") == "METHOD", F.trim(attribute("SIGNATURE"))).when(F.col("label") == "METHOD_RETURN", F.trim(attribute("TYPE_FULL_NAME"))).when(F.col("label") == "BLOCK", "").otherwise(_first_truthy("CODE", "NAME"))
+    texts = normalized_codes(nodes.select("sample_id", "node_id", code.alias("code")), symbols, mode)
+    d = nodes.select("sample_id", "node_id", "label").join(texts, ["sample_id", "node_id"])
+    mark = F.when(F.col("label") == "METHOD_RETURN", "RET").otherwise(F.col("label"))
+    text = F.when(F.col("text") == "", F.concat(F.lit("<"), mark, F.lit(">"))).when(F.col("label").isin("METHOD", "METHOD_RETURN"), F.concat(F.lit("<"), mark, F.lit(" "), "text", F.lit(">"))).otherwise(F.col("text"))
+    return d.select("sample_id", "node_id", text.alias("text"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import batching, graph, metrics, mining, prep, report, scope, windows
+from tessera.operators import batching, ensembles, graph, metrics, mining, prep, report, scope, windows
 from tessera.sources import graphml, sinks, tables
 from tessera.streaming import ingest
 
@@ -166,3 +167,39 @@ def test_ingest_resumes(spark, tmp_path):
     run()
     run()
     assert {(r.sample_id, r.label, r.n_chars) for r in ingest.latest(spark, f"{tmp_path}/out").collect()} == {("a", 0, 1), ("b", 0, 1)}
+
+
+def test_normalized_nodes(spark):
+    g = spark.createDataFrame([("s", "1", "METHOD", {"NAME": "f", "SIGNATURE": "int (GetBits *)"}), ("s", "2", "BLOCK", {"CODE": "x"}), ("s", "3", "METHOD_RETURN", {"TYPE_FULL_NAME": "GetBits *"}), ("s", "4", "CALL", {"NAME": "free", "CODE": "free(p)"}), ("s", "5", "LOCAL", {"NAME": "p", "TYPE_FULL_NAME": "GetBits *"}), ("s", "6", "RETURN", {})], "sample_id string, node_id string, label string, attrs map<string, string>")
+    got = {r.node_id: r.text for r in scope.normalized_nodes(g, scope.scope_symbols(g, "full-anon"), "full-anon").collect()}
+    assert got == {"1": "<METHOD int ( TYPE_1 * )>", "2": "<BLOCK>", "3": "<RET TYPE_1 *>", "4": "API_FREE ( VAR_1 )", "5": "VAR_1", "6": "<RETURN>"}
+    raw = {r.node_id: r.text for r in scope.normalized_nodes(g, None, "raw").collect()}
+    assert (raw["1"], raw["2"], raw["6"]) == ("f int (GetBits *)", "<BLOCK>", "<RETURN>")
+    with pytest.raises(ValueError, match="symbols"):
+        scope.normalized_nodes(g, None, "full-anon")
+
+
+def test_seed_types_and_pair_batches(spark):
+    n = spark.createDataFrame([("a", "1", "CALL", "x", "lib.Read", ""), ("a", "2", "LOCAL", "", "", "p[1]"), ("b", "1", "LOCAL", "", "", "*p"), ("b", "2", "BLOCK", "", "", "*p")], "sample_id string, node_id string, label string, name string, method_full_name string, code string")
+    assert {(r.sample_id, r.node_id): r.seed_type for r in graph.seed_types(n).collect()} == {("a", "1"): 1, ("a", "2"): 0, ("b", "1"): 2, ("b", "2"): 0}
+    d = spark.createDataFrame([("g", 0, 6, 10), ("g", 1, 5, 10), ("g", 2, 2, 4)], "g string, i int, nodes int, edges int")
+    assert {r.i: r.batch_id for r in batching.greedy_batches(d, "g", ["i"], 8, 20).collect()} == {0: 0, 1: 1, 2: 1}
+    assert {r.i: r.batch_id for r in batching.greedy_batches(d, "g", ["i"], 80, 200, max_rows=2).collect()} == {0: 0, 1: 0, 2: 1}
+
+
+def test_registry_digest_and_rebuilds(spark):
+    d = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "text_id long, text string")
+    swapped = spark.createDataFrame([(0, "b"), (1, "a"), (2, "c")], "text_id long, text string")
+    assert graph.registry_digest(d, 2).first().digest != graph.registry_digest(swapped, 2).first().digest
+    samples = spark.createDataFrame([(s, "f") for s in "abcd"], "sample_id string, fingerprint string")
+    markers = spark.createDataFrame([("a", "1", "f"), ("b", "1", "old"), ("c", "1", "f")], "sample_id string, commit_id string, fingerprint string")
+    index = spark.createDataFrame([(s, "ast", "1") for s in "abc"], "sample_id string, view string, commit_id string")
+    payloads = spark.createDataFrame([("a", "ast", "1", 2), ("b", "ast", "1", 2), ("c", "ast", "1", 9)], "sample_id string, view string, commit_id string, max_text_id int")
+    assert {r.sample_id for r in graph.incomplete_samples(samples, markers, index, payloads, 1, 3).collect()} == {"b", "c", "d"}
+
+
+def test_logistic_stack(spark):
+    rows = [(f"s{i}", i % 2, [0.2 + 0.5 * (i % 2) + 0.01 * (i % 7), 0.5]) for i in range(40)]
+    out = ensembles.logistic_stack(spark.createDataFrame(rows, "sample_id string, label int, probabilities array<double>"), 2, folds=3).withColumn("k", F.lit("x"))
+    assert out.count() == 40
+    assert metrics.roc_auc(out, ["k"]).first().roc_auc == 1.0
