@@ -307,7 +307,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(content[i : i + length]) for i in range(n)]), np.int64).reshape(n, 2)
                 yield pa.record_batch([pa.array(np.full(n, h)), pa.array(np.full(n, d)), pa.array(np.arange(n)), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["h", "d", "i", "x", "y"])
 
-    sorted_ = cut.where("not hot").select("h", "d", "content").repartition("h").sortWithinPartitions("h", "d")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by work, not by bytes: sorting costs far more than reading
+    sorted_ = cut.where("not hot").select("h", "d", "content").repartition(tasks, "h").sortWithinPartitions("h", "d")
     marks = sorted_.mapInArrow(lambda it: _marks_of_arrays(it, length), "h long, d long, i long, j long")
     dealt = cut.where("hot").select("h", "d", "content").mapInArrow(strings, "h long, d long, i long, x long, y long")
     twice = dealt.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")

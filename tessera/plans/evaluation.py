@@ -130,12 +130,12 @@ def fixed05_combos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hard_negative_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = mining.scored_pairs(retrieval(spark, sf_dir, 1), retrieval(spark, sf_dir, 0), 0.25)
-    return mining.hard_negative_bank(pairs, 3).select("positive_id", "negative_id", "rank", F.round("pair_score", 4).alias("pair_score"))
+    return mining.hard_negative_bank(pairs, 3).select("positive_id", "negative_id", "rank", "pair_score")
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = mining.scored_pairs(retrieval(spark, sf_dir, 1), retrieval(spark, sf_dir, 0), 0.25)
-    return mining.review_queue(pairs).select("positive_id", "negative_id", "rank", F.round("pair_score", 4).alias("pair_score"))
+    return mining.review_queue(pairs).select("positive_id", "negative_id", "rank", "pair_score")
 
 
 def random_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,8 +225,8 @@ ORACLES = {
  c as (select weight_id, {_COUNTS} from mixed group by 1), r as (select *, {rates_sql()} from c) select weight_id, samples, tp, fp, fn, tn, f1, mcc from r""",
     "fixed05_combos": f"""with {PREDICTIONS_SQL}, {_WIDE}, mixed as (select weight_id, label, round(p[1] * w[1] + p[2] * w[2] + p[3] * w[3] + p[4] * w[4], 9) as q from wide, {_subset_rows(4, 5, 3)}),
  c as (select weight_id, {_COUNTS} from mixed group by 1), r as (select *, {rates_sql()} from c) select weight_id, tp, fp, fn, tn, f1, mcc from r where recall <= 0.95 and positive_rate <= 0.9 order by f1 desc, mcc desc, weight_id limit 20""",
-    "hard_negative_bank": f"with {_PAIRS} select positive_id, negative_id, rank::int as rank, round(pair_score, 4) as pair_score from ranked where rank >= floor(n * 0.05::double) and rank < least(greatest(floor(n * 0.05::double) + 1, floor(n * 0.3::double)), floor(n * 0.05::double) + 3)",
-    "review_queue": f"with {_PAIRS} select positive_id, negative_id, rank::int as rank, round(pair_score, 4) as pair_score from ranked where rank < greatest(1, floor(n * 0.05::double))",
+    "hard_negative_bank": f"with {_PAIRS} select positive_id, negative_id, rank::int as rank, pair_score from ranked where rank >= floor(n * 0.05::double) and rank < least(greatest(floor(n * 0.05::double) + 1, floor(n * 0.3::double)), floor(n * 0.05::double) + 3)",
+    "review_queue": f"with {_PAIRS} select positive_id, negative_id, rank::int as rank, pair_score from ranked where rank < greatest(1, floor(n * 0.05::double))",
     "random_bank": f"with {_RANDOM} select * from bank",
     "fp_bank": f"with {_FP} select * from bank",
     "pair_metrics": f"""with {_RANDOM}, s as (select vec_id as id, round(4 * embedding[1]::double, 6) as logit, round((1 + embedding[2]::double) / 2, 6) as probability from embeddings),
