@@ -171,6 +171,27 @@ def test_passages(documents, odd):
     assert compact_windows.passage_query(documents([])).count() == 0
 
 
+def test_passages_with_recurring_phrases():
+    width, one = 46, lambda t: compact_windows.shingles(" ".join(t))
+    passage, filler, phrase = words(60, 1), words(1400, 2), words(7, 3)
+    texts = [
+        (words(30, 4) + passage + words(30, 5), passage[25:35] + filler + passage + words(20, 6)),
+        (passage[:30] + phrase + passage[30:], phrase + filler[:90] + phrase + passage[:30] + phrase + passage[30:]),
+        (passage[:50], passage[28:34] + filler[:100] + passage[:25] + ["two", "more"] + passage[25:]),
+        (["x"] * 80 + filler[:60], filler[60:90] + ["x"] * 70),
+        (passage, filler[:200] + passage[10:30]),
+    ]
+    for first, second in texts:
+        a, b = one(first), one(second)
+        stretches = [set(b[y : y + n].tolist()) for n in range(width, 58) for y in range(len(b) - n + 1)]
+        want = set()
+        for s in range(len(a) - width + 1):
+            x = set(a[s : s + width].tolist())
+            if any(5 * len(x & y) >= 4 * len(x | y) for y in stretches):
+                want |= set(range(s, s + width))
+        assert {k for i, j, _, _ in compact_windows.matching_passages(a, b, width) for k in range(i, j)} == want
+
+
 def brute_links(rows, cosine=0.9):
     good = {i: np.array(v, float) for i, v in rows if v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     ids = list(good)
