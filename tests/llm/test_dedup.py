@@ -192,6 +192,27 @@ def test_passages_with_recurring_phrases():
         assert {k for i, j, _, _ in compact_windows.matching_passages(a, b, width) for k in range(i, j)} == want
 
 
+def test_passage_whose_smallest_shingles_stand_earlier_too(documents):
+    width, passage = 46, words(50, 1)
+    first = words(70, 2) + passage + words(70, 3)
+    s = compact_windows.shingles(" ".join(first))
+    smallest = [{int(np.flatnonzero(compact_windows.mixed(s, salt) == v)[0]) for v in compact_windows.compact_windows(s, width, salt)[0]} for salt in compact_windows._SALTS]
+    places = [k for f in smallest for k in sorted(f) if 70 <= k <= 115]
+    early = [w for k, at in enumerate(places * 3) for w in words(150, 100 + k) + first[at : at + 5]]
+    rows = [(1, " ".join(first)), (2, " ".join(early + words(60, 4) + passage + words(60, 5)))]
+    got = compact_windows.passage_query(documents(rows)).collect()
+    assert [(r.doc_id, r.other_id) for r in got] == [(2, 1)]
+    assert got[0].start_word <= len(early) + 60 <= len(early) + 110 <= got[0].start_word + got[0].n_words
+
+
+def test_windows_agree_where_they_overlap():
+    at = lambda first, last, f: first << 32 | (last - first) << 8 | f
+    yes, no = [at(0, 3, 0), at(500, 505, 1), at(540, 541, 0)], [at(0, 3, 0), at(500, 505, 1), at(551, 560, 0)]
+    assert compact_windows._agreeing(np.array(yes), 46, 2)
+    assert not compact_windows._agreeing(np.array(no), 46, 2)
+    assert not compact_windows._agreeing(np.array([at(0, 3, 1), at(1, 4, 1)]), 46, 2)
+
+
 def brute_links(rows, cosine=0.9):
     good = {i: np.array(v, float) for i, v in rows if v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     ids = list(good)
