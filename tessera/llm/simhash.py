@@ -91,7 +91,15 @@ def simhash_query(docs: DataFrame) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The documents that name their group: one of each group stays, the one with the smallest id. Columns as they come.
-    Rows with the same id share one fate."""
-    keep = simhash_groups(docs, distance).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["__kept_id"], "left_semi")
+    """One document of each group of near-duplicates, columns as they come: the one with the smallest id, a null id only
+    if the group has no other, then the one whose columns hash lowest; of equal rows, one stays.
+
+    Here fingerprints are the nodes, so documents without an id, or that share one without being alike, are told apart."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    prints = settled(docs.select(F.col("doc_id").cast("long").alias("id"), row.alias("row"), fingerprint(F.col("text")).alias("fp")))
+    links = fingerprint_links(prints, distance=distance)
+    groups = prints.join(components(links, "a", "b"), F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("group"))
+    keep = groups.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")).select(F.coalesce("best.id", F.lit(0)).alias("__kept_id"), F.col("best.none").alias("__kept_none"), F.col("best.row").alias("__kept_row"))
+    d = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").cast("long").isNull(), "__row": row})
+    d = d.join(keep, (F.col("__id") == F.col("__kept_id")) & (F.col("__none") == F.col("__kept_none")) & (F.col("__row") == F.col("__kept_row")), "left_semi")
+    return d.dropDuplicates(["__id", "__none", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -72,6 +72,14 @@ def test_simhash(documents, odd):
     assert {r.doc_id for r in kept.collect()} == {g.find(i) for i in fp}
 
 
+def test_simhash_dedup_keeps_one_of_each_group(documents):
+    text = lambda seed: " ".join(words(80, seed))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (3, text(3)), (3, text(3)), (None, text(3)), (4, text(4)), (4, text(5))]
+    kept = simhash.simhash_dedup(documents(rows)).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((r.doc_id, r.text) for r in kept), key=key) == sorted([(3, text(3)), (4, text(4)), (4, text(5)), (None, text(1)), (None, text(2))], key=key)
+
+
 def test_simhash_links_all_distances(spark):
     r = random.Random(1)
     base = r.getrandbits(64)
