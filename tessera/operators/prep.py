@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import key_tokens
+from .ordering import numbered
 
 
 def exclusion_cascade(labels: DataFrame, known: DataFrame, graphs: DataFrame, sources: DataFrame, conflicts: list[str]) -> DataFrame:
@@ -36,12 +37,16 @@ def shuffle_key(seed: int, *parts: str) -> Column:
 
 
 def stratified_split(rows: DataFrame, seed: int = 42, id_col: str = "sample_id", label_col: str = "label") -> DataFrame:
-    """rows with part (train, val, test), by 80/10/10 within each label."""
-    by = Window.partitionBy(label_col)
-    d = rows.withColumn("__n", F.count("*").over(by)).withColumn("__r", F.row_number().over(by.orderBy(shuffle_key(seed, label_col, id_col), id_col)))
+    """rows with part (train, val, test), by 80/10/10 within each label. Rows are numbered by label over ranges, and each
+    label's start comes from a table of one row a label, so no task holds a label."""
+    sizes = rows.groupBy(F.col(label_col).alias("__label")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__label").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("__before", F.coalesce(before, F.lit(0)))
+    d = numbered(rows, "__at", label_col, shuffle_key(seed, label_col, id_col), id_col)
+    d = d.join(F.broadcast(sizes), F.col(label_col).eqNullSafe(F.col("__label"))).withColumn("__r", F.col("__at") - F.col("__before") + 1)
     train, val = split_sizes(F.col("__n"))
     part = F.when(F.col("__r") <= train, "train").when(F.col("__r") <= train + val, "val").otherwise("test")
-    return d.withColumn("part", part).drop("__n", "__r")
+    return d.withColumn("part", part).drop("__n", "__r", "__at", "__before", "__label")
 
 
 def grouped_split(rows: DataFrame, seed: int = 42, group_col: str = "source_hash", label_col: str = "label") -> DataFrame:

@@ -203,3 +203,14 @@ def test_logistic_stack(spark):
     out = ensembles.logistic_stack(spark.createDataFrame(rows, "sample_id string, label int, probabilities array<double>"), 2, folds=3).withColumn("k", F.lit("x"))
     assert out.count() == 40
     assert metrics.roc_auc(out, ["k"]).first().roc_auc == 1.0
+
+
+def test_a_label_is_split_by_many_tasks(spark):
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("sample_id"), F.when(F.col("id") < 1900, 1).alias("label"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = prep.stratified_split(rows).select("label", "part", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len({r.task for r in out if r.label == 1}) > 1
+    assert [sum(r.label == label and r.part == p for r in out) for label in (1, None) for p in ("train", "val", "test")] == [1520, 190, 190, 80, 10, 10]
