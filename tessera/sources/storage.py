@@ -2,38 +2,55 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[str] = []
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that all executors share (spark.checkpoint.dir); a folder of our own only where it is unset."""
+    """URI of the folder that all executors share (spark.checkpoint.dir). Where it is unset, a folder of this machine does
+    for a local master; on a cluster that is an error, because the executors would not see each other's files."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        given = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        given = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(given)
     return given if "://" in given else "file://" + os.path.abspath(given)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for release() to delete."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_at_exit)
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept as a table in the shared folder; for narrow tables, not for texts.
+    """The rows of df, computed once and kept as a table in the shared folder.
 
     A written table and not checkpoint(): its readers prune columns, and it starts a fresh plan, where a checkpoint hands
     on the constraints of the plan before it, which grow with every round of an iteration."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = scratch(df.sparkSession, "settled")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes the tables that settled() wrote in this process. Results that still read them are lost."""
+    """Deletes what this process has put at scratch() paths. Results that still read it are lost."""
     while _WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop()[1])
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _at_exit() -> None:
+    if _WRITTEN and _WRITTEN[-1][0].sparkContext._jsc is not None:  # still running
+        release(_WRITTEN[-1][0])
