@@ -1,12 +1,15 @@
-"""Byte-level BPE ids of whole texts with the tokenizers library, each distinct word encoded once per worker."""
+"""Byte-level BPE ids of whole texts with the tokenizers library; words that come again are encoded once per worker."""
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 VOCABULARY = "byte_bpe_50k.json"
 #: White space other than blank and line feed, and the mark of the cuts: a text that holds one of these is encoded whole.
@@ -14,36 +17,50 @@ _ODD_ASCII = [chr(x) for x in (0, 9, 11, 12, 13, 28, 29, 30, 31)]
 _ODD_OTHER = [chr(x) for x in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _PAIRS = [a + b for a in " \n" for b in " \n"]
 _RUN = re.compile("[ \n]{3}|[ \n]{2}$")
+#: Rows and bytes of text that a worker holds as Python strings at a time (one text may be larger).
+PART_ROWS, PART_BYTES = 500, 4 << 20
 
 
-def _whole(text: str) -> bool:
-    """Whether the text must not be cut into units."""
-    odd = _ODD_ASCII if text.isascii() else _ODD_ASCII + _ODD_OTHER
-    return any(x in text for x in odd) or any(x in text for x in _PAIRS) and bool(_RUN.search(text))
+def parts(batch: pa.RecordBatch, text: int = 1, rows: int = PART_ROWS, size: int = PART_BYTES) -> Iterator[list[list]]:
+    """The columns of a batch as lists, some rows at a time: at most `rows`, and at most `size` bytes of the text column
+    unless a single text is larger. text: the place of that column."""
+    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).cast(pa.int64()))
+    ends, k = np.cumsum(lengths), 0
+    while k < batch.num_rows:
+        stop = max(k + 1, min(k + rows, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + size, "right"))))
+        yield [c.slice(k, stop - k).to_pylist() for c in batch.columns]
+        k = stop
 
 
 class Encoder:
     """encode(texts) -> one array of ids per text, equal to the library's ids of the whole text.
 
     The pre-tokenizer never lets a piece run from a non-space into white space, so a text is cut before each blank or
-    line feed, and each distinct unit is encoded once and kept. That is exact while a run of white space has one or two
-    characters (the last one always starts a piece or joins the next word); texts with longer runs, runs at the end or
-    other white space take the library's path whole. New units are encoded many in a row: the ids are cut again where a
-    token starts with a blank or line feed. Units are kept in two generations of about max_units each; the older one
-    goes when the younger one is full.
+    line feed, and a distinct unit is encoded once and kept. That is exact while a run of white space has one or two
+    characters (the last one always starts a piece or joins the next word); texts with longer runs, runs at the end,
+    other white space or a control string of the vocabulary take the library's path whole. New units are encoded many in a
+    row: the ids are cut again where a token starts with a blank or line feed.
+
+    Units are kept in two generations of about max_units each, some 140 bytes a unit (70 MB in all at the default); the
+    older one goes when the younger one is full.
     """
 
-    def __init__(self, path: str, max_units: int = 600_000) -> None:
+    def __init__(self, path: str, max_units: int = 250_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
+        self.controls = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.starts = np.array([(self.tokenizer.id_to_token(i) or "")[:1] in ("\u0120", "\u010a") for i in range(size)])
+        self.starts = np.array([(self.tokenizer.id_to_token(i) or "")[:1] in ("Ġ", "Ċ") for i in range(size)])
         self.max_units, self.young, self.old = max_units, {}, {}
 
+    def _whole(self, text: str) -> bool:
+        """Whether the text must not be cut into units."""
+        odd = _ODD_ASCII if text.isascii() else _ODD_ASCII + _ODD_OTHER
+        return any(x in text for x in odd) or any(x in text for x in self.controls) or any(x in text for x in _PAIRS) and bool(_RUN.search(text))
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -69,7 +86,7 @@ class Encoder:
             young.update(zip(row[k : k + 2000], self._in_a_row(row[k : k + 2000]), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut: list[list[str] | None] = [None if _whole(x) else x.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") for x in texts]
+        cut: list[list[str] | None] = [None if self._whole(x) else x.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") for x in texts]
         if len(self.young) > self.max_units:
             self.old, self.young = self.young, {}
         self._learn(set().union(*(units for units in cut if units)))
@@ -77,7 +94,6 @@ class Encoder:
         ids = [b"".join(map(get, units)) if units is not None else self._library([x])[0] for x, units in zip(texts, cut, strict=True)]
         return [np.frombuffer(x, dtype=self.dtype) for x in ids]
 
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and vocabulary file."""

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder, vocabulary_path
+from .bpe import encoder, parts, vocabulary_path
 
 CAPACITY = 1024
 #: Pieces below capacity / SMALLEST_CUT are not cut further.
@@ -76,7 +76,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     No shuffle: each task packs the rows it reads; what it keeps open is below two sequences for each class, and a
     sequence id carries the partition in its upper bits. A padded sequence ends a task's class at most, and repacking
     leaves about one of those a task. Null texts count as empty: one piece with the end id. Null and repeated ids are
-    kept, row by row; an empty table gives no rows.
+    kept, row by row; an empty table gives no rows. A task holds a few MB of texts at a time; a very long text is one document
+    with many pieces. A control string of the vocabulary in a text becomes its id, as the library's call has it.
     """
     vocabulary = vocabulary or vocabulary_path()
     fields = FIELDS + [("ids", pa.list_(pa.int32()))] * with_ids
@@ -96,9 +97,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
             return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[x for x, _ in fields])
 
         for batch in batches:
-            ids_of, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for k in range(0, len(texts), 500):
-                for doc, ids in zip(ids_of[k : k + 500], code.encode(texts[k : k + 500]), strict=True):
+            for docs_ids, texts in parts(batch):
+                for doc, ids in zip(docs_ids, code.encode([x or "" for x in texts]), strict=True):
                     ids = np.append(ids, np.array(end_id, ids.dtype)).astype("<u4")
                     start = 0
                     for length in pieces(len(ids), capacity):

@@ -17,10 +17,13 @@ SPACE = r"[\\x20\\x09-\\x0D]+"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Rates that are judged, in thousandths (word length in tenths of a character), and what is added to each fence.
 SLACK = {"symbol_rate": 50, "dup_line_rate": 400, "word_length": 50, "repeat_rate": 300}
-#: A fence is q90 + SPREAD * (q90 - q50) + slack: far outside what the group's own documents show.
-SPREAD = 3
+#: A fence is q66 + SPREAD * (q66 - q50) + slack: far outside what the group's own documents show, and at quantiles that
+#: junk does not reach while it is less than a third of a group.
+HIGH, SPREAD = 66, 10
 #: Smallest number of documents whose sketch decides alone; below it the language's sketch does, then that of all.
 MIN_GROUP = 50
+#: Groups up to which the fences (some 100 bytes each) are broadcast; beyond, they are joined by shuffle, each in SALTS copies.
+BROADCAST_GROUPS, SALTS = 100_000, 16
 
 
 def _let(value: Column, body) -> Column:  # noqa: ANN001
@@ -44,7 +47,8 @@ def _covered(hashes: Column) -> Column:
 
 def quality_measures(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
     """The columns of docs as struct __row, with n_words, word_chars, n_symbols, n_lines (lines with a word),
-    n_dup_lines, n_repeat_words and base_failed beside it. Null texts count as empty. carry: the columns to keep."""
+    n_dup_lines, n_repeat_words and base_failed beside it. Null texts count as empty and fail the base
+    rules; a very long text is one row's arrays. carry: the columns to keep."""
     kept = F.struct(*[F.col(f"`{c}`") for c in (carry if carry is not None else docs.columns)])
     d = docs.select(kept.alias("__row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     d = d.select("*", F.expr(f"array_remove(split(t, '{SPACE}'), '')").alias("w"), F.expr("filter(split(t, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')").alias("lines"))
@@ -87,9 +91,9 @@ def quality_fences(sketch: DataFrame) -> DataFrame:
     key = ["level", "lang", "source", "metric"]
     over = Window.partitionBy(*key)
     c = sketch.withColumn("total", F.sum("n").over(over)).withColumn("below", F.sum("n").over(over.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
-    q = c.groupBy(*key).agg(*[F.min(F.when(100 * F.col("below") >= p * F.col("total"), F.col("bucket"))).alias(f"q{p}") for p in (50, 90)], F.max("total").alias("total"))
+    q = c.groupBy(*key).agg(*[F.min(F.when(100 * F.col("below") >= p * F.col("total"), F.col("bucket"))).alias(f"q{p}") for p in (50, HIGH)], F.max("total").alias("total"))
     slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])
-    q = settled(q.select(*key, "total", (F.col("q90") + SPREAD * (F.col("q90") - F.col("q50")) + slack[F.col("metric")]).cast("long").alias("fence")))
+    q = settled(q.select(*key, "total", (F.col(f"q{HIGH}") + SPREAD * (F.col(f"q{HIGH}") - F.col("q50")) + slack[F.col("metric")]).cast("long").alias("fence")))
     at = lambda level, *keys: q.where(F.col("level") == level).select(*keys, "metric", F.col("total").alias(f"n{level}"), F.col("fence").alias(f"f{level}"))
     one = at(2, "lang", "source").join(at(1, "lang"), ["lang", "metric"]).join(at(0), "metric")
     one = one.withColumn("fence", F.when(F.col("n2") >= MIN_GROUP, F.col("f2")).when(F.col("n1") >= MIN_GROUP, F.col("f1")).otherwise(F.col("f0")))
@@ -98,10 +102,16 @@ def quality_fences(sketch: DataFrame) -> DataFrame:
 
 def quality_verdict(measures: DataFrame, fences: DataFrame) -> DataFrame:
     """measures with the rates, and kept: not base_failed, and every rate at or below the fence of its language and
-    source (null ones are a group like any other). The fences are one row per group, so Spark broadcasts them while
-    they are small and splits a hot source's rows otherwise."""
+    source (null ones are a group like any other). The fences, one row per group, are counted: up to BROADCAST_GROUPS they
+    are broadcast and no row of measures moves; beyond, a group's rows are dealt to SALTS tasks."""
+    key = ["__lang", "__source"]
     d = measures.withColumns({"__lang": F.coalesce("__row.lang", F.lit("")), "__source": F.coalesce("__row.source", F.lit("")), **_rates()})
-    d = d.join(fences.withColumnsRenamed({"lang": "__lang", "source": "__source"}), ["__lang", "__source"], "left")
+    fences = settled(fences.withColumnsRenamed({"lang": "__lang", "source": "__source"}))
+    if fences.count() <= BROADCAST_GROUPS:
+        d = d.join(F.broadcast(fences), key, "left")
+    else:
+        d = d.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(SALTS)))
+        d = d.join(fences.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*key, "__salt"], "left")
     fine = F.lit(True)
     for k in SLACK:
         fine = fine & F.coalesce(F.col(k) <= F.col(f"fence_{k}"), F.lit(False))
@@ -116,6 +126,7 @@ def quality_query(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their columns as they come. Texts are measured twice rather than moved."""
-    fences = quality_fences(quality_sketch(quality_measures(docs, carry=("lang", "source"))))
-    return quality_verdict(quality_measures(docs), fences).where("kept").select("__row.*")
+    """The documents that the rules keep, with their columns as they come. What the base rules leave is written once with
+    its measures, so texts are measured once and never shuffled."""
+    m = settled(quality_measures(docs).where(~F.col("base_failed")))
+    return quality_verdict(m, quality_fences(quality_sketch(m))).where("kept").select("__row.*")

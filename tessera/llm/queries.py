@@ -70,8 +70,8 @@ _OP4 = f"""with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source
  b as (select lang, source, metric, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as bucket from r where not base_failed),
  s as (select 2 as level, lang, source, metric, bucket, count(*) as n from b group by all union all select 1, lang, '', metric, bucket, count(*) from b group by all union all select 0, '', '', metric, bucket, count(*) from b group by all),
  c as (select *, sum(n) over (partition by level, lang, source, metric order by bucket rows unbounded preceding) as below, sum(n) over (partition by level, lang, source, metric) as total from s),
- q as (select level, lang, source, metric, max(total) as total, min(bucket) filter (100 * below >= 50 * total) as q50, min(bucket) filter (100 * below >= 90 * total) as q90 from c group by all),
- z as (select level, lang, source, metric, total, q90 + {quality.SPREAD} * (q90 - q50) + case metric {' '.join(f"when '{k}' then {v}" for k, v in quality.SLACK.items())} end as fence from q),
+ q as (select level, lang, source, metric, max(total) as total, min(bucket) filter (100 * below >= 50 * total) as q50, min(bucket) filter (100 * below >= {quality.HIGH} * total) as high from c group by all),
+ z as (select level, lang, source, metric, total, high + {quality.SPREAD} * (high - q50) + case metric {' '.join(f"when '{k}' then {v}" for k, v in quality.SLACK.items())} end as fence from q),
  fences as (select a.lang, a.source, a.metric, case when a.total >= {quality.MIN_GROUP} then a.fence when b.total >= {quality.MIN_GROUP} then b.fence else e.fence end as fence from z a join z b on b.level = 1 and b.lang = a.lang and b.metric = a.metric join z e on e.level = 0 and e.metric = a.metric where a.level = 2),
  v as (select doc_id, bool_and(coalesce(v <= fence, false)) as fine from r left join fences using (lang, source, metric) group by 1)
  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and fine as kept from f join v using (doc_id)"""

@@ -13,8 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder, vocabulary_path
-from .storage import settled, shared_dir
+from .bpe import encoder, parts, vocabulary_path
+from .storage import scratch
 
 SEQUENCE = 1024
 #: Sequences in one record batch of a file.
@@ -68,11 +68,14 @@ def write_token_files(docs: DataFrame, uri: str, vocabulary: str | None = None,
 
     Shards are ranges of ids, so the stream of all shards in order is the stream of all documents. A shard is two Arrow
     files under uri (any store that pyarrow opens and all executors see): `<shard>.arrow` with the sequences, and
-    `<shard>.index.arrow` with (doc_id, start, n_tokens) of its documents. A task writes under a name of its own and
-    renames at the end, so a task that is lost or runs twice leaves whole files only.
+    `<shard>.index.arrow` with (doc_id, start, n_tokens) of its documents. A shard's name holds its number, the attempt of its task
+    and a random part, nothing is renamed or overwritten, and only names that Spark committed are returned: files of a lost
+    or second attempt, or of an earlier write, are never read. A list of the shards is written as `shards.parquet` beside.
 
     Null texts count as empty (the end id alone); null ids come first; rows with the same id are ordered by text; an
-    empty table gives no files. Returns (shard int, path string, n_docs long, n_tokens long), settled.
+    empty table gives no files. A task holds a few MB of texts and one batch of sequences; a very long text spans sequences.
+    A control string of the vocabulary in a text becomes its id, as the library's call has it. Returns the rows of
+    `shards.parquet`: (shard int, path string, n_docs long, n_tokens long).
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or vocabulary_path()
@@ -81,13 +84,13 @@ def write_token_files(docs: DataFrame, uri: str, vocabulary: str | None = None,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(uri)
         task = TaskContext.get()
-        shard, tag = task.partitionId(), f"_{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
+        shard = task.partitionId()
+        tag = f"{shard:06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         code = encoder(vocabulary)
         writer, docs_ids, counts = None, [], []
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for k in range(0, len(texts), 500):
-                for ids in code.encode(texts[k : k + 500]):
+            for _, texts in parts(batch):
+                for ids in code.encode([x or "" for x in texts]):
                     writer = writer or _Writer(fs, f"{root}/{tag}.arrow", code.dtype, sequence)
                     writer.add(np.append(ids, np.array(end_id, code.dtype)))
                     counts.append(len(ids) + 1)
@@ -99,15 +102,15 @@ def write_token_files(docs: DataFrame, uri: str, vocabulary: str | None = None,
         index = pa.table([pa.chunked_array(docs_ids, pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n)], names=["doc_id", "start", "n_tokens"])
         with fs.open_output_stream(f"{root}/{tag}.index.arrow") as out, pa.ipc.new_file(out, index.schema) as file:
             file.write_table(index)
-        for kind in ("index.arrow", "arrow"):
-            fs.move(f"{root}/{tag}.{kind}", f"{root}/{shard:06d}.{kind}")
-        yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([f"{uri}/{shard:06d}"]), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=["shard", "path", "n_docs", "n_tokens"])
+        yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([f"{uri}/{tag}"]), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=["shard", "path", "n_docs", "n_tokens"])
 
     fs, root = _open(uri)
     fs.create_dir(root, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    return settled(rows.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"))
+    schema = "shard int, path string, n_docs long, n_tokens long"
+    rows.mapInArrow(write, schema).write.mode("overwrite").parquet(f"{uri}/shards.parquet")
+    return spark.read.schema(schema).parquet(f"{uri}/shards.parquet")
 
 
 def sequences(path: str, memory_map: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -165,5 +168,4 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 
 def token_files_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    uri = f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
-    return read_documents(write_token_files(docs, uri))
+    return read_documents(write_token_files(docs, scratch(spark, "token-files")))

@@ -143,15 +143,55 @@ def test_suffix_dedup_of_nothing(documents):
     assert suffix_dedup.suffix_dedup_query(documents([])).count() == 0
 
 
-def test_compact_windows_are_the_min_hashes():
+@pytest.mark.parametrize("values", [5, 50, 10**9])
+def test_compact_windows_hold_each_stretch_once(values):
     r = np.random.default_rng(2)
-    s = r.integers(0, 50, 200).astype(np.uint64)
-    value, first, last = compact_windows.compact_windows(s, 20, 7)
-    h = compact_windows.mixed(s, 7)
-    low = [h[i : i + 20].min() for i in range(181)]
-    for v, a, b in zip(value, first, last, strict=True):
-        assert all(low[i] == v for i in range(a, b + 1))
-    assert set(value.tolist()) == {int(v) for v in low}
+    for n, width in ((120, 20), (20, 20), (19, 20), (60, 1)):
+        s = r.integers(0, values, n).astype(np.uint64)
+        value, first, place, last = compact_windows.compact_windows(s, width, 7)
+        h = compact_windows.mixed(s, 7)
+        for i in range(n):
+            for j in range(i + width - 1, n):
+                inside = np.flatnonzero((first <= i) & (i <= place) & (place <= j) & (j <= last))
+                assert len(inside) == 1
+                assert value[inside[0]] == h[i : j + 1].min()
+        assert all(last - first + 1 >= width)
+
+
+def varied(passage, changes, seed):
+    r, out = random.Random(seed), list(passage)
+    for _ in range(changes):
+        out[r.randrange(len(out))] = "".join(r.choice("qrstuv") for _ in range(6))
+    return out
+
+
+@pytest.mark.parametrize("bundled", [False, True])
+def test_passage_classes_equal_all_pairs(documents, monkeypatch, bundled):
+    """Groups of 8 variants around similarity 0.8, beside texts that share a phrase too short to count with all of them."""
+    groups, size = (40, 8) if not bundled else (6, 40)
+    rows = []
+    for g in range(groups):
+        passage, phrase = words(75, 900 + g), words(14, 5)
+        for k in range(size):
+            seed = 1000 * g + k
+            rows.append((seed, " ".join(words(40, 7 * seed + 1) + phrase + varied(passage, k % 4 if bundled else k % 5, seed) + words(50, 7 * seed + 2))))
+    shingled = {i: compact_windows.shingles(t) for i, t in rows}
+    want, true = Groups(shingled), set()
+    for a in shingled:
+        for b in shingled:
+            if b < a and a // 1000 == b // 1000 and compact_windows.matching_passages(shingled[a], shingled[b], 46):
+                want.join(a, b)
+                true.add((a, b))
+    got = compact_windows.passage_query(documents(rows)).collect()
+    links = {(r.doc_id, r.other_id) for r in got}
+    assert links <= true
+    assert bundled or len(links) >= 0.9 * len(true)
+    found = Groups(shingled)
+    for a, b in links:
+        found.join(a, b)
+    classes = [(want.find(i), found.find(i)) for i in shingled]
+    assert sum(a != b for a, b in classes) <= 0.02 * len(classes)
+    assert all(r.component_id == found.find(r.doc_id) for r in got)
 
 
 def test_passages(documents, odd):
@@ -201,11 +241,10 @@ def test_passages_with_recurring_phrases():
 
 
 def test_passage_whose_smallest_shingles_stand_earlier_too(documents):
-    width, passage = 46, words(50, 1)
+    passage = words(50, 1)
     first = words(70, 2) + passage + words(70, 3)
     s = compact_windows.shingles(" ".join(first))
-    smallest = [{int(np.flatnonzero(compact_windows.mixed(s, salt) == v)[0]) for v in compact_windows.compact_windows(s, width, salt)[0]} for salt in compact_windows._SALTS]
-    places = [k for f in smallest for k in sorted(f) if 70 <= k <= 115]
+    places = [k for salt in compact_windows._SALTS for k in sorted(compact_windows.compact_windows(s, 46, salt)[2].tolist()) if 70 <= k <= 115]
     early = [w for k, at in enumerate(places * 3) for w in words(150, 100 + k) + first[at : at + 5]]
     rows = [(1, " ".join(first)), (2, " ".join(early + words(60, 4) + passage + words(60, 5)))]
     got = compact_windows.passage_query(documents(rows)).collect()
@@ -213,12 +252,28 @@ def test_passage_whose_smallest_shingles_stand_earlier_too(documents):
     assert got[0].start_word <= len(early) + 60 <= len(early) + 110 <= got[0].start_word + got[0].n_words
 
 
-def test_windows_agree_where_they_overlap():
-    at = lambda first, last, f: first << 32 | (last - first) << 8 | f
-    yes, no = [at(0, 3, 0), at(500, 505, 1), at(540, 541, 0)], [at(0, 3, 0), at(500, 505, 1), at(551, 560, 0)]
-    assert compact_windows._agreeing(np.array(yes), 46, 2)
-    assert not compact_windows._agreeing(np.array(no), 46, 2)
-    assert not compact_windows._agreeing(np.array([at(0, 3, 1), at(1, 4, 1)]), 46, 2)
+def test_passages_further_up_in_the_same_text_and_copies(documents):
+    passage = words(60, 1)
+    rows = [(1, " ".join(words(50, 2) + passage + words(50, 3) + passage + words(50, 4))), (2, " ".join(words(80, 5))), (3, " ".join(words(80, 5))), (None, " ".join(words(80, 5))), (5, "too short"), (6, "too short")]
+    got = {(r.doc_id, r.other_id): r for r in compact_windows.passage_query(documents(rows)).collect()}
+    assert set(got) == {(1, 1), (3, 2), (None, 2)}
+    assert abs(got[1, 1].start_word - 160) <= 12 and abs(got[1, 1].other_start_word - 50) <= 12
+    assert (got[3, 2].start_word, got[3, 2].n_words, got[3, 2].component_id) == (0, 80, 2)
+    left = {r.doc_id: r.text for r in compact_windows.passage_dedup(documents(rows + rows[1:2])).collect()}
+    assert set(left) == {1, 2, 5, 6}
+    assert left[1].split().count(passage[30]) == 1
+
+
+def test_windows_agree_on_a_stretch():
+    def agree(*windows):
+        at, to = zip(*((a << 32 | m, b << 8 | f) for a, m, b, f in windows), strict=True)
+        return compact_windows._agreeing(np.array(at), np.array(to), 46, 2)
+
+    assert agree((0, 20, 80, 0), (10, 50, 90, 1))
+    assert agree((0, 20, 80, 0), (500, 520, 560, 1), (490, 530, 555, 0))
+    assert not agree((0, 20, 80, 0), (10, 50, 90, 0))  # one function
+    assert not agree((0, 20, 80, 0), (30, 50, 90, 1))  # no stretch of the second holds the first's place
+    assert not agree((0, 20, 54, 0), (10, 50, 90, 1))  # 45 in common
 
 
 def brute_links(rows, cosine=0.9):
