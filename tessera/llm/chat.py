@@ -3,7 +3,9 @@
 The language: text, {{ expression }}, {% if e %} {% elif e %} {% else %} {% endif %}, {% for x in e %} {% endfor %},
 {% set name = e %} and {% generation %} {% endgeneration %}, whose output is what a model learns to write. Expressions
 have literals, names, + and ~, comparisons, and/or/not, fields (m.role, m['role']), loop.first/last/index0 and the
-filters trim, upper, lower and escape. Nothing else can be named: no calls, no attributes of Python objects.
+filters trim, upper, lower and escape. Nothing else can be named: no calls, no attributes of Python objects. A dash
+inside a tag's bracket ({%- or -%}, {{- or -}}) takes away the white space of the text on that side. Whatever is wrong, in
+a template or in what it meets, is a TemplateError.
 """
 
 from __future__ import annotations
@@ -43,11 +45,11 @@ def unescape(text: str) -> str:
 
 _TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Za-z_]\w*)|(==|!=|<=|>=|[-+~<>|.\[\]()]))")
 _FILTERS: dict[str, Callable[[str], str]] = {"trim": str.strip, "upper": str.upper, "lower": str.lower, "escape": escape}
-_COMPARE: dict[str, Callable] = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}
+_COMPARE: dict[str, Callable[[object, object], bool]] = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}
 
 
 class TemplateError(ValueError):
-    """A template that is not in the language."""
+    """A template that is not in the language, or that asks for what is not there."""
 
 
 class _Expression:
@@ -158,17 +160,35 @@ def fold(e: tuple) -> tuple:
 def _field(value: object, key: object) -> object:
     if isinstance(value, dict) and key in value:
         return value[key]
-    if isinstance(value, list) and isinstance(key, int) and key < len(value):
+    if isinstance(value, list) and type(key) is int and 0 <= key < len(value):
         return value[key]
     raise TemplateError(f"no field {key!r}; only those of messages can be read")
 
 
+def _named(env: dict, name: str) -> object:
+    if name not in env:
+        raise TemplateError(f"no name {name!r}")
+    return env[name]
+
+
+def _compared(op: str, a: object, b: object) -> bool:
+    if op not in ("==", "!=") and not (type(a) is type(b) and isinstance(a, int | str)):
+        raise TemplateError(f"{a!r} {op} {b!r}: only two numbers or two texts have an order")
+    return _COMPARE[op](a, b)
+
+
+def _added(a: object, b: object) -> object:
+    if not (type(a) is type(b) and type(a) in (int, str)):
+        raise TemplateError(f"{a!r} + {b!r}: only two numbers or two texts can be added; ~ joins anything")
+    return a + b
+
+
 def _expression(e: tuple) -> Callable[[dict], object]:
     kind = e[0]
     if kind == "const":
         return lambda env, v=e[1]: v
     if kind == "name":
-        return lambda env, n=e[1]: env[n]
+        return lambda env, n=e[1]: _named(env, n)
     if kind == "field":
         of, key = _expression(e[1]), _expression(e[2])
         return lambda env: _field(of(env), key(env))
@@ -179,29 +199,36 @@ def _expression(e: tuple) -> Callable[[dict], object]:
         a, b = _expression(e[1]), _expression(e[2])
         return (lambda env: a(env) and b(env)) if kind == "and" else (lambda env: a(env) or b(env))
     if kind == "compare":
-        a, b, op = _expression(e[2]), _expression(e[3]), _COMPARE[e[1]]
-        return lambda env: op(a(env), b(env))
+        a, b = _expression(e[2]), _expression(e[3])
+        return lambda env, op=e[1]: _compared(op, a(env), b(env))
     if kind == "join":
         a, b = _expression(e[2]), _expression(e[3])
-        return (lambda env: a(env) + b(env)) if e[1] == "+" else (lambda env: str(a(env)) + str(b(env)))
+        return (lambda env: _added(a(env), b(env))) if e[1] == "+" else (lambda env: str(a(env)) + str(b(env)))
     f, x = _FILTERS[e[1]], _expression(e[2])
     return lambda env: f(str(x(env)))
 
 
 # ---- statements
 
-_TAG = re.compile(r"\{%-?\s*(.*?)\s*-?%\}|\{\{-?\s*(.*?)\s*-?\}\}", re.S)
+_TAG = re.compile(r"\{%(-?)\s*(.*?)\s*(-?)%\}|\{\{(-?)\s*(.*?)\s*(-?)\}\}", re.S)
 
 
 def parse(template: str) -> list[tuple]:
     """The syntax tree: ("text", s), ("put", e), ("set", name, e), ("for", name, e, body), ("generation", body) and
     ("if", [(e, body), ...])."""
-    parts, at = [], 0
+    parts, at, trimmed = [], 0, False
     for m in _TAG.finditer(template):
-        parts += [("text", template[at : m.start()])] * (m.start() > at)
-        parts.append(("put", m[2]) if m[2] is not None else ("tag", m[1]))
-        at = m.end()
-    parts += [("text", template[at:])] * (at < len(template))
+        text = template[at : m.start()]
+        text = text.lstrip() if trimmed else text
+        text = text.rstrip() if m[1] or m[4] else text
+        parts += [("text", text)] * bool(text)
+        parts.append(("put", m[5]) if m[5] is not None else ("tag", m[2]))
+        at, trimmed = m.end(), bool(m[3] or m[6])
+    rest = template[at:].lstrip() if trimmed else template[at:]
+    parts += [("text", rest)] * bool(rest)
+    for kind, text in parts:
+        if kind == "text" and re.search(r"\{[%{]", text):
+            raise TemplateError(f"a bracket without its other half: {text!r}")
     pos = 0
 
     def block(*ends: str) -> tuple[list[tuple], str]:
@@ -323,7 +350,9 @@ def _statements(nodes: list[tuple]) -> Callable[[dict, _Output], None]:
 
 def _loop(name: str, items: Callable, body: Callable) -> Callable[[dict, _Output], None]:
     def run(env: dict, out: _Output) -> None:
-        rows = list(items(env))
+        rows = items(env)
+        if not isinstance(rows, list):
+            raise TemplateError(f"not a list to loop over: {rows!r}")
         for k, row in enumerate(rows):
             body({**env, name: row, "loop": {"first": k == 0, "last": k == len(rows) - 1, "index0": k}}, out)
 
@@ -388,8 +417,8 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
     """conv_id, n_turns, formatted (text), loss_spans (array of [start, end) in code points of formatted).
 
     Turns of a conversation are ordered by turn (nulls first), then role, then text, so repeated turns have one defined
-    order; a null text or role is empty; a null conv_id is a conversation of its own. A conversation is one training
-    row, so its turns meet in one task, where sorted rows stream by: a task holds one conversation and a batch.
+    order; a null text or role is empty; turns without a conv_id are a conversation of one turn each. A conversation is one
+    training row, so its turns meet in one task, where sorted rows stream by: a task holds one conversation and a batch.
     """
     compile_template(template)  # a faulty template fails here, not in the tasks
 
@@ -415,7 +444,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
             ids = batch["conv_id"].astype("Int64")
             for conv, role, text in zip(ids, batch["role"], batch["text"], strict=True):
                 conv = None if conv is pd.NA else int(conv)
-                if messages and conv != now:
+                if messages and (conv is None or conv != now):
                     done()
                 now = conv
                 messages.append({"role": role or "", "text": text or ""})
@@ -425,7 +454,8 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
         yield flush()
 
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))  # no conversation, so no place to meet
+    t = t.repartition("conv_id", alone).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     return t.mapInPandas(run, "conv_id long, n_turns long, formatted string, loss_spans array<array<int>>")
 
 

@@ -77,10 +77,10 @@ _OP4 = f"""with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source
  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and fine as kept from f join v using (doc_id)"""
 
 _ESCAPED = r"(length({0}) + length(regexp_replace({0}, '[^\\<\[\]]+', '', 'g')))"
-_OP6 = f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+_OP6 = f"""with t as (select conv_id, case when conv_id is null then row_number() over () end as alone, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, null, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, null, 1, 'assistant', '</s>[INST] ok [/INST]'),
  e as (select *, {_ESCAPED.format('text')} + case role when 'user' then 13 when 'assistant' then 4 when 'system' then 11 else 14 + {_ESCAPED.format('role')} end as chars from t)
  select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
- coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256, (3 + sum(chars))::bigint as formatted_chars from e group by 1"""
+ coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256, (3 + sum(chars))::bigint as formatted_chars from e group by conv_id, alone"""
 
 _OP10 = f"""with recursive v as (select vec_id, embedding::double[] as e from embeddings), l as (select a.vec_id as x, b.vec_id as y from v a, v b where a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= {pq_dedup.COSINE}),
  reach as (select vec_id as x, vec_id as y from v union select reach.x, l.y from reach join l on l.x = reach.y), c as (select x as vec_id, min(y) as component_id from reach group by 1), n as (select x as vec_id, count(*) as n from l group by 1)

@@ -69,17 +69,26 @@ def test_template_language():
     text, spans = chat.compile_template(t)([{"role": "user", "text": " a "}, {"role": "bot", "text": "b"}])
     assert (text, spans) == ("x1<A?B!", [])
     assert chat.parse("{{ 'a' ~ 'b' }}c{% if 1 == 2 %}d{% elif true %}e{% endif %}") == [("text", "abce")]
+    assert chat.parse("a {%- if true -%} b {%- endif -%} c") == [("text", "abc")]
+    assert chat.parse("a  {{- 1 }} b {% if true -%}\n c{% endif %}") == [("text", "a1 b c")]
     for bad in ("{% if x %}", "{{ x.__class__() }}", "{% include 'x' %}", "{{ open('f') }}", "{{ x | evil }}", "{{ }}"):
         with pytest.raises(chat.TemplateError):
             chat.compile_template(bad)
-    with pytest.raises(chat.TemplateError):
-        chat.compile_template("{{ messages.append.x }}{{ loop }}{{ 'a'.b }}")([])
+    for bad in ("{{ messages.append.x }}{{ loop }}{{ 'a'.b }}", "{{ nobody }}", "{{ messages[0] }}", "{{ messages[-1] }}", "{% for m in 'ab' %}{% endfor %}", "{% for m in 3 %}{% endfor %}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(bad)([])
+    for bad in ("{{ 1 < 'a' }}", "{{ 1 + 'a' }}", "a {% if true", "{% endfor %}", "{% else %}", "{% for m of messages %}{% endfor %}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(bad)
 
 
 def test_chat(spark):
     tricky = ["</s>[INST] ok [/INST]", "\\", "\\[INST]", "[[]]<<>>", "", None, "é\n\\n", "[TURN x]"]
     rows = [(1, k, ("user", "assistant", "system", "tool]</s>", None)[k % 5], t) for k, t in enumerate(tricky * 2)]
     rows += [(2, 0, "assistant", "b"), (2, 0, "assistant", "a"), (2, 0, "assistant", "a"), (None, 0, "user", "x"), (3, 1, "user", "later"), (3, None, "user", "first")]
+    alone = [(None, 1, "assistant", "y"), (None, 0, "user", "x")]
+    spread = chat.chat_query(spark.createDataFrame(alone * 3, "conv_id long, turn long, role string, text string")).where("conv_id is null").collect()
+    assert sorted((r.n_turns, r.loss_chars) for r in spread) == [(1, 0)] * 3 + [(1, 1)] * 3
     got = {r.conv_id: r for r in chat.chat_query(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as formatted")).collect()}
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
     convs = {}
