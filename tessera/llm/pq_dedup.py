@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered
 from .components import components
 from .storage import settled
 
 COSINE = 0.9
-#: Rows per list that the number of lists aims at, the most lists, probes per query, subspaces, rows of a block.
-LIST_ROWS, MAX_LISTS, PROBES, SUBSPACES, BLOCK = 128, 65_536, 8, 8, 1024
-#: Training rows per list, and the most in all (the bound of what the driver holds).
-TRAIN_PER_LIST, MAX_TRAIN = 32, 262_144
+#: Rows per list that the number of lists aims at, the most lists, least probes of a query, subspaces, rows of a block.
+LIST_ROWS, MAX_LISTS, PROBES, SUBSPACES, BLOCK = 128, 16_384, 8, 8, 1024
+#: Training rows per list, and the most in all (the bound of what the driver holds); training rows of a codebook.
+TRAIN_PER_LIST, MAX_TRAIN, TRAIN_CODES = 32, 131_072, 16_384
+#: Centroids nearer to each other than this share of the distance of a link are one list.
+APART = 0.75
 _PAIRS = 1 << 15
 
 
@@ -44,11 +48,25 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return near, far + (x * x).sum(1)
 
 
-def train(sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(coarse centroids, codebooks of shape (subspaces, up to 256, dimensions / subspaces)) from unit vectors."""
-    coarse = kmeans(sample, lists, seed)
-    residual = sample - coarse[_nearest(sample, coarse)[0]]
-    books = [kmeans(part[:16_384], 256, seed + 1) for part in np.split(residual, subspaces, axis=1)]
+def apart(c: np.ndarray, least: float) -> np.ndarray:
+    """Centroids of which no two are nearer than `least`, with one at most that far from each given one. So a dense group,
+    in which k-means puts many centroids, is one list or a few, which its members all ask."""
+    kept: list[int] = []
+    free = np.ones(len(c), bool)
+    for k in range(len(c)):
+        if free[k]:
+            kept.append(k)
+            free &= ((c - c[k]) ** 2).sum(1) >= least**2
+    return c[kept]
+
+
+def train(sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, seed: int = 0, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(coarse centroids, codebooks of shape (subspaces, up to 256, dimensions / subspaces)) from unit vectors in random
+    order. Codebooks are fitted on the first TRAIN_CODES of them."""
+    coarse = apart(kmeans(sample, lists, seed), least)
+    few = sample[:TRAIN_CODES]
+    residual = few - coarse[_nearest(few, coarse)[0]]
+    books = [kmeans(part, 256, seed + 1) for part in np.split(residual, subspaces, axis=1)]
     return coarse, np.stack(books)
 
 
@@ -90,7 +108,10 @@ def _block(queries: pd.DataFrame, rows: pd.DataFrame, coarse: np.ndarray, books:
     qi, vi = np.nonzero(near <= reach[None])
     q_id, v_id = queries["id"].to_numpy(), rows["id"].to_numpy()
     # A pair whose either end probes the other's list is met twice; the smaller id's query counts it then.
-    probes = np.stack([np.frombuffer(p, np.int32) for p in rows["probes"]])
+    asks = [np.frombuffer(p, np.int32) for p in rows["probes"]]
+    probes = np.full((len(asks), max(map(len, asks))), -1, np.int32)
+    for k, p in enumerate(asks):
+        probes[k, : len(p)] = p
     home = queries["home"].to_numpy()
     keep = q_id[qi] != v_id[vi]
     qi, vi = qi[keep], vi[keep]
@@ -109,51 +130,36 @@ def _block(queries: pd.DataFrame, rows: pd.DataFrame, coarse: np.ndarray, books:
     return pd.DataFrame({"id": ids, "root": ids[_forest(a, b, len(ids))], "n": n.astype(np.int64)})
 
 
-def embedding_groups(vectors: DataFrame, cosine: float = COSINE, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id, kept for every vector; links are pairs found with cosine >= `cosine`.
-
-    Equal vectors are one row with a count. A row is stored in the list of its nearest coarse centroid with the codes of
-    its residual, and asks the `probes` nearest lists. Lists and their queries are cut into blocks of BLOCK rows, so a
-    large list is many tasks; a block gives counts and a spanning forest, never its pairs. Centroids and codebooks come
-    from a sample of at most MAX_TRAIN rows with the smallest hashes; every row is indexed. The number of lists follows
-    the number of rows (LIST_ROWS each).
-
-    Vectors that are null, zero, of another length than most, or hold nulls or non-finite numbers have no links and are
-    their own component. Rows with the same id count once, with the smallest vector. An empty table gives no rows.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    good = F.expr("size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
-    rows = settled(rows.withColumn("good", F.coalesce(good, F.lit(False))))
-    lengths = rows.where("good").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if lengths is None:
-        return empty
-    dimensions, n = lengths["d"], lengths["count"]
-    fit = F.col("good") & (F.size("embedding") == dimensions)
-    unique = settled(rows.where(fit).groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
+def _links(unique: DataFrame, dimensions: int, n: int, cosine: float, probes: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n) and (id, root): links counted and a forest of them, between unique(id, copies, embedding) of one length."""
+    spark = unique.sparkSession
     lists = int(min(MAX_LISTS, max(4, 2 ** int(np.ceil(np.log2(n / LIST_ROWS))) if n > LIST_ROWS else 4)))
     sample = unique.orderBy(F.xxhash64("id")).limit(min(MAX_TRAIN, max(1024, TRAIN_PER_LIST * lists))).select("embedding").toPandas()
     subspaces = next(m for m in (SUBSPACES, 4, 2, 1) if dimensions % m == 0)
-    coarse, books = train(_unit(sample["embedding"]).astype(np.float32), lists, subspaces)
+    reach = float(np.sqrt(2 - 2 * cosine))
+    coarse, books = train(_unit(sample["embedding"]).astype(np.float32), lists, subspaces, least=APART * reach)
     probes = min(probes, len(coarse))
     shared = spark.sparkContext.broadcast((coarse, books))  # at most MAX_LISTS centroids and 256 codes a subspace
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coarse, books = shared.value
-        for batch in batches:
-            x = _unit(batch["embedding"]).astype(np.float32)
-            d = (coarse * coarse).sum(1)[None] - 2 * x @ coarse.T
-            order = np.argpartition(d, probes - 1, axis=1)[:, :probes]
-            order = np.take_along_axis(order, np.argsort(np.take_along_axis(d, order, 1), axis=1, kind="stable"), 1).astype(np.int32)
-            residual = (x - coarse[order[:, 0]]).reshape(len(x), len(books), -1)
-            codes = np.stack([_nearest(residual[:, m], books[m])[0] for m in range(len(books))], axis=1).astype(np.uint8)
-            coded = np.stack([books[m][codes[:, m]] for m in range(len(books))], axis=1)
-            out = batch.assign(home=order[:, 0], codes=[c.tobytes() for c in codes], error=np.sqrt(((residual - coded) ** 2).sum((1, 2))).astype(float), probes=[p.tobytes() for p in order], asks=list(order))
-            yield out[["id", "copies", "embedding", "home", "codes", "error", "probes", "asks"]]
-
-    indexed = settled(unique.mapInPandas(index, "id long, copies long, embedding array<double>, home int, codes binary, error double, probes binary, asks array<int>"))
-    asked = indexed.select("id", "copies", "embedding", "home", "probes", F.explode("asks").alias("cell"))
+        for whole in batches:
+            for at in range(0, len(whole), 2048):
+                batch = whole.iloc[at : at + 2048]
+                x = _unit(batch["embedding"]).astype(np.float32)
+                d = (coarse * coarse).sum(1)[None] - 2 * x @ coarse.T
+                order = np.argpartition(d, probes - 1, axis=1)[:, :probes]
+                order = np.take_along_axis(order, np.argsort(np.take_along_axis(d, order, 1), axis=1, kind="stable"), 1).astype(np.int32)
+                asks = [np.concatenate([o, np.setdiff1d(np.flatnonzero(row <= reach**2 - 1), o).astype(np.int32)]) for o, row in zip(order, d, strict=True)]
+                residual = (x - coarse[order[:, 0]]).reshape(len(x), len(books), -1)
+                codes = np.stack([_nearest(residual[:, m], books[m])[0] for m in range(len(books))], axis=1).astype(np.uint8)
+                coded = np.stack([books[m][codes[:, m]] for m in range(len(books))], axis=1)
+                out = batch.assign(home=order[:, 0], codes=[c.tobytes() for c in codes], error=np.sqrt(((residual - coded) ** 2).sum((1, 2))).astype(float), probes=[p.tobytes() for p in asks], asks=asks)
+                yield out[["id", "copies", "embedding", "home", "codes", "error", "probes", "asks"]]
+
+    kind = unique.schema["embedding"].dataType.simpleString()
+    indexed = settled(unique.mapInPandas(index, f"id long, copies long, embedding {kind}, home int, codes binary, error double, probes binary, asks array<int>"))
+    asked = indexed.select("id", "copies", "embedding", "home", F.explode("asks").alias("cell"))
     sizes = indexed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("stored"))
     sizes = sizes.join(asked.groupBy("cell").agg(F.count("*").alias("queries")), "cell")
     sizes = F.broadcast(settled(sizes.select("cell", F.ceil(F.col("stored") / BLOCK).cast("int").alias("lb"), F.ceil(F.col("queries") / BLOCK).cast("int").alias("qb"))))  # one row a list
@@ -168,9 +174,42 @@ def embedding_groups(vectors: DataFrame, cosine: float = COSINE, probes: int = P
     key = ["cell", "l", "q"]
     asked, stored = asked.toDF(*asked.columns), stored.toDF(*stored.columns)  # columns of their own on either side
     met = settled(asked.groupBy(*key).cogroup(stored.groupBy(*key)).applyInPandas(search, "id long, root long, n long"))
-    links = met.groupBy("id").agg(F.sum("n").alias("n"))
-    found = components(met.select(F.col("id").alias("src"), F.col("root").alias("dst")))
-    classes = unique.join(links, "id", "left").join(found, F.col("id") == F.col("node"), "left")
-    classes = classes.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    named = rows.where(fit).join(classes, "embedding").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return named.unionByName(empty.join(rows.where(~fit).select("vec_id"), "vec_id", "left_semi"))
+    return met.groupBy("id").agg(F.sum("n").alias("n")), met.select("id", "root")
+
+
+def embedding_groups(vectors: DataFrame, cosine: float = COSINE, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """vec_id, n_links, component_id, kept: one row per row of vectors; links are pairs found with cosine >= `cosine`.
+
+    Equal vectors are one row of the index with a count. It is stored in the list of its nearest coarse centroid with the
+    codes of its residual, and asks the `probes` nearest lists and any other whose centroid is as near as a link. Lists and
+    their queries are cut into blocks of BLOCK rows, so a large list is many tasks; a block gives counts and a spanning
+    forest, never its pairs. Centroids come from a sample of at most MAX_TRAIN rows with the smallest hashes, codebooks from
+    TRAIN_CODES of them; every row is indexed. The number of lists follows the number of rows (LIST_ROWS each, up to
+    MAX_LISTS; lists grow beyond that). Vectors of different lengths have no cosine: each length has an index of its own.
+
+    Vectors that are null, zero, or hold nulls or non-finite numbers have no links and are their own component. Rows that
+    share an id are rows of their own (a link between them counts); null ids link like others and name a component only
+    where it has no other id, kept is true there. Other columns do not matter. An empty table gives no rows.
+    """
+    given = vectors.schema[vector_col].dataType.simpleString()
+    kind = given if given == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"))
+    good = F.expr("size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
+    rows = settled(rows.withColumn("good", F.coalesce(good, F.lit(False))))
+    own = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    distinct = rows.where("good").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    unique = numbered(distinct, "id", F.xxhash64("embedding"), "embedding")
+    unique = settled(unique.withColumn("d", F.size("embedding")))
+    lengths = unique.groupBy("d").agg(F.count("*").alias("n")).orderBy("d").collect()  # one row a length
+    found = [_links(unique.where(F.col("d") == r["d"]).select("id", "copies", "embedding"), r["d"], r["n"], cosine, probes) for r in lengths if r["n"] > 1]
+    classes = unique.select("embedding", "id", "least", "copies", F.lit(0).cast("long").alias("n"), F.col("id").alias("c"))
+    if found:
+        counts, forest = (reduce(DataFrame.unionByName, x) for x in zip(*found, strict=True))
+        nodes = components(forest.select(F.col("id").alias("src"), F.col("root").alias("dst")))
+        joined = unique.join(counts, "id", "left").join(nodes, F.col("id") == F.col("node"), "left")
+        classes = settled(joined.select("embedding", "id", "least", "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "id").alias("c")))
+    names = classes.groupBy("c").agg(F.min("least").alias("component_id"))
+    named = classes.join(names, "c").select("embedding", (F.col("n") + F.col("copies") - 1).alias("n_links"), "component_id")
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull())
+    out = rows.where("good").select("vec_id", "embedding").join(named, "embedding").select("vec_id", "n_links", "component_id", kept.alias("kept"))
+    return out.unionByName(own)

@@ -277,31 +277,59 @@ def test_windows_agree_on_a_stretch():
 
 
 def brute_links(rows, cosine=0.9):
-    good = {i: np.array(v, float) for i, v in rows if v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
-    ids = list(good)
-    m = np.stack([good[i] / np.linalg.norm(good[i]) for i in ids])
-    near = m @ m.T >= cosine
-    g = Groups([i for i, _ in rows])
-    for a, b in zip(*np.nonzero(near), strict=True):
-        g.join(ids[a], ids[b])
-    n = dict(zip(ids, near.sum(1) - 1, strict=True))
-    return {i: (int(n.get(i, 0)), g.find(i), g.find(i) == i) for i, _ in rows}
+    """One (id, n_links, component, kept) per row."""
+    good = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v in rows]
+    g, n = Groups(range(len(rows))), np.zeros(len(rows), int)
+    for d in {len(rows[k][1]) for k in range(len(rows)) if good[k]}:
+        at = [k for k in range(len(rows)) if good[k] and len(rows[k][1]) == d]
+        m = np.stack([np.array(rows[k][1], float) / np.linalg.norm(np.array(rows[k][1], float)) for k in at])
+        near = m @ m.T >= cosine
+        n[at] = near.sum(1) - 1
+        for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+            g.join(at[a], at[b])
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least.setdefault(g.find(k), []).append(i)
+    name = {k: min((i for i in ids if i is not None), default=None) for k, ids in least.items()}
+    return [(i, int(n[k]), name[g.find(k)], name[g.find(k)] is None or i == name[g.find(k)]) for k, (i, _) in enumerate(rows)]
 
 
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(pq_dedup, "BLOCK", 64)
-    monkeypatch.setattr(pq_dedup, "LIST_ROWS", 64)
     r = np.random.default_rng(5)
-    rows = [(k, r.normal(size=16).tolist()) for k in range(400)]
+    rows = [(k, r.normal(size=16).tolist()) for k in range(60)]
     centre = r.normal(size=16)
-    rows += [(1000 + k, (centre + 0.05 * r.normal(size=16)).tolist()) for k in range(200)]
+    rows += [(1000 + k, (centre + 0.05 * r.normal(size=16)).tolist()) for k in range(90)]
     rows += [(2000 + k, rows[3][1]) for k in range(50)] + [(3000, (2 * np.array(rows[3][1])).tolist())]
-    rows += [(5000, None), (5001, [0.0] * 16), (5002, [None] + [1.0] * 15), (5003, [float("nan")] + [1.0] * 15), (5004, [1.0] * 8), (5005, []), (5006, [float("inf")] + [1.0] * 15)]
-    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
-    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in pq_dedup.embedding_groups(df).collect()}
-    want = brute_links(rows)
-    assert set(got) == set(want)
-    assert sum(n for n, _, _ in got.values()) >= 0.9 * sum(n for n, _, _ in want.values())
-    assert all(got[i][0] <= want[i][0] for i in want)
-    assert all(got[i] == want[i] for i in [3, 3000, 5000, 5001, 5002, 5003, 5004, 5005, 5006, *range(2000, 2050)])
+    rows += [(5000, None), (5001, [0.0] * 16), (5002, [None] + [1.0] * 15), (5003, [float("nan")] + [1.0] * 15), (5005, []), (5006, [float("inf")] + [1.0] * 15)]
+    rows += [(6000, [1.0] * 8), (6001, [1.0] * 8), (6002, [1.0] * 7 + [2.0]), (6003, [1.0] + [0.0] * 7)]  # another length
+    rows += [(7, rows[7][1]), (7, r.normal(size=16).tolist()), (None, rows[9][1]), (None, None), (None, [0.0] * 16)]  # ids that repeat or are null
+    rows += [(None, (2 * centre).tolist()), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.0, 2.0])]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, n_links int, good string")
+    got = [(x.vec_id, x.n_links, x.component_id, x.kept) for x in pq_dedup.embedding_groups(df).collect()]
+    key = lambda x: tuple((y is None, y or 0) for y in x)
+    assert sorted(got, key=key) == sorted(brute_links(rows), key=key)
     assert pq_dedup.embedding_groups(df.where("vec_id < 0")).count() == 0
+
+
+def test_embedding_recall_with_many_lists_and_a_dense_group(spark):
+    """Far more lists than probes: pairs at all cosines from 0.9 on, and a third of the rows in one dense group."""
+    r = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(r.normal(size=(4000, 64)))
+    noise = unit(r.normal(size=(2000, 64)))
+    tilt = r.uniform(0.0, 0.46, size=(2000, 1))
+    dense = unit(unit(r.normal(size=64)) + 0.03 * r.normal(size=(2000, 64)))
+    x = np.concatenate([base, unit(base[:2000] + tilt * noise), dense]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert len(x) / pq_dedup.LIST_ROWS > 32
+    got = {t.vec_id: t.n_links for t in pq_dedup.embedding_groups(df).collect()}
+    m = unit(x.astype(float))
+    want = (m @ m.T >= 0.9).sum(1) - 1
+    n = np.array([got[k] for k in range(len(x))])
+    assert (n <= want).all()
+    assert want[:6000].sum() > 3000
+    assert want[6000:].sum() > 1_000_000
+    print("recall of pairs", n[:6000].sum() / want[:6000].sum(), "of the dense group", n[6000:].sum() / want[6000:].sum())
+    assert n[:6000].sum() >= 0.95 * want[:6000].sum()
+    assert n[6000:].sum() >= 0.95 * want[6000:].sum()
