@@ -20,6 +20,8 @@ LENGTH = 400
 GRAM = 200
 #: Bytes of distinct segments under one gram beyond which its strings are compared one by one, and bytes of an array.
 HOT_BYTES, ARRAY_BYTES = 1 << 22, 1 << 22
+#: Names up to which the reduced string is sorted by ranks instead of another level of induced sorting.
+SHORT = 1 << 16
 
 
 # ---- suffix arrays
@@ -60,7 +62,7 @@ def _put(sa: np.ndarray, t: np.ndarray, kept: np.ndarray, front: np.ndarray, at:
 
 
 def _ranked(names: np.ndarray) -> np.ndarray:
-    """Suffix array of the reduced string, by doubling the length that ranks cover; ranks that are settled drop out."""
+    """Suffix array of a short string of names, by doubling the length that ranks cover; ranks that are settled drop out."""
     n = len(names)
     rank = names.astype(np.int64)
     order = np.argsort(rank, kind="stable")
@@ -82,10 +84,23 @@ def _ranked(names: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sorted_names(names: np.ndarray) -> np.ndarray:
+    """Suffix array of the reduced string, by the same induced sorting: its alphabet is as large as itself, so each name is
+    written as two digits, whose string has the same order at even places, and the buckets stay few. SHORT names end it."""
+    if len(names) <= SHORT:
+        count = np.bincount(names)
+        return _ranked((np.cumsum(count) - count)[names])
+    base = int(np.sqrt(int(names.max()) + 1)) + 1
+    digits = np.stack([names // base, names % base], axis=1).ravel() + 1
+    sa = suffix_array(np.append(digits, 0))
+    return sa[(sa % 2 == 0) & (sa < 2 * len(names))] // 2
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Suffix array of small non-negative integers, the last of which is the only 0. Induced sorting: suffixes are
     classed as smaller (S) or larger (L) than the next one; the leftmost S ones are sorted by their substrings, the
-    string of their names is sorted in turn, and two passes induce the rest. Each pass takes a bucket's entries at once.
+    string of their names is sorted in turn by this function, and two passes induce the rest. Each pass takes a bucket's
+    entries at once.
     """
     n = len(t)
     if n == 1:
@@ -143,8 +158,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     ids = np.concatenate([[0], np.cumsum(~same)]) if len(starts) else np.empty(0, np.int64)
     names[k] = ids
     if len(starts) and ids[-1] + 1 < len(starts):
-        firsts = np.concatenate([[0], np.flatnonzero(~same) + 1])
-        starts_sorted = starts[_ranked(firsts[names])]
+        starts_sorted = starts[_sorted_names(names)]
     else:
         starts_sorted = sorted_
     return induced(starts_sorted)
@@ -156,16 +170,21 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, cap: int, sample: int = 16) -> n
     n = len(sa)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
-    wide = np.concatenate([t.astype(np.uint16), np.zeros(8, np.uint16)])
+    wide = np.concatenate([t.astype(np.uint64), np.zeros(4, np.uint64)])
+    four = wide[:-3] | wide[1:-2] << np.uint64(16) | wide[2:-1] << np.uint64(32) | wide[3:] << np.uint64(48)  # from each place
     out = np.zeros(n, np.int64)
 
     def extend(i: np.ndarray, most: int) -> None:
+        """Four characters at a time; the last character of t is like no other, so no comparison runs past it."""
         i = i[phi[i] >= 0]
         while len(i):
-            a, b = i + out[i], phi[i] + out[i]
-            equal = (np.maximum(a, b) < n) & (wide[np.minimum(a, n - 1)] == wide[np.minimum(b, n - 1)])
+            differ = four[i + out[i]] ^ four[phi[i] + out[i]]
+            equal = differ == 0
+            out[i[equal]] += 4
+            rest = ~equal
+            for k in (16, 32, 48):
+                out[i[rest]] += (differ[rest] & np.uint64((1 << k) - 1)) == 0
             i = i[equal]
-            out[i] += 1
             i = i[out[i] < most]
 
     base = np.arange(0, n, sample)
@@ -230,31 +249,32 @@ def _list_runs(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Ite
                 if len(raw) < length:
                     continue
                 key, first, last, again = segments_of(np.frombuffer(raw, np.uint8), length, gram)
-                digest = [xxhash.xxh64_intdigest(raw[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                digest = [xxhash.xxh3_128_digest(raw[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                 columns[0].append(_signed(key))
-                columns[1].append(_signed(np.array(digest, np.uint64)))
+                columns[1] += digest
                 columns[2] += [doc] * len(key)
                 columns[3].append(np.full(len(key), th, np.int64))
                 for c, v in zip(columns[4:], (first, last, again), strict=True):
                     c.append(v)
             join = lambda c, kind: np.concatenate(c).astype(kind) if c else np.empty(0, kind)
-            arrays = [pa.array(join(columns[0], np.int64)), pa.array(join(columns[1], np.int64)), pa.array(columns[2], pa.int64()), pa.array(join(columns[3], np.int64)), pa.array(join(columns[4], np.int32)), pa.array(join(columns[5], np.int32)), pa.array(join(columns[6], bool))]
+            arrays = [pa.array(join(columns[0], np.int64)), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64()), pa.array(join(columns[3], np.int64)), pa.array(join(columns[4], np.int32)), pa.array(join(columns[5], np.int32)), pa.array(join(columns[6], bool))]
             yield pa.record_batch(arrays, names=names)
 
 
 def _marks_of_arrays(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """(h, d, i, j): intervals of repeated starts, by one suffix array for whole groups of h up to ARRAY_BYTES."""
-    waiting: list[tuple[int, int, bytes]] = []
+    waiting: list[tuple[int, bytes, bytes]] = []
     size, now = 0, None
 
     def judged() -> pa.RecordBatch:
-        rows: list[tuple[int, int, int, int]] = []
+        rows: list[tuple[int, bytes, int, int]] = []
         if waiting:
             for (h, d, _), marked in zip(waiting, repeated_starts([s for _, _, s in waiting], length), strict=True):
                 first, last = runs(marked)
                 rows += [(h, d, a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True) if marked[a]]
             waiting.clear()
-        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4, names=["h", "d", "i", "j"])
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], names=["h", "d", "i", "j"])
 
     for batch in batches:
         for h, d, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -276,11 +296,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     byte spans [a, b) that such strings cover, unmerged. docs: doc_id, th (hash of the text), text.
 
     A string goes to the key of its smallest gram hash, so equal strings meet under one key. Keys that only one segment
-    has are dropped after one narrow shuffle. Equal segments are collapsed, and marked at once if there are several;
+    has are dropped after one narrow shuffle. Equal segments, by 128 bits beside the key, are collapsed, and marked at once if there are several;
     distinct ones under a key are compared by a suffix array. A key with more than HOT_BYTES of distinct segments deals
     its strings out by a 128-bit hash each instead, so no group has to fit into one task.
     """
-    found = settled(docs.mapInArrow(lambda it: _list_runs(it, length, gram), "h long, d long, doc_id long, th long, s1 int, s2 int, again boolean"))
+    found = settled(docs.mapInArrow(lambda it: _list_runs(it, length, gram), "h long, d binary, doc_id long, th long, s1 int, s2 int, again boolean"))
     shared = found.groupBy("h").agg(F.count("*").alias("n"), F.max("again").alias("again"), (F.min("d") != F.max("d")).alias("varied")).where("n > 1 or again").select("h", F.expr("again or varied").alias("sort"))
     members = settled(found.join(shared, "h").select("h", "d", "doc_id", "th", "s1", "s2", "sort"))
     kinds = members.groupBy("h", "d", "sort").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "s1", "s2")).alias("at"))
@@ -295,9 +315,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         for batch in batches:
             for text, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 content = _cut(rows, _raw(text), length)
-                yield pa.record_batch([pa.array([r["h"] for r in rows], pa.int64()), pa.array([r["d"] for r in rows], pa.int64()), pa.array([r["hot"] for r in rows], pa.bool_()), pa.array(content, pa.binary())], names=["h", "d", "hot", "content"])
+                yield pa.record_batch([pa.array([r["h"] for r in rows], pa.int64()), pa.array([r["d"] for r in rows], pa.binary()), pa.array([r["hot"] for r in rows], pa.bool_()), pa.array(content, pa.binary())], names=["h", "d", "hot", "content"])
 
-    cut = texts.mapInArrow(contents, "h long, d long, hot boolean, content binary").dropDuplicates(["h", "d"])
+    cut = texts.mapInArrow(contents, "h long, d binary, hot boolean, content binary").dropDuplicates(["h", "d"])
     cut = settled(cut)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,12 +325,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             for h, d, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = len(content) - length + 1
                 digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(content[i : i + length]) for i in range(n)]), np.int64).reshape(n, 2)
-                yield pa.record_batch([pa.array(np.full(n, h)), pa.array(np.full(n, d)), pa.array(np.arange(n)), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["h", "d", "i", "x", "y"])
+                yield pa.record_batch([pa.array(np.full(n, h)), pa.array([d] * n, pa.binary()), pa.array(np.arange(n)), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["h", "d", "i", "x", "y"])
 
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by work, not by bytes: sorting costs far more than reading
     sorted_ = cut.where("not hot").select("h", "d", "content").repartition(tasks, "h").sortWithinPartitions("h", "d")
-    marks = sorted_.mapInArrow(lambda it: _marks_of_arrays(it, length), "h long, d long, i long, j long")
-    dealt = cut.where("hot").select("h", "d", "content").mapInArrow(strings, "h long, d long, i long, x long, y long")
+    marks = sorted_.mapInArrow(lambda it: _marks_of_arrays(it, length), "h long, d binary, i long, j long")
+    dealt = cut.where("hot").select("h", "d", "content").mapInArrow(strings, "h long, d binary, i long, x long, y long")
     twice = dealt.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
     marks = marks.unionByName(dealt.join(twice, ["x", "y"]).select("h", "d", "i", F.col("i").alias("j"))).unionByName(whole)
     spans = members.join(marks, ["h", "d"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct((F.col("s1") + F.col("i")).cast("long").alias("a"), (F.col("s1") + F.col("j") + length).cast("long").alias("b"))).alias("spans"))

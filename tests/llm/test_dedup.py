@@ -125,7 +125,9 @@ def test_suffix_dedup(documents, odd, monkeypatch, hot):
     assert sorted(got, key=key) == sorted(brute_removed(rows, 400), key=key)
 
 
-def test_suffix_arrays():
+@pytest.mark.parametrize("short", [0, 1 << 15])
+def test_suffix_arrays(monkeypatch, short):
+    monkeypatch.setattr(suffix_dedup, "SHORT", short)
     r = random.Random(4)
     for _ in range(300):
         t = [r.randint(1, r.choice([1, 2, 26])) for _ in range(r.randint(0, 40))] + [0]
