@@ -33,16 +33,19 @@ def oversized(rows: DataFrame, max_nodes: int, max_edges: int) -> DataFrame:
     return rows.where((F.col("nodes") > max_nodes) | (F.col("edges") > max_edges))
 
 
-def early_stop(history: DataFrame, metric: str, patience: int) -> DataFrame:
+def early_stop(history: DataFrame, metric: str, patience: int, guard: str | None = None) -> DataFrame:
     """One row: the epoch at which training ends (patience epochs without a better metric, else the last) and the best
-    epoch so far. An ordered fold over the epochs of one run."""
-    rows = history.agg(F.array_sort(F.collect_list(F.struct("epoch", F.col(metric).cast("double").alias("m")))).alias("h"))
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(-1).cast("long").alias("best_epoch"), F.lit(0).alias("wait"), F.lit(-1).cast("long").alias("stop"))
+    epoch so far. An ordered fold over the epochs of one run. guard: a boolean column; epochs where it is false are never
+    the best, except the first one while there is no other, and do not count against patience."""
+    allowed = F.col(guard) if guard else F.lit(True)
+    rows = history.agg(F.array_sort(F.collect_list(F.struct("epoch", F.col(metric).cast("double").alias("m"), allowed.alias("ok")))).alias("h"))
+    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(False).alias("guarded"), F.lit(-1).cast("long").alias("best_epoch"), F.lit(0).alias("wait"), F.lit(-1).cast("long").alias("stop"))
 
     def step(a, x):  # noqa: ANN001, ANN202
         done = a["wait"] >= patience
-        better = ~done & (a["best"].isNull() | (x["m"] > a["best"]))
-        wait = F.when(done, a["wait"]).when(better, 0).otherwise(a["wait"] + 1)
-        return F.struct(F.when(better, x["m"]).otherwise(a["best"]).alias("best"), F.when(better, x["epoch"].cast("long")).otherwise(a["best_epoch"]).alias("best_epoch"), wait.alias("wait"), F.when(done, a["stop"]).otherwise(x["epoch"].cast("long")).alias("stop"))
+        first = a["best_epoch"] < 0
+        better = ~done & (first | (x["ok"] & (~a["guarded"] | (x["m"] > a["best"]))))
+        wait = F.when(done, a["wait"]).when(better, 0).when(x["ok"], a["wait"] + 1).otherwise(a["wait"])
+        return F.struct(F.when(better, x["m"]).otherwise(a["best"]).alias("best"), (a["guarded"] | (better & x["ok"])).alias("guarded"), F.when(better, x["epoch"].cast("long")).otherwise(a["best_epoch"]).alias("best_epoch"), wait.alias("wait"), F.when(done, a["stop"]).otherwise(x["epoch"].cast("long")).alias("stop"))
 
     return rows.select(F.aggregate("h", start, step).alias("a")).select(F.col("a.best_epoch").alias("best_epoch"), F.col("a.stop").alias("stop_epoch"), F.round("a.best", 6).alias("best"))

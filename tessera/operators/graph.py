@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,16 +21,22 @@ def node_order(node_id: str = "node_id") -> list[Column]:
 
 def closure(edges: DataFrame, roots: DataFrame, relation: str = "AST", max_rounds: int = 10_000) -> DataFrame:
     """(sample_id, root, node_id): nodes that a root reaches over a relation, itself included. Cycles end, since only
-    nodes not seen before go on; what is found is kept on reliable storage every few rounds."""
+    nodes not seen before go on."""
     step = edges.where(F.col("label") == relation).select("sample_id", F.col("src").alias("node_id"), F.col("dst").alias("next")).distinct()
-    seen = roots.select("sample_id", F.col("node_id").alias("root"), "node_id").distinct()
-    front = seen
-    for _ in range(max_rounds):
-        found = front.join(step, ["sample_id", "node_id"]).select("sample_id", "root", F.col("next").alias("node_id")).distinct()
-        front = settled(found.join(seen, ["sample_id", "root", "node_id"], "left_anti"))
+    start = settled(roots.select("sample_id", F.col("node_id").alias("root"), "node_id").distinct())
+    return _grown(start, lambda front: front.join(step, ["sample_id", "node_id"]).select("sample_id", "root", F.col("next").alias("node_id")), max_rounds)
+
+
+def _grown(start: DataFrame, grow: Callable[[DataFrame], DataFrame], max_rounds: int) -> DataFrame:
+    """start and all that rounds of grow add to it. Each front is written once; every eighth round their union is, so plans
+    stay short and what was found is read, not written, in between."""
+    parts, front = [start], start
+    for k in range(max_rounds):
+        seen = reduce(DataFrame.unionByName, parts)
+        front = settled(grow(front).distinct().join(seen, start.columns, "left_anti"))
         if front.isEmpty():
             return seen
-        seen = settled(seen.unionByName(front))
+        parts = [settled(seen), front] if k % 8 == 7 else [*parts, front]
     raise RuntimeError(f"not closed after {max_rounds} rounds")
 
 
@@ -128,13 +135,7 @@ def risk_slice(nodes: DataFrame, edges: DataFrame, members: DataFrame, roots: Da
     core = reduce(DataFrame.unionByName, [with_seeds, seeds, *[hops(edges, seeds, members, r, k) for r, k in (("REACHING_DEF", 2), ("CDG", 1), ("CFG", 1))]]).distinct()
     carriers = core.join(nodes.where(F.col("label").isin(fixed.AST_CHILD_LABELS)).select("sample_id", "node_id"), ["sample_id", "node_id"], "left_semi")
     found = settled(core.unionByName(carriers.join(children, ["sample_id", "node_id"]).select("sample_id", F.col("child").alias("node_id"))).distinct())
-    front = found
-    for _ in range(max_depth):
-        up = front.join(parents, ["sample_id", "node_id"]).select("sample_id", F.col("parent").alias("node_id")).distinct()
-        front = settled(up.join(found, ["sample_id", "node_id"], "left_anti"))
-        if front.isEmpty():
-            break
-        found = settled(found.unionByName(front))
+    found = _grown(found, lambda front: front.join(parents, ["sample_id", "node_id"]).select("sample_id", F.col("parent").alias("node_id")), max_depth)
     return found.unionByName(shell).distinct().join(members.select("sample_id", "node_id"), ["sample_id", "node_id"], "left_semi")
 
 

@@ -113,3 +113,9 @@ def best_checkpoint(history: DataFrame, metric: str, lower: bool = False, guards
 
 def weighted_mean_loss(batches: DataFrame) -> DataFrame:
     return batches.agg(F.round(F.coalesce(F.sum(F.col("loss") * F.col("n")) / F.sum("n"), F.lit(0.0)), 6).alias("loss"))
+
+
+def mean_diagnostics(batches: DataFrame) -> DataFrame:
+    """(name, value): the plain mean over batches of each diagnostic. batches: diagnostics (map of name to value)."""
+    d = batches.select(F.explode("diagnostics").alias("name", "v"))
+    return d.groupBy("name").agg(F.round(F.avg("v"), 6).alias("value"))

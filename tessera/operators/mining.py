@@ -9,11 +9,24 @@ from ..functions import fixed
 from .ordering import numbered
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 if either is zero."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
+    norms = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+    return F.when(norms == 0, F.lit(0.0)).otherwise(_dot(a, b) / norms)
+
+
+def _vectors(prefix: str) -> list[Column]:
+    """The vectors of one side of a pair, with the norms of those that are compared by cosine."""
+    norms = [F.sqrt(_dot(F.col(c), F.col(c))).alias(f"{prefix}{c}_norm") for c in ("motif", "structure")]
+    return [F.col(c).alias(f"{prefix}{c}") for c in ("motif", "structure", "scale")] + norms
+
+
+def _millionths(v: Column) -> Column:
+    return F.round(v * 1_000_000).cast("long")
 
 
 def scale_similarity(a: Column, b: Column) -> Column:
@@ -51,19 +64,21 @@ def motif_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def scored_pairs(positives: DataFrame, negatives: DataFrame, min_score: float, blocks: int | None = None) -> DataFrame:
     """positive_id, negative_id, pair_score and its parts for every pair that scores at least min_score.
 
-    Both sides: id, motif, structure, scale (array<double>); negatives also fp (probability, null counts as 0); ids are numbers. A score
-    is asked for each pair, so the work is the product; it is dealt out by blocks: negatives by hash, each positive to
+    Both sides: id, motif, structure, scale (array<double>); negatives also fp (probability, null counts as 0); ids are
+    numbers. Parts are whole millionths, so a score is exact and equal ones are equal everywhere. A score is asked for each pair, so the work is the product; it is dealt out by blocks: negatives by hash, each positive to
     every block, so neither side is broadcast and a task holds a block. blocks: shuffle partitions if not given."""
     blocks = blocks or int(positives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = negatives.select(F.col("id").alias("negative_id"), *[F.col(c).alias(f"n_{c}") for c in ("motif", "structure", "scale")], F.coalesce("fp", F.lit(0.0)).alias("false_positive_probability"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    p = positives.select(F.col("id").alias("positive_id"), "motif", "structure", "scale", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    n = negatives.select(F.col("id").alias("negative_id"), *_vectors("n_"), _millionths(F.coalesce("fp", F.lit(0.0))).alias("fp"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    p = positives.select(F.col("id").alias("positive_id"), *_vectors("p_"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     d = p.hint("shuffle_hash").join(n, "block")
-    parts = {"motif_similarity": cosine(F.col("motif"), F.col("n_motif")), "structure_similarity": cosine(F.col("structure"), F.col("n_structure")), "scale_similarity": scale_similarity(F.col("scale"), F.col("n_scale"))}
-    d = d.withColumns({k: F.round(v, 6) for k, v in parts.items()})
-    w = fixed.PAIR_WEIGHTS
-    score = w["motif"] * F.col("motif_similarity") + w["structure"] * F.col("structure_similarity") + w["scale"] * F.col("scale_similarity") + w["false_positive"] * F.col("false_positive_probability")
-    d = d.withColumn("pair_score", F.round(score, 6)).where(F.col("pair_score") >= min_score)
-    return d.select("positive_id", "negative_id", "pair_score", *parts, F.round("false_positive_probability", 6).alias("false_positive_probability"))
+    near = lambda c: F.when(F.col(f"p_{c}_norm") * F.col(f"n_{c}_norm") == 0, F.lit(0.0)).otherwise(_dot(F.col(f"p_{c}"), F.col(f"n_{c}")) / (F.col(f"p_{c}_norm") * F.col(f"n_{c}_norm")))
+    parts = {"motif": near("motif"), "structure": near("structure"), "scale": scale_similarity(F.col("p_scale"), F.col("n_scale"))}
+    d = d.select("positive_id", "negative_id", "fp", *[_millionths(v).alias(k) for k, v in parts.items()])
+    hundredths = {k: round(100 * fixed.PAIR_WEIGHTS[w]) for k, w in (("motif", "motif"), ("structure", "structure"), ("scale", "scale"), ("fp", "false_positive"))}
+    total = " + ".join(f"{w} * {k}" for k, w in hundredths.items())
+    d = d.withColumn("score", F.expr(f"({total} + 50) div 100")).where(F.col("score") >= round(min_score * 1_000_000))
+    whole = lambda c: F.col(c) / F.lit(1_000_000.0)
+    return d.select("positive_id", "negative_id", whole("score").alias("pair_score"), *[whole(k).alias(f"{k}_similarity") for k in parts], whole("fp").alias("false_positive_probability"))
 
 
 def _ranked(pairs: DataFrame) -> DataFrame:
@@ -137,3 +152,30 @@ def weak_baseline(features: DataFrame, columns: list[str], label_col: str = "lab
     train = train.join(F.broadcast(n), label_col).join(F.broadcast(total)).withColumn("weight", F.col("__all") / (2.0 * F.col("__n")))  # one row a label
     model = LogisticRegression(labelCol=label_col, weightCol="weight", maxIter=100, regParam=1e-3, standardization=False).fit(train)
     return model, model.transform(d).select("sample_id", F.col(label_col).alias("label"), F.round(vector_to_array("probability")[1], 6).alias("probability"), F.col(split_col).alias("part"))
+
+
+def false_positive_snapshot(predictions: DataFrame) -> DataFrame:
+    """(sample_id, probability) of the negatives: what a bank is mined from."""
+    return predictions.where("label = 0").select("sample_id", "probability")
+
+
+def pair_audit_sample(bank: DataFrame, limit: int, seed: int = 42) -> DataFrame:
+    """The first `limit` pairs in a seeded order; a sampling operator."""
+    key = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("positive_id").cast("string"), F.col("negative_id").cast("string")), 256)
+    return bank.withColumn("__key", key).orderBy("__key", "positive_id", "negative_id").limit(limit).drop("__key")
+
+
+
+def weak_baselines(features: DataFrame, groups: dict[str, list[str]], label_col: str = "label", split_col: str = "part") -> DataFrame:
+    """(feature_group, part, n, positives, roc_auc, train_auc, gap): a balanced logistic regression for each group of
+    features, its ranking in each part and how far that is below training."""
+    from .metrics import roc_auc
+
+    out = None
+    for name, columns in groups.items():
+        _, p = weak_baseline(features, columns, label_col, split_col)
+        d = p.groupBy(split_col).agg(F.count("*").alias("n"), F.sum("label").alias("positives")).join(roc_auc(p, [split_col]), split_col)
+        train = d.where(F.col(split_col) == "train").select(F.col("roc_auc").alias("train_auc"))
+        d = d.join(F.broadcast(train)).select(F.lit(name).alias("feature_group"), split_col, "n", "positives", "roc_auc", "train_auc", F.round(F.col("train_auc") - F.col("roc_auc"), 6).alias("gap"))  # one row
+        out = d if out is None else out.unionByName(d)
+    return out

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -74,9 +75,42 @@ def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return items.join(done.select(key), key, "left_anti")
 
 
-def word_vectors(rows: DataFrame, tokens: str, size: int = 64, seed: int = 42):  # noqa: ANN201
-    """Skip-gram vectors by pyspark.ml over all token lists; an empty list counts as one <EMPTY> token."""
+def word_vectors(rows: DataFrame, tokens: str, size: int = 64, seed: int = 42, tasks: int | None = None):  # noqa: ANN201
+    """Skip-gram vectors by pyspark.ml over all token lists; an empty list counts as one <EMPTY> token. tasks: how many train
+    side by side (shuffle partitions if not given)."""
     from pyspark.ml.feature import Word2Vec
 
     d = rows.withColumn(tokens, F.when(F.size(tokens) == 0, F.array(F.lit("<EMPTY>"))).otherwise(F.col(tokens)))
-    return Word2Vec(vectorSize=size, minCount=1, seed=seed, numPartitions=1, inputCol=tokens, outputCol="vector").fit(d)
+    return Word2Vec(vectorSize=size, minCount=1, seed=seed, numPartitions=tasks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), inputCol=tokens, outputCol="vector").fit(d)
+
+
+def checked_scope(scope: str) -> str:
+    """The training scope of word vectors: only all tokens at once (transductive) is offered."""
+    if scope == "train-only":
+        raise NotImplementedError("vectors of the train part alone")
+    if scope != "transductive":
+        raise ValueError(f"no such scope: {scope!r}")
+    return scope
+
+
+def opened_cache(spark: SparkSession, path: str, wanted: dict[str, str]) -> DataFrame | None:
+    """The vectors at path if they were written with the same metadata; None if there are none; other metadata is an error."""
+    try:
+        found = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/metadata").collect()}  # a few settings
+    except AnalysisException:
+        return None
+    if found != wanted:
+        raise ValueError(f"the cache at {path} was made with {found}, not {wanted}")
+    return spark.read.parquet(f"{path}/vectors")
+
+
+def added_to_cache(vectors: DataFrame, path: str, metadata: dict[str, str], key: str = "id") -> DataFrame:
+    """Appends the vectors (key, ...) that the cache at path lacks, and returns the whole of it. An encoder is asked only
+    for what `pending` leaves."""
+    spark = vectors.sparkSession
+    there = opened_cache(spark, path, metadata)
+    if there is None:
+        spark.createDataFrame(sorted(metadata.items()), "key string, value string").write.parquet(f"{path}/metadata")
+    fresh = vectors if there is None else pending(vectors, there, key)
+    fresh.write.mode("append").parquet(f"{path}/vectors")
+    return spark.read.parquet(f"{path}/vectors")

@@ -32,9 +32,9 @@ PREDICTIONS_SQL = """predictions as (select case when vec_id % 10 = 8 then 'val'
 
 
 def retrieval(spark: SparkSession, sf_dir: str, label: int) -> DataFrame:
-    """id, motif, structure, scale, fp of the vectors with one label."""
+    """id, motif, structure, scale, fp of the vectors of one class (labels from 5 on are positive)."""
     wide = lambda a, b: F.transform(F.slice("embedding", a + 1, b - a), lambda x: x.cast("double"))
-    e = table(spark, sf_dir, "embeddings").where(F.col("label") == label)
+    e = table(spark, sf_dir, "embeddings").where((F.col("label") >= 5) == F.lit(label == 1))
     return e.select(F.col("vec_id").alias("id"), wide(0, 13).alias("motif"), wide(13, 17).alias("structure"), wide(17, 23).alias("scale"), F.round((1 + F.col("embedding")[63].cast("double")) / 2, 6).alias("fp"))
 
 

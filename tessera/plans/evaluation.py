@@ -153,9 +153,10 @@ def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weak_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("sample_id"), (F.col("label") >= 5).cast("int").alias("label"), F.when(F.col("vec_id") % 10 == 8, "val").when(F.col("vec_id") % 10 == 9, "test").otherwise("train").alias("part"), *[F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(13)])
-    _, p = mining.weak_baseline(e, [f"f{k}" for k in range(13)])
-    return metrics.roc_auc(p, ["part"])
+    """Rows and positives of each part and feature group, and whether its classifier ranks better than chance in training."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("sample_id"), (F.col("label") >= 5).cast("int").alias("label"), F.when(F.col("vec_id") % 10 == 8, "val").when(F.col("vec_id") % 10 == 9, "test").otherwise("train").alias("part"), *[F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(23)])
+    groups = {"motif": range(13), "structure": range(13, 17), "scale": range(17, 23), "all": range(23)}
+    return mining.weak_baselines(e, {g: [f"f{k}" for k in ks] for g, ks in groups.items()}).select("feature_group", "part", "n", "positives", (F.col("train_auc") > 0.5).alias("better_than_chance"))
 
 
 QUERIES = [source_hash_groups, strict_split_summary, stratified_split, leaking_groups, exclusion_cascade, evenly_sampled, confusion, best_f1_threshold, best_mcc_threshold, metrics_at_thresholds, roc_auc, average_precision, roc_points, guarded_scan, prediction_shift, simplex_grid, ensemble_scan, fixed05_combos, hard_negative_bank, review_queue, random_bank, fp_bank, pair_metrics, weak_baselines]
@@ -163,19 +164,19 @@ QUERIES = [source_hash_groups, strict_split_summary, stratified_split, leaking_g
 _SPLIT = f"""split as (select *, case when r <= train_n then 'train' when r <= train_n + val_n then 'val' else 'test' end as part from (select *, {SIZES_SQL} from (
  select *, count(*) over (partition by label) as n, row_number() over (partition by label order by sha256('42' || label::varchar || sample_id), sample_id) as r from samples)))"""
 _BEST = lambda m: f"with {PREDICTIONS_SQL}, {CURVE_SQL}, scored as (select *, {rates_sql(9)} from curve) select part, model, threshold, round({m}, 6) as {m} from (select *, row_number() over (partition by part, model order by {m} desc, threshold desc) as r from scored) where r = 1"
-_PAIRS = """pos as (select * from embeddings where label = 1), neg as (select * from embeddings where label = 0),
+_PAIRS = """pos as (select * from embeddings where label >= 5), neg as (select * from embeddings where label < 5),
  dots as (select p.vec_id as positive_id, n.vec_id as negative_id,
  list_sum(list_transform(range(1, 14), lambda i: p.embedding[i]::double * n.embedding[i]::double)) as md, list_sum(list_transform(range(1, 14), lambda i: p.embedding[i]::double ** 2)) as ma, list_sum(list_transform(range(1, 14), lambda i: n.embedding[i]::double ** 2)) as mb,
  list_sum(list_transform(range(14, 18), lambda i: p.embedding[i]::double * n.embedding[i]::double)) as sd, list_sum(list_transform(range(14, 18), lambda i: p.embedding[i]::double ** 2)) as sa, list_sum(list_transform(range(14, 18), lambda i: n.embedding[i]::double ** 2)) as sb,
  list_sum(list_transform(range(18, 24), lambda i: abs(p.embedding[i]::double - n.embedding[i]::double))) / 6 as gap, round((1 + n.embedding[64]::double) / 2, 6) as fp from pos p, neg n),
- pairs as (select * from (select positive_id, negative_id, round(0.4::double * round(md / (sqrt(ma) * sqrt(mb)), 6) + 0.3::double * round(sd / (sqrt(sa) * sqrt(sb)), 6) + 0.15::double * round(1 / (1 + gap), 6) + 0.15::double * fp, 6) as pair_score from dots) where pair_score >= 0.25),
+ pairs as (select * from (select positive_id, negative_id, ((40 * round(1000000 * md / (sqrt(ma) * sqrt(mb)))::bigint + 30 * round(1000000 * sd / (sqrt(sa) * sqrt(sb)))::bigint + 15 * round(1000000 / (1 + gap))::bigint + 15 * round(1000000 * fp)::bigint + 50) // 100) / 1000000.0::double as pair_score from dots) where pair_score >= 0.25),
  ranked as (select *, row_number() over (partition by positive_id order by pair_score desc, negative_id) - 1 as rank, count(*) over (partition by positive_id) as n from pairs)"""
-_RING = lambda k, pool: f"""pos as (select vec_id as id from embeddings where label = 1), {pool},
+_RING = lambda k, pool: f"""pos as (select vec_id as id from embeddings where label >= 5), {pool},
  ring as (select *, row_number() over (order by sha256('42|' || negative_id::varchar), negative_id) - 1 as place from pool), sized as (select count(*) as size from ring),
  draws as (select id as positive_id, draw, ((('0x' || substr(sha256('42|' || id::varchar), 1, 12))::bigint % size) + draw * greatest(1, size // {k})) % size as place from pos, sized, (select unnest(range({k})) as draw) where draw < size),
  bank as (select positive_id, negative_id, pair_score, draw::int as draw from draws join ring using (place))"""
-_RANDOM = _RING(3, "pool as (select vec_id as negative_id, 0.0::double as pair_score from embeddings where label = 0)")
-_FP = _RING(2, "neg as (select vec_id as id, round((1 + embedding[64]::double) / 2, 6) as fp from embeddings where label = 0), pool as (select id as negative_id, fp as pair_score from (select *, row_number() over (order by fp desc, id desc) as r, count(*) over () as n from neg) where r <= greatest(1, floor(n * 0.1::double)))")
+_RANDOM = _RING(3, "pool as (select vec_id as negative_id, 0.0::double as pair_score from embeddings where label < 5)")
+_FP = _RING(2, "neg as (select vec_id as id, round((1 + embedding[64]::double) / 2, 6) as fp from embeddings where label < 5), pool as (select id as negative_id, fp as pair_score from (select *, row_number() over (order by fp desc, id desc) as r, count(*) over () as n from neg) where r <= greatest(1, floor(n * 0.1::double)))")
 _GRID = lambda s: f"grid as (select lpad(a::varchar, 4, '0') || lpad(b::varchar, 4, '0') || lpad(c::varchar, 4, '0') || lpad(({s} - a - b - c)::varchar, 4, '0') as weight_id, [a / {s}.0::double, b / {s}.0::double, c / {s}.0::double, ({s} - a - b - c) / {s}.0::double] as w from (select unnest(range({s + 1})) as a), (select unnest(range({s + 1})) as b), (select unnest(range({s + 1})) as c) where a + b + c <= {s})"
 _WIDE = "wide as (select sample_id, any_value(label) as label, list(probability order by model) as p from predictions where part = 'val' group by sample_id)"
 _COUNTS = "count(*) as samples, count(*) filter (q >= 0.5 and label = 1) as tp, count(*) filter (q >= 0.5 and label <> 1) as fp, count(*) filter (q < 0.5 and label = 1) as fn, count(*) filter (q < 0.5 and label <> 1) as tn"
@@ -229,6 +230,8 @@ ORACLES = {
     "review_queue": f"with {_PAIRS} select positive_id, negative_id, rank::int as rank, pair_score from ranked where rank < greatest(1, floor(n * 0.05::double))",
     "random_bank": f"with {_RANDOM} select * from bank",
     "fp_bank": f"with {_FP} select * from bank",
+    "weak_baselines": """select g as feature_group, case when vec_id % 10 = 8 then 'val' when vec_id % 10 = 9 then 'test' else 'train' end as part, count(*) as n, count(*) filter (label >= 5) as positives, true as better_than_chance
+ from embeddings, (select unnest(['motif', 'structure', 'scale', 'all']) as g) group by 1, 2""",
     "pair_metrics": f"""with {_RANDOM}, s as (select vec_id as id, round(4 * embedding[1]::double, 6) as logit, round((1 + embedding[2]::double) / 2, 6) as probability from embeddings),
  d as (select positive_id, negative_id, p.logit - n.logit as gap, n.probability as np from bank join s p on p.id = positive_id join s n on n.id = negative_id)
  select round(avg((gap > 0)::int::double), 6) as ranking_accuracy, (select round(avg((np >= 0.5)::int::double), 6) from (select distinct negative_id, np from d)) as matched_negative_fpr, round(avg(gap), 6) as mean_gap,

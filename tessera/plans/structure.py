@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,7 +123,7 @@ def slice_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edge_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, typed, _ = _views(spark, sf_dir)
-    return graph.edge_histogram(typed.where("view = 'dataflow-cpg'")).where("view = 'dataflow-cpg'")
+    return graph.edge_histogram(typed)
 
 
 def motif_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +221,7 @@ def outcome_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.histogram(B.predictions(spark, sf_dir).where("model = 0"), F.col("probability"), ["label"], 27, 0.0, 1.0)
+    return report.histogram(B.predictions(spark, sf_dir), F.col("probability"), ["model", "label"], 27, 0.0, 1.0)
 
 
 def normalized_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +234,7 @@ def relative_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dashboard_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = B.predictions(spark, sf_dir).where("model = 0").withColumn("prediction", (F.col("probability") >= 0.5).cast("int"))
+    p = B.predictions(spark, sf_dir).groupBy("sample_id").agg(F.max("probability").alias("probability")).withColumn("prediction", (F.col("probability") >= 0.5).cast("int"))
     return report.dashboard_samples(p.select("sample_id", "probability", "prediction"), 25)
 
 
@@ -287,7 +288,9 @@ def weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("tokens"))
-    return windows.word_vectors(d, "tokens", 16).getVectors().select("word")
+    v = windows.word_vectors(d, "tokens", 16).getVectors().select("word", vector_to_array("vector").alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    return v.select("word", F.size("v").alias("dimensions"), ((norm > 0) & (norm < 100)).alias("bounded"))
 
 
 QUERIES = [lexer_kinds, identifier_parts, identifier_tags, leak_audit, code_category, safe_filenames, text_registry, unknown_names, ast_closure, primary_method, view_edge_counts, view_node_counts, model_edge_types, khop_nodes, slice_seeds, slice_nodes, edge_histogram, motif_features, offset_evidence, scope_symbols, normalized_texts, token_windows, head_tail_chunks, framed_chunks, mean_max_pool, histogram_matrix, greedy_batches, early_stop, line_topk, context_lines, outcome_mix, score_histogram, normalized_confusion, relative_loss, dashboard_samples, split_summary, gcn_aggregate, rgcn_mean, bag_softmax, attention_pool, mil_topk_logit, weighted_loss, word_vectors]
@@ -329,7 +332,7 @@ ORACLES = {
     "khop_nodes": f"with {GRAPH_SQL} select sample_id, node_id from nodes where node_id in ('12', '13')",
     "slice_seeds": f"""with {GRAPH_SQL}, n as (select sample_id, node_id, label, case when node_id = '12' then 2 when node_id = '13' and length(sample_id) > 3 then 1 end as kind from nodes), k as (select *, bool_or(coalesce(kind = 1, false)) over (partition by sample_id) as risky from n)
  select sample_id, node_id, kind as seed_type from k where kind = 1 or (kind = 2 and not risky)""",
-    "edge_histogram": f"with {GRAPH_SQL}, s as (select distinct sample_id from edges where label in ('CFG', 'CDG', 'REACHING_DEF')), r as (select unnest(['CFG', 'CDG', 'REACHING_DEF']) as relation), c as (select sample_id, label as relation, count(*) as n from edges group by 1, 2) select sample_id, 'dataflow-cpg' as view, relation, coalesce(n, 0) as n from s cross join r left join c using (sample_id, relation)",
+    "edge_histogram": f"with {GRAPH_SQL}, {_TYPED}, s as (select distinct sample_id from typed), c as (select sample_id, view, label, count(*) as n from typed group by all) select sample_id, view, label as relation, coalesce(n, 0) as n from s cross join (select view, label from rel where view like '%-cpg') r left join c using (sample_id, view, label)",
     "motif_features": f"""with {GRAPH_SQL}, n as (select sample_id, label as l, length(name) as k, code from nodes),
  m as (select sample_id, case when l = 'IDENTIFIER' and k % 3 = 0 then 'C' when l = 'IDENTIFIER' and k % 3 = 1 then 'R' else l end as l, k, case when k % 2 = 0 then 'return -error error ' || code else code end as code from n),
  a as (select sample_id, max((l = 'CALL' and k % 5 = 0)::int)::double as known_alloc_api, max((l = 'CALL' and k % 5 = 2)::int)::double as known_copy_api, max((l = 'CALL' and k % 5 = 1)::int)::double as array_index, round(ln(1 + count(*)), 6) as num_nodes,
@@ -343,8 +346,22 @@ ORACLES = {
  h as (select distinct conv_id, turn from e join k on doc_id = conv_id and abs(place - line) <= 2 and len(list_intersect(et, lt)) > 0)
  select e.conv_id::varchar as sample_id, count(*) as n_evidence, count(h.turn) as n_matched, bool_or(coalesce(line > last_line, true)) as out_of_range from e left join h on h.conv_id = e.conv_id and h.turn = e.turn left join l on l.doc_id = e.conv_id group by 1""",
     "scope_symbols": f"with {GRAPH_SQL}, {_SYMBOLS} select sample_id, name, replacement, priority from symbols",
-    "normalized_texts": f"""with {GRAPH_SQL}, {_SYMBOLS} select l_orderkey::varchar as sample_id, i as node_id, 'if ( ' || f.replacement || ' ( ' || v.replacement || ' , HEX , NUM ) ) return UNKNOWN_ID_' || substr(sha256('other'), 1, 8) || ' ;' as text
- from items join symbols f on f.sample_id = l_orderkey::varchar and f.name = 'fn_' || (l_partkey % 7) join symbols v on v.sample_id = l_orderkey::varchar and v.name = 'loc' || (l_suppkey % 5)""",
+    "normalized_texts": """with i as (select l_orderkey as o, l_partkey % 7 as f, l_suppkey % 5 as v, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey,
+ l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) as i from lineitem),
+ first as (select *, min(i) over (partition by o, f) as ff, min(i) over (partition by o, v) as vf from i),
+ numbered as (select *, dense_rank() over (partition by o order by ff) as fn, dense_rank() over (partition by o order by vf) as vn from first)
+ select o::varchar as sample_id, i as node_id, 'if ( FUNC_' || fn || ' ( VAR_' || vn || ' , HEX , NUM ) ) return UNKNOWN_ID_' || substr(sha256('other'), 1, 8) || ' ;' as text from numbered""",
+    "slice_nodes": f"""with {GRAPH_SQL}, n as materialized (select sample_id, node_id, label, label = 'CALL' and contains(code, 'anodized') as seed from nodes), e as materialized (select distinct sample_id, src, dst, label from edges),
+ u as materialized (select sample_id, src as a, dst as b, label from e union select sample_id, dst, src, label from e),
+ seeds as materialized (select sample_id, node_id from n where seed), has as (select distinct sample_id from seeds),
+ r1 as (select u.sample_id, b as node_id from seeds s join u on u.sample_id = s.sample_id and u.a = s.node_id where label = 'REACHING_DEF'),
+ r2 as (select u.sample_id, b as node_id from r1 s join u on u.sample_id = s.sample_id and u.a = s.node_id where label = 'REACHING_DEF'),
+ near as (select u.sample_id, b as node_id from seeds s join u on u.sample_id = s.sample_id and u.a = s.node_id where label in ('CDG', 'CFG')),
+ core as materialized (select sample_id, '1' as node_id from has union select * from seeds union select * from r1 union select * from r2 union select * from near),
+ kids as (select e.sample_id, e.dst as node_id from core c join n using (sample_id, node_id) join e on e.sample_id = c.sample_id and e.src = c.node_id and e.label = 'AST' where n.label = 'CALL'),
+ shell as (select sample_id, node_id from n where label = 'METHOD' and sample_id not in (select sample_id from has) union select sample_id, dst from e where label = 'AST' and src = '1' and sample_id not in (select sample_id from has))
+ select sample_id, count(*) as n from (select * from core union select * from kids union select * from shell) group by 1""",
+    "word_vectors": "select distinct unnest(string_split(text, ' ')) as word, 16 as dimensions, true as bounded from benchmark",
     "token_windows": f"with {_TOK}, w as (select doc_id, tokens, {_SEQ(128, 64)} as start from d) select doc_id, start::int as start, len(tokens[start + 1:start + 128])::int as n, md5(array_to_string(tokens[start + 1:start + 128], ' ')) as digest from w",
     "head_tail_chunks": f"with {_TOK}, w as (select doc_id, tokens, {_SEQ(64, 48)} as start from d), r as (select *, row_number() over (partition by doc_id order by start) as a, row_number() over (partition by doc_id order by start desc) as z from w) select doc_id, start::int as start, len(tokens[start + 1:start + 64])::int as n from r where a <= 2 or z <= 1",
     "framed_chunks": f"with {_TOK}, w as (select doc_id, ['<s>'] || tokens[1:62] || ['</s>'] as t from d) select doc_id, md5(array_to_string(t || list_transform(range(64 - len(t)), lambda i: '<pad>'), ' ')) as digest, len(t)::int as n from w",
@@ -362,10 +379,10 @@ ORACLES = {
     "line_topk": f"with {_TOP(5)} select * from top",
     "context_lines": f"with {_TOP(3)}, c as (select distinct sample_id, unnest(range(greatest(1, line - 2), greatest(1, least(line + 2, 40)) + 1)) as line from top) select sample_id, line, coalesce((line - lag(line) over (partition by sample_id order by line) > 1)::int, 0) as new_block from c",
     "outcome_mix": f"with {B.PREDICTIONS_SQL}, o as (select model, case when label = 1 and probability >= 0.5 then 'TP' when label = 1 then 'FN' when probability >= 0.5 then 'FP' else 'TN' end as outcome, count(*) as n from predictions group by 1, 2) select *, round(n / sum(n) over (partition by model), 6) as share from o",
-    "score_histogram": f"with {B.PREDICTIONS_SQL}, b as (select label, least(26, floor(probability / (1.0::double / 27)))::int as bin, count(*) as n from predictions where model = 0 group by 1, 2) select *, round(n / (sum(n) over (partition by label) * (1.0::double / 27)), 6) as density from b",
+    "score_histogram": f"with {B.PREDICTIONS_SQL}, b as (select model, label, least(26, floor(probability / (1.0::double / 27)))::int as bin, count(*) as n from predictions group by 1, 2, 3) select *, round(n / (sum(n) over (partition by model, label) * (1.0::double / 27)), 6) as density from b",
     "normalized_confusion": f"with {B.PREDICTIONS_SQL}, c as (select label, (probability >= 0.5)::int as prediction, count(*) as n from predictions group by 1, 2) select *, round(n / sum(n) over (partition by label), 6) as share from c",
     "relative_loss": "with h as (select o_orderpriority as run, year(o_orderdate)::int as epoch, round(avg(o_totalprice), 2) as loss from orders group by 1, 2) select run, epoch, round(round(loss / first_value(loss) over (partition by run order by epoch), 6), 4) as relative from h",
-    "dashboard_samples": f"with {B.PREDICTIONS_SQL} select sample_id, probability, 1 as prediction from predictions where model = 0 and probability >= 0.5 order by probability desc, sample_id limit 25",
+    "dashboard_samples": f"with {B.PREDICTIONS_SQL} select sample_id, max(probability) as probability, 1 as prediction from predictions group by 1 having max(probability) >= 0.5 order by probability desc, sample_id limit 25",
     "split_summary": f"""with {GRAPH_SQL}, n as (select sample_id, count(*) as nodes from nodes group by 1), e as (select sample_id, count(*) as edges, count(*) filter (label = 'CFG') as cfg from edges group by 1),
  g as (select sample_id::bigint as k, nodes, coalesce(edges, 0) as edges, coalesce(cfg, 0) as cfg from n left join e using (sample_id))
  select case when k % 10 = 8 then 'val' when k % 10 = 9 then 'test' else 'train' end as part, count(*) as n, round(avg((k % 3 = 0)::int::double), 6) as positive_rate, median(nodes)::double as median_nodes, median(edges)::double as median_edges, round(avg((cfg = 0)::int::double), 6) as missing_cfg from g group by 1""",

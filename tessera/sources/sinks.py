@@ -16,9 +16,10 @@ def write_audit(cascade: DataFrame, excluded: DataFrame, path: str) -> None:
 
 
 def write_views(view_nodes: DataFrame, view_edges: DataFrame, path: str) -> None:
-    """Payload tables by view; a second run replaces the views that it holds and no others."""
+    """Payload tables by view; a second run replaces the views that it holds and no others. A view's samples
+    are dealt to 64 tasks."""
     for name, d in (("nodes", view_nodes), ("edges", view_edges)):
-        d.repartition("view").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("view").parquet(f"{path}/{name}")
+        d.repartition("view", F.pmod(F.xxhash64("sample_id"), F.lit(64))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("view").parquet(f"{path}/{name}")
 
 
 def upserted_index(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -31,6 +32,15 @@ def write_json_lines(d: DataFrame, path: str) -> None:
     d.select(*sorted(d.columns)).write.mode("overwrite").json(path)
 
 
+def write_run(metrics: dict[str, float], history: DataFrame, predictions: DataFrame, attention: DataFrame, path: str) -> None:
+    """What a run leaves: metrics (one JSON object), history and predictions (CSV), attention (JSON lines)."""
+    spark = predictions.sparkSession
+    spark.createDataFrame([tuple(metrics.values())], list(metrics)).coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+    history.orderBy("epoch").write.mode("overwrite").option("header", True).csv(f"{path}/history")
+    predictions.select("sample_id", "label", "probability", "prediction").write.mode("overwrite").option("header", True).csv(f"{path}/predictions")
+    attention.select("sample_id", "line", "score").write.mode("overwrite").json(f"{path}/attention")
+
+
 def heat_map_html(rows: list[dict], title: str) -> str:
     """A page of one sample's lines (line, text, score), shaded by score: a thin template over a top-k table."""
     esc = lambda s: str(s).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")

@@ -13,11 +13,11 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def exclusions(spark: SparkSession, path: str | None) -> DataFrame:
-    """sample_id, reason; no rows without a path. Of repeated ids one reason stays."""
+    """sample_id, reason; no rows without a path. Of repeated ids the last row stays."""
     schema = "sample_id string, reason string"
     if path is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("header", True).csv(path).groupBy("sample_id").agg(F.max("reason").alias("reason"))
+    return spark.read.schema(schema).option("header", True).csv(path).groupBy("sample_id").agg(F.max_by("reason", F.monotonically_increasing_id()).alias("reason"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
