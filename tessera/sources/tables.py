@@ -17,7 +17,7 @@ def exclusions(spark: SparkSession, path: str | None) -> DataFrame:
     schema = "sample_id string, reason string"
     if path is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("header", True).csv(path).groupBy("sample_id").agg(F.max_by("reason", F.monotonically_increasing_id()).alias("reason"))
+    return spark.read.schema(schema).option("header", True).csv(path).withColumn("__at", F.monotonically_increasing_id()).groupBy("sample_id").agg(F.max_by("reason", "__at").alias("reason"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
