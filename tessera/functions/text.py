@@ -50,7 +50,7 @@ def split_identifier(name: Column) -> Column:
 
 def semantic_tags(name: Column) -> Column:
     """Tags of the parts of a name, each once, in order."""
-    table = F.create_map(*[F.lit(x) for tag, parts in fixed.SEMANTIC_TAGS.items() for p in parts.split() for x in (p, tag)])
+    table = F.create_map(*[F.lit(x) for tag, parts in fixed.SEMANTIC_TAGS.items() for p in parts for x in (p, tag)])
     tags = F.transform(split_identifier(name), lambda p: F.try_element_at(table, p))
     return F.array_distinct(F.filter(tags, F.isnotnull))
 
@@ -72,7 +72,7 @@ def api_category(name: Column, wrappers: bool = True) -> Column:
     out = None
     for group in groups:
         for category, names in group.items():
-            out = F.when(name.isin(names.split()), category) if out is None else out.when(name.isin(names.split()), category)
+            out = F.when(name.isin(names), category) if out is None else out.when(name.isin(names), category)
     return out
 
 

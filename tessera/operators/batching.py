@@ -1,31 +1,61 @@
-"""Greedy batches under budgets, in a given order. A group is packed by one task, so groups bound what a task holds."""
+"""Greedy batches under budgets, in a given order, and the end of training."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import settled
+from .ordering import running
 
-def greedy_batches(rows: DataFrame, group: str, order: list[str], max_nodes: int, max_edges: int, skip_oversized: bool = True, max_rows: int | None = None) -> DataFrame:
+
+def _last_that_fits(d: DataFrame, group: str, budgets: dict[str, int]) -> DataFrame:
+    """(group, place, last) of rows (group, place, size and running total of each budget): the last row that a batch beginning at
+    a place can take within all budgets, by binary search in the totals: totals and what a batch may reach are put in one order
+    by value, and the largest place of a total so far is the answer to each question."""
+    asked = None
+    for name, most in budgets.items():
+        totals = d.select(F.col(group).alias("g"), F.lit(name).alias("budget"), F.col(f"{name}_sum").alias("value"), F.lit(0).alias("kind"), F.col("place").alias("total_of"), F.lit(None).cast("long").alias("asks"))
+        reach = d.select(F.col(group).alias("g"), F.lit(name).alias("budget"), (F.col(f"{name}_sum") - F.col(name) + most).alias("value"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("total_of"), F.col("place").alias("asks"))
+        both = totals.unionByName(reach)
+        asked = both if asked is None else asked.unionByName(both)
+    found = running(asked, ["g", "budget"], ["value", "kind"], {"last": F.col("total_of")}, largest=True).where("kind = 1")
+    return found.groupBy("g", F.col("asks").alias("place")).agg(F.min(F.coalesce("last", F.lit(0))).alias("last"))
+
+
+def greedy_batches(rows: DataFrame, group: str, order: list[str], max_nodes: int, max_edges: int, skip_oversized: bool = True, max_rows: int | None = None, max_batches: int | None = None) -> DataFrame:
     """rows with batch_id: rows join the open batch while both budgets hold, else a new one begins. A row beyond a
-    budget by itself is left out, or is a batch of its own. max_rows: also at most so many rows a batch (pairs, say). rows:
-    group, nodes, edges. An ordered fold over each group."""
-    over = (F.col("nodes") > max_nodes) | (F.col("edges") > max_edges)
-    d = rows.where(~over) if skip_oversized else rows
-    item = F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], F.col("nodes").cast("long").alias("nodes"), F.col("edges").cast("long").alias("edges"), F.struct(*[F.col(c) for c in rows.columns]).alias("row"))
-    lists = d.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("nodes"), F.lit(0).cast("long").alias("edges"), F.lit(True).alias("closed"), F.lit(0).cast("long").alias("rows"), F.array().cast("array<bigint>").alias("ids"))
+    budget by itself is left out, or is a batch of its own. max_rows: also at most so many rows a batch (pairs, say). max_batches: rows of
+    later batches of a group are left out (an epoch's cap, a limit that is the feature). rows: group, nodes, edges.
 
-    def step(a, x):  # noqa: ANN001, ANN202
-        big = (x["nodes"] > max_nodes) | (x["edges"] > max_edges)
-        fresh = a["closed"] | big | (a["nodes"] + x["nodes"] > max_nodes) | (a["edges"] + x["edges"] > max_edges)
-        fresh = fresh | (a["rows"] >= max_rows) if max_rows else fresh
-        batch = a["batch"] + fresh.cast("long")
-        keep = lambda c: F.when(fresh, F.lit(0).cast("long")).otherwise(a[c]) + x[c]
-        return F.struct(batch.alias("batch"), keep("nodes").alias("nodes"), keep("edges").alias("edges"), big.alias("closed"), (F.when(fresh, F.lit(0).cast("long")).otherwise(a["rows"]) + 1).alias("rows"), F.concat(a["ids"], F.array(batch)).alias("ids"))
-
-    folded = lists.select("items", F.aggregate("items", start, step, lambda a: a["ids"]).alias("ids"))
-    return folded.select(F.explode(F.arrays_zip("items", "ids")).alias("z")).select("z.items.row.*", F.col("z.ids").alias("batch_id"))
+    No task holds a group. Where the batch that begins at a row would end is a search in running totals by ranges; which rows do begin
+    one is found by pointer doubling: round k knows the first 2^k batches of every group and pointers 2^k batches long, so a
+    group of n batches takes log2(n) joins by (group, place). Null sizes count as 0, a null group is a group; equal rows are told apart
+    by where they happen to stand."""
+    size = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    over = (size("nodes") > max_nodes) | (size("edges") > max_edges)
+    d = rows.where(~over) if skip_oversized else rows
+    d = d.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(group).alias("g"), *[F.col(f"`{c}`").alias(f"by{k}") for k, c in enumerate(order)], size("nodes").alias("nodes"), size("edges").alias("edges"))
+    by = [*[f"by{k}" for k in range(len(order))], "nodes", "edges", F.xxhash64("row")]
+    d = settled(running(d, ["g"], by, {"nodes_sum": F.col("nodes"), "edges_sum": F.col("edges"), "place": F.lit(1).cast("long")}))
+    fits = _last_that_fits(d, "g", {"nodes": max_nodes, "edges": max_edges})
+    most = F.col("place") + (max_rows - 1 if max_rows else 1 << 60)
+    jump = settled(fits.select(F.col("g").alias("j"), F.col("place").alias("at"), (F.greatest(F.col("place"), F.least("last", most)) + 1).alias("to")))
+    starts = settled(d.where("place = 1").select("g", "place", F.lit(0).cast("long").alias("batch_id")))
+    places, span = settled(d.select(F.col("g").alias("h"), F.col("place").alias("there"))), 1
+    jump = settled(jump.join(places, F.col("j").eqNullSafe(F.col("h")) & (F.col("to") == F.col("there"))).select("j", "at", "to"))
+    while not max_batches or span < max_batches:
+        found = starts.join(jump, F.col("g").eqNullSafe(F.col("j")) & (F.col("place") == F.col("at")))
+        found = settled(found.select("g", F.col("to").alias("place"), (F.col("batch_id") + span).alias("batch_id")))
+        if found.isEmpty():
+            break
+        starts, span = starts.unionByName(found), 2 * span
+        on = jump.select(F.col("j").alias("j2"), F.col("at").alias("at2"), F.col("to").alias("to2"))
+        jump = settled(jump.join(on, F.col("j").eqNullSafe(F.col("j2")) & (F.col("to") == F.col("at2"))).select("j", "at", F.col("to2").alias("to")))
+    starts = starts.select(F.col("g").alias("s"), F.col("place").alias("first"), F.col("batch_id").alias("begins"))
+    d = d.select("g", "place", "row").join(starts, F.col("g").eqNullSafe(F.col("s")) & (F.col("place") == F.col("first")), "left")
+    d = running(d.select("g", "place", "row", "begins"), ["g"], ["place"], {"batch_id": F.col("begins")}, largest=True).select("row.*", "batch_id")
+    return d.where(F.col("batch_id") < max_batches) if max_batches else d
 
 
 def oversized(rows: DataFrame, max_nodes: int, max_edges: int) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b.cast("double"))
@@ -38,14 +43,20 @@ def confusion(rows: DataFrame, threshold: Column, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("samples"), *[F.count_if(v).alias(k) for k, v in counts.items()])
 
 
+def _summed(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, threshold, pos, neg and what is at or above each threshold (tp, fp) and below it (fn, tn). One key may have any share of the
+    rows: the sums run by ranges, and totals meet them in a join of keys."""
+    d = running(counts, keys, [-F.col("threshold")], {"tp": F.col("pos"), "fp": F.col("neg")})
+    whole = counts.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.sum("pos").alias("__pos"), F.sum("neg").alias("__neg"))
+    d = d.join(whole, reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.lit(True)))
+    return d.select(*counts.columns, "tp", "fp", (F.col("__pos") - F.col("tp")).alias("fn"), (F.col("__neg") - F.col("fp")).alias("tn"))
+
+
 def curve(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, threshold, pos, neg, tp, fp, fn, tn at each distinct probability: one row each, by running sums from the
-    top. Rows are summed per probability first, so a window holds distinct probabilities only."""
+    top over rows that are summed per probability first. At least one key."""
     d = rows.groupBy(*keys, F.col("probability").alias("threshold")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    d = d.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
-    return d.withColumn("fn", F.sum("pos").over(whole) - F.col("tp")).withColumn("tn", F.sum("neg").over(whole) - F.col("fp"))
+    return _summed(d, keys)
 
 
 def best_threshold(rows: DataFrame, keys: list[str], by: str = "f1") -> DataFrame:
@@ -82,9 +93,7 @@ def guarded_scan(rows: DataFrame, keys: list[str], objective: str = "f1", recall
     ends = rows.select(*keys).distinct().select(*keys, F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))).alias("probability"), F.lit(None).cast("int").alias("label"))
     both = rows.select(*keys, F.col("probability").cast("double").alias("probability"), F.col("label").cast("int").alias("label")).unionByName(ends)
     d = both.groupBy(*keys, F.col("probability").alias("threshold")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
-    down, whole = Window.partitionBy(*keys).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
-    d = d.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
-    d = rates(d.withColumn("fn", F.sum("pos").over(whole) - F.col("tp")).withColumn("tn", F.sum("neg").over(whole) - F.col("fp")), 9)
+    d = rates(_summed(d, keys), 9)
     for column, bound, op in (("recall", recall_max, "<="), ("positive_rate", positive_rate_max, "<="), ("precision", min_precision, ">=")):
         if bound is not None:
             d = d.where(f"{column} {op} {bound}D")

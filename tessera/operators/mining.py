@@ -42,8 +42,8 @@ def motif_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     call = F.when(F.col("label") == "CALL", names).otherwise(F.array().cast("array<string>"))
     short = F.transform(call, lambda n: F.lower(F.element_at(F.split(n, r"\."), -1)))
     flag = lambda words, of: F.max(F.arrays_overlap(of, F.array(*[F.lit(w) for w in words])).cast("double"))
-    aggs = [flag(words.split(), short).alias(k) for k, words in fixed.MOTIF_APIS.items()]
-    aggs += [flag([f"<operator>.{w}" for w in words.split()], call).alias(k) for k, words in fixed.MOTIF_OPERATORS.items()]
+    aggs = [flag(words, short).alias(k) for k, words in fixed.MOTIF_APIS.items()]
+    aggs += [flag([f"<operator>.{w}" for w in words], call).alias(k) for k, words in fixed.MOTIF_OPERATORS.items()]
     code = F.lower(F.coalesce("code", F.lit("")))
     errors = sum(((F.length(code) - F.length(F.replace(code, F.lit(t), F.lit("")))) / len(t) for t in fixed.ERROR_RETURNS), F.lit(0.0))
     log = lambda c: F.round(F.log1p(c), 6)

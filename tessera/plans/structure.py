@@ -299,7 +299,7 @@ _SYMBOLS = """symbols as (select l_orderkey::varchar as sample_id, name, prefix
  select l_orderkey, 'fn_' || (l_partkey % 7) as name, 'FUNC' as prefix, 6 as priority, min(i) as first_i from items group by 1, 2 union all select l_orderkey, 'loc' || (l_suppkey % 5), 'VAR', 2, min(i) from items group by 1, 2))"""
 _IDS = f"toks as (select unnest({tokens_sql('html')}) as t from pages), ids as (select t from toks where {KIND_SQL} = 'ID')"
 _PARTS = "parts as (select unnest(list_filter(list_transform(string_split(replace(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '-', '_'), '_'), lambda p: lower(p)), lambda p: p <> '')) as part, rid from (select t, row_number() over () as rid from ids))"
-_TAGS = "(values " + ", ".join(f"('{p}', '{tag}')" for tag, parts in fixed.SEMANTIC_TAGS.items() for p in parts.split()) + ") as tags(part, tag)"
+_TAGS = "(values " + ", ".join(f"('{p}', '{tag}')" for tag, parts in fixed.SEMANTIC_TAGS.items() for p in parts) + ") as tags(part, tag)"
 _CATEGORY = "case " + " ".join(f"when regexp_matches(lower(line), {_q(p)}) then {_q(n)}" for n, p in fixed.CODE_CATEGORIES) + " else 'other' end"
 _REL = "rel as (select * from (values " + ", ".join(f"('{v}', '{r}', {k}, {len(rels)})" for v, rels in fixed.VIEW_RELATIONS.items() for k, r in enumerate(rels)) + ") as r(view, label, relation_id, n_rel))"
 _TYPED = f"{_REL}, typed as (select e.*, view, relation_id, n_rel from edges e join rel using (label))"

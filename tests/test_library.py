@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import batching, ensembles, graph, metrics, mining, prep, report, scope, windows
+from tessera.operators import batching, ensembles, graph, metrics, mining, ordering, prep, report, scope, windows
 from tessera.sources import graphml, sinks, tables
 from tessera.streaming import ingest
 
@@ -72,17 +74,30 @@ def test_closure_ends_on_cycles(spark):
     assert {r.node_id for r in graph.closure(e, roots).collect()} == {"1", "2", "3"}
 
 
-def linear_slice(spark, code):
-    nodes = [("1", "METHOD", "f"), ("2", "BLOCK", ""), ("3", "CALL", code), ("4", "CALL", "a"), ("5", "CALL", "b"), ("6", "CALL", "c"), ("7", "IDENTIFIER", "suffix")]
-    edges = [("1", "2", "AST"), ("2", "3", "AST"), ("2", "4", "AST"), ("2", "5", "AST"), ("3", "7", "AST"), ("3", "4", "CFG"), ("4", "5", "CFG"), ("5", "6", "CFG"), ("7", "3", "REACHING_DEF")]
+CALLS = {"open": "file = probe()", "pull": "got = recv(sock, page, 512)", "loop": "retry(got)", "tail": "finish()", "far": "later()"}
+
+
+def page_slice(spark, calls, extra=()):
+    """The slice of a method `fill` whose block holds five calls in a ring of control flow; `got` is read in `loop`, written in `pull`."""
+    nodes = [("fill", "METHOD", "fill"), ("body", "BLOCK", ""), ("sock", "IDENTIFIER", "sock"), ("page", "IDENTIFIER", "page"), ("got", "IDENTIFIER", "got"), ("why", "CONTROL_STRUCTURE", "if (got)"), ("lost", "RETURN", "return")]
+    nodes += [(k, "CALL", v) for k, v in calls.items()] + list(extra)
+    ring = ["open", "pull", "loop", "tail", "far"]
+    edges = [("fill", "body", "AST"), ("body", "why", "AST"), ("why", "lost", "AST"), ("pull", "sock", "AST"), ("pull", "page", "AST"), ("loop", "got", "AST")]
+    edges += [("body", k, "AST") for k in ring] + [("body", k[0], "AST") for k in extra]
+    edges += [(a, b, "CFG") for a, b in zip(ring, ring[1:] + ring[:1])]
+    edges += [("pull", "loop", "REACHING_DEF"), ("loop", "tail", "REACHING_DEF"), ("tail", "far", "REACHING_DEF"), ("why", "pull", "CDG")]
     n = spark.createDataFrame([("s", *x) for x in nodes], "sample_id string, node_id string, label string, code string")
     e = spark.createDataFrame([("s", *x, k) for k, x in enumerate(edges)], "sample_id string, src string, dst string, label string, edge_pos int")
-    return {r.node_id for r in graph.risk_slice(n, e, n, n.where("node_id = '1'")).collect()}
+    return {r.node_id for r in graph.risk_slice(n, e, n, n.where("node_id = 'fill'")).collect()}
 
 
 def test_slices(spark):
-    assert linear_slice(spark, "strcat(path, suffix)") == {"1", "2", "3", "4", "7"}
-    assert linear_slice(spark, "render(path, suffix)") == {"1", "2"}
+    # recv is the seed: its flow neighbours (open, loop), two definitions on (loop, tail), what decides it (why), the calls' operands, and the way up
+    assert page_slice(spark, CALLS) == {"fill", "body", "why", "open", "pull", "loop", "tail", "sock", "page", "got"}
+    quiet = CALLS | {"pull": "got = ask(sock, page)"}
+    assert page_slice(spark, quiet) == {"fill", "body"}  # no seed: the method and its block
+    assert page_slice(spark, quiet, [("cell", "IDENTIFIER", "rows[n]")]) == {"fill", "body", "cell"}  # a memory access stands in
+    assert "cell" not in page_slice(spark, CALLS, [("cell", "IDENTIFIER", "rows[n]")])  # but not beside a risky call
 
 
 def test_dictionary_goes_on(spark):
@@ -91,11 +106,14 @@ def test_dictionary_goes_on(spark):
     assert {(r.text_id, r.text) for r in graph.dictionary(d, ["pos"], known=first).collect()} == {(0, "b"), (1, "a"), (2, "c")}
 
 
-def test_split_of_forty(spark):
-    rows = spark.createDataFrame([(f"s{i}", i % 2, f"group-{i % 2}-{i // 4}") for i in range(40)], "sample_id string, label int, source_hash string")
-    n = {r["part"]: r["count"] for r in prep.stratified_split(rows).groupBy("part").count().collect()}
-    assert n == {"train": 32, "val": 4, "test": 4}
-    assert prep.leaking_groups(prep.grouped_split(rows)).count() == 0
+def test_split_sizes(spark):
+    # 25 quiet and 35 loud rows: 20 and 28 to train, 2.5 and 3.5 to validation by rounding to even, the rest to test
+    rows = spark.createDataFrame([(f"row{i}", int(i >= 25), f"file{i // 5}") for i in range(60)], "sample_id string, label int, source_hash string")
+    n = {(r.label, r.part): r["count"] for r in prep.stratified_split(rows).groupBy("label", "part").count().collect()}
+    assert n == {(0, "train"): 20, (0, "val"): 2, (0, "test"): 3, (1, "train"): 28, (1, "val"): 4, (1, "test"): 3}
+    grouped = prep.grouped_split(rows)
+    assert prep.leaking_groups(grouped).count() == 0
+    assert {r.source_hash: r["count"] for r in grouped.groupBy("source_hash").count().collect()} == {f"file{k}": 5 for k in range(12)}
     with pytest.raises(Exception, match="several labels"):
         prep.grouped_split(rows.selectExpr("sample_id", "label", "'one' as source_hash")).collect()
 
@@ -110,22 +128,107 @@ def test_source_maps(spark):
             prep.validated_overrides(spark.createDataFrame(bad, "sample_id string, line_offset string, notes string"), known).collect()
 
 
-def test_thresholds(spark):
-    d = spark.createDataFrame([("x", 0, 0.1), ("x", 0, 0.4), ("x", 1, 0.6), ("x", 1, 0.9)], "k string, label int, probability double")
-    assert metrics.best_threshold(d, ["k"]).first().threshold == 0.6
-    e = spark.createDataFrame([("x", 0, 0.2), ("x", 0, 0.8), ("x", 1, 0.7), ("x", 1, 0.9)], "k string, label int, probability double")
-    assert metrics.roc_auc(e, ["k"]).first().roc_auc == 0.75
-    assert metrics.roc_auc(e.where("label = 1"), ["k"]).first().roc_auc is None
+def by_hand(rows):
+    """Best thresholds, ROC AUC and average precision of (label, probability) rows, pair by pair and threshold by threshold."""
+    at = {}
+    for t in {p for _, p in rows}:
+        tp, fp = (sum(p >= t and y == label for y, p in rows) for label in (1, 0))
+        pos, neg = (sum(y == label for y, _ in rows) for label in (1, 0))
+        root = math.sqrt((tp + fp) * pos * neg * (pos + neg - tp - fp))
+        at[t] = (2 * tp / (tp + fp + pos), (tp * (neg - fp) - fp * (pos - tp)) / root if root else 0.0, tp, fp)
+    ups, downs = ([p for y, p in rows if y == label] for label in (1, 0))
+    auc = sum((a > b) + (a == b) / 2 for a in ups for b in downs) / (len(ups) * len(downs)) if ups and downs else None
+    steps, ap, before = sorted(at, reverse=True), 0.0, 0
+    for t in steps:
+        ap += (at[t][2] - before) / max(len(ups), 1) * at[t][2] / (at[t][2] + at[t][3])
+        before = at[t][2]
+    return *(max((round(at[t][k], 9), t)[::1] for t in at)[1] for k in (0, 1)), auc, ap if ups else None
+
+
+def test_curves_of_skewed_keys(spark):
+    r = random.Random(11)
+    rows = [("hot", int(r.random() < 0.3), r.randrange(400) / 400) for _ in range(3000)]
+    rows += [(f"cold{k}", int(r.random() < 0.5), r.randrange(9) / 8) for k in range(12) for _ in range(8)] + [("one-sided", 1, 0.25), ("one-sided", 1, 0.75), (None, 0, 0.5), (None, 1, 0.5)]
+    d = spark.createDataFrame(rows, "k string, label int, probability double")
+    f1, mcc = ({x.k: x.threshold for x in metrics.best_threshold(d, ["k"], m).collect()} for m in ("f1", "mcc"))
+    auc, ap = {x.k: x.roc_auc for x in metrics.roc_auc(d, ["k"]).collect()}, {x.k: x.average_precision for x in metrics.average_precision(d, ["k"]).collect()}
+    keys = {k for k, _, _ in rows}
+    assert set(f1) == set(mcc) == set(auc) == set(ap) == keys
+    for key in keys:
+        want = by_hand([(y, p) for k, y, p in rows if k == key])
+        assert (f1[key], mcc[key]) == want[:2]
+        assert auc[key] == (None if want[2] is None else pytest.approx(want[2], abs=1e-6))
+        assert ap[key] == (None if want[3] is None else pytest.approx(want[3], abs=1e-6))
+    assert metrics.curve(d.limit(0), ["k"]).count() == 0
+
+
+def test_a_running_sum_is_spread(spark):
+    """One key holds all but a few rows; its sums are right and come from many tasks."""
+    d = spark.range(20_000).selectExpr("if(id % 1000 = 7, 'cold', if(id = 13, null, 'hot')) as k", "id", "id % 10 as v")
+    out = ordering.running(d, ["k"], ["id"], {"so_far": F.col("v"), "count": F.lit(1).cast("long")}).withColumn("task", F.spark_partition_id()).collect()
+    sums, n = {}, {}
+    for x in sorted(out, key=lambda x: x.id):
+        sums[x.k], n[x.k] = sums.get(x.k, 0) + x.v, n.get(x.k, 0) + 1
+        assert (x.so_far, x["count"]) == (sums[x.k], n[x.k])
+    most, top = ordering.running(d, ["k"], ["id"], {"top": F.when(F.col("v") == 3, F.col("id"))}, largest=True).collect(), {}
+    for x in sorted(most, key=lambda x: x.id):
+        top[x.k] = x.id if x.v == 3 else top.get(x.k)
+        assert x.top == top[x.k]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spread = ordering.running(d, ["k"], ["id"], {"so_far": F.col("v")}).where("k = 'hot'").select(F.spark_partition_id().alias("task")).distinct()
+        assert spread.count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def batches_by_hand(sizes, nodes, edges, skip, rows=None):
+    out, batch, n, e, c, shut = [], -1, 0, 0, 0, True
+    for a, b in sizes:
+        big = a > nodes or b > edges
+        if big and skip:
+            out.append(None)
+            continue
+        if shut or big or n + a > nodes or e + b > edges or (rows and c >= rows):
+            batch, n, e, c = batch + 1, 0, 0, 0
+        n, e, c, shut = n + a, e + b, c + 1, big
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize(("skip", "rows", "most"), [(True, None, None), (False, None, None), (False, 3, None), (True, 2, 5)])
+def test_batches(spark, skip, rows, most):
+    r = random.Random(5)
+    groups = {g: [(r.choice([0, 1, 2, 5, 9, 14]), r.choice([0, 3, 7, 31])) for _ in range(n)] for g, n in (("long", 300), ("short", 4), ("one", 1), (None, 17))}
+    d = spark.createDataFrame([(g, i, a, b, "kept") for g, v in groups.items() for i, (a, b) in enumerate(v)], "g string, i int, nodes int, edges int, batch string")
+    got = {(x.g, x.i): x.batch_id for x in batching.greedy_batches(d.repartition(5), "g", ["i"], 13, 30, skip, rows, most).collect()}
+    want = {(g, i): b for g, v in groups.items() for i, b in enumerate(batches_by_hand(v, 13, 30, skip, rows)) if b is not None and (most is None or b < most)}
+    assert got == want
+    assert {(x.g, x.i) for x in batching.oversized(d, 13, 30).collect()} == {(g, i) for g, v in groups.items() for i, (a, b) in enumerate(v) if a > 13 or b > 30}
+    assert batching.greedy_batches(d.limit(0), "g", ["i"], 13, 30).count() == 0
+
+
+def test_one_group_of_a_million_rows(spark):
+    d = spark.range(1_000_000).selectExpr("'all' as g", "id", "cast(1 + id % 7 as int) as nodes", "cast(id * 37 % 11 as int) as edges")
+    out = batching.greedy_batches(d, "g", ["id"], 400_000, 500_000)
+    want = batches_by_hand([(1 + i % 7, i * 37 % 11) for i in range(1_000_000)], 400_000, 500_000, True)
+    counts = {}
+    for b in want:
+        counts[b] = counts.get(b, 0) + 1
+    first = {x.batch_id: (x.n, x.low) for x in out.groupBy("batch_id").agg(F.count("*").alias("n"), F.min("id").alias("low")).collect()}
+    assert first == {b: (n, want.index(b)) for b, n in counts.items()} and len(counts) == 11
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert out.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_batches(spark):
-    d = spark.createDataFrame([("g", 0, 10, 20), ("g", 1, 9000, 70000), ("g", 2, 10, 20)], "g string, i int, nodes int, edges int")
-    run = lambda skip: {r.i: r.batch_id for r in batching.greedy_batches(d, "g", ["i"], 8000, 60000, skip).collect()}
-    assert run(False) == {0: 0, 1: 1, 2: 2}
-    assert run(True) == {0: 0, 2: 0}
-    assert [r.i for r in batching.oversized(d, 8000, 60000).collect()] == [1]
-    h = spark.createDataFrame(list(enumerate([0.1, 0.5, 0.4, 0.3, 0.2, 0.9])), "epoch int, m double")
-    assert tuple(batching.early_stop(h, "m", 3).first()) == (1, 4, 0.5)
+def test_the_end_of_training(spark):
+    scores = [0.31, 0.58, 0.57, 0.58, 0.44, 0.97, 0.99]  # two epochs without a better one end it: the seventh and sixth are not seen
+    h = spark.createDataFrame(list(enumerate(scores)), "epoch int, m double")
+    assert tuple(batching.early_stop(h, "m", 2).first()) == (1, 3, 0.58)
+    assert tuple(batching.early_stop(h, "m", 4).first()) == (6, 6, 0.99)
 
 
 def test_windows(spark):
@@ -138,10 +241,11 @@ def test_windows(spark):
 
 
 def test_pair_metrics(spark):
-    pairs = spark.createDataFrame([("p1", "n1"), ("p1", "n2"), ("p2", "n3")], "positive_id string, negative_id string")
-    scores = spark.createDataFrame([("p1", 2.0, 0.9), ("p2", 0.9, 0.6), ("n1", 1.0, 0.7), ("n2", 3.0, 0.8), ("n3", 0.5, 0.2)], "id string, logit double, probability double")
-    r = mining.pair_metrics(pairs, scores, spark.createDataFrame([("p1",), ("p2",), ("p3",)], "id string")).first()
-    assert tuple(r) == (0.666667, 0.666667, 0.133333, 0.666667, 1.5)
+    # gaps: x-k 1.25, x-m -0.5, y-k 0.25, y-o 0.0 (no win); of k, m, o two are taken for positive; of five positives two have pairs
+    pairs = spark.createDataFrame([("x", "k"), ("x", "m"), ("y", "k"), ("y", "o")], "positive_id string, negative_id string")
+    scores = spark.createDataFrame([("x", 1.5, 0.8), ("y", 0.5, 0.6), ("k", 0.25, 0.55), ("m", 2.0, 0.9), ("o", 0.5, 0.45), ("z", 9.0, 1.0)], "id string, logit double, probability double")
+    r = mining.pair_metrics(pairs, scores, spark.createDataFrame([(x,) for x in "xyzuv"], "id string")).first()
+    assert tuple(r) == (0.5, 0.666667, 0.25, 0.4, 2.0)
 
 
 def test_reports_and_sinks(spark, tmp_path):
@@ -179,12 +283,10 @@ def test_normalized_nodes(spark):
         scope.normalized_nodes(g, None, "full-anon")
 
 
-def test_seed_types_and_pair_batches(spark):
-    n = spark.createDataFrame([("a", "1", "CALL", "x", "lib.Read", ""), ("a", "2", "LOCAL", "", "", "p[1]"), ("b", "1", "LOCAL", "", "", "*p"), ("b", "2", "BLOCK", "", "", "*p")], "sample_id string, node_id string, label string, name string, method_full_name string, code string")
-    assert {(r.sample_id, r.node_id): r.seed_type for r in graph.seed_types(n).collect()} == {("a", "1"): 1, ("a", "2"): 0, ("b", "1"): 2, ("b", "2"): 0}
-    d = spark.createDataFrame([("g", 0, 6, 10), ("g", 1, 5, 10), ("g", 2, 2, 4)], "g string, i int, nodes int, edges int")
-    assert {r.i: r.batch_id for r in batching.greedy_batches(d, "g", ["i"], 8, 20).collect()} == {0: 0, 1: 1, 2: 1}
-    assert {r.i: r.batch_id for r in batching.greedy_batches(d, "g", ["i"], 80, 200, max_rows=2).collect()} == {0: 0, 1: 0, 2: 1}
+def test_seed_types(spark):
+    rows = [("f", "call", "CALL", "x", "net.Recvfrom", ""), ("f", "slot", "LOCAL", "", "", "row[7]"), ("g", "slot", "IDENTIFIER", "", "", "cur->next"), ("g", "text", "LITERAL", "", "", "a[1]"), ("g", "call", "CALL", "emit", "", "emit(w)"), ("h", "call", "CALL", "join", "", "join(w)")]
+    n = spark.createDataFrame(rows, "sample_id string, node_id string, label string, name string, method_full_name string, code string")
+    assert {(r.sample_id, r.node_id): r.seed_type for r in graph.seed_types(n).collect()} == {("f", "call"): 1, ("f", "slot"): 0, ("g", "slot"): 2, ("g", "text"): 0, ("g", "call"): 0, ("h", "call"): 0}
 
 
 def test_registry_digest_and_rebuilds(spark):
