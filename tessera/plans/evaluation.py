@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import ensembles, metrics, mining, prep
+from ..operators import ensembles, metrics, mining, mining_blocks, prep
 from .bindings import PREDICTIONS_SQL, predictions, retrieval, samples, table
 
 KEYS = ["part", "model"]
@@ -133,6 +133,26 @@ def hard_negative_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.hard_negative_bank(pairs, 3).select("positive_id", "negative_id", "rank", "pair_score")
 
 
+_BRANDS, _NAMES, _TYPES = 25, ("ring", "widget", "bolt", "gear"), ("ECONOMY", "SMALL", "STANDARD", "PROMO", "LARGE")
+
+
+def _part_vectors(spark: SparkSession, sf_dir: str, positive: bool) -> DataFrame:
+    """Parts as vectors of flags (words of the name, type, groups of brands), counts (orders, items, returns, suppliers) and sizes; small parts are positive."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count_distinct("l_orderkey").alias("orders"), F.count("*").alias("items"), F.count_if(F.col("l_returnflag") == "R").alias("returns"), F.count_distinct("l_suppkey").alias("suppliers"))
+    d = table(spark, sf_dir, "part").join(li, "p_partkey")
+    brand = F.substring("p_brand", 7, 2).cast("int")
+    flags = [F.contains("p_name", F.lit(w)) for w in _NAMES] + [F.col("p_type") == t for t in _TYPES] + [brand % 4 == k for k in range(4)]
+    d = d.where((F.col("p_size") <= 5) == F.lit(positive))
+    vector = lambda *c: F.array(*[x.cast("double") for x in c])
+    return d.select(F.col("p_partkey").alias("id"), vector(*flags).alias("motif"), vector(*[F.col(c) for c in ("orders", "items", "returns", "suppliers")]).alias("structure"), vector(F.floor(F.col("p_retailprice") / 50), F.col("p_size") % 7).alias("scale"), (F.col("p_partkey") % 20 / 20.0).alias("fp"))
+
+
+def mined_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of small parts, by blocks."""
+    bank, _ = mining_blocks.mined_bank(_part_vectors(spark, sf_dir, True), _part_vectors(spark, sf_dir, False), 0.4, 3)
+    return bank
+
+
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = mining.scored_pairs(retrieval(spark, sf_dir, 1), retrieval(spark, sf_dir, 0), 0.25)
     return mining.review_queue(pairs).select("positive_id", "negative_id", "rank", "pair_score")
@@ -159,7 +179,7 @@ def weak_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.weak_baselines(e, {g: [f"f{k}" for k in ks] for g, ks in groups.items()}).select("feature_group", "part", "n", "positives", (F.col("train_auc") > 0.5).alias("better_than_chance"))
 
 
-QUERIES = [source_hash_groups, strict_split_summary, stratified_split, leaking_groups, exclusion_cascade, evenly_sampled, confusion, best_f1_threshold, best_mcc_threshold, metrics_at_thresholds, roc_auc, average_precision, roc_points, guarded_scan, prediction_shift, simplex_grid, ensemble_scan, fixed05_combos, hard_negative_bank, review_queue, random_bank, fp_bank, pair_metrics, weak_baselines]
+QUERIES = [source_hash_groups, strict_split_summary, stratified_split, leaking_groups, exclusion_cascade, evenly_sampled, confusion, best_f1_threshold, best_mcc_threshold, metrics_at_thresholds, roc_auc, average_precision, roc_points, guarded_scan, prediction_shift, simplex_grid, ensemble_scan, fixed05_combos, hard_negative_bank, mined_bank, review_queue, random_bank, fp_bank, pair_metrics, weak_baselines]
 
 _SPLIT = f"""split as (select *, case when r <= train_n then 'train' when r <= train_n + val_n then 'val' else 'test' end as part from (select *, {SIZES_SQL} from (
  select *, count(*) over (partition by label) as n, row_number() over (partition by label order by sha256('42' || label::varchar || sample_id), sample_id) as r from samples)))"""
@@ -227,6 +247,16 @@ ORACLES = {
     "fixed05_combos": f"""with {PREDICTIONS_SQL}, {_WIDE}, mixed as (select weight_id, label, round(p[1] * w[1] + p[2] * w[2] + p[3] * w[3] + p[4] * w[4], 9) as q from wide, {_subset_rows(4, 5, 3)}),
  c as (select weight_id, {_COUNTS} from mixed group by 1), r as (select *, {rates_sql()} from c) select weight_id, tp, fp, fn, tn, f1, mcc from r where recall <= 0.95 and positive_rate <= 0.9 order by f1 desc, mcc desc, weight_id limit 20""",
     "hard_negative_bank": f"with {_PAIRS} select positive_id, negative_id, rank::int as rank, pair_score from ranked where rank >= floor(n * 0.05::double) and rank < least(greatest(floor(n * 0.05::double) + 1, floor(n * 0.3::double)), floor(n * 0.05::double) + 3)",
+    "mined_bank": f"""with li as (select l_partkey as p_partkey, count(distinct l_orderkey) as orders, count(*) as items, count(*) filter (l_returnflag = 'R') as returns, count(distinct l_suppkey) as suppliers from lineitem group by 1),
+ v as (select p_partkey as id, p_size <= 5 as positive, [{', '.join([f"(contains(p_name, '{w}'))::int::double" for w in _NAMES] + [f"(p_type = '{t}')::int::double" for t in _TYPES] + [f"(substr(p_brand, 7, 2)::int % 4 = {k})::int::double" for k in range(4)])}] as m,
+ [orders::double, items::double, returns::double, suppliers::double] as s, [floor(p_retailprice / 50), (p_size % 7)::double] as c, p_partkey % 20 / 20.0::double as fp from part join li using (p_partkey)),
+ l as (select *, sqrt(list_dot_product(m, m)) as ml, sqrt(list_dot_product(s, s)) as sl from v),
+ parts as (select p.id as positive_id, n.id as negative_id, case when p.ml * n.ml = 0 then 0 else round(1000000 * list_dot_product(p.m, n.m) / (p.ml * n.ml))::bigint end as m, case when p.sl * n.sl = 0 then 0 else round(1000000 * list_dot_product(p.s, n.s) / (p.sl * n.sl))::bigint end as s,
+ round(1000000 / (1 + (abs(p.c[1] - n.c[1]) + abs(p.c[2] - n.c[2])) / 2))::bigint as c, round(1000000 * n.fp)::bigint as fp from l p, l n where p.positive and not n.positive),
+ scored as (select *, (40 * m + 30 * s + 15 * c + 15 * fp + 50) // 100 as score from parts where (40 * m + 30 * s + 15 * c + 15 * fp + 50) // 100 >= 400000),
+ ranked as (select *, row_number() over (partition by positive_id order by score desc, negative_id) - 1 as rank, count(*) over (partition by positive_id) as n from scored)
+ select positive_id, negative_id, rank::int as rank, score / 1000000.0::double as pair_score, m / 1000000.0::double as motif_similarity, s / 1000000.0::double as structure_similarity, c / 1000000.0::double as scale_similarity, fp / 1000000.0::double as false_positive_probability
+ from ranked where rank >= floor(n * 0.05::double) and rank < least(greatest(floor(n * 0.05::double) + 1, floor(n * 0.3::double)), floor(n * 0.05::double) + 3)""",
     "review_queue": f"with {_PAIRS} select positive_id, negative_id, rank::int as rank, pair_score from ranked where rank < greatest(1, floor(n * 0.05::double))",
     "random_bank": f"with {_RANDOM} select * from bank",
     "fp_bank": f"with {_FP} select * from bank",

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import batching, ensembles, graph, metrics, mining, ordering, prep, report, scope, windows
+from tessera.operators import batching, ensembles, graph, metrics, mining, mining_blocks, ordering, prep, report, scope, windows
 from tessera.sources import graphml, sinks, tables
 from tessera.streaming import ingest
 
@@ -316,3 +316,34 @@ def test_a_label_is_split_by_many_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len({r.task for r in out if r.label == 1}) > 1
     assert [sum(r.label == label and r.part == p for r in out) for label in (1, None) for p in ("train", "val", "test")] == [1520, 190, 190, 80, 10, 10]
+
+
+def sided(spark, rows):
+    return spark.createDataFrame(rows, "id long, motif array<double>, structure array<double>, scale array<double>, fp double")
+
+
+def test_mining_by_blocks_gives_the_rows_of_all_pairs(spark):
+    r = random.Random(8)
+    kinds = [[float(r.random() < 0.4) for _ in range(6)] for _ in range(12)] + [[0.0] * 6]
+    row = lambda k: (k, r.choice(kinds), [float(r.randrange(4)) for _ in range(3)], [float(r.randrange(3))], r.choice([None, 0.0, 0.25, 0.5, 1.0]))
+    p, n = [row(k) for k in range(60)], [row(1000 + k) for k in range(400)]
+    p += [(99, None, [1.0] * 3, [0.0], None), (98, [1.0, None] + [0.0] * 4, [1.0] * 3, [0.0], None)]  # no number, no score
+    P, N = sided(spark, p), sided(spark, n)
+    for least, most, share in ((0.2, 3, (0.05, 0.3)), (0.6, 2, (0.0, 0.1)), (0.0, 5, (0.5, 0.9)), (2.0, 1, (0.05, 0.3))):
+        columns = ["positive_id", "negative_id", "rank", "pair_score", "motif_similarity", "structure_similarity", "scale_similarity", "false_positive_probability"]
+        want = {tuple(x) for x in mining.hard_negative_bank(mining.scored_pairs(P, N, least), most, share).select(*columns).collect()}
+        got = [tuple(x) for x in mining_blocks.mined_bank(P, N, least, most, share, block=16)[0].select(*columns).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert mining_blocks.mined_bank(P.limit(0), N, 0.2, 3)[0].count() == 0
+    assert mining_blocks.mined_bank(P, N.limit(0), 0.2, 3)[0].count() == 0
+
+
+def test_few_pairs_are_scored_where_rows_are_alike(spark):
+    """Flags and counts of 40 kinds: under a third of the pairs are scored, counting twice what is scored twice."""
+    d = spark.range(6000).selectExpr("id", "id % 40 as kind")
+    side = lambda k: d.where(f"id % 3 = {k}").selectExpr("id", "transform(sequence(0, 12), i -> cast(hash(kind, i) & 1 as double)) as motif", "transform(sequence(0, 3), i -> cast(1 + abs(hash(kind, i)) % 9 as double)) as structure", "transform(sequence(0, 5), i -> cast(abs(hash(kind, i)) % 5 as double)) as scale", "id % 10 / 10D as fp")
+    bank, plan = mining_blocks.mined_bank(side(0), side(1), 0.5, 3, block=50)
+    want = mining.hard_negative_bank(mining.scored_pairs(side(0), side(1), 0.5), 3)
+    columns = ["positive_id", "negative_id", "rank", "pair_score"]
+    assert {tuple(x) for x in bank.select(*columns).collect()} == {tuple(x) for x in want.select(*columns).collect()}
+    assert plan.agg(F.sum(F.col("p_rows") * F.col("n_rows"))).first()[0] < 2000 * 2000 / 3
