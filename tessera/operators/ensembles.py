@@ -5,14 +5,13 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import settled
-from .metrics import confusion, rates
-
-#: Most points of a grid; a grid is a parameter, not data, and is broadcast.
-MAX_GRID = 200_000
+from .metrics import rates
+from .ordering import numbered
+from .sweeps import MAX_GRID, counts_at
 
 
 def simplex_grid(spark: SparkSession, models: int, steps: int, positive: bool = False) -> DataFrame:
@@ -60,15 +59,9 @@ def id_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return d.where("a is null or b is null").select("sample_id", F.when(F.col("a").isNull(), "second").otherwise("first").alias("only_in"))
 
 
-def weighted(rows: DataFrame, grid: DataFrame) -> DataFrame:
-    """rows beside each point of a grid (bounded by MAX_GRID, broadcast), with the weighted probability."""
-    p = F.aggregate(F.zip_with("probabilities", "weights", lambda a, w: a * w), F.lit(0.0), lambda s, x: s + x)
-    return rows.join(F.broadcast(grid)).withColumn("probability", F.round(p, 9))
-
-
 def scan_grid(rows: DataFrame, grid: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Metrics of each grid point at a fixed threshold. Only counts are shuffled."""
-    return rates(confusion(weighted(rows, grid), F.lit(threshold), ["weight_id"]))
+    """Metrics of each grid point at a fixed threshold. Tasks add up counts by point; no row is repeated for a point."""
+    return rates(counts_at(rows, grid, threshold))
 
 
 def best_points(scan: DataFrame, top: int, by: tuple[str, str] = ("f1", "mcc"), recall_max: float = 1.0, positive_rate_max: float = 1.0) -> DataFrame:
@@ -91,8 +84,11 @@ def logistic_stack(train: DataFrame, models: int, space: str = "both", folds: in
     k = min([folds, *sizes.values()])
     if len(sizes) < 2 or k < 2:
         return train.limit(0).select("sample_id", "label", F.lit(0.0).alias("probability"))
-    order = Window.partitionBy("label").orderBy(F.sha2(F.concat(F.lit(str(seed)), "sample_id"), 256), "sample_id")
-    d = settled(train.select("sample_id", "label", array_to_vector(features).alias("features"), ((F.row_number().over(order) - 1) % k).alias("fold")))
+    d = train.select("sample_id", "label", array_to_vector(features).alias("features"))
+    d = numbered(d, "at", "label", F.sha2(F.concat(F.lit(str(seed)), "sample_id"), 256), "sample_id")  # a label over many tasks
+    starts = {label: sum(n for other, n in sizes.items() if other < label) for label in sizes}
+    first = F.coalesce(*[F.when(F.col("label") == label, n) for label, n in starts.items()])
+    d = settled(d.select("sample_id", "label", "features", ((F.col("at") - first) % k).alias("fold")))
     total, out = sum(sizes.values()), None
     for fold in range(k):
         fit = LogisticRegression(maxIter=100, regParam=1 / (c * total * (k - 1) / k), standardization=False).fit(d.where(F.col("fold") != fold))

@@ -89,7 +89,7 @@ def roc_points(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def guarded_scan(rows: DataFrame, keys: list[str], objective: str = "f1", recall_max: float | None = None, positive_rate_max: float | None = None, min_precision: float | None = None) -> DataFrame:
     """keys, threshold and rates of the best threshold that violates no guard; keys without one have no row. Candidates
-    are the distinct probabilities and 0, 0.5 and 1; the objective decides, then mcc, precision and the threshold."""
+    are the distinct probabilities and 0, 0.5 and 1; the objective decides, then mcc (by mcc: f1), precision (by balanced_accuracy: f1) and the threshold."""
     ends = rows.select(*keys).distinct().select(*keys, F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))).alias("probability"), F.lit(None).cast("int").alias("label"))
     both = rows.select(*keys, F.col("probability").cast("double").alias("probability"), F.col("label").cast("int").alias("label")).unionByName(ends)
     d = both.groupBy(*keys, F.col("probability").alias("threshold")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
@@ -97,7 +97,8 @@ def guarded_scan(rows: DataFrame, keys: list[str], objective: str = "f1", recall
     for column, bound, op in (("recall", recall_max, "<="), ("positive_rate", positive_rate_max, "<="), ("precision", min_precision, ">=")):
         if bound is not None:
             d = d.where(f"{column} {op} {bound}D")
-    best = d.groupBy(*keys).agg(F.max(F.struct(objective, "mcc", "precision", "threshold", "recall", "positive_rate")).alias("b"))
+    ties = {"f1": ("mcc", "precision"), "mcc": ("f1", "precision"), "balanced_accuracy": ("mcc", "f1")}[objective]
+    best = d.groupBy(*keys).agg(F.max(F.struct(objective, *ties, "threshold", *[c for c in ("mcc", "precision", "recall", "positive_rate") if c not in (objective, *ties)])).alias("b"))
     return best.select(*keys, "b.threshold", *[F.round(f"b.{c}", 6).alias(c) for c in dict.fromkeys([objective, "mcc", "precision", "recall", "positive_rate"])])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import ensembles, metrics, mining, mining_blocks, prep
+from ..operators import ensembles, metrics, mining, mining_blocks, prep, sweeps
 from .bindings import PREDICTIONS_SQL, predictions, retrieval, samples, table
 
 KEYS = ["part", "model"]
@@ -128,6 +128,30 @@ def fixed05_combos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ensembles.best_points(scan, 20, recall_max=0.95, positive_rate_max=0.9).select("weight_id", "tp", "fp", "fn", "tn", "f1", "mcc")
 
 
+STRATEGIES = [
+    sweeps.Strategy("free_f1"),
+    sweeps.Strategy("guarded_f1", recall_max=0.9, positive_rate_max=0.75),
+    sweeps.Strategy("tight_f1", recall_max=0.8, positive_rate_max=0.65),
+    sweeps.Strategy("free_mcc", "mcc"),
+    sweeps.Strategy("guarded_mcc", "mcc", recall_max=0.85, positive_rate_max=0.7),
+    sweeps.Strategy("precise_balance", "balanced_accuracy", min_precision=0.55),
+    sweeps.Strategy("impossible", min_precision=1.01),
+]
+
+
+def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best weights and threshold of four models for each strategy, on validation."""
+    return sweeps.sweep(_aligned(spark, sf_dir, "val"), ensembles.simplex_grid(spark, 4, 10), STRATEGIES)
+
+
+def frozen_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the points that validation chose give on test, next to their rates on validation."""
+    grid = ensembles.simplex_grid(spark, 4, 10)
+    chosen = sweeps.sweep(_aligned(spark, sf_dir, "val"), grid, STRATEGIES)
+    test = sweeps.frozen(_aligned(spark, sf_dir, "test"), chosen, grid).select("strategy", "samples", "tp", "fp", "fn", "tn", *[F.col(c).alias(f"test_{c}") for c in ("f1", "mcc", "precision", "recall")])
+    return chosen.select("strategy", "weight_id", "threshold", F.col("f1").alias("val_f1"), F.col("mcc").alias("val_mcc")).join(test, "strategy")
+
+
 def hard_negative_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = mining.scored_pairs(retrieval(spark, sf_dir, 1), retrieval(spark, sf_dir, 0), 0.25)
     return mining.hard_negative_bank(pairs, 3).select("positive_id", "negative_id", "rank", "pair_score")
@@ -179,7 +203,7 @@ def weak_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.weak_baselines(e, {g: [f"f{k}" for k in ks] for g, ks in groups.items()}).select("feature_group", "part", "n", "positives", (F.col("train_auc") > 0.5).alias("better_than_chance"))
 
 
-QUERIES = [source_hash_groups, strict_split_summary, stratified_split, leaking_groups, exclusion_cascade, evenly_sampled, confusion, best_f1_threshold, best_mcc_threshold, metrics_at_thresholds, roc_auc, average_precision, roc_points, guarded_scan, prediction_shift, simplex_grid, ensemble_scan, fixed05_combos, hard_negative_bank, mined_bank, review_queue, random_bank, fp_bank, pair_metrics, weak_baselines]
+QUERIES = [source_hash_groups, strict_split_summary, stratified_split, leaking_groups, exclusion_cascade, evenly_sampled, confusion, best_f1_threshold, best_mcc_threshold, metrics_at_thresholds, roc_auc, average_precision, roc_points, guarded_scan, prediction_shift, simplex_grid, ensemble_scan, fixed05_combos, weight_sweep, frozen_points, hard_negative_bank, mined_bank, review_queue, random_bank, fp_bank, pair_metrics, weak_baselines]
 
 _SPLIT = f"""split as (select *, case when r <= train_n then 'train' when r <= train_n + val_n then 'val' else 'test' end as part from (select *, {SIZES_SQL} from (
  select *, count(*) over (partition by label) as n, row_number() over (partition by label order by sha256('42' || label::varchar || sample_id), sample_id) as r from samples)))"""
@@ -213,6 +237,17 @@ def _subset_rows(models: int, steps: int, largest: int) -> str:
     return "(values " + ", ".join(rows) + ") as grid(weight_id, w)"
 
 
+def _guard(s: sweeps.Strategy) -> str:
+    parts = [f"recall <= {s.recall_max}"] * (s.recall_max is not None) + [f"positive_rate <= {s.positive_rate_max}"] * (s.positive_rate_max is not None) + [f"precision >= {s.min_precision}"] * (s.min_precision is not None)
+    return " and ".join(parts) or "true"
+
+
+_SWEEP = f"""{PREDICTIONS_SQL}, {_GRID(10)}, {_WIDE}, mixed as materialized (select weight_id, label, round(p[1] * w[1] + p[2] * w[2] + p[3] * w[3] + p[4] * w[4], 9) as q from wide, grid),
+ candidates as (select distinct weight_id, q as threshold from mixed union select weight_id, unnest([0.0::double, 0.5, 1.0]) from grid),
+ c as (select weight_id, threshold, count(*) filter (q >= threshold and label = 1) as tp, count(*) filter (q >= threshold and label <> 1) as fp, count(*) filter (q < threshold and label = 1) as fn, count(*) filter (q < threshold and label <> 1) as tn from candidates join mixed using (weight_id) group by 1, 2),
+ scored as materialized (select *, {rates_sql(9)} from c), chosen as (
+ {" union all ".join(f"(select '{s.name}' as strategy, * from (select *, row_number() over (partition by weight_id order by {s.objective} desc, {', '.join(t + ' desc' for t in sweeps.TIES[s.objective])}, threshold desc) as r from scored where {_guard(s)}) where r = 1 order by {s.objective} desc, mcc desc, precision desc, threshold desc, weight_id limit 1)" for s in STRATEGIES)})"""
+
 ORACLES = {
     "source_hash_groups": f"select sha256({NORMALIZED}) as source_hash, count(*) as n from documents group by 1",
     "strict_split_summary": f"""with {SAMPLES_SQL}, grouped as (select source_hash as sample_id, min(label) as label from samples group by 1), {_SPLIT.replace('from samples', 'from grouped')}
@@ -246,6 +281,11 @@ ORACLES = {
  c as (select weight_id, {_COUNTS} from mixed group by 1), r as (select *, {rates_sql()} from c) select weight_id, samples, tp, fp, fn, tn, f1, mcc from r""",
     "fixed05_combos": f"""with {PREDICTIONS_SQL}, {_WIDE}, mixed as (select weight_id, label, round(p[1] * w[1] + p[2] * w[2] + p[3] * w[3] + p[4] * w[4], 9) as q from wide, {_subset_rows(4, 5, 3)}),
  c as (select weight_id, {_COUNTS} from mixed group by 1), r as (select *, {rates_sql()} from c) select weight_id, tp, fp, fn, tn, f1, mcc from r where recall <= 0.95 and positive_rate <= 0.9 order by f1 desc, mcc desc, weight_id limit 20""",
+    "weight_sweep": f"with {_SWEEP} select strategy, weight_id, threshold, tp, fp, fn, tn, round(f1, 6) as f1, round(mcc, 6) as mcc, round(precision, 6) as precision, round(recall, 6) as recall, round(positive_rate, 6) as positive_rate, round(balanced_accuracy, 6) as balanced_accuracy from chosen",
+    "frozen_points": f"""with {_SWEEP}, test as (select sample_id, any_value(label) as label, list(probability order by model) as p from predictions where part = 'test' group by sample_id),
+ t as (select strategy, weight_id, threshold, label, round(p[1] * w[1] + p[2] * w[2] + p[3] * w[3] + p[4] * w[4], 9) as q from test, (select strategy, weight_id, threshold from chosen) join grid using (weight_id)),
+ n as (select strategy, {_COUNTS.replace('q >= 0.5', 'q >= threshold').replace('q < 0.5', 'q < threshold')} from t group by 1), f as (select *, {rates_sql()} from n)
+ select strategy, weight_id, chosen.threshold, round(chosen.f1, 6) as val_f1, round(chosen.mcc, 6) as val_mcc, f.samples, f.tp, f.fp, f.fn, f.tn, f.f1 as test_f1, f.mcc as test_mcc, f.precision as test_precision, f.recall as test_recall from chosen join f using (strategy)""",
     "hard_negative_bank": f"with {_PAIRS} select positive_id, negative_id, rank::int as rank, pair_score from ranked where rank >= floor(n * 0.05::double) and rank < least(greatest(floor(n * 0.05::double) + 1, floor(n * 0.3::double)), floor(n * 0.05::double) + 3)",
     "mined_bank": f"""with li as (select l_partkey as p_partkey, count(distinct l_orderkey) as orders, count(*) as items, count(*) filter (l_returnflag = 'R') as returns, count(distinct l_suppkey) as suppliers from lineitem group by 1),
  v as (select p_partkey as id, p_size <= 5 as positive, [{', '.join([f"(contains(p_name, '{w}'))::int::double" for w in _NAMES] + [f"(p_type = '{t}')::int::double" for t in _TYPES] + [f"(substr(p_brand, 7, 2)::int % 4 = {k})::int::double" for k in range(4)])}] as m,
