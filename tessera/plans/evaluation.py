@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import ensembles, metrics, mining, mining_blocks, prep, sweeps
+from ..operators import ensembles, metrics, mining, mining_blocks, prep, sweeps, training
+from ..sources.storage import scratch
 from .bindings import PREDICTIONS_SQL, predictions, retrieval, samples, table
 
 KEYS = ["part", "model"]
@@ -177,6 +178,33 @@ def mined_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bank
 
 
+TRAINING = training.Plan((4, 2), epochs=4, learning_rate=0.05, weight_decay=0.01, clip=0.25, class_weight=(1.0, 1.65), lambda_replay=0.25, lambda_rank=0.2, margin=0.35, rank_warmup=1, rank_ramp=2)
+_START = [(i * 7 % 5 - 2) / 10 for i in range(10)]
+
+
+def _vectors(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    of = F.when(F.col("vec_id") % 10 == 8, "val").when(F.col("vec_id") % 10 == 9, "test").otherwise("train")
+    return e.where(of == part).select(F.col("vec_id").alias("sample_id"), (F.col("label") >= 5).cast("int").alias("label"), F.slice("embedding", 1, 4).cast("array<double>").alias("features"))
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = mining.random_bank(retrieval(spark, sf_dir, 1), retrieval(spark, sf_dir, 0), 3)
+    return training.train(_vectors(spark, sf_dir, "train"), TRAINING, scratch(spark, "run"), pairs, start=_START)
+
+
+def trained_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses and parameters of a linear classifier after each epoch."""
+    values = [F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in ("loss", "main_loss", "replay_loss", "ranking_loss")] + [F.struct(F.lit(f"p{i}").alias("name"), F.col("parameters")[i].alias("value")) for i in range(len(_START))]
+    return _trained(spark, sf_dir).select("epoch", F.explode(F.array(*values)).alias("x")).select("epoch", "x.name", F.round("x.value", 6).alias("value"))
+
+
+def trained_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rates of the best epoch's classifier at the thresholds of validation."""
+    d = training.evaluated(TRAINING, _trained(spark, sf_dir), _vectors(spark, sf_dir, "val"), _vectors(spark, sf_dir, "test"))
+    return d.select("threshold_key", F.round("threshold", 6).alias("threshold"), "samples", "tp", "fp", "fn", "tn", "f1", "mcc")
+
+
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = mining.scored_pairs(retrieval(spark, sf_dir, 1), retrieval(spark, sf_dir, 0), 0.25)
     return mining.review_queue(pairs).select("positive_id", "negative_id", "rank", "pair_score")
@@ -203,7 +231,7 @@ def weak_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.weak_baselines(e, {g: [f"f{k}" for k in ks] for g, ks in groups.items()}).select("feature_group", "part", "n", "positives", (F.col("train_auc") > 0.5).alias("better_than_chance"))
 
 
-QUERIES = [source_hash_groups, strict_split_summary, stratified_split, leaking_groups, exclusion_cascade, evenly_sampled, confusion, best_f1_threshold, best_mcc_threshold, metrics_at_thresholds, roc_auc, average_precision, roc_points, guarded_scan, prediction_shift, simplex_grid, ensemble_scan, fixed05_combos, weight_sweep, frozen_points, hard_negative_bank, mined_bank, review_queue, random_bank, fp_bank, pair_metrics, weak_baselines]
+QUERIES = [source_hash_groups, strict_split_summary, stratified_split, leaking_groups, exclusion_cascade, evenly_sampled, confusion, best_f1_threshold, best_mcc_threshold, metrics_at_thresholds, roc_auc, average_precision, roc_points, guarded_scan, prediction_shift, simplex_grid, ensemble_scan, fixed05_combos, weight_sweep, frozen_points, hard_negative_bank, mined_bank, trained_epochs, trained_evaluation, review_queue, random_bank, fp_bank, pair_metrics, weak_baselines]
 
 _SPLIT = f"""split as (select *, case when r <= train_n then 'train' when r <= train_n + val_n then 'val' else 'test' end as part from (select *, {SIZES_SQL} from (
  select *, count(*) over (partition by label) as n, row_number() over (partition by label order by sha256('42' || label::varchar || sample_id), sample_id) as r from samples)))"""
@@ -248,6 +276,38 @@ _SWEEP = f"""{PREDICTIONS_SQL}, {_GRID(10)}, {_WIDE}, mixed as materialized (sel
  scored as materialized (select *, {rates_sql(9)} from c), chosen as (
  {" union all ".join(f"(select '{s.name}' as strategy, * from (select *, row_number() over (partition by weight_id order by {s.objective} desc, {', '.join(t + ' desc' for t in sweeps.TIES[s.objective])}, threshold desc) as r from scored where {_guard(s)}) where r = 1 order by {s.objective} desc, mcc desc, precision desc, threshold desc, weight_id limit 1)" for s in STRATEGIES)})"""
 
+def _training_sql() -> str:
+    """Each epoch of TRAINING written out: risks, gradients by feature, one step of the optimiser (both logits' weights move oppositely but for decay)."""
+    t, (b1, b2) = TRAINING, training.BETAS
+    sig = lambda x: f"(1 / (1 + exp(-({x}))))"
+    plus = lambda x: f"ln(1 + exp({x}))"
+    start = ", ".join(f"({j}, {_START[2 * j]}::double, {_START[2 * j + 1]}::double, 0.0::double, 0.0::double)" for j in range(5))
+    parts = [f"""x as materialized (select vec_id, (label >= 5)::int as y, case when label >= 5 then {t.class_weight[1]}::double else {t.class_weight[0]}::double end as cw, j, case when j = 4 then 1.0::double else embedding[j + 1]::double end as v from embeddings, (select unnest(range(5)) as j) where vec_id % 10 < 8),
+ w0(j, a, b, m, s) as (values {start})"""]
+    for e in range(t.epochs):
+        rank = training.rank_weight(t, e)
+        hat = lambda c, beta: f"({c} / (1 - {beta}::double ** {e + 1}))"  # noqa: B023, E731
+        move = f"{t.learning_rate}::double * {hat('m1', b1)} / (sqrt({hat('s1', b2)}) + {training.EPSILON}::double)"
+        parts.append(f"""r{e} as materialized (select vec_id, any_value(y) as y, any_value(cw) as cw, sum(v * (b - a)) as risk from x join w{e} using (j) group by 1),
+ q{e} as materialized (select positive_id, negative_id, p.risk as rp, n.risk as rn from bank join r{e} p on p.vec_id = positive_id join r{e} n on n.vec_id = negative_id),
+ gm{e} as (select j, sum(x.cw * ({sig('risk')} - x.y) * v) / sum(x.cw) as g from x join r{e} using (vec_id) group by 1),
+ gp{e} as (select p.j, avg({t.lambda_replay}::double * 0.5::double * (({sig('rp')} - 1) * p.v + {sig('rn')} * n.v) - {rank}::double * {sig(f'{t.margin}::double - rp + rn')} * (p.v - n.v)) as g from q{e} join x p on p.vec_id = positive_id join x n on n.vec_id = negative_id and n.j = p.j group by 1),
+ g{e} as materialized (select j, (gm{e}.g + gp{e}.g) * least(1.0::double, {t.clip}::double / (sqrt(2 * sum((gm{e}.g + gp{e}.g) ** 2) over ()) + 0.000001::double)) as g from gm{e} join gp{e} using (j)),
+ w{e + 1} as materialized (select j, a * {1 - t.learning_rate * t.weight_decay}::double + {move} as a, b * {1 - t.learning_rate * t.weight_decay}::double - {move} as b, m1 as m, s1 as s from (select j, a, b, {b1}::double * m + {1 - b1}::double * g as m1, {b2}::double * s + {1 - b2}::double * g * g as s1 from w{e} join g{e} using (j))),
+ l{e} as (select (select sum(cw * {plus('case y when 1 then -risk else risk end')}) / sum(cw) from r{e}) as main, (select avg(0.5::double * ({plus('-rp')} + {plus('rn')})) from q{e}) as replay, (select avg({plus(f'{t.margin}::double - rp + rn')}) from q{e}) as ranking),
+ o{e} as (select {e + 1} as epoch, 'loss' as name, main + {t.lambda_replay}::double * replay + {rank}::double * ranking as value from l{e} union all select {e + 1}, 'main_loss', main from l{e} union all select {e + 1}, 'replay_loss', replay from l{e} union all select {e + 1}, 'ranking_loss', ranking from l{e}
+ union all select {e + 1}, 'p' || (2 * j), a from w{e + 1} union all select {e + 1}, 'p' || (2 * j + 1), b from w{e + 1})""")
+    return f"{_RANDOM}, " + ",\n ".join(parts)
+
+
+_TEST_RATES = f"""losses as (select epoch, value from ({" union all ".join(f"select * from o{e}" for e in range(TRAINING.epochs))}) where name = 'loss'), best as (select epoch from losses order by value, epoch limit 1),
+ w as ({" union all ".join(f"select {e + 1} as epoch, * from w{e + 1}" for e in range(TRAINING.epochs))}),
+ p as (select vec_id, vec_id % 10 as part, (e.label >= 5)::int as label, 1 / (1 + exp(-sum((case when j = 4 then 1.0::double else embedding[j + 1]::double end) * (b - a)))) as probability from embeddings e, w where w.epoch = (select epoch from best) and vec_id % 10 >= 8 group by 1, 2, 3),
+ byt as (select probability as threshold, count(*) filter (label = 1) as pos, count(*) filter (label <> 1) as neg from p where part = 8 group by 1),
+ c as (select *, sum(pos) over v as tp, sum(neg) over v as fp, sum(pos) over () - sum(pos) over v as fn, sum(neg) over () - sum(neg) over v as tn from byt window v as (order by threshold desc rows unbounded preceding)), sc as (select *, {rates_sql(9)} from c),
+ t as (select 'fixed_0_5' as threshold_key, 0.5::double as threshold union all (select 'val_f1', threshold from sc order by f1 desc, threshold desc limit 1) union all (select 'val_mcc', threshold from sc order by mcc desc, threshold desc limit 1)),
+ z as (select threshold_key, threshold, count(*) as samples, count(*) filter (probability >= threshold and label = 1) as tp, count(*) filter (probability >= threshold and label <> 1) as fp, count(*) filter (probability < threshold and label = 1) as fn, count(*) filter (probability < threshold and label <> 1) as tn from p, t where part = 9 group by 1, 2), f as (select *, {rates_sql()} from z)"""
+
 ORACLES = {
     "source_hash_groups": f"select sha256({NORMALIZED}) as source_hash, count(*) as n from documents group by 1",
     "strict_split_summary": f"""with {SAMPLES_SQL}, grouped as (select source_hash as sample_id, min(label) as label from samples group by 1), {_SPLIT.replace('from samples', 'from grouped')}
@@ -286,6 +346,8 @@ ORACLES = {
  t as (select strategy, weight_id, threshold, label, round(p[1] * w[1] + p[2] * w[2] + p[3] * w[3] + p[4] * w[4], 9) as q from test, (select strategy, weight_id, threshold from chosen) join grid using (weight_id)),
  n as (select strategy, {_COUNTS.replace('q >= 0.5', 'q >= threshold').replace('q < 0.5', 'q < threshold')} from t group by 1), f as (select *, {rates_sql()} from n)
  select strategy, weight_id, chosen.threshold, round(chosen.f1, 6) as val_f1, round(chosen.mcc, 6) as val_mcc, f.samples, f.tp, f.fp, f.fn, f.tn, f.f1 as test_f1, f.mcc as test_mcc, f.precision as test_precision, f.recall as test_recall from chosen join f using (strategy)""",
+    "trained_epochs": f"with {_training_sql()} select epoch, name, round(value, 6) as value from (" + " union all ".join(f"select * from o{e}" for e in range(TRAINING.epochs)) + ")",
+    "trained_evaluation": f"with {_training_sql()}, {_TEST_RATES} select threshold_key, round(threshold, 6) as threshold, samples, tp, fp, fn, tn, f1, mcc from f",
     "hard_negative_bank": f"with {_PAIRS} select positive_id, negative_id, rank::int as rank, pair_score from ranked where rank >= floor(n * 0.05::double) and rank < least(greatest(floor(n * 0.05::double) + 1, floor(n * 0.3::double)), floor(n * 0.05::double) + 3)",
     "mined_bank": f"""with li as (select l_partkey as p_partkey, count(distinct l_orderkey) as orders, count(*) as items, count(*) filter (l_returnflag = 'R') as returns, count(distinct l_suppkey) as suppliers from lineitem group by 1),
  v as (select p_partkey as id, p_size <= 5 as positive, [{', '.join([f"(contains(p_name, '{w}'))::int::double" for w in _NAMES] + [f"(p_type = '{t}')::int::double" for t in _TYPES] + [f"(substr(p_brand, 7, 2)::int % 4 = {k})::int::double" for k in range(4)])}] as m,

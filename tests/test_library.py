@@ -6,11 +6,12 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import batching, ensembles, graph, metrics, mining, mining_blocks, ordering, prep, report, scope, windows
+from tessera.operators import batching, ensembles, graph, metrics, mining, mining_blocks, ordering, prep, report, scope, training, windows
 from tessera.sources import graphml, sinks, tables
 from tessera.streaming import ingest
 
@@ -347,3 +348,88 @@ def test_few_pairs_are_scored_where_rows_are_alike(spark):
     columns = ["positive_id", "negative_id", "rank", "pair_score"]
     assert {tuple(x) for x in bank.select(*columns).collect()} == {tuple(x) for x in want.select(*columns).collect()}
     assert plan.agg(F.sum(F.col("p_rows") * F.col("n_rows"))).first()[0] < 2000 * 2000 / 3
+
+
+def numeric_gradient(loss, p):
+    out = np.zeros_like(p)
+    for k in range(len(p)):
+        step = np.zeros_like(p)
+        step[k] = 1e-6
+        out[k] = (loss(p + step) - loss(p - step)) / 2e-6
+    return out
+
+
+def plain_training(plan, rows, pairs, epochs):
+    """(losses, parameters) after each epoch: the loss written out row by row, its gradient by differences, and the optimiser's formulas."""
+    features = {i: np.array(x, float) for i, _, x in rows}
+
+    def risk(p, x):
+        at, layers = 0, list(zip(plan.widths, plan.widths[1:]))
+        for k, (a, b) in enumerate(layers):
+            w, c = p[at : at + a * b].reshape(a, b), p[at + a * b : at + a * b + b]
+            at += a * b + b
+            x = [sum(x[i] * w[i, j] for i in range(a)) + c[j] for j in range(b)]
+            x = [max(v, 0.0) for v in x] if k + 1 < len(layers) else x
+        return x[1] - x[0]
+
+    p = training.initial(plan)
+    m, v, out = np.zeros_like(p), np.zeros_like(p), []
+    for e in range(epochs):
+        rank = training.rank_weight(plan, e)
+
+        def loss(p):
+            main = weight = 0.0
+            for i, y, _ in rows:
+                w = plan.class_weight[y]
+                main, weight = main + w * math.log(1 + math.exp(-risk(p, features[i]) if y else risk(p, features[i]))), weight + w
+            replay = [0.5 * (math.log(1 + math.exp(-risk(p, features[a]))) + math.log(1 + math.exp(risk(p, features[b])))) for a, b in pairs]
+            order = [math.log(1 + math.exp(plan.margin - risk(p, features[a]) + risk(p, features[b]))) for a, b in pairs]  # noqa: B023
+            return main / weight + (plan.lambda_replay * sum(replay) + rank * sum(order)) / len(pairs)  # noqa: B023
+
+        before, g = loss(p), numeric_gradient(loss, p)
+        g *= min(1.0, plan.clip / (np.linalg.norm(g) + 1e-6))
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        p = p * (1 - plan.learning_rate * plan.weight_decay) - plan.learning_rate * (m / (1 - 0.9 ** (e + 1))) / (np.sqrt(v / (1 - 0.999 ** (e + 1))) + 1e-8)
+        out.append((before, p))
+    return out
+
+
+@pytest.mark.parametrize("widths", [(3, 2), (3, 4, 2)])
+def test_training_is_the_plain_loop_and_goes_on_after_a_kill(spark, tmp_path, widths):
+    r = random.Random(3)
+    rows = [(f"r{k}", k % 3 == 0, [r.uniform(-1, 1) + (k % 3 == 0) for _ in range(3)]) for k in range(30)]
+    rows = [(i, int(y), x) for i, y, x in rows]
+    pairs = [("r0", "r1"), ("r3", "r2"), ("r3", "r4"), ("r9", "r10")]
+    plan = training.Plan(widths, epochs=5, learning_rate=0.03, clip=0.4, class_weight=(0.7, 1.9), lambda_replay=0.5, lambda_rank=0.4, rank_warmup=1, rank_ramp=3)
+    odd = [("none", None, [1.0] * 3), ("short", 1, [1.0]), ("hole", 0, [1.0, None, 2.0]), ("other", 7, [0.0] * 3)]
+    d = spark.createDataFrame(rows + odd, "sample_id string, label int, features array<double>").repartition(3)
+    b = spark.createDataFrame([*pairs, ("r0", "gone"), (None, "r1")], "positive_id string, negative_id string")
+    want = plain_training(plan, rows, pairs, 5)
+    first = training.train(d, training.Plan(**{**plan.__dict__, "epochs": 2}), f"file://{tmp_path}/run", b)  # killed after two epochs
+    assert first.count() == 2
+    (tmp_path / "run" / "epoch=3").mkdir()
+    (tmp_path / "run" / "epoch=3" / "part-left.parquet").write_bytes(b"half a file")
+    got = training.train(d, plan, f"file://{tmp_path}/run", b).orderBy("epoch").collect()
+    assert [x.epoch for x in got] == [1, 2, 3, 4, 5]
+    for x, (loss, parameters) in zip(got, want):
+        assert x.loss == pytest.approx(loss, abs=1e-6)
+        assert np.allclose(x.parameters, parameters, atol=2e-5 if len(widths) > 2 else 2e-6)
+    again = training.train(d, plan, f"file://{tmp_path}/run", b).orderBy("epoch").collect()
+    assert again == got
+
+
+def test_training_ends_by_patience_and_guards(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(f"r{k}", k % 2, [r.gauss(k % 2, 1.0), r.gauss(0, 1)]) for k in range(200)]
+    d = spark.createDataFrame(rows, "sample_id string, label int, features array<double>")
+    plan = training.Plan((2, 2), epochs=6, patience=2, learning_rate=0.2, metric="f1", steps=2)
+    val = d.where("hash(sample_id) % 3 = 0")
+    e = training.train(d, plan, f"file://{tmp_path}/a", validation=val).orderBy("epoch").collect()
+    scores = [x.score for x in e]
+    best = max(range(len(scores)), key=lambda k: (scores[k], -k))
+    assert e[-1].best_epoch == best + 1 and (len(e) == 6 or len(e) == best + 3)
+    assert e[0].step == 2 and sum(x.rows for x in e[:1]) == 200
+    shut = training.train(d, training.Plan(**{**plan.__dict__, "recall_max": -1.0, "epochs": 3}), f"file://{tmp_path}/b", validation=val).orderBy("epoch").collect()
+    assert [(x.guarded_out, x.best_epoch, x.remaining_patience) for x in shut] == [(True, 1, 2)] * 3
+    out = training.evaluated(plan, training.train(d, plan, f"file://{tmp_path}/a", validation=val), val, d).collect()
+    assert {x.threshold_key for x in out} == {"fixed_0_5", "val_f1", "val_mcc"} and all(x.samples == 200 for x in out)
