@@ -207,7 +207,7 @@ def test_passages(documents, odd):
     found = {r.doc_id for r in got if r.doc_id is not None and r.doc_id < 300}
     assert found == {1, 2, 3, 4, 5, 6, 7, 23}
     assert all(r.component_id == 0 for r in got if r.doc_id is not None and r.doc_id < 8)
-    assert all(r.other_id < r.doc_id for r in got)
+    assert all(r.other_id < r.doc_id or r.other_id == r.doc_id == 305 for r in got)  # 305 says one word over and over
     exact = [r for r in got if r.doc_id in (2, 4, 6) and r.other_id == 0]
     assert exact
     assert all(r.start_word <= 80 and r.start_word + r.n_words >= 150 and r.n_words >= 50 for r in exact)
@@ -222,6 +222,61 @@ def test_passages(documents, odd):
     assert compact_windows.passage_query(documents([])).count() == 0
 
 
+def grouped_rows(seed=1):
+    """Sorted rows (key, th, at, to) of groups of 1 to 60 texts, some with several windows, some rows twice."""
+    r, rows = random.Random(seed), []
+    for key in range(40):
+        for th in r.sample(range(-500, 500), r.choice([1, 2, 5, 10, 11, 12, 60])):
+            windows = [(key, th, r.randrange(1 << 40), r.randrange(1 << 40)) for _ in range(r.choice([1, 1, 1, 3]))]
+            rows += windows * r.choice([1, 1, 2])
+    return sorted(rows)
+
+
+def pairs_by_hand(rows):
+    groups, out = {}, set()
+    for key, th, at, to in sorted(set(rows)):
+        groups.setdefault(key, {}).setdefault(th, []).append((at, to))
+    for texts in groups.values():
+        order = sorted(texts)
+        for k, th in enumerate(order):
+            large = len(order) > compact_windows.SMALL
+            near = {order[j]: False for j in (range(k) if not large else {0, k - 1} if k else ())}
+            near |= {order[j]: near.get(order[j], True) for j in range(max(0, k - 1 - compact_windows.FURTHER), k)}
+            out |= {(th, o, at, to, f) for o, f in near.items() for at, to in texts[th]}
+            out |= {(th, th, at, to, False) for at, to in texts[th][1:]}
+    return out
+
+
+@pytest.mark.parametrize("held", [1 << 20, 15])
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_candidates_of_groups(monkeypatch, held, size):
+    monkeypatch.setattr(compact_windows, "HELD", held)
+    rows = grouped_rows()
+    batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[k : k + size])], names=["key", "th", "at", "to"]) for k in range(0, len(rows), size)]
+    got = [tuple(x.values()) for b in compact_windows._group_pairs(iter(batches)) for x in b.to_pylist()]
+    least = {}
+    for *pair, f in got:
+        least[tuple(pair)] = least.get(tuple(pair), True) and f
+    assert {(*pair, f) for pair, f in least.items()} == pairs_by_hand(rows)
+
+
+def test_rows_do_not_depend_on_partitions(spark, documents):
+    """Copies, near copies, groups of two to forty, null ids and repeats inside texts: the same rows from 1, 7 and 24 partitions, and from small batches."""
+    rows = []
+    for g in range(8):
+        passage = words(80, 300 + g)
+        rows += [(100 * g + k, " ".join(words(30, 50 * g + k) + varied(passage, k % 6, 7 * g + k) + words(20, 90 * g + k))) for k in range((2, 3, 5, 9, 11, 12, 24, 40)[g])]
+    rows += [(2000 + k, rows[k % 5][1]) for k in range(30)] + [(None, rows[9][1]), (None, " ".join(words(60, 1) * 2)), (3000, "a " * 400)]
+    found = set()
+    for n, batch in ((1, "10000"), (7, "10000"), (24, "10000"), (5, "3")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            found.add(tuple(sorted(map(str, compact_windows.passage_query(documents(rows).repartition(n)).collect()))))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 1 and len(next(iter(found))) > 80
+
+
 def test_passages_with_recurring_phrases():
     width, one = 46, lambda t: compact_windows.shingles(" ".join(t))
     passage, filler, phrase = words(60, 1), words(1400, 2), words(7, 3)
@@ -241,6 +296,15 @@ def test_passages_with_recurring_phrases():
             if any(5 * len(x & y) >= 4 * len(x | y) for y in stretches):
                 want |= set(range(s, s + width))
         assert {k for i, j, _, _ in compact_windows.matching_passages(a, b, width) for k in range(i, j)} == want
+        both = np.concatenate([b, a])  # and inside one text, by all places
+        want = set()
+        for s in range(len(both) - width + 1):
+            x = set(both[s : s + width].tolist())
+            if any(5 * len(x & y) >= 4 * len(x | y) for n in range(width, 58) for y in (set(both[k : k + n].tolist()) for k in range(s - n + 1))):
+                want |= set(range(s, s + width))
+        assert {k for i, j, _, _ in compact_windows.matching_passages(both[:400], None, width) for k in range(i, j)} <= want
+        if len(both) < 400:
+            assert {k for i, j, _, _ in compact_windows.matching_passages(both, None, width) for k in range(i, j)} == want
 
 
 def test_passage_whose_smallest_shingles_stand_earlier_too(documents):
