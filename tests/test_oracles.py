@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import evaluation, structure, support
+from tessera.plans import evaluation, models, structure, support
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,7 +34,7 @@ def plain(df):
     return sorted((tuple(map(value, r)) for r in df.itertuples(index=False)), key=str)
 
 
-CASES = [(f, {**evaluation.ORACLES, **structure.ORACLES, **support.ORACLES}.get(f.__name__)) for f in (*evaluation.QUERIES, *structure.QUERIES, *support.QUERIES)]
+CASES = [(f, {**evaluation.ORACLES, **structure.ORACLES, **support.ORACLES, **models.ORACLES}.get(f.__name__)) for f in (*evaluation.QUERIES, *structure.QUERIES, *support.QUERIES, *models.QUERIES)]
 
 
 @pytest.mark.parametrize(("query", "sql"), CASES, ids=[f.__name__ for f, _ in CASES])
