@@ -72,28 +72,41 @@ class Encoder:
         whole, cuts = ids.tobytes(), [*cuts.tolist(), ids.nbytes]
         return [whole[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
-    def _learn(self, units: set[str]) -> None:
-        """Puts all of units into the young generation."""
+    def _learn(self, fresh: set[str]) -> None:
+        """Puts units that the young generation lacks into it."""
         young, old = self.young, self.old
-        fresh = units.difference(young)
         back = fresh.intersection(old)
         young.update({x: old[x] for x in back})
         fresh -= back
-        row = [x for x in fresh if x[:1] in (" ", "\n") and len(x) > 1]
-        rest = [x for x in fresh if not (x[:1] in (" ", "\n") and len(x) > 1)]
-        young.update(zip(rest, self._library(rest), strict=True))
+        row = [x for x in fresh if x[:1] != "\0" and x and x != "\n"]
+        rest = [x for x in fresh if x[:1] == "\0" or not x or x == "\n"]
+        young.update(zip(rest, self._library([x[1:] if x[:1] == "\0" else x or " " for x in rest]), strict=True))
         for k in range(0, len(row), 2000):
-            young.update(zip(row[k : k + 2000], self._in_a_row(row[k : k + 2000]), strict=True))
+            part = row[k : k + 2000]
+            young.update(zip(part, self._in_a_row([x if x[0] == "\n" else " " + x for x in part]), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut: list[list[str] | None] = [None if self._whole(x) else x.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") for x in texts]
         if len(self.young) > self.max_units:
             self.old, self.young = self.young, {}
-        self._learn(set().union(*(units for units in cut if units)))
+        cut: list[list[str] | None] = []
+        fresh: set[str] = set()
+        for text in texts:
+            if self._whole(text):
+                cut.append(None)
+                continue
+            # a unit is what follows a blank, or a line feed and what follows it; the first one of a text has a mark before it
+            units = (text.replace("\n", " \n") if "\n" in text else text).split(" ")
+            units[0] = "\0" + units[0]
+            cut.append(units)
+            fresh.update(units)
+        fresh.difference_update(self.young)
+        if fresh:
+            self._learn(fresh)
         get = self.young.__getitem__
         ids = [b"".join(map(get, units)) if units is not None else self._library([x])[0] for x, units in zip(texts, cut, strict=True)]
         return [np.frombuffer(x, dtype=self.dtype) for x in ids]
 
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and vocabulary file."""

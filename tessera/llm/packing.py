@@ -99,7 +99,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
         for batch in batches:
             for docs_ids, texts in parts(batch):
                 for doc, ids in zip(docs_ids, code.encode([x or "" for x in texts]), strict=True):
-                    ids = np.append(ids, np.array(end_id, ids.dtype)).astype("<u4")
+                    ids, text_ids = np.full(len(ids) + 1, end_id, "<u4"), ids
+                    ids[:-1] = text_ids
                     start = 0
                     for length in pieces(len(ids), capacity):
                         part = ids[start : start + length]
