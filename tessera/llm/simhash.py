@@ -68,21 +68,25 @@ def fingerprint_links(prints: DataFrame, col: str = "fp", distance: int = DISTAN
     return probe.join(table, ["seg", "v"]).where((F.col("q") < F.col("fp")) & near).select(F.col("q").alias("a"), F.col("fp").alias("b")).distinct()
 
 
+def print_groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """prints (doc_id, fp, ...) with component_id: the smallest id of all rows whose fingerprints are linked, directly or over
+    others. Fingerprints are the nodes, so a row without an id carries links on, and rows that share an id are apart unless their
+    fingerprints are linked; where no row has an id, component_id is null."""
+    classes = components(fingerprint_links(prints, distance=distance), "a", "b")
+    classes = prints.select("fp").distinct().join(classes, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("class"))
+    named = prints.join(classes, "fp")
+    least = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes, "fp").groupBy("class").agg(F.min("least").alias("component_id")))
+    return named.join(least, "class").drop("class")
+
+
 def simhash_groups(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (long), component_id: the smallest id that a document reaches over links of fingerprints.
 
-    Copies share a fingerprint and count as one node, whose name is their smallest id, so a group of any size costs its
-    members once. Null and wordless texts have fingerprint zero and link like any other. Rows with the same id are one
-    node if their fingerprints are equal; null ids are kept in the result but are no one's smallest id unless alone.
-    """
+    Copies share a fingerprint and count as one node, so a group of any size costs its members once. Null, empty and wordless texts have
+    fingerprint zero and link like any other; very long texts are read whole; repeated rows stay; null ids and shared ids as in
+    print_groups; an empty table gives no rows; other columns, whatever their names, are ignored."""
     prints = settled(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")))
-    nodes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = fingerprint_links(nodes, distance=distance)
-    named = links.join(nodes.select(F.col("fp").alias("a"), F.col("rep").alias("src")), "a")
-    named = named.join(nodes.select(F.col("fp").alias("b"), F.col("rep").alias("dst")), "b")
-    found = components(named.select("src", "dst"))
-    labels = nodes.join(found, nodes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return print_groups(prints, distance).select("doc_id", "fp", "component_id")
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:
@@ -100,6 +104,7 @@ def simhash_dedup(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     links = fingerprint_links(prints, distance=distance)
     groups = prints.join(components(links, "a", "b"), F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("group"))
     keep = groups.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")).select(F.coalesce("best.id", F.lit(0)).alias("__kept_id"), F.col("best.none").alias("__kept_none"), F.col("best.row").alias("__kept_row"))
-    d = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").cast("long").isNull(), "__row": row})
-    d = d.join(keep, (F.col("__id") == F.col("__kept_id")) & (F.col("__none") == F.col("__kept_none")) & (F.col("__row") == F.col("__kept_row")), "left_semi")
-    return d.dropDuplicates(["__id", "__none", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")  # the columns of docs may have any names
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").cast("long").isNull().alias("none"), row.alias("row"), whole)
+    d = d.join(keep, (F.col("id") == F.col("__kept_id")) & (F.col("none") == F.col("__kept_none")) & (F.col("row") == F.col("__kept_row")), "left_semi")
+    return d.dropDuplicates(["id", "none", "row"]).select("whole.*")

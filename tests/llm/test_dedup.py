@@ -81,6 +81,21 @@ def test_simhash_dedup_keeps_one_of_each_group(documents):
     assert sorted(((r.doc_id, r.text) for r in kept), key=key) == sorted([(3, text(3)), (4, text(4)), (4, text(5)), (None, text(1)), (None, text(2))], key=key)
 
 
+def test_groups_of_given_fingerprints(spark):
+    rows = [(1, 0x0), (None, 0x7), (2, 0x3F), (5, 1 << 40), (5, 0xFF << 50), (9, 0xFF << 50), (None, -1), (3, 1 << 41)]
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.print_groups(spark.createDataFrame(rows, "doc_id long, fp long")).collect()}
+    assert got == {(1, 0x0): 1, (None, 0x7): 1, (2, 0x3F): 1, (5, 1 << 40): 1, (3, 1 << 41): 1, (5, 0xFF << 50): 5, (9, 0xFF << 50): 5, (None, -1): None}
+
+
+def test_simhash_of_odd_tables(spark, documents):
+    assert simhash.simhash_query(documents([])).count() == 0
+    assert simhash.simhash_dedup(documents([])).count() == 0
+    d = spark.createDataFrame([(1, "a b c d", 5, 6, 7), (1, "a b c d", 5, 6, 7), (None, None, 1, 1, 1), (4, "", 2, 2, 2)], "doc_id long, text string, __id int, row int, whole int")
+    kept = simhash.simhash_dedup(d)
+    assert kept.columns == d.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b c d", 5, 6, 7), (4, "", 2, 2, 2)]
+    assert sorted((r.doc_id is None, r.component_id) for r in simhash.simhash_query(d).collect()) == [(False, 1), (False, 1), (False, 4), (True, 4)]
+
+
 def test_simhash_links_all_distances(spark):
     r = random.Random(1)
     base = r.getrandbits(64)
