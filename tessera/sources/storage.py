@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, for release() to delete."""
+    """A path of its own in the shared folder, for release() to delete, or else the JVM when it ends: also after
+    spark.stop(), and when Python did not end well."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(_at_exit)
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(file)
     _WRITTEN.append((spark, path))
     return path
 
@@ -44,13 +46,25 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(file, True)
+    fs.cancelDeleteOnExit(file)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes what this process has put at scratch() paths. Results that still read it are lost."""
     while _WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop()[1])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.pop()[1])
 
 
-def _at_exit() -> None:
-    if _WRITTEN and _WRITTEN[-1][0].sparkContext._jsc is not None:  # still running
-        release(_WRITTEN[-1][0])
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was put at scratch() paths inside it; what must stay is written out within."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        while len(_WRITTEN) > before:
+            _delete(spark, _WRITTEN.pop()[1])

@@ -13,11 +13,12 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def exclusions(spark: SparkSession, path: str | None) -> DataFrame:
-    """sample_id, reason; no rows without a path. Of repeated ids the last row stays."""
+    """sample_id, reason; no rows without a path. Of repeated ids the last row stays, by the names of files and the places in them."""
     schema = "sample_id string, reason string"
     if path is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("header", True).csv(path).withColumn("__at", F.monotonically_increasing_id()).groupBy("sample_id").agg(F.max_by("reason", "__at").alias("reason"))
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return spark.read.schema(schema).option("header", True).csv(path).withColumn("__at", at).groupBy("sample_id").agg(F.max_by("reason", "__at").alias("reason"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -25,8 +26,9 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def override_rows(spark: SparkSession, path: str | None) -> DataFrame:
+    """sample_id, line_offset, notes, not yet judged; no rows without a path. Any other header fails the job."""
     schema = "sample_id string, line_offset string, notes string"
-    return spark.createDataFrame([], schema) if path is None else spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    return spark.createDataFrame([], schema) if path is None else spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
 
 
 def source_texts(spark: SparkSession, path: str) -> DataFrame:

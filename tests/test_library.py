@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import random
+import subprocess
+import sys
+import time
 
 import numpy as np
 import pytest
@@ -34,6 +38,15 @@ def test_readers(spark, tmp_path):
     (tmp_path / "labels.csv").write_text("sample_id,base_id,label,graphml_path\n s1 ,b, 1,x\ns2,b,0,y\n")
     assert [tuple(r) for r in tables.labels(spark, f"{tmp_path}/labels.csv").collect()] == [("s1", "b", 1, "x"), ("s2", "b", 0, "y")]
     assert tables.exclusions(spark, None).count() == 0
+    for k, (name, reason) in enumerate((("b", "late"), ("a", "early"))):
+        (tmp_path / "ex").mkdir(exist_ok=True)
+        (tmp_path / "ex" / f"{name}.csv").write_text(f"sample_id,reason\ns,{reason}\n" + "".join(f"x{k}{i},r\n" for i in range(50)))
+    assert {r.sample_id: r.reason for r in tables.exclusions(spark, f"{tmp_path}/ex").collect()}["s"] == "late"
+    (tmp_path / "over.csv").write_text("sample_id,line_offset,notes\ns1,4,n\n")
+    (tmp_path / "other.csv").write_text("id,offset,why\ns1,4,n\n")
+    assert [tuple(r) for r in tables.override_rows(spark, f"{tmp_path}/over.csv").collect()] == [("s1", "4", "n")]
+    with pytest.raises(Exception, match="header"):
+        tables.override_rows(spark, f"{tmp_path}/other.csv").collect()
     (tmp_path / "m.jsonl").write_text('{"sample_id":"a","label":1}\n\n')
     assert tables.manifest(spark, f"{tmp_path}/m.jsonl").count() == 1
     (tmp_path / "att.json").write_text(json.dumps({"s": [{"line": 3, "score": 0.5}], "t": []}))
@@ -433,3 +446,29 @@ def test_training_ends_by_patience_and_guards(spark, tmp_path):
     assert [(x.guarded_out, x.best_epoch, x.remaining_patience) for x in shut] == [(True, 1, 2)] * 3
     out = training.evaluated(plan, training.train(d, plan, f"file://{tmp_path}/a", validation=val), val, d).collect()
     assert {x.threshold_key for x in out} == {"fixed_0_5", "val_f1", "val_mcc"} and all(x.samples == 200 for x in out)
+
+
+def test_shared_tables_go(spark, tmp_path):
+    """temporary() deletes at its end, a process that stops its session and ends leaves nothing."""
+    from tessera.sources import storage
+
+    with storage.temporary(spark):
+        kept = storage.settled(spark.range(5))
+        path = kept.inputFiles()[0].split("/settled-")[0].removeprefix("file://").removeprefix("file:")
+        assert kept.count() == 5
+        inside = set(os.listdir(path))
+    assert len(inside - set(os.listdir(path))) == 1
+    code = f"""
+from tessera.session import build_session
+from tessera.sources import storage
+s = build_session("x", "local[1]", spark_checkpoint_dir="file://{tmp_path}/shared")
+storage.settled(s.range(3)); storage.settled(s.range(4)).count()
+import os; assert len(os.listdir("{tmp_path}/shared")) == 2
+s.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, env=os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}, stderr=subprocess.DEVNULL)
+    for _ in range(50):
+        if not os.listdir(tmp_path / "shared"):
+            break
+        time.sleep(0.2)
+    assert os.listdir(tmp_path / "shared") == []
