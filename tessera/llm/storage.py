@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from ..sources.storage import release, scratch, settled, shared_dir
+from ..sources.storage import release, scratch, settled, shared_dir, temporary
 
-__all__ = ["release", "scratch", "settled", "shared_dir"]
+__all__ = ["release", "scratch", "settled", "shared_dir", "temporary"]
