@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_FOLDERS: dict[tuple[str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,12 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
     return given if "://" in given else "file://" + os.path.abspath(given)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """The folder of this application in the shared one; the JVM deletes it when it ends: also after spark.stop(), and when Python
+    did not end well."""
+    shared = shared_dir(spark).rstrip("/")
+    path = _FOLDERS.get((spark.sparkContext.applicationId, shared))
+    if path is None:
+        path = f"{shared}/tessera-{uuid.uuid4().hex}"
+        file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(file)
+        fs.deleteOnExit(file)
+        _FOLDERS[spark.sparkContext.applicationId, shared] = path
+    return path
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, for release() to delete, or else the JVM when it ends: also after
-    spark.stop(), and when Python did not end well."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(file)
+    """A path of its own in the shared folder, for release() to delete, or else the end of the application's JVM."""
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
     return path
 
@@ -48,9 +61,7 @@ def settled(df: DataFrame) -> DataFrame:
 
 def _delete(spark: SparkSession, path: str) -> None:
     file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(file, True)
-    fs.cancelDeleteOnExit(file)
+    file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(file, True)
 
 
 def release(spark: SparkSession) -> None:
