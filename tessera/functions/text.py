@@ -12,10 +12,14 @@ def _either(words: list[str]) -> str:
     return "^(?:" + "|".join(words) + ")$"
 
 
+def without_comments(text: Column) -> Column:
+    """Source without comments (string literals are not spared)."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", ""), r"//[^\r\n]*", "")
+
+
 def normalize_source(text: Column) -> Column:
-    """Source without comments and white space (string literals are not spared)."""
-    text = F.regexp_replace(text, r"(?s)/\*.*?\*/", "")
-    return F.regexp_replace(F.regexp_replace(text, r"//[^\r\n]*", ""), r"\s+", "")
+    """Source without comments and white space."""
+    return F.regexp_replace(without_comments(text), r"\s+", "")
 
 
 def source_hash(text: Column) -> Column:

@@ -9,13 +9,14 @@ import random
 import subprocess
 import sys
 import time
+from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import batching, ensembles, graph, metrics, mining, mining_blocks, ordering, prep, report, scope, training, windows
+from tessera.operators import batching, encoding, ensembles, graph, metrics, mining, mining_blocks, ordering, prep, report, scope, training, windows
 from tessera.sources import graphml, sinks, tables
 from tessera.streaming import ingest
 
@@ -475,3 +476,46 @@ s.stop()
             break
         time.sleep(0.2)
     assert left == []
+
+
+class CountingEncoder(encoding.HashedEncoder):
+    """Leaves a file for each text that it is asked for."""
+
+    def __init__(self, path):
+        super().__init__(3)
+        self.path = path
+
+    def ids(self, text):
+        with open(f"{self.path}/{len(os.listdir(self.path))}-{os.getpid()}-{time.time_ns()}", "w") as f:
+            f.write(text)
+        return super().ids(text)
+
+
+def test_encoding_goes_on_after_a_kill(spark, tmp_path):
+    (tmp_path / "asked").mkdir()
+    asked = lambda: sorted(open(f.path).read() for f in os.scandir(tmp_path / "asked"))
+    load, path = partial(CountingEncoder, f"{tmp_path}/asked"), f"{tmp_path}/cache"
+    rows = [(f"d{k}", " ".join(f"{'x' * (j % 9 + 1)}" for j in range(k * 7))) for k in range(30)] + [("none", None), ("none2", ""), ("d3", "zz later"), (None, "no id")]
+    d = spark.createDataFrame(rows, "id string, text string").repartition(3)
+    encoding.encoded_into(d.where("hash(id) % 2 = 0"), load, path, {"model": "m"}, 5, size=10, overlap=4)
+    before = asked()
+    (tmp_path / "cache" / "vectors" / "part=2" / "_temporary").mkdir(parents=True, exist_ok=True)
+    (tmp_path / "cache" / "vectors" / "part=2" / "_temporary" / "part-half.parquet").write_bytes(b"cut off")
+    v = {r.id: r for r in encoding.encoded_into(d, load, path, {"model": "m"}, 5, size=10, overlap=4).collect()}
+    assert len(before) > 5 and len(asked()) == 32  # each id once
+    assert encoding.encoded_into(d, load, path, {"model": "m"}, 5, size=10, overlap=4).count() == 32 and len(asked()) == 32
+    with pytest.raises(ValueError, match="made with"):
+        encoding.encoded_into(d, load, path, {"model": "other"}, 5)
+    assert set(v) == {f"d{k}" for k in range(30)} | {"none", "none2"}
+    plain = encoding.HashedEncoder(3)
+    for name, text in {k: t or "" for k, t in reversed(rows) if k}.items():
+        ids = plain.ids(text).tolist()
+        windows, at = [], 0
+        while True:  # by the rule, one after the other
+            windows.append([0, *ids[at : at + 10], 1])
+            if at + 10 >= len(ids):
+                break
+            at += 6
+        means = [np.mean([[(i * k % 17) / 17 - 0.5 for k in (3, 4, 5)] for i in w], axis=0) for w in windows]
+        assert v[name].n_windows == len(windows) and np.allclose(v[name].vector, np.mean(means, axis=0))
+    assert encoding.encoded(d.limit(0), load).count() == 0
