@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from ..sources.storage import settled
 
 MODES = ("raw", "semantic-anon", "full-anon")
 _FAR = 1_000_000_000
@@ -67,17 +68,25 @@ def scope_symbols(nodes: DataFrame, mode: str) -> DataFrame:
 
 def normalized_codes(codes: DataFrame, symbols: DataFrame, mode: str, key: str = "node_id") -> DataFrame:
     """(sample_id, key, text): code lexed, names looked up in the sample's symbols, literals by kind, tokens joined by one
-    blank. Raw mode leaves texts alone. codes: sample_id, key, code."""
+    blank. Raw mode leaves texts alone. codes: sample_id, key, code. Only the distinct names of a code meet the symbols, by sample and
+    name; its other tokens stay where they are. A null code is an empty text."""
     if mode == "raw":
         return codes.select("sample_id", key, F.col("code").alias("text"))
-    t = codes.select("sample_id", key, F.posexplode_outer(T.lex(F.col("code"))).alias("pos", "token"))
+    names = fixed.C_KEYWORDS + fixed.BASIC_TYPES + ["NULL", "true", "false"]
+    c = settled(codes.select("sample_id", key, T.lex(F.col("code")).alias("tokens")))
+    looked_up = F.array_distinct(F.filter("tokens", lambda t: (T.token_kind(t) == "ID") & ~t.isin(names)))
     best = symbols.groupBy("sample_id", F.col("name").alias("token")).agg(F.min_by("replacement", "priority").alias("replacement"))
-    t = t.join(best, ["sample_id", "token"], "left")
-    kind, word = T.token_kind(F.col("token")), F.col("token")
-    other = F.concat(T.unknown_name(word), F.when(F.lit(mode == "semantic-anon") & (F.size(T.semantic_tags(word)) > 0), F.concat(F.lit(" "), F.array_join(T.semantic_tags(word), " "))).otherwise(""))
-    name = F.when(word.isin(fixed.C_KEYWORDS + fixed.BASIC_TYPES + ["NULL", "true", "false"]), word).otherwise(F.coalesce("replacement", other))
-    piece = F.when(kind == "STRING", "STR").when(kind == "CHAR", "CHAR").when(kind == "HEX", "HEX").when(kind == "FLOAT", "FLOAT").when(kind == "INT", T.normalize_integer(word)).when(kind == "ID", name).otherwise(word)
-    return t.groupBy("sample_id", key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("p")))), lambda x: x["p"]), " ").alias("text"))
+    met = c.select("sample_id", key, F.explode(looked_up).alias("token")).distinct().join(best, ["sample_id", "token"])
+    met = met.groupBy(F.col("sample_id").alias("s"), F.col(key).alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("token", "replacement"))).alias("known"))  # names of one code
+    c = c.join(met, F.col("sample_id").eqNullSafe(F.col("s")) & F.col(key).eqNullSafe(F.col("k")), "left")
+
+    def piece(word: Column) -> Column:
+        kind = T.token_kind(word)
+        other = F.concat(T.unknown_name(word), F.when(F.lit(mode == "semantic-anon") & (F.size(T.semantic_tags(word)) > 0), F.concat(F.lit(" "), F.array_join(T.semantic_tags(word), " "))).otherwise(""))
+        name = F.when(word.isin(names), word).otherwise(F.coalesce(F.try_element_at("known", word), other))
+        return F.when(kind == "STRING", "STR").when(kind == "CHAR", "CHAR").when(kind == "HEX", "HEX").when(kind == "FLOAT", "FLOAT").when(kind == "INT", T.normalize_integer(word)).when(kind == "ID", name).otherwise(word)
+
+    return c.select("sample_id", key, F.coalesce(F.array_join(F.transform("tokens", piece), " "), F.lit("")).alias("text"))
 
 
 def normalized_nodes(nodes: DataFrame, symbols: DataFrame | None, mode: str) -> DataFrame:

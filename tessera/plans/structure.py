@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as T
 from ..operators import batching, graph, mining, model, prep, report, scope, windows
+from ..sources.storage import settled
 from . import bindings as B
 from .bindings import GRAPH_SQL, attention, graph_edges, graph_nodes, table
 
@@ -83,9 +84,9 @@ def primary_method(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    nodes, edges = graph_nodes(spark, sf_dir), graph_edges(spark, sf_dir)
-    typed = graph.view_edges(edges, nodes)
-    return nodes, typed, graph.view_nodes(typed, nodes, nodes.where("label = 'METHOD'"))
+    nodes, edges = settled(graph_nodes(spark, sf_dir)), graph_edges(spark, sf_dir)
+    typed = settled(graph.view_edges(edges, nodes))
+    return nodes, typed, settled(graph.view_nodes(typed, nodes, nodes.where("label = 'METHOD'")))
 
 
 def view_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,12 +160,35 @@ def scope_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = B._items(spark, sf_dir)
+    items = settled(B._items(spark, sf_dir))
     code = F.concat(F.lit("if ("), F.lit("fn_"), (F.col("l_partkey") % 7).cast("string"), F.lit("(loc"), (F.col("l_suppkey") % 5).cast("string"), F.lit(", 0x1f, 12u)) return other; // done"))
     codes = items.select(F.col("l_orderkey").cast("string").alias("sample_id"), F.col("i").alias("node_id"), code.alias("code"))
     return scope.normalized_codes(codes, scope_symbols(spark, sf_dir), "full-anon")
 
 
+_CALLS = ("memcpy", "g_malloc", "open")
+_LABELS = ("METHOD_PARAMETER_IN", "LOCAL", "FIELD_IDENTIFIER", "CALL", "TYPE")
+
+
+def normalized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages with three known calls behind them, anonymised in both modes. A page's names are parameters, locals, fields, calls, types or unknown by
+    their length modulo six."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("sample_id"), F.lit(0).alias("node_id"), F.concat("html", F.lit(f" {_CALLS[0]}({_CALLS[1]}(2u), {_CALLS[2]});")).alias("code"))
+    t = p.select("sample_id", F.posexplode(T.lex(F.col("code"))).alias("pos", "t")).where((T.token_kind(F.col("t")) == "ID") & ~F.col("t").isin(fixed.C_KEYWORDS + fixed.BASIC_TYPES + ["NULL", "true", "false"]))
+    of = F.length("t") % 6
+    known = F.col("t").isin(list(_CALLS))
+    label = F.when(known, "CALL").otherwise(F.element_at(F.array(*[F.lit(x) for x in _LABELS]), of + 1))
+    name = F.when((of == 4) & ~known, F.concat("t", F.lit(" *")))
+    attrs = F.map_filter(F.create_map(F.lit("NAME"), F.when(name.isNull(), F.col("t")), F.lit("TYPE_FULL_NAME"), name, F.lit("LINE_NUMBER"), F.col("pos").cast("string")), lambda _, v: v.isNotNull())
+    nodes = settled(t.where(known | (of < 5)).select("sample_id", F.col("pos").cast("string").alias("node_id"), label.alias("label"), attrs.alias("attrs")))
+    out = None
+    for mode in ("semantic-anon", "full-anon"):
+        d = scope.normalized_codes(p, scope.scope_symbols(nodes, mode), mode)
+        d = d.select("sample_id", F.lit(mode).alias("mode"), F.length("text").alias("n_chars"), F.md5("text").alias("digest"), F.regexp_count("text", F.lit("UNKNOWN_ID_")).alias("unknown"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("tokens"))
 
@@ -293,13 +317,37 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("word", F.size("v").alias("dimensions"), ((norm > 0) & (norm < 100)).alias("bounded"))
 
 
-QUERIES = [lexer_kinds, identifier_parts, identifier_tags, leak_audit, code_category, safe_filenames, text_registry, unknown_names, ast_closure, primary_method, view_edge_counts, view_node_counts, model_edge_types, khop_nodes, slice_seeds, slice_nodes, edge_histogram, motif_features, offset_evidence, scope_symbols, normalized_texts, token_windows, head_tail_chunks, framed_chunks, mean_max_pool, histogram_matrix, greedy_batches, early_stop, line_topk, context_lines, outcome_mix, score_histogram, normalized_confusion, relative_loss, dashboard_samples, split_summary, gcn_aggregate, rgcn_mean, bag_softmax, attention_pool, mil_topk_logit, weighted_loss, word_vectors]
+QUERIES = [lexer_kinds, identifier_parts, identifier_tags, leak_audit, code_category, safe_filenames, text_registry, unknown_names, ast_closure, primary_method, view_edge_counts, view_node_counts, model_edge_types, khop_nodes, slice_seeds, slice_nodes, edge_histogram, motif_features, offset_evidence, scope_symbols, normalized_texts, normalized_pages, token_windows, head_tail_chunks, framed_chunks, mean_max_pool, histogram_matrix, greedy_batches, early_stop, line_topk, context_lines, outcome_mix, score_histogram, normalized_confusion, relative_loss, dashboard_samples, split_summary, gcn_aggregate, rgcn_mean, bag_softmax, attention_pool, mil_topk_logit, weighted_loss, word_vectors]
 
 _SYMBOLS = """symbols as (select l_orderkey::varchar as sample_id, name, prefix || '_' || row_number() over (partition by l_orderkey, prefix order by first_i) as replacement, priority from (
  select l_orderkey, 'fn_' || (l_partkey % 7) as name, 'FUNC' as prefix, 6 as priority, min(i) as first_i from items group by 1, 2 union all select l_orderkey, 'loc' || (l_suppkey % 5), 'VAR', 2, min(i) from items group by 1, 2))"""
 _IDS = f"toks as (select unnest({tokens_sql('html')}) as t from pages), ids as (select t from toks where {KIND_SQL} = 'ID')"
 _PARTS = "parts as (select unnest(list_filter(list_transform(string_split(replace(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '-', '_'), '_'), lambda p: lower(p)), lambda p: p <> '')) as part, rid from (select t, row_number() over () as rid from ids))"
 _TAGS = "(values " + ", ".join(f"('{p}', '{tag}')" for tag, parts in fixed.SEMANTIC_TAGS.items() for p in parts) + ") as tags(part, tag)"
+def _normalized_pages_sql() -> str:
+    """Tokens of each page with their places, its names numbered by first place and kind, and one text a mode."""
+    words = ", ".join(map(_q, [*fixed.C_KEYWORDS, *fixed.BASIC_TYPES, "NULL", "true", "false"]))
+    tag_of = "map {" + ", ".join(f"'{p}': '{tag}'" for tag, parts in fixed.SEMANTIC_TAGS.items() for p in parts) + "}"
+    parts = "list_filter(list_transform(string_split(replace(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '-', '_'), '_'), lambda p: lower(p)), lambda p: p <> '')"
+    tags = f"list_filter(list_transform({parts}, lambda p: {tag_of}[p]), lambda x: x is not null)"
+    tagged = f"coalesce(list_reduce(list_prepend('', list_filter({tags}, lambda x, i: list_position({tags}, x) = i)), lambda a, b: a || ' ' || b), '')"
+    categories = {n: c for group in (fixed.WRAPPER_APIS, fixed.STANDARD_APIS) for c, names in group.items() for n in names}
+    kept = {n for names in fixed.STANDARD_APIS.values() for n in names}
+    api = "case t " + " ".join(f"when '{n}' then case mode when 'semantic-anon' then '{n + ' ' + categories[n] if n in kept else categories[n]}' else '{categories[n]}' end" for n in _CALLS) + " end"
+    calls = ", ".join(map(_q, _CALLS))
+    prefix = "case k when 0 then 'PARAM' when 1 then 'VAR' when 2 then 'FIELD' when 3 then case mode when 'semantic-anon' then 'USER_FUNC' else 'FUNC' end else case mode when 'semantic-anon' then 'USER_TYPE' else 'TYPE' end end"
+    return f"""with code as (select page_id::varchar as sample_id, html || ' {_CALLS[0]}({_CALLS[1]}(2u), {_CALLS[2]});' as c from pages), lists as (select sample_id, {tokens_sql('c')} as l from code),
+ toks as materialized (select sample_id, unnest(l) as t, unnest(range(len(l))) as pos from lists), kinds as materialized (select *, {KIND_SQL} as kind from toks),
+ names as (select sample_id, t, min(pos) as at_ from kinds where kind = 'ID' and t not in ({words}) group by 1, 2), tagged as materialized (select *, {tagged} as tags, length(t) % 6 as k, t in ({calls}) as known from names),
+ numbered as (select *, row_number() over (partition by sample_id, k order by at_) as n from tagged where not known and k < 5), modes as (select unnest(['semantic-anon', 'full-anon']) as mode),
+ symbols as (select sample_id, t, mode, {prefix} || '_' || n || case when mode = 'semantic-anon' and k <> 4 then tags else '' end as r from numbered, modes
+  union all select sample_id, t, mode, {api} from tagged, modes where known union all select sample_id, t, mode, 'UNKNOWN_ID_' || substr(sha256(t), 1, 8) || case mode when 'semantic-anon' then tags else '' end from tagged, modes where not known and k = 5),
+ whole as (select k.sample_id, m.mode, k.pos, case kind when 'STRING' then 'STR' when 'CHAR' then 'CHAR' when 'HEX' then 'HEX' when 'FLOAT' then 'FLOAT'
+  when 'INT' then case when regexp_replace(k.t, '[uUlL]+$', '') in ('0', '1', '2') then 'NUM_' || regexp_replace(k.t, '[uUlL]+$', '') else 'NUM' end when 'ID' then coalesce(r, k.t) else k.t end as p from kinds k cross join modes m left join symbols s on s.sample_id = k.sample_id and s.t = k.t and s.mode = m.mode),
+ texts as (select sample_id, mode, string_agg(p, ' ' order by pos) as x from whole group by 1, 2)
+ select sample_id, mode, length(x) as n_chars, md5(x) as digest, (length(x) - length(replace(x, 'UNKNOWN_ID_', ''))) // 11 as unknown from texts"""
+
+
 _CATEGORY = "case " + " ".join(f"when regexp_matches(lower(line), {_q(p)}) then {_q(n)}" for n, p in fixed.CODE_CATEGORIES) + " else 'other' end"
 _REL = "rel as (select * from (values " + ", ".join(f"('{v}', '{r}', {k}, {len(rels)})" for v, rels in fixed.VIEW_RELATIONS.items() for k, r in enumerate(rels)) + ") as r(view, label, relation_id, n_rel))"
 _TYPED = f"{_REL}, typed as (select e.*, view, relation_id, n_rel from edges e join rel using (label))"
@@ -346,6 +394,7 @@ ORACLES = {
  h as (select distinct conv_id, turn from e join k on doc_id = conv_id and abs(place - line) <= 2 and len(list_intersect(et, lt)) > 0)
  select e.conv_id::varchar as sample_id, count(*) as n_evidence, count(h.turn) as n_matched, bool_or(coalesce(line > last_line, true)) as out_of_range from e left join h on h.conv_id = e.conv_id and h.turn = e.turn left join l on l.doc_id = e.conv_id group by 1""",
     "scope_symbols": f"with {GRAPH_SQL}, {_SYMBOLS} select sample_id, name, replacement, priority from symbols",
+    "normalized_pages": _normalized_pages_sql(),
     "normalized_texts": """with i as (select l_orderkey as o, l_partkey % 7 as f, l_suppkey % 5 as v, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey,
  l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) as i from lineitem),
  first as (select *, min(i) over (partition by o, f) as ff, min(i) over (partition by o, v) as vf from i),
