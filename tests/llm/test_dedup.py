@@ -255,10 +255,9 @@ def pairs_by_hand(rows):
         order = sorted(texts)
         for k, th in enumerate(order):
             large = len(order) > compact_windows.SMALL
-            near = {order[j]: False for j in (range(k) if not large else {0, k - 1} if k else ())}
-            near |= {order[j]: near.get(order[j], True) for j in range(max(0, k - 1 - compact_windows.FURTHER), k)}
-            out |= {(th, o, at, to, f) for o, f in near.items() for at, to in texts[th]}
-            out |= {(th, th, at, to, False) for at, to in texts[th][1:]}
+            near = {order[j] for j in (range(k) if not large else {j for j in (*range(compact_windows.FIRST), k - 1) if 0 <= j < k})}
+            out |= {(th, o, at, to) for o in near for at, to in texts[th]}
+            out |= {(th, th, at, to) for at, to in texts[th][1:]}
     return out
 
 
@@ -268,11 +267,7 @@ def test_candidates_of_groups(monkeypatch, held, size):
     monkeypatch.setattr(compact_windows, "HELD", held)
     rows = grouped_rows()
     batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[k : k + size])], names=["key", "th", "at", "to"]) for k in range(0, len(rows), size)]
-    got = [tuple(x.values()) for b in compact_windows._group_pairs(iter(batches)) for x in b.to_pylist()]
-    least = {}
-    for *pair, f in got:
-        least[tuple(pair)] = least.get(tuple(pair), True) and f
-    assert {(*pair, f) for pair, f in least.items()} == pairs_by_hand(rows)
+    assert {tuple(x.values()) for b in compact_windows._group_pairs(iter(batches)) for x in b.to_pylist()} == pairs_by_hand(rows)
 
 
 def test_rows_do_not_depend_on_partitions(spark, documents):
