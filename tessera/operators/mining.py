@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..sources.storage import scratch, settled
 from .ordering import numbered
 
 
@@ -166,16 +167,49 @@ def pair_audit_sample(bank: DataFrame, limit: int, seed: int = 42) -> DataFrame:
 
 
 
-def weak_baselines(features: DataFrame, groups: dict[str, list[str]], label_col: str = "label", split_col: str = "part") -> DataFrame:
-    """(feature_group, part, n, positives, roc_auc, train_auc, gap): a balanced logistic regression for each group of
-    features, its ranking in each part and how far that is below training."""
+def weak_baselines(features: DataFrame, groups: dict[str, list[str]], epochs: int = 30, learning_rate: float = 0.05, label_col: str = "label", split_col: str = "part") -> DataFrame:
+    """(feature_group, part, n, positives, roc_auc, train_auc, gap): for each group of features a balanced linear classifier, trained on the
+    train part by aggregated gradients, its ranking in each part and how far that is below training. features: sample_id, the label,
+    the part and a column for each feature; a row that lacks a feature of a group is left out of it. Both classes must be in the train part."""
+    from . import training
     from .metrics import roc_auc
 
+    d = settled(features.select(F.col("sample_id").cast("string").alias("sample_id"), F.col(label_col).cast("int").alias("label"), F.col(split_col).alias("part"), *{c: F.col(c).cast("double").alias(c) for columns in groups.values() for c in columns}.values()))
     out = None
     for name, columns in groups.items():
-        _, p = weak_baseline(features, columns, label_col, split_col)
-        d = p.groupBy(split_col).agg(F.count("*").alias("n"), F.sum("label").alias("positives")).join(roc_auc(p, [split_col]), split_col)
-        train = d.where(F.col(split_col) == "train").select(F.col("roc_auc").alias("train_auc"))
-        d = d.join(F.broadcast(train)).select(F.lit(name).alias("feature_group"), split_col, "n", "positives", "roc_auc", "train_auc", F.round(F.col("train_auc") - F.col("roc_auc"), 6).alias("gap"))  # one row
-        out = d if out is None else out.unionByName(d)
+        rows = d.select("sample_id", "label", "part", F.array(*columns).alias("features")).where(~F.exists("features", F.isnull))
+        n = {r.label: r["count"] for r in rows.where("part = 'train'").groupBy("label").count().collect()}  # a row a class
+        weight = tuple(sum(n.values()) / (2.0 * n[k]) for k in (0, 1))
+        plan = training.Plan((len(columns), 2), epochs=epochs, patience=epochs, learning_rate=learning_rate, clip=float("inf"), class_weight=weight)
+        run = training.train(rows.where("part = 'train'"), plan, scratch(d.sparkSession, "baseline"), start=[0.0] * (2 * len(columns) + 2))
+        last = training.np.array(run.orderBy(F.desc("epoch")).first().parameters)
+        p = settled(training.probabilities(plan, last, rows).join(rows.select("sample_id", "part"), "sample_id"))
+        found = p.groupBy("part").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("positives")).join(roc_auc(p, ["part"]), "part")
+        train = found.where("part = 'train'").select(F.col("roc_auc").alias("train_auc"))
+        found = found.join(F.broadcast(train)).select(F.lit(name).alias("feature_group"), "part", "n", "positives", "roc_auc", "train_auc", F.round(F.col("train_auc") - F.col("roc_auc"), 6).alias("gap"))  # one row
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def forest_audit(features: DataFrame, columns: list[str], offsets: list[int], trees: int = 50, depth: int = 8, label_col: str = "label", id_col: str = "sample_id") -> DataFrame:
+    """(offset, part, n, positives, roc_auc, train_auc, gap): how well a bag of trees ranks, and how much of that is learnt by heart, over
+    several splits. offset: a seed of the split (80/10/10 within each label) and of the trees. Rows that lack a feature are left out.
+    Trees are grown by pyspark.ml over all rows of the train part."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from .metrics import roc_auc
+    from .prep import stratified_split
+
+    d = settled(VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(features.select(F.col(id_col).cast("string").alias("sample_id"), F.col(label_col).cast("int").alias("label"), *[F.col(c).cast("double").alias(c) for c in columns])).select("sample_id", "label", "features"))
+    out = None
+    for offset in offsets:
+        split = settled(stratified_split(d, seed=offset))
+        model = RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=5, seed=offset).fit(split.where("part = 'train'"))
+        p = settled(model.transform(split).select("part", "label", vector_to_array("probability")[1].alias("probability")))
+        found = p.groupBy("part").agg(F.count("*").alias("n"), F.sum("label").alias("positives")).join(roc_auc(p, ["part"]), "part")
+        train = found.where("part = 'train'").select(F.col("roc_auc").alias("train_auc"))
+        found = found.join(F.broadcast(train)).select(F.lit(offset).alias("offset"), "part", "n", "positives", "roc_auc", "train_auc", F.round(F.col("train_auc") - F.col("roc_auc"), 6).alias("gap"))  # one row
+        out = found if out is None else out.unionByName(found)
     return out

@@ -224,14 +224,24 @@ def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.pair_metrics(mining.random_bank(positives, negatives, 3), scores, positives)
 
 
+_GROUPS = {"motif": range(13), "structure": range(13, 17), "scale": range(17, 23), "all": range(23)}
+_EPOCHS = 6
+
+
 def weak_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and positives of each part and feature group, and whether its classifier ranks better than chance in training."""
+    """Ranking of a balanced linear classifier for each feature group, in each part, and its distance to training."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("sample_id"), (F.col("label") >= 5).cast("int").alias("label"), F.when(F.col("vec_id") % 10 == 8, "val").when(F.col("vec_id") % 10 == 9, "test").otherwise("train").alias("part"), *[F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(23)])
-    groups = {"motif": range(13), "structure": range(13, 17), "scale": range(17, 23), "all": range(23)}
-    return mining.weak_baselines(e, {g: [f"f{k}" for k in ks] for g, ks in groups.items()}).select("feature_group", "part", "n", "positives", (F.col("train_auc") > 0.5).alias("better_than_chance"))
+    return mining.weak_baselines(e, {g: [f"f{k}" for k in ks] for g, ks in _GROUPS.items()}, epochs=_EPOCHS)
+
+
+def forest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees over the vectors of parts that mined_bank uses, on two splits."""
+    d = _part_vectors(spark, sf_dir, True).withColumn("label", F.lit(1)).unionByName(_part_vectors(spark, sf_dir, False).withColumn("label", F.lit(0)))
+    names = {f"{g}{k}": F.col(g)[k] for g, n in (("motif", 13), ("structure", 4), ("scale", 2)) for k in range(n)}
+    return mining.forest_audit(d.select(F.col("id").alias("sample_id"), "label", *[c.alias(n) for n, c in names.items()]), list(names), [1, 2], trees=10, depth=5)
 
 
-QUERIES = [source_hash_groups, strict_split_summary, stratified_split, leaking_groups, exclusion_cascade, evenly_sampled, confusion, best_f1_threshold, best_mcc_threshold, metrics_at_thresholds, roc_auc, average_precision, roc_points, guarded_scan, prediction_shift, simplex_grid, ensemble_scan, fixed05_combos, weight_sweep, frozen_points, hard_negative_bank, mined_bank, trained_epochs, trained_evaluation, review_queue, random_bank, fp_bank, pair_metrics, weak_baselines]
+QUERIES = [source_hash_groups, strict_split_summary, stratified_split, leaking_groups, exclusion_cascade, evenly_sampled, confusion, best_f1_threshold, best_mcc_threshold, metrics_at_thresholds, roc_auc, average_precision, roc_points, guarded_scan, prediction_shift, simplex_grid, ensemble_scan, fixed05_combos, weight_sweep, frozen_points, hard_negative_bank, mined_bank, trained_epochs, trained_evaluation, review_queue, random_bank, fp_bank, pair_metrics, weak_baselines, forest_audit]
 
 _SPLIT = f"""split as (select *, case when r <= train_n then 'train' when r <= train_n + val_n then 'val' else 'test' end as part from (select *, {SIZES_SQL} from (
  select *, count(*) over (partition by label) as n, row_number() over (partition by label order by sha256('42' || label::varchar || sample_id), sample_id) as r from samples)))"""
@@ -300,6 +310,27 @@ def _training_sql() -> str:
     return f"{_RANDOM}, " + ",\n ".join(parts)
 
 
+def _baseline_sql(group: str) -> str:
+    """One group's classifier written out, epoch by epoch, and its ROC AUC by part."""
+    ks, t, (b1, b2) = list(_GROUPS[group]), training.Plan((1, 2), learning_rate=0.05), training.BETAS
+    g, d = group, len(ks)
+    sig = "(1 / (1 + exp(-risk)))"
+    parts = [f"{g}_x as materialized (select vec_id, y, cw, part, j, case when j = {d} then 1.0::double else embedding[{ks[0] + 1} + j]::double end as v from e, (select unnest(range({d + 1})) as j))", f"{g}_w0 as (select unnest(range({d + 1})) as j, 0.0::double as a, 0.0::double as b, 0.0::double as m, 0.0::double as s)"]
+    for e in range(_EPOCHS):
+        move = f"{t.learning_rate}::double * (m1 / (1 - {b1}::double ** {e + 1})) / (sqrt(s1 / (1 - {b2}::double ** {e + 1})) + {training.EPSILON}::double)"
+        keep = f"{1 - t.learning_rate * t.weight_decay}::double"
+        parts.append(f"""{g}_r{e} as materialized (select vec_id, sum(v * (b - a)) as risk from {g}_x join {g}_w{e} using (j) where part = 'train' group by 1), {g}_g{e} as (select j, sum(cw * ({sig} - y) * v) / sum(cw) as g from {g}_x join {g}_r{e} using (vec_id) group by 1),
+ {g}_w{e + 1} as materialized (select j, a * {keep} + {move} as a, b * {keep} - {move} as b, m1 as m, s1 as s from (select j, a, b, {b1}::double * m + {1 - b1}::double * g as m1, {b2}::double * s + {1 - b2}::double * g * g as s1 from {g}_w{e} join {g}_g{e} using (j)))""")
+    parts.append(f"""{g}_p as (select vec_id, any_value(part) as part, any_value(y) as y, sum(v * (b - a)) as risk from {g}_x join {g}_w{_EPOCHS} using (j) group by 1),
+ {g}_a as (select '{g}' as feature_group, part, count(*) as n, sum(y)::bigint as positives, round((sum(case when y = 1 then r end) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) as roc_auc from (select part, y, rank() over (partition by part order by risk) + (count(*) over (partition by part, risk) - 1) / 2.0 as r from {g}_p) group by 2)""")
+    return ",\n ".join(parts)
+
+
+_BASELINES = """with e0 as (select vec_id, (label >= 5)::int as y, case when vec_id % 10 = 8 then 'val' when vec_id % 10 = 9 then 'test' else 'train' end as part, embedding from embeddings),
+ c as (select y, sum(count(*)) over () / (2.0::double * count(*)) as cw from e0 where part = 'train' group by y), e as (select * from e0 join c using (y)),
+ """ + ",\n ".join(map(_baseline_sql, _GROUPS)) + ", whole as (" + " union all ".join(f"select * from {g}_a" for g in _GROUPS) + """)
+ select w.feature_group, w.part, w.n, w.positives, w.roc_auc, t.roc_auc as train_auc, round(t.roc_auc - w.roc_auc, 6) as gap from whole w join whole t on t.feature_group = w.feature_group and t.part = 'train'"""
+
 _TEST_RATES = f"""losses as (select epoch, value from ({" union all ".join(f"select * from o{e}" for e in range(TRAINING.epochs))}) where name = 'loss'), best as (select epoch from losses order by value, epoch limit 1),
  w as ({" union all ".join(f"select {e + 1} as epoch, * from w{e + 1}" for e in range(TRAINING.epochs))}),
  p as (select vec_id, vec_id % 10 as part, (e.label >= 5)::int as label, 1 / (1 + exp(-sum((case when j = 4 then 1.0::double else embedding[j + 1]::double end) * (b - a)))) as probability from embeddings e, w where w.epoch = (select epoch from best) and vec_id % 10 >= 8 group by 1, 2, 3),
@@ -362,8 +393,7 @@ ORACLES = {
     "review_queue": f"with {_PAIRS} select positive_id, negative_id, rank::int as rank, pair_score from ranked where rank < greatest(1, floor(n * 0.05::double))",
     "random_bank": f"with {_RANDOM} select * from bank",
     "fp_bank": f"with {_FP} select * from bank",
-    "weak_baselines": """select g as feature_group, case when vec_id % 10 = 8 then 'val' when vec_id % 10 = 9 then 'test' else 'train' end as part, count(*) as n, count(*) filter (label >= 5) as positives, true as better_than_chance
- from embeddings, (select unnest(['motif', 'structure', 'scale', 'all']) as g) group by 1, 2""",
+    "weak_baselines": _BASELINES,
     "pair_metrics": f"""with {_RANDOM}, s as (select vec_id as id, round(4 * embedding[1]::double, 6) as logit, round((1 + embedding[2]::double) / 2, 6) as probability from embeddings),
  d as (select positive_id, negative_id, p.logit - n.logit as gap, n.probability as np from bank join s p on p.id = positive_id join s n on n.id = negative_id)
  select round(avg((gap > 0)::int::double), 6) as ranking_accuracy, (select round(avg((np >= 0.5)::int::double), 6) from (select distinct negative_id, np from d)) as matched_negative_fpr, round(avg(gap), 6) as mean_gap,

@@ -591,3 +591,26 @@ def test_only_changed_samples_are_built(spark, tmp_path):
     assert index() == found
     shutil.copytree(tmp_path / "out" / "index" / "batch=0", tmp_path / "out" / "index" / "batch=7")  # a batch that was cut off before its markers
     assert index() == found
+
+
+def test_forests_on_several_splits(spark):
+    r = random.Random(2)
+    rows = [(f"s{k}", k % 3 == 0, float(k % 3 == 0) + r.gauss(0, 0.3), r.random(), None if k == 5 else 0.0) for k in range(1200)]
+    d = spark.createDataFrame([(a, int(y), *x) for a, y, *x in rows], "sample_id string, label int, a double, b double, c double")
+    clear = mining.forest_audit(d, ["a", "b", "c"], [3, 4], trees=8, depth=4).collect()
+    noise = mining.forest_audit(d.where("int(substr(sample_id, 2)) < 200"), ["b"], [3, 5, 8], trees=8, depth=8).collect()
+    assert {(x.offset, x.part) for x in clear} == {(o, p) for o in (3, 4) for p in ("train", "val", "test")}
+    assert sum(x.n for x in clear if x.offset == 3) == 1199
+    assert all(x.roc_auc > 0.85 and abs(x.gap) < 0.15 for x in clear)
+    assert all(x.gap == pytest.approx(x.train_auc - x.roc_auc, abs=2e-6) for x in clear + noise)
+    assert max(x.gap for x in noise) > 0.1  # learnt by heart
+
+
+def test_baselines_rank_what_is_there(spark):
+    r = random.Random(9)
+    rows = [(f"s{k}", k % 2, ("train", "train", "val", "test")[k // 2 % 4], (k % 2) + r.gauss(0, 0.3), r.gauss(0, 1)) for k in range(400)]
+    d = spark.createDataFrame(rows, "sample_id string, label int, part string, good double, bad double")
+    out = {(x.feature_group, x.part): x for x in mining.weak_baselines(d, {"good": ["good"], "bad": ["bad"]}, epochs=20).collect()}
+    assert all(out["good", p].roc_auc > 0.95 for p in ("train", "val", "test")) and abs(out["bad", "test"].roc_auc - 0.5) < 0.2
+    risk = [(y, x) for _, y, p, x, _ in rows if p == "test"]
+    assert out["good", "test"].roc_auc == pytest.approx(by_hand(risk)[2], abs=1e-6)  # one feature with a positive weight: its own order
