@@ -79,6 +79,12 @@ def view_nodes(typed: DataFrame, members: DataFrame, roots: DataFrame, sliced: D
     return d.withColumn("local_id", F.row_number().over(Window.partitionBy("sample_id", "view").orderBy(*node_order())) - 1)
 
 
+def with_slice_mask(nodes: DataFrame, sliced: DataFrame) -> DataFrame:
+    """nodes of all views with in_slice: whether the node is in its sample's slice. sliced: sample_id, node_id."""
+    s = sliced.select("sample_id", "node_id").distinct().withColumn("in_slice", F.lit(True))
+    return nodes.join(s, ["sample_id", "node_id"], "left").withColumn("in_slice", F.coalesce("in_slice", F.lit(False)))
+
+
 def model_edges(typed: DataFrame, nodes: DataFrame) -> DataFrame:
     """(sample_id, view, src, dst, edge_type) in local ids, both directions. Typed views (*-cpg) number relations, their
     reverses and one self-loop per node; untyped ones have type 0 and keep repeats."""

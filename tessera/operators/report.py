@@ -58,6 +58,32 @@ def mix(rows: DataFrame, row: str, column: str) -> DataFrame:
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(row)), 6))
 
 
+def rank_shares(rows: DataFrame, categories: list[str], most: int = 3) -> DataFrame:
+    """category, n, share: the categories of the first `most` lines of each sample, all of them, 0 for those that are not met. rows: rank, category."""
+    n = rows.where(F.col("rank") <= most).groupBy("category").agg(F.count("*").alias("n"))
+    every = rows.sparkSession.createDataFrame([(c,) for c in categories], "category string")
+    d = every.join(n, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
+    whole = d.agg(F.greatest(F.sum("n"), F.lit(1)).alias("all"))
+    return d.join(F.broadcast(whole)).select("category", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))  # one row
+
+
+def outcome_shares(rows: DataFrame, categories: list[str], most: int = 5) -> DataFrame:
+    """outcome, category, n, share: of the first `most` lines of the samples of each outcome, every category's share; what is no listed category
+    counts as other. Outcomes without lines have shares of 0. rows: rank, category, outcome."""
+    listed = F.when(F.col("category").isin(categories), F.col("category")).otherwise("other")
+    n = rows.where(F.col("rank") <= most).groupBy("outcome", listed.alias("category")).agg(F.count("*").alias("n"))
+    every = rows.sparkSession.createDataFrame([(o, c) for o in ("TP", "FP", "FN", "TN") for c in dict.fromkeys([*categories, "other"])], "outcome string, category string")
+    d = every.join(n, ["outcome", "category"], "left").select("outcome", "category", F.coalesce("n", F.lit(0)).alias("n"))
+    return d.withColumn("share", F.round(F.coalesce(F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy("outcome"))), F.lit(0.0)), 6))
+
+
+def type_evidence(nodes: DataFrame, last: int = 6) -> DataFrame:
+    """label, score, place: the highest score of each label, at least 0, the `last` largest of them in rising order (a report's limit). nodes: label, score."""
+    d = nodes.groupBy("label").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("score"))
+    d = d.orderBy(F.desc("score"), F.desc("label")).limit(last)
+    return d.withColumn("place", F.row_number().over(Window.orderBy("score", "label")))  # at most `last` rows
+
+
 def relative_to_first(history: DataFrame, run: str, order: str, value: str) -> DataFrame:
     """value over its first one in each run; runs whose first is zero or missing have none."""
     first = F.first(value).over(Window.partitionBy(run).orderBy(order))

@@ -22,6 +22,21 @@ CELLS, CHUNK = 1 << 20, 256
 MAX_GRID = 200_000
 #: Thresholds that are candidates beside the probabilities.
 ENDS = (0.0, 0.5, 1.0)
+# fixed values: the strategies that are tried by default, first with any threshold, then with the fixed one
+STRATEGY_TABLE = [
+    ("unconstrained_val_f1", "f1", None, None),
+    ("guarded_r90_p75_val_f1", "f1", 0.90, 0.75),
+    ("guarded_r85_p70_val_f1", "f1", 0.85, 0.70),
+    ("guarded_r80_p65_val_f1", "f1", 0.80, 0.65),
+    ("unconstrained_val_mcc", "mcc", None, None),
+    ("guarded_r90_p75_val_mcc", "mcc", 0.90, 0.75),
+    ("guarded_r85_p70_val_mcc", "mcc", 0.85, 0.70),
+]
+FIXED_STRATEGY_TABLE = [
+    ("fixed05_guarded_r90_p80_val_f1", "f1", 0.90, 0.80),
+    ("fixed05_guarded_r90_p75_val_f1", "f1", 0.90, 0.75),
+    ("fixed05_guarded_r90_p80_val_mcc", "mcc", 0.90, 0.80),
+]
 #: How equal objectives of thresholds of one weight are told apart, after the objective itself.
 TIES = {"f1": ["mcc", "precision"], "mcc": ["f1", "precision"], "balanced_accuracy": ["mcc", "f1"]}
 
@@ -44,6 +59,11 @@ class Strategy:
         return reduce(and_, guards)
 
 
+def strategies(fixed: bool = False) -> list[Strategy]:
+    """The default strategies."""
+    return [Strategy(*row) for row in (FIXED_STRATEGY_TABLE if fixed else STRATEGY_TABLE)]
+
+
 def _points(grid: DataFrame) -> tuple[list[str], np.ndarray]:
     """Names (in their order) and weights of a grid, which the driver holds."""
     rows = sorted(grid.select("weight_id", "weights").limit(MAX_GRID + 1).collect())
@@ -178,6 +198,29 @@ def sweep(rows: DataFrame, grid: DataFrame, strategies: list[Strategy]) -> DataF
     return out.select("strategy", "weight_id", "threshold", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in kept[5:]])
 
 
+def selected(scan: DataFrame, strategies: list[Strategy], threshold: float = 0.5) -> DataFrame:
+    """For each strategy the best grid point of a scan at a fixed threshold (weight_id, rates), among those within its guards: by the objective, what
+    tells equals apart, the lower rate of positives, and the first weight in the order of names. A strategy that no point satisfies has no row."""
+    out = None
+    for s in strategies:
+        order = [s.objective, *TIES[s.objective]]
+        key = F.struct(*[(-F.col(c)).alias(f"k{i}") for i, c in enumerate(order)], "positive_rate", "weight_id")
+        best = scan.where(s.allows()).agg(F.min_by(F.struct(*scan.columns), key).alias("b")).where("b is not null")
+        best = best.select(F.lit(s.name).alias("strategy"), F.lit(threshold).alias("threshold"), "b.*")
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def ranked(rows: DataFrame, chosen: DataFrame, grid: DataFrame) -> DataFrame:
+    """strategy, roc_auc, average_precision of rows at the weights that were chosen. A row a strategy is broadcast."""
+    from .metrics import average_precision, roc_auc
+
+    points = chosen.select("strategy", "weight_id").join(grid, "weight_id")
+    q = F.aggregate(F.zip_with("probabilities", "weights", lambda a, w: a * w), F.lit(0.0), lambda s, x: s + x)
+    d = settled(rows.join(F.broadcast(points)).select("strategy", "label", F.round(q, 9).alias("probability")))
+    return roc_auc(d, ["strategy"]).join(average_precision(d, ["strategy"]), "strategy")
+
+
 def frozen(rows: DataFrame, chosen: DataFrame, grid: DataFrame) -> DataFrame:
     """Rates of other rows (test, say) at the points that a sweep chose, as they are: strategy, weight_id, threshold, counts, rates. One row
     a strategy is broadcast, and only counts are shuffled."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ensembles, metrics, mining, mining_blocks, prep, sweeps, training
-from ..sources.storage import scratch
+from ..sources.storage import scratch, settled
 from .bindings import PREDICTIONS_SQL, predictions, retrieval, samples, table
 
 KEYS = ["part", "model"]
@@ -145,6 +145,16 @@ def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweeps.sweep(_aligned(spark, sf_dir, "val"), ensembles.simplex_grid(spark, 4, 10), STRATEGIES)
 
 
+def fixed_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default strategies at the fixed threshold: weights that validation selects, and rates and rankings on validation and test."""
+    grid, val, test = ensembles.simplex_grid(spark, 4, 10), _aligned(spark, sf_dir, "val"), _aligned(spark, sf_dir, "test")
+    chosen = settled(sweeps.selected(ensembles.scan_grid(val, grid), [*sweeps.strategies(True), sweeps.Strategy("balance", "balanced_accuracy", positive_rate_max=0.6)]))
+    named = lambda d, part: d.select("strategy", F.col("roc_auc").alias(f"{part}_roc_auc"), F.col("average_precision").alias(f"{part}_pr_auc"))
+    out = chosen.select("strategy", "weight_id", F.col("f1").alias("val_f1"), F.col("mcc").alias("val_mcc"))
+    out = out.join(named(sweeps.ranked(val, chosen, grid), "val"), "strategy").join(named(sweeps.ranked(test, chosen, grid), "test"), "strategy")
+    return out.join(sweeps.frozen(test, chosen, grid).select("strategy", F.col("f1").alias("test_f1"), F.col("mcc").alias("test_mcc")), "strategy")
+
+
 def frozen_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the points that validation chose give on test, next to their rates on validation."""
     grid = ensembles.simplex_grid(spark, 4, 10)
@@ -241,7 +251,7 @@ def forest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.forest_audit(d.select(F.col("id").alias("sample_id"), "label", *[c.alias(n) for n, c in names.items()]), list(names), [1, 2], trees=10, depth=5)
 
 
-QUERIES = [source_hash_groups, strict_split_summary, stratified_split, leaking_groups, exclusion_cascade, evenly_sampled, confusion, best_f1_threshold, best_mcc_threshold, metrics_at_thresholds, roc_auc, average_precision, roc_points, guarded_scan, prediction_shift, simplex_grid, ensemble_scan, fixed05_combos, weight_sweep, frozen_points, hard_negative_bank, mined_bank, trained_epochs, trained_evaluation, review_queue, random_bank, fp_bank, pair_metrics, weak_baselines, forest_audit]
+QUERIES = [source_hash_groups, strict_split_summary, stratified_split, leaking_groups, exclusion_cascade, evenly_sampled, confusion, best_f1_threshold, best_mcc_threshold, metrics_at_thresholds, roc_auc, average_precision, roc_points, guarded_scan, prediction_shift, simplex_grid, ensemble_scan, fixed05_combos, weight_sweep, fixed_selection, frozen_points, hard_negative_bank, mined_bank, trained_epochs, trained_evaluation, review_queue, random_bank, fp_bank, pair_metrics, weak_baselines, forest_audit]
 
 _SPLIT = f"""split as (select *, case when r <= train_n then 'train' when r <= train_n + val_n then 'val' else 'test' end as part from (select *, {SIZES_SQL} from (
  select *, count(*) over (partition by label) as n, row_number() over (partition by label order by sha256('42' || label::varchar || sample_id), sample_id) as r from samples)))"""
@@ -339,7 +349,19 @@ _TEST_RATES = f"""losses as (select epoch, value from ({" union all ".join(f"sel
  t as (select 'fixed_0_5' as threshold_key, 0.5::double as threshold union all (select 'val_f1', threshold from sc order by f1 desc, threshold desc limit 1) union all (select 'val_mcc', threshold from sc order by mcc desc, threshold desc limit 1)),
  z as (select threshold_key, threshold, count(*) as samples, count(*) filter (probability >= threshold and label = 1) as tp, count(*) filter (probability >= threshold and label <> 1) as fp, count(*) filter (probability < threshold and label = 1) as fn, count(*) filter (probability < threshold and label <> 1) as tn from p, t where part = 9 group by 1, 2), f as (select *, {rates_sql()} from z)"""
 
+_CHOSEN = [*sweeps.strategies(True), sweeps.Strategy("balance", "balanced_accuracy", positive_rate_max=0.6)]
+_AUC = "round((sum(case when label = 1 then r end) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))), 6)"
+_FIXED = f"""with {PREDICTIONS_SQL}, {_GRID(10)}, wide as (select part, sample_id, any_value(label) as label, list(probability order by model) as p from predictions where part <> 'train' group by 1, 2),
+ mixed as materialized (select part, weight_id, label, round(p[1] * w[1] + p[2] * w[2] + p[3] * w[3] + p[4] * w[4], 9) as q from wide, grid), c as (select part, weight_id, {_COUNTS} from mixed group by 1, 2), scan as materialized (select *, {rates_sql()} from c),
+ chosen as ({" union all ".join(f"(select '{s.name}' as strategy, * from scan where part = 'val' and {_guard(s)} order by {s.objective} desc, {', '.join(t + ' desc' for t in sweeps.TIES[s.objective])}, positive_rate, weight_id limit 1)" for s in _CHOSEN)}),
+ at as (select strategy, m.part, m.label, q from chosen join mixed m using (weight_id)), ranks as (select strategy, part, label, q, rank() over (partition by strategy, part order by q) + (count(*) over (partition by strategy, part, q) - 1) / 2.0 as r,
+ count(*) filter (label = 1) over (partition by strategy, part order by q desc) as tp, count(*) over (partition by strategy, part order by q desc) as hit from at),
+ ranked as (select strategy, part, {_AUC} as auc, round(sum(case when label = 1 then tp::double / hit end) / sum(label), 6) as ap from ranks group by 1, 2)
+ select strategy, weight_id, chosen.f1 as val_f1, chosen.mcc as val_mcc, v.auc as val_roc_auc, v.ap as val_pr_auc, t.auc as test_roc_auc, t.ap as test_pr_auc, s.f1 as test_f1, s.mcc as test_mcc
+ from chosen join ranked v using (strategy) join ranked t using (strategy) join scan s using (weight_id) where v.part = 'val' and t.part = 'test' and s.part = 'test'""".replace(" at as (", " met as (").replace("from at)", "from met)")
+
 ORACLES = {
+    "fixed_selection": _FIXED,
     "source_hash_groups": f"select sha256({NORMALIZED}) as source_hash, count(*) as n from documents group by 1",
     "strict_split_summary": f"""with {SAMPLES_SQL}, grouped as (select source_hash as sample_id, min(label) as label from samples group by 1), {_SPLIT.replace('from samples', 'from grouped')}
  select part, s.label, count(*) as n_rows, count(distinct source_hash) as n_groups from samples s join split on split.sample_id = s.source_hash group by 1, 2""",

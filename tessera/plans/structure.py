@@ -110,11 +110,14 @@ def khop_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hops(edges, nodes.where("node_id = '11'"), nodes, "CFG", 2)
 
 
-def slice_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = graph_nodes(spark, sf_dir), graph_edges(spark, sf_dir)
     nodes = nodes.withColumn("code", F.when(F.col("code").contains("anodized"), F.concat(F.lit("free "), "code")).otherwise(F.col("code")))
-    s = graph.risk_slice(nodes, edges, nodes, nodes.where("label = 'METHOD'"))
-    return s.groupBy("sample_id").agg(F.count("*").alias("n"))
+    return graph.risk_slice(nodes, edges, nodes, nodes.where("label = 'METHOD'"))
+
+
+def slice_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _slice(spark, sf_dir).groupBy("sample_id").agg(F.count("*").alias("n"))
 
 
 def slice_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,6 +222,46 @@ def histogram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.histogram_features(sizes, graph.node_histogram(n), ["CALL", "IDENTIFIER", "METHOD"])
 
 
+def whole_histogram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of node labels and logs of edge counts."""
+    n, e = settled(graph_nodes(spark, sf_dir)), settled(graph_edges(spark, sf_dir))
+    sizes = n.groupBy("sample_id").agg(F.count("*").alias("nodes")).join(e.groupBy("sample_id").agg(F.count("*").alias("edges")), "sample_id", "left").na.fill(0, ["edges"])
+    return windows.histogram_features(sizes, graph.node_histogram(n), ["CALL", "METHOD"], graph.node_histogram(e), ["AST", "CDG", "CFG", "REACHING_DEF"])
+
+
+def slice_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes of each view are in the slice."""
+    _, _, nodes = _views(spark, sf_dir)
+    d = graph.with_slice_mask(nodes, _slice(spark, sf_dir))
+    return d.groupBy("view").agg(F.count("*").alias("n"), F.count_if("in_slice").alias("in_slice"))
+
+
+_EVIDENCE = ["buffer/index", "copy/API", "control", "runtime/wait", "alloc/free", "exit", "other"]
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best lines of each user's attention, as lines of the page of that number."""
+    top = report.line_topk(attention(spark, sf_dir), 5)
+    lines = _lines(spark, sf_dir, "pages", "page_id", "html").select(F.col("page_id").cast("string").alias("sample_id"), (F.col("pos") + 1).cast("long").alias("line"), F.col("line").alias("text"))
+    d = top.join(lines, ["sample_id", "line"], "left")
+    label, best = F.col("sample_id").cast("long") % 2, F.max("score").over(Window.partitionBy("sample_id"))
+    return d.select("sample_id", "rank", "score", T.code_category(F.coalesce("text", F.lit(""))).alias("category"), T.outcome(label.cast("int"), (best >= 0.9).cast("int")).alias("outcome"))
+
+
+def evidence_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.rank_shares(_evidence(spark, sf_dir), _EVIDENCE)
+
+
+def outcome_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.outcome_shares(_evidence(spark, sf_dir), [c for c in _EVIDENCE if c not in ("exit", "other")])
+
+
+def type_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attention by type of event."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), F.round(F.col("value") / 500, 6).alias("score"))
+    return report.type_evidence(e, 3)
+
+
 def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("nodes"), F.sum("l_quantity").cast("long").alias("edges"))
     o = o.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
@@ -317,7 +360,7 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("word", F.size("v").alias("dimensions"), ((norm > 0) & (norm < 100)).alias("bounded"))
 
 
-QUERIES = [lexer_kinds, identifier_parts, identifier_tags, leak_audit, code_category, safe_filenames, text_registry, unknown_names, ast_closure, primary_method, view_edge_counts, view_node_counts, model_edge_types, khop_nodes, slice_seeds, slice_nodes, edge_histogram, motif_features, offset_evidence, scope_symbols, normalized_texts, normalized_pages, token_windows, head_tail_chunks, framed_chunks, mean_max_pool, histogram_matrix, greedy_batches, early_stop, line_topk, context_lines, outcome_mix, score_histogram, normalized_confusion, relative_loss, dashboard_samples, split_summary, gcn_aggregate, rgcn_mean, bag_softmax, attention_pool, mil_topk_logit, weighted_loss, word_vectors]
+QUERIES = [lexer_kinds, identifier_parts, identifier_tags, leak_audit, code_category, safe_filenames, text_registry, unknown_names, ast_closure, primary_method, view_edge_counts, view_node_counts, model_edge_types, khop_nodes, slice_seeds, slice_nodes, edge_histogram, motif_features, offset_evidence, scope_symbols, normalized_texts, normalized_pages, token_windows, head_tail_chunks, framed_chunks, mean_max_pool, histogram_matrix, whole_histogram_matrix, slice_masks, evidence_shares, outcome_shares, type_evidence, greedy_batches, early_stop, line_topk, context_lines, outcome_mix, score_histogram, normalized_confusion, relative_loss, dashboard_samples, split_summary, gcn_aggregate, rgcn_mean, bag_softmax, attention_pool, mil_topk_logit, weighted_loss, word_vectors]
 
 _SYMBOLS = """symbols as (select l_orderkey::varchar as sample_id, name, prefix || '_' || row_number() over (partition by l_orderkey, prefix order by first_i) as replacement, priority from (
  select l_orderkey, 'fn_' || (l_partkey % 7) as name, 'FUNC' as prefix, 6 as priority, min(i) as first_i from items group by 1, 2 union all select l_orderkey, 'loc' || (l_suppkey % 5), 'VAR', 2, min(i) from items group by 1, 2))"""
@@ -442,3 +485,20 @@ ORACLES = {
     "mil_topk_logit": "with e as (select user_id, value / 100 as s, event_type = 'purchase' as m, bool_or(event_type = 'purchase') over (partition by user_id) as masked from events), r as (select *, row_number() over (partition by user_id order by s desc) as k from e where m or not masked), t as (select user_id, s, max(s) over (partition by user_id) as mx, count(*) over (partition by user_id) as c from r where k <= 8) select user_id, round(mx + 0.5 * ln(sum(exp((s - mx) / 0.5))) - ln(c), 6) as risk, c as candidates from t group by user_id, mx, c",
     "weighted_loss": f"with e as (select case when label >= 5 then -4 * embedding[1]::double else 4 * embedding[1]::double end as z, case when label >= 5 then 1.65::double else 1.0::double end as w from embeddings), c as (select w, {_CE} as ce from e) select round(round(sum(w * ce) / sum(w), 6), 5) as cross_entropy, round(round(avg(pow(1 - exp(-ce), 2) * w * ce), 6), 5) as focal from c",
 }
+_EVIDENCE_SQL = f"""t as (select user_id, (event_id % 40)::bigint as line, greatest(max(round(value / 500, 6)), 0) as score from events group by 1, 2),
+ top as (select * from (select *, row_number() over (partition by user_id order by score desc, line) as rank from t) where rank <= 5),
+ pl as (select page_id, unnest(range(len(l))) as pos, unnest(l) as line_text from (select page_id, string_split(html, chr(10)) as l from pages)),
+ ev as (select user_id, rank, {_CATEGORY.replace("lower(line)", "lower(coalesce(line_text, ''))")} as category, max(score) over (partition by user_id) >= 0.9 as hit from top left join pl on page_id = user_id and pos + 1 = line),
+ ov as (select *, case when user_id % 2 = 1 then case when hit then 'TP' else 'FN' end else case when hit then 'FP' else 'TN' end end as outcome from ev)"""
+ORACLES |= {
+    "whole_histogram_matrix": f"""with {GRAPH_SQL}, n as (select sample_id, count(*) as nodes, count(*) filter (label = 'CALL') as c, count(*) filter (label = 'METHOD') as m from nodes group by 1),
+ e as (select sample_id, count(*) as edges, {', '.join(f"count(*) filter (label = '{r}') as {r.lower()}" for r in ('AST', 'CDG', 'CFG', 'REACHING_DEF'))} from edges group by 1)
+ select sample_id, round(ln(1 + nodes), 6) as log_nodes, round(ln(1 + coalesce(edges, 0)), 6) as log_edges, round(c / nodes, 6) as "CALL_fraction", round(m / nodes, 6) as "METHOD_fraction",
+ {', '.join(f'round(ln(1 + coalesce({r.lower()}, 0)), 6) as "{r}_log_count"' for r in ('AST', 'CDG', 'CFG', 'REACHING_DEF'))} from n left join e using (sample_id)""",
+    "slice_masks": f"with {GRAPH_SQL}, {_TYPED}, {_VNODES}, sliced as ({ORACLES['slice_nodes'].replace('select sample_id, count(*) as n from (', 'select distinct sample_id, node_id from (').replace(') group by 1', ')')}) select view, count(*) as n, count(s.node_id) as in_slice from vn left join sliced s on s.sample_id = vn.sample_id and s.node_id = vn.node_id group by 1",
+    "evidence_shares": f"with {_EVIDENCE_SQL}, n as (select category, count(*) as n from ev where rank <= 3 group by 1), a as (select unnest({_EVIDENCE}) as category), d as (select category, coalesce(n, 0) as n from a left join n using (category)) select *, round(n / greatest(sum(n) over (), 1), 6) as share from d",
+    "outcome_shares": f"""with {_EVIDENCE_SQL}, n as (select outcome, case when category = 'exit' then 'other' else category end as category, count(*) as n from ov group by 1, 2),
+ a as (select * from (select unnest(['TP', 'FP', 'FN', 'TN']) as outcome), (select unnest({[c for c in _EVIDENCE if c != 'exit']}) as category)), d as (select outcome, category, coalesce(n, 0) as n from a left join n using (outcome, category))
+ select *, round(case when sum(n) over (partition by outcome) = 0 then 0 else n / sum(n) over (partition by outcome) end, 6) as share from d""",
+    "type_evidence": "with t as (select event_type as label, greatest(max(round(value / 500, 6)), 0) as score from events group by 1 order by 2 desc, 1 desc limit 3) select *, row_number() over (order by score, label)::int as place from t",
+}
