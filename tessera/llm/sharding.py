@@ -46,7 +46,8 @@ def slot_of(key: Column, size: int = TABLE) -> Column:
 
 def assign_shards(df: DataFrame, key: str, shards: list[str] | None = None, size: int = TABLE) -> DataFrame:
     """df with shard_slot, shard_id and shard_name, looked up in a broadcast table of `size` rows (a fixed size, under
-    2 MB for the default). No row moves. A null key has a slot like any other; equal keys share a shard."""
+    2 MB for the default). No row moves. A null key has a slot like any other; equal keys share a shard; columns of df with one of
+    the three names are replaced; an empty table stays empty, with the columns."""
     names = shards or [f"shard-{k:04d}" for k in range(SHARDS)]
     table = lookup_table(names, size)
     rows = df.sparkSession.createDataFrame([(slot, int(k), names[k]) for slot, k in enumerate(table.tolist())], "shard_slot int, shard_id int, shard_name string")

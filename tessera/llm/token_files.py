@@ -125,12 +125,21 @@ def sequences(path: str, memory_map: bool = True) -> Iterator[tuple[np.ndarray,
             yield ids, batch.column("mask").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def sequence(path: str, k: int) -> np.ndarray:
-    """The k-th sequence of a shard, by its place alone."""
+def _list_at(path: str, column: str, k: int) -> pa.Array:
     fs, name = _open(f"{path}.arrow")
-    with (pa.memory_map(name) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(name)) as source:
-        column = pa.ipc.open_file(source).get_batch(k // BATCH).column("ids")
-        return column[k % BATCH].values.to_numpy().copy()
+    source = pa.memory_map(name) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(name)
+    return pa.ipc.open_file(source).get_batch(k // BATCH).column(column)[k % BATCH].values  # holds the map open as long as it lives
+
+
+def sequence(path: str, k: int) -> np.ndarray:
+    """The k-th sequence of a shard, by its place alone: a view of the file's memory where the file is mapped, not to be written to."""
+    return _list_at(path, "ids", k).to_numpy(zero_copy_only=True)
+
+
+def mask(path: str, k: int) -> np.ndarray:
+    """Which ids of the k-th sequence are real. The file has a bit for each, which are read in place and unpacked (an eighth of the
+    bytes that a view of whole bytes would need on disk)."""
+    return _list_at(path, "mask", k).to_numpy(zero_copy_only=False)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -168,4 +177,5 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 
 def token_files_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """All documents written and read back: null, empty and repeated rows, long texts and other columns as in write_token_files."""
     return read_documents(write_token_files(docs, scratch(spark, "token-files")))

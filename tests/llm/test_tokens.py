@@ -58,6 +58,16 @@ def test_sequences_are_equal_length_and_masked(spark, documents, tmp_path, libra
     assert np.concatenate([stream[k] for k in sorted(stream)]).tolist() == whole
     assert all(ids.shape[1] == 64 for r in shards for ids, _ in token_files.sequences(r.path))
     assert token_files.sequence(shards[0].path, 3).tolist() == stream[shards[0].shard][192:256].tolist()
+    assert not token_files.sequence(shards[0].path, 3).flags.owndata  # the file's memory
+    assert token_files.mask(shards[0].path, 3).all()
+    n = len(stream[shards[0].shard])
+    assert token_files.mask(shards[0].path, n // 64).tolist() == [k < n % 64 for k in range(64)]
+
+
+def test_sharding_replaces_columns_of_its_names(spark):
+    d = spark.createDataFrame([(1, "mine", 7)], "k long, shard_name string, shard_slot int")
+    out = sharding.assign_shards(d, "k")
+    assert sorted(out.columns) == ["k", "shard_id", "shard_name", "shard_slot"] and out.first().shard_name.startswith("shard-")
 
 
 def test_empty_tables(spark, documents):
