@@ -18,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import batching, encoding, ensembles, graph, metrics, mining, mining_blocks, ordering, prep, report, scope, training, windows
+from tessera.operators import batching, encoding, ensembles, graph, metrics, mining, mining_blocks, offsets, ordering, prep, report, scope, training, windows
 from tessera.sources import graphml, sinks, tables
 from tessera.streaming import build, ingest
 
@@ -614,3 +614,36 @@ def test_baselines_rank_what_is_there(spark):
     assert all(out["good", p].roc_auc > 0.95 for p in ("train", "val", "test")) and abs(out["bad", "test"].roc_auc - 0.5) < 0.2
     risk = [(y, x) for _, y, p, x, _ in rows if p == "test"]
     assert out["good", "test"].roc_auc == pytest.approx(by_hand(risk)[2], abs=1e-6)  # one feature with a positive weight: its own order
+
+
+def test_token_spans_are_the_library_s(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    r = random.Random(1)
+    texts = ["", None, "int main()\n{\n  return 0;\n}\n", "Hé 日本\n  x 😀<|endoftext|>b", "\n\n\n", "é" * 700 + "\n" + "word " * 300]
+    texts += ["".join(r.choice("ab é日😀\n\t(){}") for _ in range(200)) for _ in range(20)]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = offsets.token_spans(d, path).orderBy("id", "pos").collect()
+    by_text = {}
+    for x in got:
+        by_text.setdefault(int(x.id), []).append(x)
+    assert set(by_text) == {k for k, t in enumerate(texts) if t}
+    for k, rows in by_text.items():
+        e = library.encode(texts[k], add_special_tokens=False)
+        assert [x.token for x in sorted(rows, key=lambda x: x.pos)] == e.ids
+        assert [(x.char_start, x.char_end) for x in sorted(rows, key=lambda x: x.pos)] == e.offsets
+        assert all(x.first_line == texts[k].count("\n", 0, x.char_start) + 1 for x in rows)
+    chunks = {(int(x.id), x.chunk): x for x in offsets.chunk_lines(offsets.token_spans(d, path), 10, 4).collect()}
+    for k, rows in by_text.items():
+        rows = sorted(rows, key=lambda x: x.pos)
+        starts = [s for s in range(0, len(rows), 6) if s == 0 or s + 4 < len(rows)]
+        assert sorted(c for i, c in chunks if i == k) == list(range(len(starts)))
+        for c, s in enumerate(starts):
+            part = rows[s : s + 10]
+            x = chunks[k, c]
+            assert (x.n_tokens, x.char_start, x.char_end, x.first_line, x.last_line) == (len(part), part[0].char_start, max(p.char_end for p in part), part[0].first_line, max(p.last_line for p in part))
+    with pytest.raises(ValueError, match="byte-level"):
+        offsets.spans(np.array([5]), np.full(10, 3), "ab")
