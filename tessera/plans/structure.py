@@ -141,6 +141,18 @@ def motif_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("sample_id", "known_alloc_api", "known_copy_api", "array_index", "num_nodes", "num_edges", "num_cfg_edges", "num_reaching_def_edges", "branch_count", "loop_count", "return_count", "error_return_count")
 
 
+_CALLED = ["malloc", "lib.memcpy", "x.free", "recv", "<operator>.pointerCall", "<operator>.indexAccess", "<operator>.fieldAccess", "<operator>.addressOf", "<operator>.multiplication", "<operator>.subtraction", "<operator>.division", "<operator>.modulo", "<operator>.shiftLeft", "plain", "<operator>.indirectFieldAccess", "<operator>.logicalShiftRight", "av_realloc", "CLOSE"]
+
+
+def all_motif_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features: items call one of eighteen names by their place and part, by name or by full name."""
+    n = graph_nodes(spark, sf_dir).withColumn("at", (F.col("node_id").cast("long") * 5 + F.length("name")) % len(_CALLED))
+    called = F.element_at(F.array(*[F.lit(x) for x in _CALLED]), F.col("at").cast("int") + 1)
+    kind = F.when((F.col("label") == "IDENTIFIER") & (F.col("at") % 3 == 0), "CONTROL_STRUCTURE").when((F.col("label") == "IDENTIFIER") & (F.col("at") % 3 == 1), "RETURN").otherwise(F.col("label"))
+    d = n.select("sample_id", kind.alias("label"), F.when(F.col("at") % 2 == 0, called).otherwise("f").alias("name"), F.when(F.col("at") % 2 == 1, called).alias("method_full_name"), F.concat(F.lit("return -EINVAL; "), "code").alias("code"), F.when(F.col("at") % 4 == 0, "While").alias("control_type"))
+    return mining.motif_features(d, graph_edges(spark, sf_dir))
+
+
 def offset_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as evidence against the lines of the document of the same number."""
     e = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("sample_id"), F.concat_ws("-", "conv_id", "turn").alias("evidence_id"), (F.col("turn") + 1).cast("int").alias("line"), F.col("text").alias("code"))
@@ -360,7 +372,7 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("word", F.size("v").alias("dimensions"), ((norm > 0) & (norm < 100)).alias("bounded"))
 
 
-QUERIES = [lexer_kinds, identifier_parts, identifier_tags, leak_audit, code_category, safe_filenames, text_registry, unknown_names, ast_closure, primary_method, view_edge_counts, view_node_counts, model_edge_types, khop_nodes, slice_seeds, slice_nodes, edge_histogram, motif_features, offset_evidence, scope_symbols, normalized_texts, normalized_pages, token_windows, head_tail_chunks, framed_chunks, mean_max_pool, histogram_matrix, whole_histogram_matrix, slice_masks, evidence_shares, outcome_shares, type_evidence, greedy_batches, early_stop, line_topk, context_lines, outcome_mix, score_histogram, normalized_confusion, relative_loss, dashboard_samples, split_summary, gcn_aggregate, rgcn_mean, bag_softmax, attention_pool, mil_topk_logit, weighted_loss, word_vectors]
+QUERIES = [lexer_kinds, identifier_parts, identifier_tags, leak_audit, code_category, safe_filenames, text_registry, unknown_names, ast_closure, primary_method, view_edge_counts, view_node_counts, model_edge_types, khop_nodes, slice_seeds, slice_nodes, edge_histogram, motif_features, all_motif_features, offset_evidence, scope_symbols, normalized_texts, normalized_pages, token_windows, head_tail_chunks, framed_chunks, mean_max_pool, histogram_matrix, whole_histogram_matrix, slice_masks, evidence_shares, outcome_shares, type_evidence, greedy_batches, early_stop, line_topk, context_lines, outcome_mix, score_histogram, normalized_confusion, relative_loss, dashboard_samples, split_summary, gcn_aggregate, rgcn_mean, bag_softmax, attention_pool, mil_topk_logit, weighted_loss, word_vectors]
 
 _SYMBOLS = """symbols as (select l_orderkey::varchar as sample_id, name, prefix || '_' || row_number() over (partition by l_orderkey, prefix order by first_i) as replacement, priority from (
  select l_orderkey, 'fn_' || (l_partkey % 7) as name, 'FUNC' as prefix, 6 as priority, min(i) as first_i from items group by 1, 2 union all select l_orderkey, 'loc' || (l_suppkey % 5), 'VAR', 2, min(i) from items group by 1, 2))"""
@@ -502,3 +514,13 @@ ORACLES |= {
  select *, round(case when sum(n) over (partition by outcome) = 0 then 0 else n / sum(n) over (partition by outcome) end, 6) as share from d""",
     "type_evidence": "with t as (select event_type as label, greatest(max(round(value / 500, 6)), 0) as score from events group by 1 order by 2 desc, 1 desc limit 3) select *, row_number() over (order by score, label)::int as place from t",
 }
+
+_FLAGS = [f"max((l = 'CALL' and lower(string_split(called, '.')[-1]) in ({', '.join(map(_q, words))}))::int)::double as {k}" for k, words in fixed.MOTIF_APIS.items()]
+_FLAGS += [f"max((l = 'CALL' and called in ({', '.join(_q('<operator>.' + w) for w in words)}))::int)::double as {k}" for k, words in fixed.MOTIF_OPERATORS.items()]
+_ERRORS = " + ".join(f"(length(lower(c)) - length(replace(lower(c), {_q(t)}, ''))) / {len(t)}" for t in fixed.ERROR_RETURNS)
+ORACLES["all_motif_features"] = f"""with {GRAPH_SQL}, n as (select sample_id, label, (node_id::bigint * 5 + length(name)) % {len(_CALLED)} as a, 'return -EINVAL; ' || code as c from nodes),
+ m as (select sample_id, {_CALLED}[a + 1] as called, a, c, case when label = 'IDENTIFIER' and a % 3 = 0 then 'C' when label = 'IDENTIFIER' and a % 3 = 1 then 'R' else label end as l from n),
+ f as (select sample_id, {', '.join(_FLAGS)}, round(ln(1 + count(*)), 6) as num_nodes, round(ln(1 + count(*) filter (l = 'C')), 6) as branch_count, round(ln(1 + count(*) filter (a % 4 = 0)), 6) as loop_count,
+ round(ln(1 + count(*) filter (l = 'R')), 6) as return_count, round(ln(1 + coalesce(sum(case when l = 'R' then {_ERRORS} end), 0)), 6) as error_return_count from m group by 1),
+ e as (select sample_id, round(ln(1 + count(*)), 6) as num_edges, {', '.join(f"round(ln(1 + count(*) filter (label = '{r}')), 6) as num_{r.lower()}_edges" for r in ('AST', 'CFG', 'CDG', 'REACHING_DEF'))} from edges group by 1)
+ select f.*, {', '.join(f'coalesce({c}, 0) as {c}' for c in ('num_edges', 'num_ast_edges', 'num_cfg_edges', 'num_cdg_edges', 'num_reaching_def_edges'))} from f left join e using (sample_id)"""

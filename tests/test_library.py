@@ -647,3 +647,31 @@ def test_token_spans_are_the_library_s(spark):
             assert (x.n_tokens, x.char_start, x.char_end, x.first_line, x.last_line) == (len(part), part[0].char_start, max(p.char_end for p in part), part[0].first_line, max(p.last_line for p in part))
     with pytest.raises(ValueError, match="byte-level"):
         offsets.spans(np.array([5]), np.full(10, 3), "ab")
+
+
+def test_logistic_stack_is_the_optimum(spark):
+    """Out-of-fold probabilities against Newton's method on the same folds."""
+    import hashlib
+
+    r = random.Random(12)
+    rows = [(f"m{k}", int(r.random() < 0.4), [min(0.99, max(0.01, r.gauss(0.5, 0.2))) for _ in range(2)]) for k in range(60)]
+    rows = [(i, y, [min(0.99, max(0.01, p + 0.2 * y)) for p in ps]) for i, y, ps in rows]
+    d = spark.createDataFrame(rows, "sample_id string, label int, probabilities array<double>")
+    got = {x.sample_id: x.probability for x in ensembles.logistic_stack(d, 2, "logit", folds=3, c=2.0, seed=5).collect()}
+    fold = {}
+    for label in (0, 1):
+        order = sorted((hashlib.sha256(f"5{i}".encode()).hexdigest(), i) for i, y, _ in rows if y == label)
+        fold |= {i: k % 3 for k, (_, i) in enumerate(order)}
+    x = {i: np.array([math.log(p / (1 - p)) for p in ps] + [1.0]) for i, _, ps in rows}
+    strength = 1 / (2.0 * 60 * 2 / 3) * np.array([1.0, 1.0, 0.0])
+    for f in range(3):
+        train = [(x[i], y) for i, y, _ in rows if fold[i] != f]
+        w = np.zeros(3)
+        for _ in range(50):
+            p = [1 / (1 + math.exp(-v @ w)) for v, _ in train]
+            g = sum((q - y) * v for q, (v, y) in zip(p, train)) / len(train) + strength * w
+            h = sum(q * (1 - q) * np.outer(v, v) for q, (v, _) in zip(p, train)) / len(train) + np.diag(strength)
+            w = w - np.linalg.solve(h, g)
+        for i, _, _ in rows:
+            if fold[i] == f:
+                assert got[i] == pytest.approx(1 / (1 + math.exp(-x[i] @ w)), abs=2e-4)
