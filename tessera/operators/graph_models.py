@@ -101,6 +101,23 @@ def plain_states(nodes: DataFrame, edges: DataFrame, p: Convolutions) -> DataFra
     return s
 
 
+def _with_relations(states: DataFrame, edges: DataFrame, weights: list[np.ndarray], hidden: int) -> DataFrame:
+    """states with got: for each relation the mean of the neighbours' states times the relation's matrix, added up."""
+    sent = edges.join(states.select("sample_id", F.col("node_id").alias("src"), F.col("state").alias("m")), ["sample_id", "src"])
+    means = sent.groupBy("sample_id", F.col("dst").alias("node_id"), "edge_type").agg(_sum("m", hidden, F.avg).alias("m"))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m, kind = _rows(b.column("m"), hidden), b.column("edge_type").to_numpy()
+            out = np.zeros_like(m)
+            for r in np.unique(kind):
+                out[kind == r] = m[kind == r] @ weights[r]
+            yield pa.record_batch([b.column("sample_id"), b.column("node_id"), _list(out)], names=["sample_id", "node_id", "state"])
+
+    got = means.mapInArrow(weighed, _STATES).groupBy("sample_id", "node_id").agg(_sum("state", hidden).alias("got"))
+    return states.join(got, ["sample_id", "node_id"], "left").withColumn("got", F.coalesce("got", F.array(*[F.lit(0.0)] * hidden)))
+
+
 def typed_states(nodes: DataFrame, edges: DataFrame, p: Convolutions) -> DataFrame:
     """(sample_id, node_id, state) after two convolutions that add, for each relation, the mean of the neighbours times its matrix. edges: also
     edge_type, from 0; types without a matrix say nothing."""
@@ -108,19 +125,7 @@ def typed_states(nodes: DataFrame, edges: DataFrame, p: Convolutions) -> DataFra
     s = _start(nodes, p.project)
     e = _ends(edges, s, F.col("edge_type").cast("int").alias("edge_type")).where(F.col("edge_type").between(0, relations - 1))
     for k, (weights, bias) in enumerate((p.first, p.second)):
-        sent = e.join(s.select("sample_id", F.col("node_id").alias("src"), F.col("state").alias("m")), ["sample_id", "src"])
-        means = sent.groupBy("sample_id", F.col("dst").alias("node_id"), "edge_type").agg(_sum("m", hidden, F.avg).alias("m"))
-
-        def weighed(batches: Iterator[pa.RecordBatch], weights: list[np.ndarray] = weights) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                m, kind = _rows(b.column("m"), hidden), b.column("edge_type").to_numpy()
-                out = np.zeros_like(m)
-                for r in np.unique(kind):
-                    out[kind == r] = m[kind == r] @ weights[r]
-                yield pa.record_batch([b.column("sample_id"), b.column("node_id"), _list(out)], names=["sample_id", "node_id", "state"])
-
-        got = means.mapInArrow(weighed, _STATES).groupBy("sample_id", "node_id").agg(_sum("state", hidden).alias("got"))
-        d = s.join(got, ["sample_id", "node_id"], "left").withColumn("got", F.coalesce("got", F.array(*[F.lit(0.0)] * hidden)))
+        d = _with_relations(s, e, weights, hidden)
 
         def layer(state: np.ndarray, got: np.ndarray, k: int = k, root: np.ndarray = weights[-1], bias: np.ndarray = bias) -> np.ndarray:
             x = got + state @ root + bias
@@ -171,3 +176,79 @@ def fusion_classifier(nodes: DataFrame, edges: DataFrame, samples: DataFrame, p:
         return gate * graph + (1 - gate) * semantic
 
     return _classified(_mapped(both, {"graph": hidden, "own": wide}, fused).select("sample_id", F.col("state").alias("vector")), p.classifier), attention
+
+
+@dataclass(frozen=True)
+class Block:
+    """A typed convolution with a residual and a norm, and a layer of twice the width with another."""
+
+    relations: list[np.ndarray]  # one a relation, the last one for a node itself
+    bias: np.ndarray
+    norm: Layer
+    up: Layer
+    down: Layer
+    last_norm: Layer
+
+
+@dataclass(frozen=True)
+class Jump:
+    """A gated projection, blocks whose states are all read at the end, a readout of three pools, a sample's own vector gated in, and
+    heads for the fused, the graph's and the own vector, weighed by the softmax of `heads`."""
+
+    value: Layer
+    gate: Layer
+    norm: Layer
+    blocks: list[Block]
+    jump: Layer
+    jump_norm: Layer
+    attention: tuple[np.ndarray, float]
+    readout: Layer
+    readout_norm: Layer
+    semantic: Layer
+    semantic_norm: Layer
+    fusion: Layer
+    classifiers: tuple[Layer, Layer, Layer]
+    heads: np.ndarray
+
+
+def jump_classifier(nodes: DataFrame, edges: DataFrame, samples: DataFrame, p: Jump) -> tuple[DataFrame, DataFrame]:
+    """((sample_id, risk, probability), (sample_id, node_id, attention)), as fusion_classifier, with the model of Jump. edges: sample_id, src, dst,
+    edge_type; samples: sample_id, vector."""
+    wide, hidden = p.value[0].shape
+    d = nodes.select(F.col("sample_id").cast("string").alias("sample_id"), F.col("node_id").cast("string").alias("node_id"), F.col("features").cast("array<double>").alias("features"))
+    s = _mapped(d.where(_whole(F.col("features"), wide)), {"features": wide}, lambda x: _norm(_gelu(x @ p.value[0] + p.value[1]) * _sigmoid(x @ p.gate[0] + p.gate[1]), p.norm))
+    e = _ends(edges, s, F.col("edge_type").cast("int").alias("edge_type")).where(F.col("edge_type").between(0, len(p.blocks[0].relations) - 2))
+    passed = []
+    for b in p.blocks:
+
+        def block(state: np.ndarray, got: np.ndarray, b: Block = b) -> np.ndarray:
+            x = _norm(state + _gelu(got + state @ b.relations[-1] + b.bias), b.norm)
+            return _norm(x + _gelu(x @ b.up[0] + b.up[1]) @ b.down[0] + b.down[1], b.last_norm)
+
+        s = _mapped(_with_relations(s, e, b.relations, hidden), {"state": hidden, "got": hidden}, block)
+        passed.append(s)
+    whole = passed[0]
+    for s in passed[1:]:
+        whole = whole.join(s.withColumnRenamed("state", "more"), ["sample_id", "node_id"]).select("sample_id", "node_id", F.concat("state", "more").alias("state"))
+
+    def read(states: np.ndarray) -> np.ndarray:
+        h = _norm(_gelu(states @ p.jump[0] + p.jump[1]), p.jump_norm)
+        return np.concatenate([h, _sigmoid(h @ p.attention[0] + p.attention[1])[:, None]], axis=1)
+
+    score = _mapped(whole, {"state": hidden * len(p.blocks)}, read)
+    weight = F.greatest(F.sum(F.col("state")[hidden]), F.lit(1e-6))
+    weighed = F.array(*[F.sum(F.col("state")[k] * F.col("state")[hidden]) / weight for k in range(hidden)])
+    pooled = score.groupBy("sample_id").agg(F.concat(weighed, _sum("state", hidden, F.avg), _sum("state", hidden, F.max)).alias("graph"))
+    own = samples.select(F.col("sample_id").cast("string").alias("sample_id"), F.col("vector").cast("array<double>").alias("own"))
+    both = pooled.join(own.where(_whole(F.col("own"), len(p.semantic[0]))), "sample_id").withColumn("node_id", F.lit(""))
+    weights = np.exp(p.heads - p.heads.max()) / np.exp(p.heads - p.heads.max()).sum()
+
+    def logits(graph: np.ndarray, own: np.ndarray) -> np.ndarray:
+        graph = _norm(_gelu(graph @ p.readout[0] + p.readout[1]), p.readout_norm)
+        semantic = _norm(_gelu(own @ p.semantic[0] + p.semantic[1]), p.semantic_norm)
+        gate = _sigmoid(np.concatenate([graph, semantic], axis=1) @ p.fusion[0] + p.fusion[1])
+        vectors = (gate * graph + (1 - gate) * semantic, graph, semantic)
+        return sum(w * (v @ c[0] + c[1]) for w, v, c in zip(weights, vectors, p.classifiers, strict=True))
+
+    z = _mapped(both, {"graph": 3 * hidden, "own": len(p.semantic[0])}, logits).select("sample_id", F.col("state").alias("vector"))
+    return _classified(z, (np.eye(2), np.zeros(2))), score.select("sample_id", "node_id", F.col("state")[hidden].alias("attention"))
