@@ -122,7 +122,11 @@ def best_checkpoint(history: DataFrame, metric: str, lower: bool = False, guards
 
 
 def weighted_mean_loss(batches: DataFrame) -> DataFrame:
-    return batches.agg(F.round(F.coalesce(F.sum(F.col("loss") * F.col("n")) / F.sum("n"), F.lit(0.0)), 6).alias("loss"))
+    """One row: the mean loss weighed by samples (loss, n); 0 without batches, an error if there are some but no positive number of samples."""
+    total = F.sum("n")
+    wrong = F.raise_error(F.lit("batches without samples")).cast("double")
+    mean = F.when(F.count("*") == 0, F.lit(0.0)).when(F.coalesce(total, F.lit(0)) <= 0, wrong).otherwise(F.sum(F.col("loss") * F.col("n")) / total)
+    return batches.agg(F.round(mean, 6).alias("loss"))
 
 
 def mean_diagnostics(batches: DataFrame) -> DataFrame:

@@ -7,13 +7,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def token_windows(tokens: Column, size: int, overlap: int) -> Column:
-    """Array of (start, tokens): windows of `size` that overlap, up to the one that reaches the end; none for no tokens."""
+def token_windows(tokens: Column, size: int, overlap: int, empty: bool = False) -> Column:
+    """Array of (start, tokens): windows of `size` that overlap, up to the one that reaches the end; none for no tokens, or with
+    `empty` one without tokens."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
     step, n = size - overlap, F.size(tokens)
     last = F.greatest(F.lit(0), F.ceil((n - F.lit(size)) / F.lit(float(step))).cast("int")) * step
     windows = F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda s: F.struct(s.alias("start"), F.slice(tokens, s + 1, F.lit(size)).alias("tokens")))
+    if empty:
+        return windows
     return F.when(n > 0, windows).otherwise(F.filter(windows, lambda w: F.lit(False)))
 
 

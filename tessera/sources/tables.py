@@ -61,7 +61,19 @@ def pairs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("positive_id string, negative_id string, pair_score double, motif_similarity double, structure_similarity double, scale_similarity double, false_positive_probability double").json(path)
 
 
-def run_metrics(spark: SparkSession, pattern: str) -> DataFrame:
-    """run (folder name) beside what each metrics.json holds."""
-    d = spark.read.option("multiLine", True).json(pattern)
-    return d.withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+def run_metrics(spark: SparkSession, pattern: str, final: str | None = None) -> DataFrame:
+    """run (folder name) beside what each metrics.json holds. final: where runs may have metrics of a later evaluation; what a run has
+    there goes before what it has here, column by column, and columns that only stand there are added."""
+
+    def read(at: str) -> DataFrame:
+        d = spark.read.option("multiLine", True).json(at)
+        return d.withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+
+    d = read(pattern)
+    if final is None:
+        return d
+    later = read(final)
+    named = later.select(F.col("run").alias("__run"), *[F.col(c).alias(f"__{c}") for c in later.columns if c != "run"])
+    both = [F.coalesce(f"__{c}", c).alias(c) if c in later.columns and c != "run" else F.col(c) for c in d.columns]
+    added = [F.col(f"__{c}").alias(c) for c in later.columns if c not in d.columns]
+    return d.join(named, F.col("run") == F.col("__run"), "left").select(*both, *added)

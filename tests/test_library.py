@@ -253,6 +253,7 @@ def test_windows(spark):
     r = d.select(windows.token_windows(d.t, 5, 2).alias("w"), windows.token_windows(d.e, 5, 2).alias("z")).first()
     assert [(w.start, w.tokens[-1]) for w in r.w] == [(0, "4"), (3, "7"), (6, "10")]
     assert r.z == []
+    assert [(w.start, w.tokens) for w in d.select(windows.token_windows(d.e, 5, 2, empty=True).alias("w")).first().w] == [(0, [])]
     with pytest.raises(ValueError, match="overlap"):
         windows.token_windows(d.t, 5, 5)
 
@@ -675,3 +676,32 @@ def test_logistic_stack_is_the_optimum(spark):
         for i, _, _ in rows:
             if fold[i] == f:
                 assert got[i] == pytest.approx(1 / (1 + math.exp(-x[i] @ w)), abs=2e-4)
+
+
+def test_metrics_of_a_later_evaluation_go_first(spark, tmp_path):
+    for run, first, later in (("a", {"f1": 0.5, "mcc": 0.1}, {"f1": 0.6, "pr_auc": 0.7}), ("b", {"f1": 0.4, "mcc": 0.2}, None)):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "metrics.json").write_text(json.dumps(first, indent=1))
+        if later:
+            (tmp_path / run / "final_test_metrics.json").write_text(json.dumps(later))
+    d = tables.run_metrics(spark, f"{tmp_path}/*/metrics.json", f"{tmp_path}/*/final_test_metrics.json")
+    assert {(r.run, r.f1, r.mcc, r.pr_auc) for r in d.collect()} == {("a", 0.6, 0.1, 0.7), ("b", 0.4, 0.2, None)}
+
+
+def test_mean_losses(spark):
+    d = spark.createDataFrame([(1.0, 3), (2.0, 1)], "loss double, n int")
+    assert metrics.weighted_mean_loss(d).first().loss == 1.25
+    assert metrics.weighted_mean_loss(d.limit(0)).first().loss == 0.0
+    with pytest.raises(Exception, match="without samples"):
+        metrics.weighted_mean_loss(spark.createDataFrame([(1.0, 0)], "loss double, n int")).collect()
+
+
+@pytest.mark.parametrize(("n", "sample"), [(10, 3), (97, 10), (12, 12), (5, 40), (8, 1)])
+def test_cache_stats_of_evenly_spaced_rows(spark, n, sample):
+    r = np.random.default_rng(n)
+    x = np.round(r.normal(size=(n, 4)), 3) * (r.random(n) > 0.3)[:, None]
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    part = x[np.linspace(0, n - 1, min(n, sample)).astype(int)]
+    got = windows.cache_stats(d, "id", "v", sample).first()
+    assert got.rows == len(part)
+    assert (got.abs_mean, got.mean_std, got.zero_rate) == (pytest.approx(np.abs(part).mean(), abs=1e-6), pytest.approx(part.std(0).mean(), abs=1e-6), pytest.approx((part == 0).all(1).mean()))
