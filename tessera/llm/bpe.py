@@ -41,11 +41,11 @@ class Encoder:
     other white space or a control string of the vocabulary take the library's path whole. New units are encoded many in a
     row: the ids are cut again where a token starts with a blank or line feed.
 
-    Units are kept in two generations of about max_units each, some 140 bytes a unit (70 MB in all at the default); the
+    Units are kept in two generations of about max_units each, some 200 bytes a unit (40 MB in all at the default); the
     older one goes when the younger one is full.
     """
 
-    def __init__(self, path: str, max_units: int = 250_000) -> None:
+    def __init__(self, path: str, max_units: int = 100_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

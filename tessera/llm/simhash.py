@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import parts
 from .components import components
 from .storage import settled
 
@@ -34,13 +37,18 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True)
 
 
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint_of(x) for x in texts], dtype="int64")
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with fp in place of their last column, text; a few MB of texts are Python strings at a time."""
+    for batch in batches:
+        last = batch.num_columns - 1
+        fp = [fingerprint_of(x) for columns in parts(batch, last) for x in columns[last]]
+        yield pa.record_batch([*batch.columns[:last], pa.array(fp, pa.int64())], names=[*batch.schema.names[:last], "fp"])
 
 
-def fingerprint(text: Column) -> Column:
-    """The fingerprint of each text, over Arrow batches."""
-    return F.pandas_udf(_fingerprints, "long")(text)
+def with_fingerprints(rows: DataFrame) -> DataFrame:
+    """rows (columns of longs, text last) with fp in place of the text."""
+    names = rows.columns[:-1]
+    return rows.mapInArrow(_printed, ", ".join(f"{c} long" for c in (*names, "fp")))
 
 
 def _ball(value: str, bits: int, radius: int) -> Column:
@@ -85,7 +93,7 @@ def simhash_groups(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc
     Copies share a fingerprint and count as one node, so a group of any size costs its members once. Null, empty and wordless texts have
     fingerprint zero and link like any other; very long texts are read whole; repeated rows stay; null ids and shared ids as in
     print_groups; an empty table gives no rows; other columns, whatever their names, are ignored."""
-    prints = settled(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")))
+    prints = settled(with_fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))))
     return print_groups(prints, distance).select("doc_id", "fp", "component_id")
 
 
@@ -100,7 +108,7 @@ def simhash_dedup(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     Here fingerprints are the nodes, so documents without an id, or that share one without being alike, are told apart."""
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    prints = settled(docs.select(F.col("doc_id").cast("long").alias("id"), row.alias("row"), fingerprint(F.col("text")).alias("fp")))
+    prints = settled(with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("id"), row.alias("row"), F.col("text").cast("string").alias("text"))))
     links = fingerprint_links(prints, distance=distance)
     groups = prints.join(components(links, "a", "b"), F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("group"))
     keep = groups.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")).select(F.coalesce("best.id", F.lit(0)).alias("__kept_id"), F.col("best.none").alias("__kept_none"), F.col("best.row").alias("__kept_row"))
