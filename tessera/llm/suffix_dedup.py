@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import parts as pieces
 from .sliding import gram_hashes, runs, slide
 from .storage import settled
 
@@ -19,7 +20,7 @@ LENGTH = 400
 #: Bytes of the grams that deal strings to shards: each string of LENGTH goes where its smallest gram hash says.
 GRAM = 200
 #: Bytes of distinct segments under one gram beyond which its strings are compared one by one, and bytes of an array.
-HOT_BYTES, ARRAY_BYTES = 1 << 22, 1 << 22
+HOT_BYTES, ARRAY_BYTES = 1 << 22, 1 << 20
 #: Names up to which the reduced string is sorted by ranks instead of another level of induced sorting.
 SHORT = 1 << 16
 
@@ -312,8 +313,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     texts = docs.join(parts, docs["doc_id"].eqNullSafe(parts["doc_id"]) & (docs["th"] == parts["th"])).select(docs["text"], "parts")
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for columns in (x for batch in batches for x in pieces(batch, 0, rows=200, size=2 << 20)):
+            for text, rows in zip(*columns, strict=True):
                 content = _cut(rows, _raw(text), length)
                 yield pa.record_batch([pa.array([r["h"] for r in rows], pa.int64()), pa.array([r["d"] for r in rows], pa.binary()), pa.array([r["hot"] for r in rows], pa.bool_()), pa.array(content, pa.binary())], names=["h", "d", "hot", "content"])
 
