@@ -83,14 +83,19 @@ def primary_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.primary_method(nodes, reached)
 
 
-def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _typed_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes, edges = settled(graph_nodes(spark, sf_dir)), graph_edges(spark, sf_dir)
-    typed = settled(graph.view_edges(edges, nodes))
+    return nodes, graph.view_edges(edges, nodes)
+
+
+def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes, typed = _typed_edges(spark, sf_dir)
+    typed = settled(typed)
     return nodes, typed, settled(graph.view_nodes(typed, nodes, nodes.where("label = 'METHOD'")))
 
 
 def view_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, typed, _ = _views(spark, sf_dir)
+    _, typed = _typed_edges(spark, sf_dir)
     return typed.groupBy("view", "label").agg(F.count("*").alias("n"))
 
 
