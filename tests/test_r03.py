@@ -33,3 +33,17 @@ def test_categories_end_words_as_the_sql_does(spark):
 def test_code_category_on_odd_pages(spark, tmp_path):
     pages = spark.createDataFrame([(k, "u", "\n".join(_ODD[k:])) for k in range(len(_ODD))] + [(99, "u", None)], "page_id long, url string, html string")
     same(spark, tmp_path, structure.code_category, structure.ORACLES["code_category"], pages=pages)
+
+
+def _attention_of_odd_pages(spark):
+    pages = spark.createDataFrame([(k, "u", "\n".join(_ODD[k:] + _ODD[:k])) for k in range(len(_ODD))], "page_id long, url string, html string")
+    events = spark.createDataFrame([(k, k % 13, 100.0 + k % 400) for k in range(600)], "event_id long, user_id long, value double")
+    return {"pages": pages, "events": events}
+
+
+def test_evidence_shares_on_odd_pages(spark, tmp_path):
+    same(spark, tmp_path, structure.evidence_shares, structure.ORACLES["evidence_shares"], **_attention_of_odd_pages(spark))
+
+
+def test_outcome_shares_on_odd_pages(spark, tmp_path):
+    same(spark, tmp_path, structure.outcome_shares, structure.ORACLES["outcome_shares"], **_attention_of_odd_pages(spark))
