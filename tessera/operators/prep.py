@@ -49,12 +49,13 @@ def stratified_split(rows: DataFrame, seed: int = 42, id_col: str = "sample_id",
     return d.withColumn("part", part).drop("__n", "__r", "__at", "__before", "__label")
 
 
-def grouped_split(rows: DataFrame, seed: int = 42, group_col: str = "source_hash", label_col: str = "label") -> DataFrame:
+def grouped_split(rows: DataFrame, seed: int = 42, group_col: str = "source_hash", label_col: str = "label", mixed: str = "fail") -> DataFrame:
     """rows with part, where rows of one group share a part; groups are split, not rows. A group with several labels
-    fails the job."""
-    groups = rows.groupBy(group_col).agg(F.min(label_col).alias("__lo"), F.max(label_col).alias("__hi"))
+    fails the job, or (mixed="least") is dealt out with those of its least label. Rows without a group are left out."""
+    groups = rows.where(F.col(group_col).isNotNull()).groupBy(group_col).agg(F.min(label_col).alias("__lo"), F.max(label_col).alias("__hi"))
     bad = F.raise_error(F.concat(F.lit("a group has several labels: "), F.col(group_col).cast("string"))).cast("int")
-    groups = groups.select(group_col, F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).otherwise(bad).alias(label_col))
+    least = F.col("__lo") if mixed == "least" else F.when(F.col("__lo").eqNullSafe(F.col("__hi")), F.col("__lo")).otherwise(bad)
+    groups = groups.select(group_col, least.alias(label_col))
     parts = stratified_split(groups, seed, group_col, label_col).select(group_col, "part")
     return rows.join(parts, group_col)
 

@@ -44,7 +44,7 @@ def source_hash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strict_split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = prep.grouped_split(samples(spark, sf_dir))
+    s = prep.grouped_split(samples(spark, sf_dir), mixed="least")
     return s.groupBy("part", "label").agg(F.count("*").alias("n_rows"), F.count_distinct("source_hash").alias("n_groups"))
 
 

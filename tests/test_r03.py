@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 
 from tessera.functions import text as T
-from tessera.plans import structure
+from tessera.plans import evaluation, structure
 from tests.test_oracles import plain
 
 
@@ -15,7 +15,7 @@ def same(spark, folder, query, sql, **tables):
     for name, d in tables.items():
         d.coalesce(2).write.parquet(f"{folder}/{name}.parquet")
         con.execute(f"create view {name} as select * from '{folder}/{name}.parquet/*.parquet'")
-    got, want = plain(query(spark, str(folder)).toPandas()), plain(con.execute(sql).df())
+    got, want = (plain(d.astype(object).where(d.notna(), None)) for d in (query(spark, str(folder)).toPandas(), con.execute(sql).df()))
     assert got == want
     return got
 
@@ -47,3 +47,10 @@ def test_evidence_shares_on_odd_pages(spark, tmp_path):
 
 def test_outcome_shares_on_odd_pages(spark, tmp_path):
     same(spark, tmp_path, structure.outcome_shares, structure.ORACLES["outcome_shares"], **_attention_of_odd_pages(spark))
+
+
+def test_strict_split_takes_the_least_label_of_a_mixed_group(spark, tmp_path):
+    texts = [None if k % 10 == 0 else "" if k % 10 == 1 else f"text {k // 3}" for k in range(120)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, None if k % 17 == 0 else k % 2) for k in range(120)], "doc_id long, quality int")
+    same(spark, tmp_path, evaluation.strict_split_summary, evaluation.ORACLES["strict_split_summary"], documents=documents, labels=labels)
