@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import duckdb
 
+from pyspark.sql import functions as F
+
 from tessera.functions import text as T
+from tessera.operators import graph
 from tessera.plans import evaluation, structure
+from tessera.sources.storage import settled
 from tests.test_oracles import plain
 
 
@@ -54,3 +58,30 @@ def test_strict_split_takes_the_least_label_of_a_mixed_group(spark, tmp_path):
     documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(k, None if k % 17 == 0 else k % 2) for k in range(120)], "doc_id long, quality int")
     same(spark, tmp_path, evaluation.strict_split_summary, evaluation.ORACLES["strict_split_summary"], documents=documents, labels=labels)
+
+
+def _small_graphs(spark):
+    nodes = spark.createDataFrame([(f"s{g}", n, "METHOD" if n == "1" else "CALL") for g in range(3) for n in ("1", "2", "10", "-3", "9" * 25, "x", "1.5", "007")], "sample_id string, node_id string, label string")
+    ends = [("1", "2", "AST"), ("2", "10", "CFG"), ("2", "10", "CFG"), ("10", "-3", "CDG"), ("x", "9" * 25, "REACHING_DEF"), ("2", "gone", "CFG"), ("1.5", "007", "OTHER")]
+    return nodes, spark.createDataFrame([(f"s{g}", a, b, r) for g in range(2) for a, b, r in ends], "sample_id string, src string, dst string, label string")
+
+
+def test_node_order_is_by_value(spark):
+    ids = ["x", "10", "-3", "2", "1.5", "007", "9" * 25, "-" + "9" * 25, "7", "", "a1"]
+    d = spark.createDataFrame([(x,) for x in ids], "node_id string")
+    by_value = [F.expr("try_cast(node_id as decimal(38, 0))").isNull(), F.expr("try_cast(node_id as decimal(38, 0))"), "node_id"]
+    assert d.orderBy(*graph.node_order()).collect() == d.orderBy(*by_value).collect()
+
+
+def test_edges_meet_their_ends_once_for_all_views(spark):
+    nodes, edges = _small_graphs(spark)
+    roots, rows = nodes.where("label = 'METHOD'"), lambda d: sorted(map(tuple, d.collect()))
+    inner, typed = graph.inner_edges(edges, nodes), graph.view_edges(edges, nodes)
+    assert inner.count() == 2 * 5 and typed.count() == 2 * (1 * 3 + 2 * 4 + 1 * 4 + 1 * 4)
+    places, of_views = graph.view_places(inner, nodes, roots), graph.view_nodes(typed, nodes, roots)
+    assert rows(graph.places_in_views(places)) == rows(of_views)
+    kept = of_views.where("view <> 'slice-cpg'")
+    assert rows(graph.model_edges(inner, places)) == rows(graph.model_edges(typed, kept))
+    assert rows(graph.edge_histogram(inner)) == rows(graph.edge_histogram(typed))
+    plan = graph.edge_histogram(settled(inner))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # of a row a sample, not of edges by view
