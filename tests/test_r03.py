@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import graph
 from tessera.plans import evaluation, structure
+from tessera.sources import storage
 from tessera.sources.storage import settled
+from tessera.streaming import build
 from tests.test_oracles import plain
 
 
@@ -85,3 +87,11 @@ def test_edges_meet_their_ends_once_for_all_views(spark):
     assert rows(graph.edge_histogram(inner)) == rows(graph.edge_histogram(typed))
     plan = graph.edge_histogram(settled(inner))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1  # of a row a sample, not of edges by view
+
+
+def test_a_built_batch_leaves_no_tables_in_between(spark, tmp_path):
+    graphs = spark.createDataFrame([("a", 1, [("1", "METHOD", "m"), ("2", "CALL", "c")], [(1, "1", "2", "AST")])], build.GRAPHS)
+    before = len(storage._WRITTEN)
+    build.build_batch(graphs, 0, str(tmp_path))
+    assert len(storage._WRITTEN) == before
+    assert {(r.view, r.nodes, r.edges) for r in build.built(spark, str(tmp_path), "index").collect()} == {("ast", 2, 1), ("core-cpg", 2, 1), ("dataflow-cpg", 2, 0), ("cfg", 1, 0), ("pdg", 1, 0)}
