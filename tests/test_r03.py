@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import graph
+from tessera.operators import graph, mining
 from tessera.plans import evaluation, structure
 from tessera.sources import storage
 from tessera.sources.storage import settled
@@ -95,3 +97,18 @@ def test_a_built_batch_leaves_no_tables_in_between(spark, tmp_path):
     build.build_batch(graphs, 0, str(tmp_path))
     assert len(storage._WRITTEN) == before
     assert {(r.view, r.nodes, r.edges) for r in build.built(spark, str(tmp_path), "index").collect()} == {("ast", 2, 1), ("core-cpg", 2, 1), ("dataflow-cpg", 2, 0), ("cfg", 1, 0), ("pdg", 1, 0)}
+
+
+def test_banks_of_vectors_are_counted_before_they_are_rows(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(k, k % 10, [rng.uniform(-1, 1) for _ in range(64)]) for k in range(300)]
+    rows += [(300 + k, k % 10, rows[k][2]) for k in range(40)] + [(400 + k, k % 10, [0.0] * 64) for k in range(20)]  # equal scores, zero vectors
+    embeddings = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(2)
+    embeddings.write.parquet(f"{tmp_path}/embeddings.parquet")
+    sides = evaluation.retrieval(spark, str(tmp_path), 1), evaluation.retrieval(spark, str(tmp_path), 0)
+    pairs = mining.scored_pairs(*sides, 0.25, blocks=3)
+    for query, found in ((evaluation.hard_negative_bank, mining.hard_negative_bank(pairs, 3)), (evaluation.review_queue, mining.review_queue(pairs))):
+        d = query(spark, str(tmp_path))
+        names = ["positive_id", "negative_id", "rank", "pair_score"]
+        assert sorted(map(tuple, d.select(names).collect())) == sorted(map(tuple, found.select(names).collect()))
+        assert "count(1) windowspecdefinition" not in d._jdf.queryExecution().optimizedPlan().toString()  # no window over all pairs of a positive
