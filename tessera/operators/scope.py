@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
-from ..sources.storage import settled
+from .graph import node_order
 
 MODES = ("raw", "semantic-anon", "full-anon")
 _FAR = 1_000_000_000
@@ -27,66 +27,60 @@ def _first_truthy(*names: str) -> Column:
 def scope_order() -> Column:
     """Line, column, node order, text; what has no line comes last."""
     number = lambda n: F.coalesce(F.expr(f"try_cast(try_element_at(attrs, '{n}') as int)"), F.lit(_FAR))
-    key = F.expr("try_cast(node_id as decimal(38, 0))")
-    return F.struct(number("LINE_NUMBER"), number("COLUMN_NUMBER"), key.isNull(), key, F.col("node_id"), F.concat_ws("|", attribute("NAME"), attribute("CODE")))
-
-
-def numbered(rows: DataFrame, prefix: str) -> DataFrame:
-    """(sample_id, name, placeholder, tags): distinct names numbered by first occurrence. rows: sample_id, name, at."""
-    first = rows.where("name <> ''").groupBy("sample_id", "name").agg(F.min("at").alias("at"))
-    n = F.row_number().over(Window.partitionBy("sample_id").orderBy("at"))
-    return first.select("sample_id", "name", F.concat(F.lit(f"{prefix}_"), n.cast("string")).alias("placeholder"), T.semantic_tags(F.col("name")).alias("tags"))
+    return F.struct(number("LINE_NUMBER"), number("COLUMN_NUMBER"), *node_order(), F.concat_ws("|", attribute("NAME"), attribute("CODE")))
 
 
 def scope_symbols(nodes: DataFrame, mode: str) -> DataFrame:
-    """(sample_id, name, replacement, priority) of parameters, locals, fields, types, known calls and user functions."""
+    """(sample_id, name, replacement, priority) of parameters, locals, fields, types, known calls and user functions. Names of a kind are
+    numbered by first occurrence. Nodes are read once for all kinds and shuffled once, by sample; what follows needs no other shuffle."""
     if mode not in MODES:
         raise ValueError(f"no such mode: {mode}")
-    at = scope_order()
-    named = lambda where, name: nodes.where(where).select("sample_id", name.alias("name"), at.alias("at"))
-    name = _first_truthy("NAME", "CODE")
-    calls = named("label = 'CALL'", name)
-    known = T.api_category(F.col("name"))
-    types = nodes.select("sample_id", at.alias("o"), F.posexplode(T.type_identifiers(attribute("TYPE_FULL_NAME"))).alias("pos", "name")).select("sample_id", "name", F.struct("o", "pos").alias("at"))
-    parts = [
-        (numbered(named("label = 'METHOD_PARAMETER_IN'", name), "PARAM"), 1),
-        (numbered(named("label = 'LOCAL'", name), "VAR"), 2),
-        (numbered(named("label = 'FIELD_IDENTIFIER'", _first_truthy("CANONICAL_NAME", "NAME", "CODE")), "FIELD"), 3),
-        (numbered(types, "TYPE" if mode == "full-anon" else "USER_TYPE"), 4),
-        (numbered(calls.where(known.isNull()), "USER_FUNC" if mode == "semantic-anon" else "FUNC"), 6),
-    ]
-    tags = F.when(F.lit(mode == "semantic-anon") & (F.size("tags") > 0), F.concat(F.lit(" "), F.array_join("tags", " "))).otherwise("")
-    out = None
-    for d, priority in parts:
-        d = d.select("sample_id", "name", (F.concat("placeholder", tags) if priority in (1, 2, 3, 6) else F.col("placeholder")).alias("replacement"), F.lit(priority).alias("priority"))
-        out = d if out is None else out.unionByName(d)
-    kept = T.api_category(F.col("name"), wrappers=False).isNotNull()
-    api = calls.where(known.isNotNull()).select("sample_id", "name").distinct()
-    api = api.select("sample_id", "name", F.when(kept & F.lit(mode == "semantic-anon"), F.concat_ws(" ", "name", known)).otherwise(known).alias("replacement"), F.lit(5).alias("priority"))
-    return out.unionByName(api)
+    semantic = mode == "semantic-anon"
+    name, known = _first_truthy("NAME", "CODE"), T.api_category(F.col("name"))
+    kind = F.when(F.col("label") == "METHOD_PARAMETER_IN", 1).when(F.col("label") == "LOCAL", 2).when(F.col("label") == "FIELD_IDENTIFIER", 3).when(F.col("label") == "CALL", 6)
+    of_kind = F.when(kind == 3, _first_truthy("CANONICAL_NAME", "NAME", "CODE")).when(kind.isNotNull(), name)
+    types = F.when(attribute("TYPE_FULL_NAME") != "", T.type_identifiers(attribute("TYPE_FULL_NAME")))
+    found = F.concat(F.array(F.struct(F.lit(-1).alias("pos"), kind.alias("kind"), of_kind.alias("name"))), F.coalesce(F.transform(types, lambda t, k: F.struct(k.alias("pos"), F.lit(4).alias("kind"), t.alias("name"))), F.array().cast("array<struct<pos:int,kind:int,name:string>>")))
+    rows = nodes.select("sample_id", scope_order().alias("o"), F.explode(F.filter(found, lambda x: x["name"] != "")).alias("x"))
+    rows = rows.select("sample_id", "x.kind", "x.name", F.struct("o", "x.pos").alias("at")).repartition("sample_id")
+    first = rows.groupBy("sample_id", "kind", "name").agg(F.min("at").alias("at"))
+    first = first.select("sample_id", "name", F.when((F.col("kind") == 6) & known.isNotNull(), 5).otherwise(F.col("kind")).alias("priority"), "at")
+    n = F.row_number().over(Window.partitionBy("sample_id", "priority").orderBy("at"))
+    prefix = F.when(F.col("priority") == 1, "PARAM_").when(F.col("priority") == 2, "VAR_").when(F.col("priority") == 3, "FIELD_").when(F.col("priority") == 4, "TYPE_" if mode == "full-anon" else "USER_TYPE_").otherwise("USER_FUNC_" if semantic else "FUNC_")
+    replacement = F.concat(prefix, n.cast("string"))
+    api = known
+    if semantic:
+        tags = T.semantic_tags(F.col("name"))
+        replacement = F.concat(replacement, F.when((F.col("priority") != 4) & (F.size(tags) > 0), F.concat(F.lit(" "), F.array_join(tags, " "))).otherwise(""))
+        api = F.when(T.api_category(F.col("name"), wrappers=False).isNotNull(), F.concat_ws(" ", "name", known)).otherwise(known)
+    return first.select("sample_id", "name", F.when(F.col("priority") == 5, api).otherwise(replacement).alias("replacement"), "priority")
+
+
+def _anonymised(codes: DataFrame, symbols: DataFrame, mode: str, *columns: str) -> DataFrame:
+    """codes (sample_id, columns, code) with text in place of code. The names of a sample meet its codes as one map, so only codes and symbols
+    are shuffled, both by sample; tokens never are."""
+    names = fixed.C_KEYWORDS + fixed.BASIC_TYPES + ["NULL", "true", "false"]
+    best = symbols.where("sample_id is not null").repartition("sample_id").groupBy(F.col("sample_id").alias("s"), "name").agg(F.min_by("replacement", "priority").alias("replacement"))
+    known = best.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("name", "replacement"))).alias("known"))
+    d = codes.join(known, F.col("sample_id") == F.col("s"), "left")
+
+    def named(word: Column) -> Column:
+        other = T.unknown_name(word)
+        if mode == "semantic-anon":
+            tags = T.semantic_tags(word)
+            other = F.concat(other, F.when(F.size(tags) > 0, F.concat(F.lit(" "), F.array_join(tags, " "))).otherwise(""))
+        return F.when(word.isin(names), word).otherwise(F.coalesce(F.try_element_at("known", word), other))
+
+    piece = lambda t: T.by_kind(t, STRING=F.lit("STR"), CHAR=F.lit("CHAR"), JOERN=t, HEX=F.lit("HEX"), INT=T.normalize_integer(t), FLOAT=F.lit("FLOAT"), ID=named(t), OP=t)
+    return d.select("sample_id", *columns, F.coalesce(F.array_join(F.transform(T.lex(F.col("code")), piece), " "), F.lit("")).alias("text"))
 
 
 def normalized_codes(codes: DataFrame, symbols: DataFrame, mode: str, key: str = "node_id") -> DataFrame:
     """(sample_id, key, text): code lexed, names looked up in the sample's symbols, literals by kind, tokens joined by one
-    blank. Raw mode leaves texts alone. codes: sample_id, key, code. Only the distinct names of a code meet the symbols, by sample and
-    name; its other tokens stay where they are. A null code is an empty text."""
+    blank. Raw mode leaves texts alone. codes: sample_id, key, code. A null code is an empty text."""
     if mode == "raw":
         return codes.select("sample_id", key, F.col("code").alias("text"))
-    names = fixed.C_KEYWORDS + fixed.BASIC_TYPES + ["NULL", "true", "false"]
-    c = settled(codes.select("sample_id", key, T.lex(F.col("code")).alias("tokens")))
-    looked_up = F.array_distinct(F.filter("tokens", lambda t: (T.token_kind(t) == "ID") & ~t.isin(names)))
-    best = symbols.groupBy("sample_id", F.col("name").alias("token")).agg(F.min_by("replacement", "priority").alias("replacement"))
-    met = c.select("sample_id", key, F.explode(looked_up).alias("token")).distinct().join(best, ["sample_id", "token"])
-    met = met.groupBy(F.col("sample_id").alias("s"), F.col(key).alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("token", "replacement"))).alias("known"))  # names of one code
-    c = c.join(met, F.col("sample_id").eqNullSafe(F.col("s")) & F.col(key).eqNullSafe(F.col("k")), "left")
-
-    def piece(word: Column) -> Column:
-        kind = T.token_kind(word)
-        other = F.concat(T.unknown_name(word), F.when(F.lit(mode == "semantic-anon") & (F.size(T.semantic_tags(word)) > 0), F.concat(F.lit(" "), F.array_join(T.semantic_tags(word), " "))).otherwise(""))
-        name = F.when(word.isin(names), word).otherwise(F.coalesce(F.try_element_at("known", word), other))
-        return F.when(kind == "STRING", "STR").when(kind == "CHAR", "CHAR").when(kind == "HEX", "HEX").when(kind == "FLOAT", "FLOAT").when(kind == "INT", T.normalize_integer(word)).when(kind == "ID", name).otherwise(word)
-
-    return c.select("sample_id", key, F.coalesce(F.array_join(F.transform("tokens", piece), " "), F.lit("")).alias("text"))
+    return _anonymised(codes.select("sample_id", key, "code"), symbols, mode, key)
 
 
 def normalized_nodes(nodes: DataFrame, symbols: DataFrame | None, mode: str) -> DataFrame:
@@ -96,8 +90,7 @@ def normalized_nodes(nodes: DataFrame, symbols: DataFrame | None, mode: str) ->
     if symbols is None:
         raise ValueError(f"{mode} needs the symbols of a scope")
     code = F.when(F.col("label") == "METHOD", F.trim(attribute("SIGNATURE"))).when(F.col("label") == "METHOD_RETURN", F.trim(attribute("TYPE_FULL_NAME"))).when(F.col("label") == "BLOCK", "").otherwise(_first_truthy("CODE", "NAME"))
-    texts = normalized_codes(nodes.select("sample_id", "node_id", code.alias("code")), symbols, mode)
-    d = nodes.select("sample_id", "node_id", "label").join(texts, ["sample_id", "node_id"])
+    d = _anonymised(nodes.where("sample_id is not null and node_id is not null").select("sample_id", "node_id", "label", code.alias("code")), symbols, mode, "node_id", "label")
     mark = F.when(F.col("label") == "METHOD_RETURN", "RET").otherwise(F.col("label"))
     text = F.when(F.col("text") == "", F.concat(F.lit("<"), mark, F.lit(">"))).when(F.col("label").isin("METHOD", "METHOD_RETURN"), F.concat(F.lit("<"), mark, F.lit(" "), "text", F.lit(">"))).otherwise(F.col("text"))
     return d.select("sample_id", "node_id", text.alias("text"))

@@ -12,7 +12,7 @@ from ..operators import batching, ensembles, graph, metrics, mining, model, prep
 from ..sources import sinks, tables
 from ..sources.storage import scratch, settled
 from . import structure
-from .bindings import GRAPH_SQL, PREDICTIONS_SQL, attention, graph_edges, graph_nodes, predictions, retrieval, table
+from .bindings import GRAPH_SQL, PREDICTIONS_SQL, _items, attention, graph_edges, graph_nodes, predictions, retrieval, table
 from .evaluation import _RANDOM
 
 # ---- readers and writers
@@ -145,7 +145,7 @@ def node_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = structure._scope_nodes(spark, sf_dir)
+    nodes = structure._scope_nodes(spark, sf_dir, settled(_items(spark, sf_dir)))
     symbols = scope.scope_symbols(nodes, "full-anon")
     kind = F.when(F.col("node_id").cast("int") % 4 == 0, "METHOD_RETURN").when(F.col("node_id").cast("int") % 4 == 1, "BLOCK").otherwise(F.col("label"))
     out = scope.normalized_nodes(nodes.withColumn("label", kind), symbols, "full-anon")

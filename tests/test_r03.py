@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import duckdb
@@ -9,7 +10,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import graph, mining
+from tessera.operators import graph, mining, scope
 from tessera.plans import evaluation, structure
 from tessera.sources import storage
 from tessera.sources.storage import settled
@@ -112,3 +113,19 @@ def test_banks_of_vectors_are_counted_before_they_are_rows(spark, tmp_path):
         names = ["positive_id", "negative_id", "rank", "pair_score"]
         assert sorted(map(tuple, d.select(names).collect())) == sorted(map(tuple, found.select(names).collect()))
         assert "count(1) windowspecdefinition" not in d._jdf.queryExecution().optimizedPlan().toString()  # no window over all pairs of a positive
+
+
+def test_symbols_of_all_kinds_take_one_shuffle(spark):
+    attrs = [("METHOD_PARAMETER_IN", "len", "1"), ("LOCAL", "buf", "2"), ("LOCAL", "buf", "1"), ("LOCAL", "a", "2"), ("CALL", "memcpy", "3"), ("CALL", "do_it", "4"), ("CALL", "do_it", None), ("OTHER", "no", "1")]
+    rows = [("s", str(k), label, {"NAME": name, "TYPE_FULL_NAME": "Node * Edge" if k == 1 else "", **({"LINE_NUMBER": line} if line else {})}) for k, (label, name, line) in enumerate(attrs)]
+    nodes = settled(spark.createDataFrame(rows, "sample_id string, node_id string, label string, attrs map<string,string>"))
+    found = scope.scope_symbols(nodes, "full-anon")
+    want = [("a", "VAR_2", 2), ("buf", "VAR_1", 2), ("do_it", "FUNC_1", 6), ("Edge", "TYPE_2", 4), ("len", "PARAM_1", 1), ("Node", "TYPE_1", 4)]
+    assert sorted(tuple(r)[1:] for r in found.where("priority <> 5").collect()) == sorted(want)
+    shuffles = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(found) == 1
+    codes = settled(spark.createDataFrame([("s", "1", "do_it(buf, len)"), ("s", "2", None), ("t", "1", "buf"), (None, "1", "buf")], "sample_id string, node_id string, code string"))
+    d = scope.normalized_codes(codes, settled(found), "full-anon")
+    assert shuffles(d) <= 2  # of symbols and codes, not of tokens
+    unknown = "UNKNOWN_ID_" + hashlib.sha256(b"buf").hexdigest()[:8]
+    assert {(r.sample_id, r.node_id): r.text for r in d.collect()} == {("s", "1"): "FUNC_1 ( VAR_1 , PARAM_1 )", ("s", "2"): "", ("t", "1"): unknown, (None, "1"): unknown}
