@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.byte_pairs import encoder
+
 #: Tokens of a batch that a task gives out.
 TOKENS = 50_000
 _SPANS = "id string, pos int, token int, char_start int, char_end int, first_line int, last_line int"
@@ -89,3 +91,48 @@ def chunk_lines(tokens: DataFrame, size: int, overlap: int) -> DataFrame:
     d = d.withColumn("chunk", F.explode(F.sequence(low, high)))
     first = [F.min(c).alias(c) for c in ("char_start", "first_line")]
     return d.groupBy("id", "chunk").agg(F.count("*").alias("n_tokens"), *first, *[F.max(c).alias(c) for c in ("char_end", "last_line")])
+
+
+_CHUNKS = "id string, chunk int, n_tokens long, char_start int, first_line int, char_end int, last_line int, whole boolean"
+
+
+def text_chunks(texts: DataFrame, vocabulary: str, size: int, overlap: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """chunk_lines of token_spans, without a row for each token: a text's tokens are with its task, which takes its windows from them. Only
+    windows are shuffled, to meet those of other rows of the same id; a row that is shorter than another one of its id also has
+    tokens in windows beyond its own last one, which count if the longer one has them."""
+    if size <= 0 or not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and less than size")
+    step = size - overlap
+    d = texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths, made = _vocabulary(vocabulary)[1], encoder(vocabulary)
+        names = [x.split()[0] for x in _CHUNKS.split(", ")]
+
+        def encoded(b: pa.RecordBatch) -> Iterator[tuple]:
+            k = 0
+            while k < b.num_rows:
+                rows, held = [], 0
+                while k < b.num_rows and len(rows) < 500 and held < 4 << 20:  # few texts stand beside their ids
+                    name, text = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+                    rows += [(name, text)] if text else []
+                    held, k = held + len(text or ""), k + 1
+                yield from ((name, text, ids) for (name, text), ids in zip(rows, made.encode([t for _, t in rows]), strict=True) if len(ids))
+
+        for b in batches:
+            found: list[list] = [[] for _ in names]
+            for name, text, ids in encoded(b):
+                char_start, char_end, first_line, last_line = spans(ids, lengths, text)
+                chunk = np.arange((len(ids) - 1) // step + 1)
+                a, z = chunk * step, np.minimum(chunk * step + size, len(ids)) - 1
+                found[0] += [name] * len(chunk)
+                whole = chunk <= max(0, -((size - len(ids)) // step))
+                for c, x in zip(found[1:], (chunk, z + 1 - a, char_start[a], first_line[a], char_end[z], last_line[z], whole), strict=True):
+                    c.append(x)
+            kinds = [pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.bool_()]
+            columns = [pa.array(np.concatenate(c).astype(t.to_pandas_dtype()) if c else [], t) for c, t in zip(found[1:], kinds, strict=True)]
+            yield pa.record_batch([pa.array(found[0], pa.string()), *columns], names=names)
+
+    least = [F.min(c).alias(c) for c in ("char_start", "first_line")]
+    n = d.mapInArrow(run, _CHUNKS).groupBy("id", "chunk").agg(F.sum("n_tokens").alias("n_tokens"), *least, *[F.max(c).alias(c) for c in ("char_end", "last_line", "whole")])
+    return n.where("whole").drop("whole")

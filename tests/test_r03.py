@@ -10,8 +10,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import graph, mining, scope
-from tessera.plans import evaluation, structure
+from tessera.operators import graph, mining, offsets, scope
+from tessera.plans import evaluation, models, structure
 from tessera.sources import storage
 from tessera.sources.storage import settled
 from tessera.streaming import build
@@ -129,3 +129,24 @@ def test_symbols_of_all_kinds_take_one_shuffle(spark):
     assert shuffles(d) <= 2  # of symbols and codes, not of tokens
     unknown = "UNKNOWN_ID_" + hashlib.sha256(b"buf").hexdigest()[:8]
     assert {(r.sample_id, r.node_id): r.text for r in d.collect()} == {("s", "1"): "FUNC_1 ( VAR_1 , PARAM_1 )", ("s", "2"): "", ("t", "1"): unknown, (None, "1"): unknown}
+
+
+def test_chunks_of_texts_are_those_of_their_tokens(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [(0, None), (1, ""), (2, "one"), (3, "a b c d\ne f g h"), (4, "a b c\nd e\n\nf g h i é 中"), (5, " ".join(str(k) for k in range(90))), (5, "short one\nhere it is"), (5, None), (6, "two rows"), (6, "two rows"), (7, "x \ud83d y\n" * 40)]
+    texts = [(k, t.encode("utf-8", "ignore").decode() if t else t) for k, t in texts]
+    texts += [(10 + n, " ".join(["word"] * n)) for n in range(1, 30)] + [(None, "no id\nat all " * 5)]
+    d = settled(spark.createDataFrame(texts, "id long, text string"))
+    for size, overlap in ((8, 4), (5, 0), (7, 6), (512, 256)):
+        got, want = offsets.text_chunks(d, path, size, overlap), offsets.chunk_lines(offsets.token_spans(d, path), size, overlap)
+        assert got.dtypes == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_chunk_evidence_shuffles_windows_not_tokens(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c " * 500)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = models.chunk_evidence(spark, str(tmp_path))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and d.count() == 5
