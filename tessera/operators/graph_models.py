@@ -101,21 +101,37 @@ def plain_states(nodes: DataFrame, edges: DataFrame, p: Convolutions) -> DataFra
     return s
 
 
+def _weighed(edges: DataFrame) -> DataFrame:
+    """edges with share: one over the number of edges of their type that their end gets."""
+    n = edges.groupBy("sample_id", "dst", "edge_type").agg(F.count("*").alias("n"))
+    return settled(edges.join(n, ["sample_id", "dst", "edge_type"]).select("sample_id", "src", "dst", "edge_type", (1 / F.col("n")).alias("share")))
+
+
 def _with_relations(states: DataFrame, edges: DataFrame, weights: list[np.ndarray], hidden: int) -> DataFrame:
-    """states with got: for each relation the mean of the neighbours' states times the relation's matrix, added up."""
+    """states with got: for each relation the mean of the neighbours' states times the relation's matrix, added up. edges: of _weighed. A message is
+    its share of the mean, so all relations are one sum; a node's own state is a row of the same aggregate and meets no join."""
     sent = edges.join(states.select("sample_id", F.col("node_id").alias("src"), F.col("state").alias("m")), ["sample_id", "src"])
-    means = sent.groupBy("sample_id", F.col("dst").alias("node_id"), "edge_type").agg(_sum("m", hidden, F.avg).alias("m"))
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m, kind = _rows(b.column("m"), hidden), b.column("edge_type").to_numpy()
+            m, kind, share = _rows(b.column("m"), hidden), b.column("edge_type").to_numpy(), b.column("share").to_numpy()
             out = np.zeros_like(m)
             for r in np.unique(kind):
                 out[kind == r] = m[kind == r] @ weights[r]
-            yield pa.record_batch([b.column("sample_id"), b.column("node_id"), _list(out)], names=["sample_id", "node_id", "state"])
+            yield pa.record_batch([b.column("sample_id"), b.column("node_id"), _list(out * share[:, None])], names=["sample_id", "node_id", "state"])
+
+    got = sent.select("sample_id", F.col("dst").alias("node_id"), "edge_type", "share", "m").mapInArrow(weighed, _STATES)
+    return _gathered(states, got, hidden)
+
 
-    got = means.mapInArrow(weighed, _STATES).groupBy("sample_id", "node_id").agg(_sum("state", hidden).alias("got"))
-    return states.join(got, ["sample_id", "node_id"], "left").withColumn("got", F.coalesce("got", F.array(*[F.lit(0.0)] * hidden)))
+def _gathered(states: DataFrame, messages: DataFrame, hidden: int) -> DataFrame:
+    """states with got, the sum of a node's messages (sample_id, node_id, state), zeros if there are none. Messages without a node say nothing."""
+    at = lambda c, own: [(F.col(c)[k] if own else F.lit(None).cast("double")) for k in range(hidden)]
+    names = [*[f"s{k}" for k in range(hidden)], *[f"g{k}" for k in range(hidden)]]
+    row = lambda d, own: d.select("sample_id", "node_id", *[c.alias(n) for c, n in zip([*at("state", own), *at("state", not own)], names, strict=True)])
+    sums = row(states, True).unionByName(row(messages, False)).groupBy("sample_id", "node_id").agg(*[F.sum(n).alias(n) for n in names])
+    zero = F.lit(0.0)
+    return sums.where("s0 is not null").select("sample_id", "node_id", F.array(*[f"s{k}" for k in range(hidden)]).alias("state"), F.array(*[F.coalesce(f"g{k}", zero) for k in range(hidden)]).alias("got"))
 
 
 def typed_states(nodes: DataFrame, edges: DataFrame, p: Convolutions) -> DataFrame:
@@ -124,6 +140,7 @@ def typed_states(nodes: DataFrame, edges: DataFrame, p: Convolutions) -> DataFra
     hidden, relations = p.project[0].shape[1], len(p.first[0]) - 1
     s = _start(nodes, p.project)
     e = _ends(edges, s, F.col("edge_type").cast("int").alias("edge_type")).where(F.col("edge_type").between(0, relations - 1))
+    e = _weighed(e)
     for k, (weights, bias) in enumerate((p.first, p.second)):
         d = _with_relations(s, e, weights, hidden)
 
@@ -218,6 +235,7 @@ def jump_classifier(nodes: DataFrame, edges: DataFrame, samples: DataFrame, p: J
     d = nodes.select(F.col("sample_id").cast("string").alias("sample_id"), F.col("node_id").cast("string").alias("node_id"), F.col("features").cast("array<double>").alias("features"))
     s = _mapped(d.where(_whole(F.col("features"), wide)), {"features": wide}, lambda x: _norm(_gelu(x @ p.value[0] + p.value[1]) * _sigmoid(x @ p.gate[0] + p.gate[1]), p.norm))
     e = _ends(edges, s, F.col("edge_type").cast("int").alias("edge_type")).where(F.col("edge_type").between(0, len(p.blocks[0].relations) - 2))
+    e = _weighed(e)
     passed = []
     for b in p.blocks:
 

@@ -6,11 +6,12 @@ import hashlib
 import random
 
 import duckdb
+import numpy as np
 
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import graph, mining, offsets, scope
+from tessera.operators import graph, graph_models, mining, offsets, scope
 from tessera.plans import evaluation, models, structure
 from tessera.sources import storage
 from tessera.sources.storage import settled
@@ -150,3 +151,14 @@ def test_chunk_evidence_shuffles_windows_not_tokens(spark, tmp_path):
     d = models.chunk_evidence(spark, str(tmp_path))
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan and d.count() == 5
+
+
+def test_messages_of_all_relations_are_one_sum(spark):
+    states = settled(spark.createDataFrame([("s", "1", [1.0, 2.0]), ("s", "2", [3.0, 4.0]), ("s", "3", [5.0, 6.0]), ("t", "1", [7.0, 8.0])], "sample_id string, node_id string, state array<double>"))
+    edges = settled(spark.createDataFrame([("s", "1", "3", 0), ("s", "2", "3", 0), ("s", "2", "3", 0), ("s", "2", "3", 1), ("s", "3", "1", 1), ("s", "1", "gone", 0)], "sample_id string, src string, dst string, edge_type int"))
+    d = graph_models._with_relations(states, graph_models._weighed(edges), [np.eye(2), 10 * np.eye(2)], 2)
+    got = {(r.sample_id, r.node_id): (list(r.state), list(r.got)) for r in d.collect()}
+    assert set(got) == {("s", "1"), ("s", "2"), ("s", "3"), ("t", "1")}
+    assert got["t", "1"] == ([7.0, 8.0], [0.0, 0.0]) and got["s", "2"][1] == [0.0, 0.0] and got["s", "1"] == ([1.0, 2.0], [50.0, 60.0])
+    assert got["s", "3"][0] == [5.0, 6.0] and np.allclose(got["s", "3"][1], [7 / 3 + 30, 10 / 3 + 40])
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # of edges and states alone
