@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.llm import compact_windows
 from tessera.operators import graph, graph_models, mining, offsets, scope
 from tessera.plans import evaluation, models, structure
 from tessera.sources import storage
@@ -162,3 +163,17 @@ def test_messages_of_all_relations_are_one_sum(spark):
     assert got["t", "1"] == ([7.0, 8.0], [0.0, 0.0]) and got["s", "2"][1] == [0.0, 0.0] and got["s", "1"] == ([1.0, 2.0], [50.0, 60.0])
     assert got["s", "3"][0] == [5.0, 6.0] and np.allclose(got["s", "3"][1], [7 / 3 + 30, 10 / 3 + 40])
     assert d._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # of edges and states alone
+
+
+def test_a_passage_of_many_documents_stays_in_the_smallest_id_alone(spark):
+    """In a group of more than SMALL texts, too, each is held against the smallest id, also where copies of a text come first."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = words(70)
+    rows = [(k, " ".join(words(60) + passage + words(60))) for k in range(60)] + [(100 + k, " ".join(words(80))) for k in range(5)]
+    rows += [(200, rows[0][1]), (201, rows[7][1]), (None, rows[9][1]), (None, " ".join(words(40) + passage))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    left = [r for r in compact_windows.passage_dedup(docs).collect() if set(passage[8:-8]) & set(r.text.split())]
+    assert [r.doc_id for r in left] == [0]
+    found = compact_windows.passage_query(docs).collect()
+    assert {r.doc_id for r in found if r.other_id == 0} >= {*range(1, 60), None} and {r.component_id for r in found if r.doc_id is not None} == {0}
