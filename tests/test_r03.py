@@ -177,3 +177,7 @@ def test_a_passage_of_many_documents_stays_in_the_smallest_id_alone(spark):
     assert [r.doc_id for r in left] == [0]
     found = compact_windows.passage_query(docs).collect()
     assert {r.doc_id for r in found if r.other_id == 0} >= {*range(1, 60), None} and {r.component_id for r in found if r.doc_id is not None} == {0}
+    both = compact_windows.passage_query(docs, both_sides=True)
+    assert both.dtypes == compact_windows.passage_query(docs).dtypes
+    rows = [(r.doc_id, r.start_word, r.other_id, r.other_start_word) for r in both.collect()]
+    assert {0, *range(1, 60), 200, 201, None} == {r[0] for r in rows} and {(c, d, a, b) for a, b, c, d in rows} == set(rows)
