@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.llm import compact_windows
-from tessera.operators import graph, graph_models, mining, offsets, scope
+from tessera.operators import graph, graph_models, mining, mining_blocks, offsets, scope
 from tessera.plans import evaluation, models, structure
 from tessera.sources import storage
 from tessera.sources.storage import settled
@@ -181,3 +181,18 @@ def test_a_passage_of_many_documents_stays_in_the_smallest_id_alone(spark):
     assert both.dtypes == compact_windows.passage_query(docs).dtypes
     rows = [(r.doc_id, r.start_word, r.other_id, r.other_start_word) for r in both.collect()]
     assert {0, *range(1, 60), 200, 201, None} == {r[0] for r in rows} and {(c, d, a, b) for a, b, c, d in rows} == set(rows)
+
+
+def test_equal_rows_are_scored_once(spark):
+    """Copies of a few rows under shifted ids: the rows of all pairs, and only kinds of rows are scored."""
+    r = random.Random(5)
+    kinds = [([float(r.random() < 0.5) for _ in range(4)], [float(r.randrange(3)) for _ in range(2)], [float(r.randrange(2))], r.choice([None, 0.25, 0.5])) for _ in range(30)]
+    side = lambda first, n: spark.createDataFrame([(first + k, *r.choice(kinds)) for k in range(n)], "id long, motif array<double>, structure array<double>, scale array<double>, fp double")
+    p, n = side(0, 120), side(1000, 900)
+    columns = ["positive_id", "negative_id", "rank", "pair_score"]
+    for least, most, share in ((0.2, 3, (0.05, 0.3)), (0.0, 1 << 40, (0.0, 0.2)), (0.3, 70, (0.3, 0.9))):
+        bank, plan = mining_blocks.mined_bank(p, n, least, most, share, block=8)
+        want = mining.hard_negative_bank(mining.scored_pairs(p, n, least), most, share)
+        got = [tuple(x) for x in bank.select(*columns).collect()]
+        assert len(got) == len(set(got)) and set(got) == {tuple(x) for x in want.select(*columns).collect()}
+        assert plan.agg(F.sum(F.col("p_rows") * F.col("n_rows"))).first()[0] <= 2 * 30 * 30
