@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def line_topk(attention: DataFrame, k: int) -> DataFrame:
-    """sample_id, rank, line, score: the best k lines of each sample by their best score (at least 0); negative lines go."""
-    d = attention.where("line >= 0").groupBy("sample_id", "line").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("score"))
-    order = Window.partitionBy("sample_id").orderBy(F.desc("score"), "line")
+def share(part: Column, whole: Column) -> Column:
+    """part / whole to six places as the SQL's round has it: of the product of the double, not of its decimal digits (333 / 640 is 0.520312)."""
+    return F.round(F.try_divide(part, whole) * F.lit(1e6), 0) / F.lit(1e6)
+
+
+def line_topk(attention: DataFrame, k: int, negative: bool = False) -> DataFrame:
+    """sample_id, rank, line, score: the best k lines of each sample by their best score (at least 0); null and negative lines go, unless negative
+    (null comes last among equal scores)."""
+    d = attention.where(F.lit(True) if negative else F.col("line") >= 0).groupBy("sample_id", "line").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("score"))
+    order = Window.partitionBy("sample_id").orderBy(F.desc("score"), F.asc_nulls_last("line"))
     return d.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("sample_id", "rank", "line", "score")
 
 
@@ -49,13 +55,13 @@ def histogram(rows: DataFrame, value: Column, keys: list[str], bins: int, low: f
 def normalized_confusion(rows: DataFrame) -> DataFrame:
     """label, prediction, n, share of the label's rows."""
     n = rows.groupBy("label", "prediction").agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("label")), 6))
+    return n.withColumn("share", share(F.col("n"), F.sum("n").over(Window.partitionBy("label"))))
 
 
 def mix(rows: DataFrame, row: str, column: str) -> DataFrame:
     """row, column, n, share: counts of column normalised over each row."""
     n = rows.groupBy(row, column).agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(row)), 6))
+    return n.withColumn("share", share(F.col("n"), F.sum("n").over(Window.partitionBy(row))))
 
 
 def rank_shares(rows: DataFrame, categories: list[str], most: int = 3) -> DataFrame:
@@ -64,7 +70,7 @@ def rank_shares(rows: DataFrame, categories: list[str], most: int = 3) -> DataFr
     every = rows.sparkSession.createDataFrame([(c,) for c in categories], "category string")
     d = every.join(n, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
     whole = d.agg(F.greatest(F.sum("n"), F.lit(1)).alias("all"))
-    return d.join(F.broadcast(whole)).select("category", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))  # one row
+    return d.join(F.broadcast(whole)).select("category", "n", share(F.col("n"), F.col("all")).alias("share"))  # one row
 
 
 def outcome_shares(rows: DataFrame, categories: list[str], most: int = 5) -> DataFrame:
@@ -74,7 +80,7 @@ def outcome_shares(rows: DataFrame, categories: list[str], most: int = 5) -> Dat
     n = rows.where(F.col("rank") <= most).groupBy("outcome", listed.alias("category")).agg(F.count("*").alias("n"))
     every = rows.sparkSession.createDataFrame([(o, c) for o in ("TP", "FP", "FN", "TN") for c in dict.fromkeys([*categories, "other"])], "outcome string, category string")
     d = every.join(n, ["outcome", "category"], "left").select("outcome", "category", F.coalesce("n", F.lit(0)).alias("n"))
-    return d.withColumn("share", F.round(F.coalesce(F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy("outcome"))), F.lit(0.0)), 6))
+    return d.withColumn("share", F.coalesce(share(F.col("n"), F.sum("n").over(Window.partitionBy("outcome"))), F.lit(0.0)))
 
 
 def type_evidence(nodes: DataFrame, last: int = 6) -> DataFrame:

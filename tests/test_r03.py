@@ -60,6 +60,34 @@ def test_outcome_shares_on_odd_pages(spark, tmp_path):
     same(spark, tmp_path, structure.outcome_shares, structure.ORACLES["outcome_shares"], **_attention_of_odd_pages(spark))
 
 
+def _attention_of_halves():
+    """640 users with one line each: 333 of control, the rest other."""
+    events = [(40 * k + 1, k, 100.0) for k in range(640)]
+    return events, [(k, "u", "if (x)" if k < 333 else "plain") for k in range(640)]
+
+
+def test_shares_round_as_the_sql_does(spark, tmp_path):
+    events, pages = _attention_of_halves()
+    tables = {"pages": spark.createDataFrame(pages, "page_id long, url string, html string"), "events": spark.createDataFrame(events, "event_id long, user_id long, value double")}
+    got = same(spark, tmp_path, structure.evidence_shares, structure.ORACLES["evidence_shares"], **tables)
+    assert ("control", 333, 0.520312) in got
+
+
+def test_outcome_shares_round_as_the_sql_does(spark, tmp_path):
+    events, pages = _attention_of_halves()
+    events, pages = [(e, 2 * u, v) for e, u, v in events], [(2 * k, u, h) for k, u, h in pages]  # one outcome
+    tables = {"pages": spark.createDataFrame(pages, "page_id long, url string, html string"), "events": spark.createDataFrame(events, "event_id long, user_id long, value double")}
+    got = same(spark, tmp_path, structure.outcome_shares, structure.ORACLES["outcome_shares"], **tables)
+    assert ("control", 333, "TN", 0.520312) in got
+
+
+def test_evidence_keeps_null_and_negative_lines_as_the_sql_does(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", "if (x)\nbuf") for k in range(6)], "page_id long, url string, html string")
+    rows = [(None if k % 7 == 0 else -k if k % 3 == 0 else k, None if k % 11 == 0 else k % 6, None if k % 13 == 0 else 100.0 + k % 5) for k in range(300)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, value double")
+    same(spark, tmp_path, structure.evidence_shares, structure.ORACLES["evidence_shares"], pages=pages, events=events)
+
+
 def test_strict_split_takes_the_least_label_of_a_mixed_group(spark, tmp_path):
     texts = [None if k % 10 == 0 else "" if k % 10 == 1 else f"text {k // 3}" for k in range(120)]
     documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
