@@ -67,18 +67,26 @@ def cache_stats(vectors: DataFrame, id_col: str, vector: str, sample: int = 2000
     return dims.agg(F.round(F.avg("m"), 6).alias("abs_mean"), F.round(F.avg("s"), 6).alias("mean_std")).join(F.broadcast(zero))
 
 
-def histogram_features(graphs: DataFrame, histogram: DataFrame, vocabulary: list[str], edge_histogram: DataFrame | None = None, edge_vocabulary: list[str] | None = None) -> DataFrame:
+def label_counts(rows: DataFrame, vocabulary: list[str], total: str, prefix: str = "") -> DataFrame:
+    """sample_id, the number of its rows under the name `total`, and of those of each label of the vocabulary, in one pass. rows: sample_id, label."""
+    return rows.groupBy("sample_id").agg(F.count("*").alias(total), *[F.count_if(F.col("label") == v).alias(f"{prefix}{v}") for v in vocabulary])
+
+
+def histogram_features(graphs: DataFrame, histogram: DataFrame | None, vocabulary: list[str], edge_histogram: DataFrame | None = None, edge_vocabulary: list[str] | None = None) -> DataFrame:
     """sample_id, log_nodes, log_edges, the share of each node label of the vocabulary, and with an edge histogram the log of one
     more than the count of each edge label. graphs: sample_id, nodes, edges; histograms: sample_id, label, n. Labels beyond the
-    vocabularies say nothing; a graph without a label has 0."""
-    wide = histogram.groupBy("sample_id").pivot("label", vocabulary).agg(F.sum("n"))
+    vocabularies say nothing; a graph without a label has 0. Without a histogram, graphs has the counts of each label itself, as label_counts names
+    them (those of edges with "edge " before)."""
     share = lambda v: F.round(F.coalesce(F.col(f"`{v}`"), F.lit(0)) / F.greatest(F.lit(1), F.col("nodes")), 6).alias(f"{v}_fraction")
     columns = ["sample_id", F.round(F.log1p("nodes"), 6).alias("log_nodes"), F.round(F.log1p("edges"), 6).alias("log_edges"), *[share(v) for v in vocabulary]]
-    d = graphs.join(wide, "sample_id", "left")
+    d = graphs
+    if histogram is not None:
+        d = d.join(histogram.groupBy("sample_id").pivot("label", vocabulary).agg(F.sum("n")), "sample_id", "left")
     if edge_histogram is not None:
         named = edge_histogram.select("sample_id", F.concat(F.lit("edge "), "label").alias("label"), "n")
         of_edges = [f"edge {v}" for v in edge_vocabulary or []]
         d = d.join(named.groupBy("sample_id").pivot("label", of_edges).agg(F.sum("n")), "sample_id", "left")
+    if edge_vocabulary is not None or edge_histogram is not None:
         columns += [F.round(F.log1p(F.coalesce(F.col(f"`edge {v}`"), F.lit(0))), 6).alias(f"{v}_log_count") for v in edge_vocabulary or []]
     return d.select(*columns)
 

@@ -224,3 +224,9 @@ def test_equal_rows_are_scored_once(spark):
         got = [tuple(x) for x in bank.select(*columns).collect()]
         assert len(got) == len(set(got)) and set(got) == {tuple(x) for x in want.select(*columns).collect()}
         assert plan.agg(F.sum(F.col("p_rows") * F.col("n_rows"))).first()[0] <= 2 * 30 * 30
+
+
+def test_histogram_matrix_counts_labels_in_one_pass(spark):
+    """No pivot and no numbering of items where only labels of nodes are counted."""
+    plan = structure.histogram_matrix(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "pivot" not in plan and plan.count("row_number()") == 1  # once, for edges
