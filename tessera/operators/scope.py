@@ -14,6 +14,8 @@ from .graph import node_order
 
 MODES = ("raw", "semantic-anon", "full-anon")
 _FAR = 1_000_000_000
+#: Names of a sample that share a map.
+SHELF = 4
 
 
 def attribute(name: str) -> Column:
@@ -56,12 +58,20 @@ def scope_symbols(nodes: DataFrame, mode: str) -> DataFrame:
     return first.select("sample_id", "name", F.when(F.col("priority") == 5, api).otherwise(replacement).alias("replacement"), "priority")
 
 
+def _shelves(symbols: DataFrame) -> DataFrame:
+    """(s, n, known): the names of each sample with their replacements as n maps; a name is in the one of its hash modulo n."""
+    best = symbols.where("sample_id is not null").repartition("sample_id").groupBy(F.col("sample_id").alias("s"), "name").agg(F.min_by("replacement", "priority").alias("replacement"))
+    known = best.groupBy("s").agg(F.collect_list(F.struct("name", "replacement", F.xxhash64("name").alias("h"))).alias("all"))
+    known = known.withColumn("n", F.ceil(F.size("all") / SHELF))
+    shelf = lambda k: F.map_from_entries(F.transform(F.filter("all", lambda x: F.pmod(x["h"], F.col("n")) == k), lambda x: F.struct(x["name"], x["replacement"])))
+    return known.select("s", "n", F.transform(F.expr("sequence(0L, n - 1)"), shelf).alias("known"))
+
+
 def _anonymised(codes: DataFrame, symbols: DataFrame, mode: str, *columns: str) -> DataFrame:
-    """codes (sample_id, columns, code) with text in place of code. The names of a sample meet its codes as one map, so only codes and symbols
-    are shuffled, both by sample; tokens never are."""
+    """codes (sample_id, columns, code) with text in place of code. The names of a sample meet its codes as one array of maps, so only codes and
+    symbols are shuffled, both by sample; tokens never are. A map is searched name by name, so each holds about SHELF of them, by hash."""
     names = fixed.C_KEYWORDS + fixed.BASIC_TYPES + ["NULL", "true", "false"]
-    best = symbols.where("sample_id is not null").repartition("sample_id").groupBy(F.col("sample_id").alias("s"), "name").agg(F.min_by("replacement", "priority").alias("replacement"))
-    known = best.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("name", "replacement"))).alias("known"))
+    known = _shelves(symbols)
     d = codes.join(known, F.col("sample_id") == F.col("s"), "left")
 
     def named(word: Column) -> Column:
@@ -69,7 +79,7 @@ def _anonymised(codes: DataFrame, symbols: DataFrame, mode: str, *columns: str)
         if mode == "semantic-anon":
             tags = T.semantic_tags(word)
             other = F.concat(other, F.when(F.size(tags) > 0, F.concat(F.lit(" "), F.array_join(tags, " "))).otherwise(""))
-        return F.when(word.isin(names), word).otherwise(F.coalesce(F.try_element_at("known", word), other))
+        return F.when(word.isin(names), word).otherwise(F.coalesce(F.try_element_at(F.try_element_at("known", (F.pmod(F.xxhash64(word), F.col("n")) + 1).cast("int")), word), other))
 
     piece = lambda t: T.by_kind(t, STRING=F.lit("STR"), CHAR=F.lit("CHAR"), JOERN=t, HEX=F.lit("HEX"), INT=T.normalize_integer(t), FLOAT=F.lit("FLOAT"), ID=named(t), OP=t)
     return d.select("sample_id", *columns, F.coalesce(F.array_join(F.transform(T.lex(F.col("code")), piece), " "), F.lit("")).alias("text"))
