@@ -42,7 +42,8 @@ def stratified_split(rows: DataFrame, seed: int = 42, id_col: str = "sample_id",
     sizes = rows.groupBy(F.col(label_col).alias("__label")).agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__label").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.withColumn("__before", F.coalesce(before, F.lit(0)))
-    d = numbered(rows, "__at", label_col, shuffle_key(seed, label_col, id_col), id_col)
+    key = shuffle_key(seed, label_col, id_col)
+    d = numbered(rows, "__at", label_col, key.isNull(), key, F.col(id_col).isNull(), id_col)  # what has no key comes last
     d = d.join(F.broadcast(sizes), F.col(label_col).eqNullSafe(F.col("__label"))).withColumn("__r", F.col("__at") - F.col("__before") + 1)
     train, val = split_sizes(F.col("__n"))
     part = F.when(F.col("__r") <= train, "train").when(F.col("__r") <= train + val, "val").otherwise("test")
@@ -51,10 +52,11 @@ def stratified_split(rows: DataFrame, seed: int = 42, id_col: str = "sample_id",
 
 def grouped_split(rows: DataFrame, seed: int = 42, group_col: str = "source_hash", label_col: str = "label", mixed: str = "fail") -> DataFrame:
     """rows with part, where rows of one group share a part; groups are split, not rows. A group with several labels
-    fails the job, or (mixed="least") is dealt out with those of its least label. Rows without a group are left out."""
-    groups = rows.where(F.col(group_col).isNotNull()).groupBy(group_col).agg(F.min(label_col).alias("__lo"), F.max(label_col).alias("__hi"))
+    fails the job, or (mixed="least") is dealt out with those of its least label. Rows without a group are left out, but count as the last group of
+    their least label."""
+    groups = rows.groupBy(group_col).agg(F.min(label_col).alias("__lo"), F.max(label_col).alias("__hi"))
     bad = F.raise_error(F.concat(F.lit("a group has several labels: "), F.col(group_col).cast("string"))).cast("int")
-    least = F.col("__lo") if mixed == "least" else F.when(F.col("__lo").eqNullSafe(F.col("__hi")), F.col("__lo")).otherwise(bad)
+    least = F.col("__lo") if mixed == "least" else F.when(F.col("__lo").eqNullSafe(F.col("__hi")) | F.col(group_col).isNull(), F.col("__lo")).otherwise(bad)
     groups = groups.select(group_col, least.alias(label_col))
     parts = stratified_split(groups, seed, group_col, label_col).select(group_col, "part")
     return rows.join(parts, group_col)
